@@ -5,9 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .langid import fit_prototypes, identify
 from .neardup import near_duplicates
-from .session import table
+from .session import crc32_mod, table
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = crc32_mod(F.col("doc_id"), 4)
+    prototypes = fit_prototypes(docs.filter(fold != 2))
+    return identify(docs, prototypes, ["doc_id"]).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +24,7 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op3_near_duplicates": op3_near_duplicates,
 }
 
