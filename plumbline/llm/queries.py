@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
+from .decontam import leaks
 from .langid import fit_prototypes, identify
 from .neardup import near_duplicates
 from .session import crc32_mod, table
@@ -23,9 +25,26 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: The mix: a domain is the first digit of a source's number.
+MIX = {"weights": {"domain": {"d1": 4, "d2": 2}, "lang": {"en": 3, "de": 2, "fr": 2}, "source": {"src10": 3, "src11": 2}}, "share": 0.6, "epochs": 3, "seed": "mix-1"}
+MIX_DOMAIN_SQL = "concat('d', substr(source, 4, 1))"
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), F.expr(MIX_DOMAIN_SQL), **MIX)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_near_duplicates": op3_near_duplicates,
+    "op7_source_mixing": op7_source_mixing,
+    "op9_decontamination": op9_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_source_mixing": mixing.oracle_sql("documents", MIX_DOMAIN_SQL, **MIX),
+}
