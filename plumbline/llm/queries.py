@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing
 from .decontam import leaks
 from .langid import fit_prototypes, identify
 from .neardup import near_duplicates
+from .quality import fit_quality, score_quality
 from .session import crc32_mod, table
 
 
@@ -25,6 +26,18 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def labelled(spark: SparkSession, sf_dir: str, label: str, learn: Column) -> DataFrame:
+    """Documents with a label, of the folds to learn from."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("label"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").filter(learn).join(labels, "doc_id")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc32_mod(F.col("doc_id"), 5)
+    model = fit_quality(labelled(spark, sf_dir, "quality", fold != 0))
+    return score_quality(table(spark, sf_dir, "documents"), model, ["doc_id"]).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 #: The mix: a domain is the first digit of a source's number.
 MIX = {"weights": {"domain": {"d1": 4, "d2": 2}, "lang": {"en": 3, "de": 2, "fr": 2}, "source": {"src10": 3, "src11": 2}}, "share": 0.6, "epochs": 3, "seed": "mix-1"}
 MIX_DOMAIN_SQL = "concat('d', substr(source, 4, 1))"
@@ -41,6 +54,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_near_duplicates": op3_near_duplicates,
+    "op5_quality": op5_quality,
     "op7_source_mixing": op7_source_mixing,
     "op9_decontamination": op9_decontamination,
 }
