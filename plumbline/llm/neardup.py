@@ -9,11 +9,10 @@ on the full sets. Links are gathered in two rounds, so that a large group never
 yields all its pairs:
 
 1. every member of a bucket is compared with the bucket's smallest member;
-2. for buckets that still hold several components, the members outside the
-   bucket's largest component are compared with all members of other
-   components, in blocks inside a task, which emit only surviving pairs. Of
-   those, the most similar of each (document, component) is checked first, and
-   the others only where their components still differ.
+2. buckets that still hold several components are gathered around their largest
+   component; the members outside it are compared with all members of other
+   components, block by block inside a task, which emits only confirmed links
+   that join two components.
 
 Every pair that shares a band is thus compared or already connected. With 24
 bands of 4 rows, a pair at similarity 0.75 shares none with probability 1.1e-4
@@ -81,6 +80,10 @@ def least_matches(threshold: float, miss: float) -> list[int]:
     return out
 
 
+def _signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.stack([signature(sets[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)])
+
+
 def _described(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offs = K.buffer_of(batch.column(1))
@@ -89,26 +92,24 @@ def _described(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
             n = np.diff(at)
             sums = np.concatenate(([0], np.cumsum(sets, dtype=np.uint64)))
             more = np.concatenate(([0], np.cumsum(K.mix(sets ^ K.U64(0x5851F42D4C957F2D)), dtype=np.uint64)))
-            sigs = np.stack([signature(sets[at[r] : at[r + 1]]) for r in range(j - i)])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0)[i:j],
                     pa.array(n),
                     pa.array((sums[at[1:]] - sums[at[:-1]]).view(np.int64)),
                     pa.array((more[at[1:]] - more[at[:-1]]).view(np.int64)),
-                    K.long_lists(band_keys(sigs)),
-                    K.fixed_rows(sigs),
+                    K.long_lists(band_keys(_signatures(sets, at))),
                 ],
-                ["doc_id", "n", "h1", "h2", "bands", "sig"],
+                ["doc_id", "n", "h1", "h2", "bands"],
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _full(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offs = K.buffer_of(batch.column(1))
         for i, j in K.slices(offs):
             sets, at = K.shingle_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], K.binary_column(sets, at)], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], K.fixed_rows(_signatures(sets, at)), K.binary_column(sets, at)], ["id", "sig", "set"])
 
 
 def _matrix(column: pa.Array, dtype: type) -> np.ndarray:
@@ -150,33 +151,66 @@ def _confirmed(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterato
         yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
 
-def _blocks(key: tuple, pairs: pa.Table, least: list[int]) -> pa.Table:
-    """One block of outside members against one block of all members of a bucket: surviving pairs of different components.
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right set, as products of 0/1 matrices."""
+    values, column = np.unique(np.concatenate(left + right), return_inverse=True)
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    for c in range(0, len(values), columns):
+        i, j = np.searchsorted(column, (c, c + columns))
+        dense = np.zeros((len(left) + len(right), columns), np.float32)
+        dense[row[i:j], column[i:j] - c] = 1
+        out += dense[: len(left)] @ dense[len(left) :].T
+    return np.rint(out).astype(np.int64)
+
+
+def _blocks(table: pa.Table, least: list[int], num: int, den: int) -> pa.Table:
+    """Confirmed links between outside members of a group and members of other components, for one pair of blocks.
 
-    A pair that shares several bands is emitted by the first of them only.
+    A link is left out where earlier links of this block join its components already.
     """
-    empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "ca": pa.array([], pa.int64()), "cb": pa.array([], pa.int64()), "m": pa.array([], pa.int32())})
-    side = pairs["outside"].to_numpy(zero_copy_only=False)
-    out, allm = np.flatnonzero(side), np.flatnonzero(~side)
-    if not len(out) or not len(allm):
-        return empty
-    ids, comp, kth = pairs["id"].to_numpy(), pairs["component"].to_numpy(), pairs["band"].to_numpy()[0]
-    sigs = _matrix(pairs["sig"].combine_chunks(), np.uint32)
-    lone = pairs["lone"].to_numpy(zero_copy_only=False)
-    a, b = np.meshgrid(out, allm, indexing="ij")
-    # pairs of two outside members meet twice: keep one order
-    want = (comp[a] != comp[b]) & (~lone[b] | (ids[a] < ids[b]))
-    a, b = a[want], b[want]
+    nothing = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    side = table["outside"].to_numpy()
+    out, rest = np.flatnonzero(side), np.flatnonzero(~side)
+    if not len(out) or not len(rest):
+        return nothing
+    ids, comp = table["id"].to_numpy(), table["component"].to_numpy()
+    sigs = _matrix(table["sig"].combine_chunks(), np.uint32)
+    a, b = (x.ravel() for x in np.meshgrid(out, rest, indexing="ij"))
+    apart = comp[a] != comp[b]
+    a, b = a[apart], b[apart]
     score = np.zeros(len(a), np.int32)
     for k, need in enumerate(least):
-        score += (sigs[a, k * STEP : (k + 1) * STEP] == sigs[b, k * STEP : (k + 1) * STEP]).sum(1).astype(np.int32)
+        part = slice(k * STEP, (k + 1) * STEP)
+        score += np.concatenate([(sigs[a[i : i + 8192], part] == sigs[b[i : i + 8192], part]).sum(1) for i in range(0, len(a), 8192)] or [np.zeros(0, int)]).astype(np.int32)
         alive = score >= need
         a, b, score = a[alive], b[alive], score[alive]
-    if len(a):
-        bands = (sigs[a, : BANDS * ROWS] == sigs[b, : BANDS * ROWS]).reshape(len(a), BANDS, ROWS).all(2)
-        first = bands.argmax(1) == kth
-        a, b, score = a[first], b[first], score[first]
-    return pa.table({"a": ids[a], "b": ids[b], "ca": comp[a], "cb": comp[b], "m": score})
+    if not len(a):
+        return nothing
+    raw, offs = K.buffer_of(table["set"].combine_chunks().cast(pa.large_binary()))
+    sets, offs = np.ascontiguousarray(raw).view(np.uint64), offs // 8
+    rows, ra = np.unique(a, return_inverse=True)
+    cols, cb = np.unique(b, return_inverse=True)
+    own = lambda r: sets[offs[r] : offs[r + 1]]
+    common = common_counts([own(r) for r in rows], [own(c) for c in cols])[ra, cb]
+    size = np.diff(offs)
+    good = np.flatnonzero(den * common >= num * (size[a] + size[b] - common))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    links = []
+    for k in good.tolist():
+        x, y = root(int(comp[a[k]])), root(int(comp[b[k]]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            links.append(k)
+    return pa.table({"a": ids[a[links]], "b": ids[b[links]]}) if links else nothing
 
 
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), shingle: int = 5, miss: float = 1e-5) -> DataFrame:
@@ -194,32 +228,27 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), shi
     num, den = threshold
     least = least_matches(num / den, miss)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = cut(texts.mapInArrow(lambda it: _described(it, shingle), "doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary"))
-
+    described = cut(texts.mapInArrow(lambda it: _described(it, shingle), "doc_id long, n long, h1 long, h2 long, bands array<long>"))
     full = described.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = cut(full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")))
-    reps = cut(full.join(classes, (F.col("doc_id") == F.col("rep")) & full["n"].eqNullSafe(classes["n"]) & (full["h1"] == classes["h1"]) & (full["h2"] == classes["h2"]), "left_semi").select(F.col("doc_id").alias("id"), "bands", "sig").dropDuplicates(["id"]))
-
-    member = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = cut(member.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).filter("size > 1"))
-    inside = cut(member.join(buckets, ["band", "key"]))
+    classes = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
+    reps = full.join(classes.hint("merge"), (F.col("doc_id") == F.col("rep")) & (full["n"] == classes["n"]) & (full["h1"] == classes["h1"]) & (full["h2"] == classes["h2"]), "left_semi")
+    member = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
+    buckets = member.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
+    inside = cut(member.join(buckets.hint("merge"), ["band", "key"]).select("band", "key", "id", "pivot"))
+    # text moves once; a merge join at every size, as the ids grow with the documents
+    active = cut(texts.join(inside.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(lambda it: _full(it, shingle), "id long, sig binary, set binary"))
+
+    def beside(pairs: DataFrame, column: str) -> DataFrame:
+        one = lambda side: active.select(F.col("id").alias(side), F.col(column).alias(f"x{side}"))
+        return pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "xa", "xb")
 
     stars = inside.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    sig = reps.select("id", "sig")
-    signed = stars.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").select("a", "b", "sa", "sb")
-    likely = cut(signed.mapInArrow(lambda it: _pruned(it, least), "a long, b long"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = cut(texts.join(needed, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, shingle), "id long, set binary"))
-        both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("tb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("ta")), "a")
-        return cut(both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _confirmed(it, num, den), "a long, b long"))
-
-    links = confirm(likely)
+    likely = beside(stars, "sig").mapInArrow(lambda it: _pruned(it, least), "a long, b long")
+    links = cut(beside(likely, "set").mapInArrow(lambda it: _confirmed(it, num, den), "a long, b long"))
     labels = connected_components(links)
 
-    # second round: buckets that hold several components
-    placed = inside.join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
+    # second round: buckets that hold several components, gathered around their largest
+    placed = cut(inside.join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component")))
     sizes = placed.groupBy("band", "key", "component").agg(F.count("*").alias("size"))
     mixed = cut(
         sizes.groupBy("band", "key")
@@ -227,30 +256,26 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), shi
         .filter("parts > 1")
         .select("band", "key", F.col("top.component").alias("main"), "total", (F.col("total") - F.col("top.size")).alias("out"))
     )
-    rows = placed.join(mixed, ["band", "key"]).withColumn("lone", F.col("component") != F.col("main")).join(sig, "id")
-    blocks_out, blocks_all = F.ceil(F.col("out") / BLOCK).cast("int"), F.ceil(F.col("total") / BLOCK).cast("int")
-    own_out, own_all = F.pmod(F.hash("id"), blocks_out), F.pmod(F.hash("id"), blocks_all)
-    as_out = rows.filter("lone").select("band", "key", "id", "component", "sig", "lone", F.lit(True).alias("outside"), own_out.alias("i"), F.explode(F.sequence(F.lit(0), blocks_all - 1)).alias("j"))
-    as_any = rows.select("band", "key", "id", "component", "sig", "lone", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), blocks_out - 1)).alias("i"), own_all.alias("j"))
-    found = cut(as_out.union(as_any).groupBy("band", "key", "i", "j").applyInArrow(lambda k, t: _blocks(k, t, least), "a long, b long, ca long, cb long, m int"))
+    rows = placed.join(mixed, ["band", "key"]).withColumn("outside", F.col("component") != F.col("main"))
+    # one group for all buckets of a main component, unless that means many more comparisons than bucket by bucket
+    by_main = rows.groupBy("main", "id").agg(F.max("outside").alias("outside")).groupBy("main").agg(F.count("*").alias("n_all"), F.count_if("outside").alias("n_out"))
+    by_bucket = mixed.groupBy("main").agg(F.sum(F.col("total") * F.col("out")).alias("one_by_one"))
+    joint = by_main.join(by_bucket, "main").filter("n_all * n_out <= 4 * one_by_one").select("main", F.lit(True).alias("joint"))
+    keyed = rows.join(joint, "main", "left").select(F.when(F.col("joint"), F.col("main")).otherwise(F.xxhash64("band", "key")).alias("g"), F.coalesce("joint", F.lit(False)).alias("joint"), "id", "component", "outside")
+    single = cut(keyed.groupBy("g", "joint", "id").agg(F.first("component").alias("component"), F.max("outside").alias("outside")))
+    blocks = single.groupBy("g", "joint").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_all"), F.ceil(F.count_if("outside") / BLOCK).cast("int").alias("n_out"))
+    whole = single.join(blocks, ["g", "joint"]).join(active, "id")
+    fields = ["g", "joint", "id", "component", "sig", "set"]
+    as_out = whole.filter("outside").select(*fields, F.lit(True).alias("outside"), F.pmod(F.hash("id"), "n_out").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"))
+    as_any = whole.select(*fields, F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"), F.pmod(F.hash("id"), "n_all").alias("j"))
+    found = cut(as_out.union(as_any).groupBy("g", "joint", "i", "j").applyInArrow(lambda t: _blocks(t, least, num, den), "a long, b long"))
     if not found.isEmpty():
-        best = found.groupBy("ca", "cb").agg(F.max(F.struct("m", "a", "b")).alias("x")).select("x.a", "x.b")
-        tried = confirm(best)
-        if not tried.isEmpty():
-            links = cut(links.union(tried))
-            labels = connected_components(links)
-        lab = labels.select(F.col("node"), F.col("component"))
-        rest = (
-            found.join(best, ["a", "b"], "left_anti")
-            .join(lab.select(F.col("node").alias("a"), F.col("component").alias("la")), "a", "left")
-            .join(lab.select(F.col("node").alias("b"), F.col("component").alias("lb")), "b", "left")
-            .filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-            .select("a", "b")
-            .distinct()
-        )
-        rest = cut(rest)
-        if not rest.isEmpty():
-            labels = connected_components(links.union(confirm(rest)))
+        old = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        joins = cut(found.join(old("a"), "a", "left").join(old("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct())
+        newer = connected_components(joins).select(F.col("node").alias("component"), F.col("component").alias("newer"))
+        # a node of its own until now is its component's name; it has no row in labels
+        alone = newer.join(labels.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("newer").alias("component"))
+        labels = cut(labels.join(newer, "component", "left").select("node", F.coalesce("newer", "component").alias("component")).union(alone))
 
     owner = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("group"))
     grouped = described.select("doc_id", "n", "h1", "h2").join(owner, ["n", "h1", "h2"], "left")
