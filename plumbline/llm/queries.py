@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing
@@ -26,16 +26,17 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str, learn: Column) -> DataFrame:
-    """Documents with a label, of the folds to learn from."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("label"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text").filter(learn).join(labels, "doc_id")
+def with_label(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, text, label) of the documents that have the label."""
+    marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label IS NOT NULL")
+    return docs.select("doc_id", "text").join(marks, "doc_id")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = crc32_mod(F.col("doc_id"), 5)
-    model = fit_quality(labelled(spark, sf_dir, "quality", fold != 0))
-    return score_quality(table(spark, sf_dir, "documents"), model, ["doc_id"]).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(with_label(docs.filter(fold != 0), table(spark, sf_dir, "labels"), "quality"))
+    return score_quality(docs, model, ["doc_id"]).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 #: The mix: a domain is the first digit of a source's number.
