@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import mixing, queries
-from plumbline.llm.decontam import leaks
+from plumbline.llm.decontam import without_leaks
 from plumbline.llm.langid import fit_prototypes, identify
 from plumbline.llm.neardup import near_duplicates
 from plumbline.llm.quality import fit_quality, score_quality
@@ -39,15 +39,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of every group of near-duplicates; of rows that repeat its doc_id, one."""
-    gone = near_duplicates(docs).filter("NOT kept").select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
-    return kept
+    gone = near_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = docs.select(COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti").select(COLUMNS)
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    return kept if repeated.isEmpty() else kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.filter("doc_id IS NULL"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"), COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

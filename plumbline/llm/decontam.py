@@ -154,44 +154,77 @@ def best_place(pattern: str, text: str) -> int:
     return best
 
 
+def find_items(texts: pa.Array, index: Index, tolerance: float) -> dict[str, list]:
+    """Row number, item, fewest edits, similarity and first word of every item found in a batch of texts."""
+    out: dict[str, list] = {"row": [], "item_id": [], "edits": [], "similarity": [], "first_word": []}
+    raw, offs = K.buffer_of(texts)
+    for i, j in K.slices(offs):
+        low, starts, ends, counts = normal_words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        seq, place = padded(K.span_hash(low, starts, ends), counts, 3 * STEPS)
+        at = np.concatenate(([0], np.cumsum(counts)))
+        begin, item, offset = index.candidates(seq, place)
+        word = np.searchsorted(place, begin)
+        doc = np.searchsorted(at, word, "right") - 1
+        seen: dict[tuple[int, int], set[int]] = {}
+        for d, k, first in zip(doc.tolist(), item.tolist(), (word - offset).tolist(), strict=True):
+            seen.setdefault((d, k), set()).add(first)
+        for (d, k), lined in seen.items():
+            pattern = " ".join(index.words[k])
+            most, n = int(tolerance * len(pattern)), len(index.words[k])
+            slack = ceil(tolerance * n)
+            best, where = len(pattern) + 1, 0
+            regions: list[list[int]] = []  # overlapping windows are searched once
+            for first in sorted(lined):
+                lo, hi = max(at[d], first - slack), min(at[d + 1], first + n + slack)
+                if regions and lo <= regions[-1][1]:
+                    regions[-1][1] = max(regions[-1][1], hi)
+                elif hi > lo:
+                    regions.append([lo, hi])
+            for lo, hi in regions:
+                text = low[starts[lo] : ends[hi - 1]].tobytes().decode("utf-8", "replace")
+                edits = best_place(pattern, " ".join(text.split()))
+                if edits < best:
+                    best, where = edits, lo
+                if best == 0:
+                    break
+            if best <= most:
+                for name, value in zip(out, (i + d, index.ids[k], best, 1 - best / max(1, len(pattern)), int(where - at[d])), strict=True):
+                    out[name].append(value)
+    return out
+
+
 def _leaks(batches: Iterator[pa.RecordBatch], index: Index, tolerance: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, offs = K.buffer_of(batch.column(1))
-        doc_ids = batch.column(0).to_pylist()
-        out: dict[str, list] = {"doc_id": [], "item_id": [], "edits": [], "similarity": [], "first_word": []}
-        for i, j in K.slices(offs):
-            low, starts, ends, counts = normal_words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            seq, place = padded(K.span_hash(low, starts, ends), counts, 3 * STEPS)
-            at = np.concatenate(([0], np.cumsum(counts)))
-            begin, item, offset = index.candidates(seq, place)
-            word = np.searchsorted(place, begin)
-            doc = np.searchsorted(at, word, "right") - 1
-            seen: dict[tuple[int, int], set[int]] = {}
-            for d, k, first in zip(doc.tolist(), item.tolist(), (word - offset).tolist(), strict=True):
-                seen.setdefault((d, k), set()).add(first)
-            for (d, k), lined in seen.items():
-                pattern = " ".join(index.words[k])
-                most, n = int(tolerance * len(pattern)), len(index.words[k])
-                slack = ceil(tolerance * n)
-                best, where = len(pattern) + 1, 0
-                regions: list[list[int]] = []  # overlapping windows are searched once
-                for first in sorted(lined):
-                    lo, hi = max(at[d], first - slack), min(at[d + 1], first + n + slack)
-                    if regions and lo <= regions[-1][1]:
-                        regions[-1][1] = max(regions[-1][1], hi)
-                    elif hi > lo:
-                        regions.append([lo, hi])
-                for lo, hi in regions:
-                    text = low[starts[lo] : ends[hi - 1]].tobytes().decode("utf-8", "replace")
-                    edits = best_place(pattern, " ".join(text.split()))
-                    if edits < best:
-                        best, where = edits, lo
-                    if best == 0:
-                        break
-                if best <= most:
-                    for name, value in zip(out, (doc_ids[i + d], index.ids[k], best, 1 - best / max(1, len(pattern)), int(where - at[d])), strict=True):
-                        out[name].append(value)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out["doc_id"], pa.int64()), "item_id": pa.array(out["item_id"], pa.int64()), "edits": pa.array(out["edits"], pa.int32()), "similarity": pa.array(out["similarity"], pa.float64()), "first_word": pa.array(out["first_word"], pa.int64())})
+        found = find_items(batch.column(1), index, tolerance)
+        doc_id = batch.column(0).take(pa.array(found["row"], pa.int64()))
+        kinds = {"item_id": pa.int64(), "edits": pa.int32(), "similarity": pa.float64(), "first_word": pa.int64()}
+        yield pa.RecordBatch.from_pydict({"doc_id": doc_id} | {c: pa.array(found[c], t) for c, t in kinds.items()})
+
+
+def _clean(batches: Iterator[pa.RecordBatch], index: Index, tolerance: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ok = np.ones(batch.num_rows, bool)
+        ok[find_items(batch.column(batch.num_columns - 1), index, tolerance)["row"]] = False
+        yield batch.filter(pa.array(ok)).select(range(batch.num_columns - 1))
+
+
+def _indexes(items: DataFrame) -> list:
+    """Broadcast indexes of the benchmark, in blocks of about BLOCK_BYTES of text by its measured size."""
+    context = items.sparkSession.sparkContext
+    pool = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND length(text) > 0")
+    passes = max(1, ceil((pool.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK_BYTES))
+    block = lambda k: sorted((r[0], r[1]) for r in pool.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect())
+    return [context.broadcast(Index(block(k))) for k in range(passes)]
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", tolerance: float = 0.2) -> DataFrame:
+    """The columns ``keep`` of the documents that hold no benchmark item, judged as by ``leaks``; nothing is shuffled."""
+    ready(docs.sparkSession)
+    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    for index in _indexes(items):
+        rows = rows.mapInArrow(lambda it, index=index: _clean(it, index.value, tolerance), fields).withColumn("__text", F.col(text))
+    return rows.drop("__text")
 
 
 def leaks(docs: DataFrame, items: DataFrame, tolerance: float = 0.2) -> DataFrame:
@@ -204,16 +237,10 @@ def leaks(docs: DataFrame, items: DataFrame, tolerance: float = 0.2) -> DataFram
     texts of punctuation only, are never found and hold nothing. The benchmark goes
     to every task, in as many passes as its measured size needs (BLOCK_BYTES each).
     """
-    spark = docs.sparkSession
-    ready(spark)
-    pool = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND length(text) > 0")
-    total = pool.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, ceil(total / BLOCK_BYTES))
+    ready(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
     found = None
-    for k in range(passes):
-        block = [(r[0], r[1]) for r in pool.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()]
-        index = spark.sparkContext.broadcast(Index(sorted(block)))
+    for index in _indexes(items):
         part = texts.mapInArrow(lambda it, index=index: _leaks(it, index.value, tolerance), "doc_id long, item_id long, edits int, similarity double, first_word long")
         found = part if found is None else found.union(part)
     return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "first_word", "similarity")).alias("b")).select("doc_id", "item_id", "b.edits", "b.similarity", "b.first_word")

@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from . import mixing
 from .decontam import leaks
+from .fingerprints import fingerprint_documents
 from .langid import fit_prototypes, identify
 from .neardup import near_duplicates
 from .quality import fit_quality, score_quality
 from .session import crc32_mod, table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = crc32_mod(F.col("doc_id"), 4)
@@ -53,6 +58,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_language_id": op2_language_id,
     "op3_near_duplicates": op3_near_duplicates,
     "op5_quality": op5_quality,
