@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import mixing
 from .decontam import leaks
 from .fingerprints import fingerprint_documents
+from .html_extract import extract_main_text, fit_extractor
 from .langid import fit_prototypes, identify
 from .neardup import near_duplicates
 from .quality import fit_quality, score_quality
@@ -31,6 +32,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extract_main_text(table(spark, sf_dir, "pages"), fit_extractor(), ["page_id", "url"])
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def with_label(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """(doc_id, text, label) of the documents that have the label."""
     marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label IS NOT NULL")
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language_id": op2_language_id,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_html_extraction": op4_html_extraction,
     "op5_quality": op5_quality,
     "op7_source_mixing": op7_source_mixing,
     "op9_decontamination": op9_decontamination,
