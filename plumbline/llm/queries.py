@@ -15,6 +15,7 @@ from .langid import fit_prototypes, identify
 from .neardup import near_duplicates
 from .quality import fit_quality, score_quality
 from .session import crc32_mod, table
+from .tokens import count_tokens, load_vocabulary
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, ["doc_id"]).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), load_vocabulary(), ["doc_id"])
+
+
 #: The mix: a domain is the first digit of a source's number.
 MIX = {"weights": {"domain": {"d1": 4, "d2": 2}, "lang": {"en": 3, "de": 2, "fr": 2}, "source": {"src10": 3, "src11": 2}}, "share": 0.6, "epochs": 3, "seed": "mix-1"}
 MIX_DOMAIN_SQL = "concat('d', substr(source, 4, 1))"
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_html_extraction": op4_html_extraction,
     "op5_quality": op5_quality,
+    "op6_token_counts": op6_token_counts,
     "op7_source_mixing": op7_source_mixing,
     "op9_decontamination": op9_decontamination,
 }
