@@ -33,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose lines are mostly bad."""
-    model = fit_quality(queries.with_label(docs.filter(crc32_mod(F.col("doc_id"), 5) != 0), table(spark, sf_dir, "labels"), "quality"))
+    model = fit_quality(docs, queries.marks(table(spark, sf_dir, "labels"), "quality").filter(crc32_mod(F.col("doc_id"), 5) != 0))
     return score_quality(docs.withColumn("__in", F.col("text")), model, COLUMNS, text="__in").filter(F.col("score") >= LEAST_QUALITY).select(COLUMNS)
 
 

@@ -141,14 +141,15 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], K.binary_column(z.astype(np.float32), at * FEATURES), K.binary_column(size.astype(np.int64), at)], ["label", "z", "size"])
 
 
-def fit_quality(labelled: DataFrame, per_label: int = FIT_DOCS) -> Model:
-    """Fit on ``labelled(doc_id, text, label 0 or 1)``; rows without text or label teach nothing.
+def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS) -> Model:
+    """Fit on ``docs(doc_id, text)`` with ``labels(doc_id, label 0 or 1)``; rows without text or label teach nothing.
 
     At most about 2 * ``per_label`` documents' line features reach the driver.
     Without documents of both labels every text scores 0.5.
     """
-    ready(labelled.sparkSession)
-    rows = bounded_sample(labelled.filter("label IN (0, 1) AND length(text) > 0"), "label", per_label)
+    ready(docs.sparkSession)
+    sample = bounded_sample(labels.filter("label IN (0, 1) AND doc_id IS NOT NULL"), "label", per_label).select("doc_id", "label")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("length(text) > 0").join(F.broadcast(sample), "doc_id")
     got = sorted(tuple(r) for r in rows.select("label", "text").mapInArrow(_featured, "label int, z binary, size binary").collect())
     got = [(y, np.frombuffer(z, np.float32).reshape(-1, FEATURES).astype(np.float64), np.frombuffer(s, np.int64)) for y, z, s in got if s]
     if len({y for y, _, _ in got}) < 2:

@@ -17,6 +17,7 @@ from .neardup import near_duplicates
 from .quality import fit_quality, score_quality
 from .session import crc32_mod, table
 from .tokens import count_tokens, load_vocabulary
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,19 +40,23 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-def with_label(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, label) of the documents that have the label."""
-    marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label IS NOT NULL")
-    return docs.select("doc_id", "text").join(marks, "doc_id")
+def marks(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of the rows that have the label."""
+    return labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label IS NOT NULL")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fold = crc32_mod(F.col("doc_id"), 5)
-    docs = table(spark, sf_dir, "documents")
-    model = fit_quality(with_label(docs.filter(fold != 0), table(spark, sf_dir, "labels"), "quality"))
+    docs, fold = table(spark, sf_dir, "documents"), crc32_mod(F.col("doc_id"), 5)
+    model = fit_quality(docs, marks(table(spark, sf_dir, "labels"), "quality").filter(fold != 0))
     return score_quality(docs, model, ["doc_id"]).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), crc32_mod(F.col("doc_id"), 3)
+    model = fit_toxicity(docs.filter(fold != 1), marks(table(spark, sf_dir, "labels"), "toxic").filter(fold != 1))
+    return score_toxicity(docs, model, ["doc_id"]).select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), load_vocabulary(), ["doc_id"])
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
     "op7_source_mixing": op7_source_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
 }
