@@ -1,0 +1 @@
+"""Operators on drawing tables: every function takes and returns DataFrames keyed by drawing."""

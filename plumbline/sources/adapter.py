@@ -73,4 +73,23 @@ FROM orders JOIN customer ON o_custkey = c_custkey"""
 LABELS_SQL = """SELECT DISTINCT concat('S', CAST(p_size % 5 AS string), '-R', CAST(p_size % 9 AS string),
        CASE WHEN p_size % 3 = 0 THEN '' ELSE concat('-', CAST(p_size AS string)) END) AS label
 FROM part"""
+#: Sheets that the queries spread the paths over.
+DRAWINGS = 50
+
+
+def rows(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
+    """A table seen through column expressions that Spark and DuckDB both read."""
+    return read(spark, sf_dir, name).selectExpr(*columns)
+
+
+def rows_sql(name: str, columns: list[str]) -> str:
+    return f"SELECT {', '.join(columns)} FROM {name}"
+
+
+def drawn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with the drawing and the layer of their path; a drawing is a path's number modulo DRAWINGS."""
+    return segments(spark, sf_dir).join(paths(spark, sf_dir), "path_id").withColumn("drawing_id", F.col("path_id") % DRAWINGS)
+
+
 WITH_SQL = f"WITH segments AS ({SEGMENTS_SQL}),\npaths AS ({PATHS_SQL})"
+DRAWN_SQL = f"{WITH_SQL},\ndrawn AS (SELECT s.*, p.layer, p.width, p.dash_signature, s.path_id % {DRAWINGS} AS drawing_id FROM segments s JOIN paths p USING (path_id))"
