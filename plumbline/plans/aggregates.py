@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..functions import text as T
+from ..operators import delivery as D
+from ..operators import spatial
+from ..operators import styles as S
 from ..sources import adapter as A
 from .registry import query
 
@@ -34,3 +39,173 @@ def style_cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("s") / F.sum("s").over(W.partitionBy()), 6).alias("share"),
         (F.row_number().over(W.orderBy(F.round("s", 4).desc(), "first_path")) - 1).alias("cluster_no"),
     )
+
+
+KEYS = ["drawing_id", "layer"]
+_LEN = "sqrt((bx-ax)*(bx-ax) + (by_-ay)*(by_-ay))"
+_PATHS = f"""pl AS (SELECT drawing_id, layer, path_id, sum({_LEN}) AS len, min(least(ax,bx)) AS x0, min(least(ay,by_)) AS y0, max(greatest(ax,bx)) AS x1, max(greatest(ay,by_)) AS y1, any_value(width) AS width FROM drawn GROUP BY ALL)"""
+_STATS = f"""{_PATHS}, r AS (SELECT *, row_number() OVER (PARTITION BY drawing_id, layer ORDER BY len) - 1 AS i, count(*) OVER (PARTITION BY drawing_id, layer) AS n FROM pl),
+st AS (SELECT drawing_id, layer, count(*) AS n_paths, sum(len) AS total, max(len) FILTER (WHERE i = least(n-1, floor(n*0.5::DOUBLE))) AS p50, max(len) FILTER (WHERE i = least(n-1, floor(n*0.9::DOUBLE))) AS p90, (max(x1)-min(x0))*(max(y1)-min(y0)) / 4000000.0::DOUBLE AS spread, max(width) AS width FROM r GROUP BY ALL)"""
+_HIST = f"""hb AS (SELECT layer, drawing_id, least(11, floor((CASE WHEN atan2(by_-ay, bx-ax) < 0 THEN atan2(by_-ay, bx-ax) + pi() WHEN atan2(by_-ay, bx-ax) >= pi() THEN 0 ELSE atan2(by_-ay, bx-ax) END) / (pi()/12)))::INT AS b, {_LEN} AS len FROM drawn WHERE {_LEN} > 0)"""
+
+
+@query(f"{A.DRAWN_SQL}, {_HIST}, g AS (SELECT layer, b, sum(len) AS s FROM hb GROUP BY ALL)\nSELECT layer, printf('%03d', b * 15) AS bin, round(s / sum(s) OVER (PARTITION BY layer), 6) AS share FROM g")
+def angle_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directions of every layer's segments."""
+    return S.angle_histogram(A.drawn_segments(spark, sf_dir), ["layer"]).withColumn("share", F.round("share", 6))
+
+
+@query(f"{A.DRAWN_SQL}, {_STATS}\nSELECT drawing_id, layer, n_paths, round(total, 4) AS total, round(p50, 4) AS p50, round(p90, 4) AS p90, round(spread * 4000000, 1) AS box FROM st")
+def pos_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, lengths (positional p50, p90) and spread of every drawing's layers."""
+    stats = S.cluster_stats(A.drawn_segments(spark, sf_dir), KEYS, 4_000_000.0)
+    return stats.select(*KEYS, "n_paths", F.round("total", 4).alias("total"), F.round("p50", 4).alias("p50"), F.round("p90", 4).alias("p90"), F.round("box", 1).alias("box"))
+
+
+@query(f"{A.WITH_SQL}\nSELECT path_id % 50 AS drawing_id, coalesce(quantile_cont(width, 0.5) FILTER (WHERE width > 0), 0) AS median_width, CASE WHEN coalesce(quantile_cont(width, 0.5) FILTER (WHERE width > 0), 0) > 0 THEN quantile_cont(width, 0.5) FILTER (WHERE width > 0) ELSE 2616 * 1e-4::DOUBLE END AS epsilon FROM paths GROUP BY 1")
+def median_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median line width of every drawing, and the length that counts as nothing."""
+    median = F.coalesce(F.percentile(F.when(F.col("width") > 0, F.col("width")), 0.5), F.lit(0.0))
+    g = A.paths(spark, sf_dir).groupBy((F.col("path_id") % A.DRAWINGS).alias("drawing_id")).agg(median.alias("median_width"))
+    return g.withColumn("epsilon", F.when(F.col("median_width") > 0, F.col("median_width")).otherwise(2616 * 1e-4))
+
+
+WIDTHS = ["p_size % 20 AS group_id", "CAST(p_partkey * 31 % 400 AS double) / CAST(100 AS double) AS width"]
+
+
+@query(
+    f"""WITH RECURSIVE w AS (SELECT DISTINCT group_id, round(width, 4) AS width FROM ({A.rows_sql("part", WIDTHS)}) WHERE width > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY width) AS i FROM w),
+f AS (SELECT group_id, i, width AS rep, true AS is_new FROM o WHERE i = 1 UNION ALL
+  SELECT o.group_id, o.i, CASE WHEN (o.width - f.rep) / f.rep > 0.05::DOUBLE THEN o.width ELSE f.rep END, (o.width - f.rep) / f.rep > 0.05::DOUBLE FROM f JOIN o ON o.group_id = f.group_id AND o.i = f.i + 1)
+SELECT group_id, rep FROM f WHERE is_new"""
+)
+def width_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Representative line widths of every group."""
+    return S.width_buckets(A.rows(spark, sf_dir, "part", WIDTHS), ["group_id"]).select("group_id", F.explode("representatives").alias("rep"))
+
+
+@query()
+def colour_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy colour clusters of every group of parts."""
+    from .scalars import COLOURS
+
+    colours = A.rows(spark, sf_dir, "part", [*COLOURS, "p_partkey % 16 AS drawing_id"]).withColumn("ordinal", F.col("colour_id"))
+    return S.colour_representatives(colours, ["drawing_id"])
+
+
+_PREFIX = "x AS (SELECT path_id % 50 AS drawing_id, layer, string_split(layer, '|')[1] AS prefix FROM paths WHERE layer LIKE '%|%')"
+
+
+@query(f"{A.WITH_SQL}, {_PREFIX}, d AS (SELECT DISTINCT drawing_id, layer, prefix FROM x),\ng AS (SELECT drawing_id, prefix, count(*) AS n, min(layer) AS first FROM d GROUP BY ALL),\nb AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY drawing_id ORDER BY n DESC, first) = 1)\nSELECT drawing_id, CASE WHEN n >= 2 THEN coalesce(nullif(trim(string_split(prefix, '-')[1]), ''), prefix) END AS project_key, n FROM b")
+def project_key_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The project every drawing belongs to: the leading field of its layers' most frequent prefix (two layers at least)."""
+    layers = A.paths(spark, sf_dir).select((F.col("path_id") % A.DRAWINGS).alias("drawing_id"), "layer").distinct().filter(F.col("layer").contains("|"))
+    mode = spatial.first_mode(layers.withColumn("prefix", F.split_part("layer", F.lit("|"), F.lit(1))), ["drawing_id"], "prefix", "layer")
+    lead = F.nullif(F.trim(F.split_part("prefix", F.lit("-"), F.lit(1))), F.lit(""))
+    return mode.select("drawing_id", F.when(F.col("n") >= 2, F.coalesce(lead, "prefix")).alias("project_key"), "n")
+
+
+@query(
+    f"""{A.DRAWN_SQL}, {_STATS}, {_HIST}, hs AS (SELECT drawing_id, layer, b, sum(len) AS s FROM hb GROUP BY ALL), hc AS (SELECT drawing_id, layer, max(s) / sum(s) AS conc FROM hs GROUP BY ALL),
+ou AS (SELECT drawing_id, layer, sum(CASE WHEN NOT (x0 >= 200 AND x1 <= 1800) THEN greatest(len, 1e-9) ELSE 0 END) / sum(greatest(len, 1e-9)) AS outside FROM pl GROUP BY ALL),
+lm AS (SELECT drawing_id, list_sort(list(p50))[least(count(*), floor(count(*) * 0.5::DOUBLE)::BIGINT + 1)] AS len_med, list_sort(list(width))[least(count(*), floor(count(*) * 0.5::DOUBLE)::BIGINT + 1)] AS w_med FROM st WHERE p50 > 0 GROUP BY drawing_id),
+j AS (SELECT st.*, conc, outside, len_med, w_med, CASE WHEN total <= 0 THEN 'degenerate' WHEN outside > 0.5 THEN 'frame' WHEN n_paths >= 30 AND p90 < len_med AND 0.2 < 0.25 THEN 'text_or_glyph' WHEN conc > 0.8 AND n_paths >= 30 AND p50 < len_med THEN 'hatch' END AS reason FROM st JOIN hc USING (drawing_id, layer) JOIN ou USING (drawing_id, layer) JOIN lm USING (drawing_id))
+SELECT drawing_id, layer, coalesce(reason, CASE WHEN contains(concat('|', layer, '|'), '-FE-') AND width > w_med * 1.02::DOUBLE THEN 'pipe' WHEN NOT contains(concat('|', layer, '|'), '-FE-') THEN 'not_in_layer_rule' ELSE 'thin_for_service_layer' END) AS verdict, CASE WHEN reason IS NOT NULL THEN 'negative_filter' ELSE 'layer_rule' END AS step,
+  round(CASE WHEN width > w_med THEN 0.40::DOUBLE ELSE 0 END + least(1, 0.2)::DOUBLE * 0.25 + least(1, p90 / 26.16) * 0.20 + least(1, spread / 0.2) * 0.15, 4) AS score FROM j"""
+)
+def negative_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every drawing's layers: the negative filters, the layer rule, and the structural score."""
+    drawn = A.drawn_segments(spark, sf_dir)
+    stats = S.cluster_stats(drawn, KEYS, 4_000_000.0)
+    top = S.angle_histogram(drawn, KEYS).groupBy(*KEYS).agg(F.max("share").alias("concentration"))
+    per_path = drawn.groupBy(*KEYS, "path_id").agg(F.sum(G.distance("ax", "ay", "bx", "by_")).alias("len"), F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"))
+    weight = F.greatest("len", F.lit(1e-9))
+    outside = per_path.groupBy(*KEYS).agg((F.sum(F.when((F.col("x0") >= 200) & (F.col("x1") <= 1800), 0.0).otherwise(weight)) / F.sum(weight)).alias("outside"))
+    medians = stats.filter("p50 > 0").groupBy("drawing_id").agg(S.positional(F.collect_list("p50"), 0.5).alias("len_med"), S.positional(F.collect_list("width"), 0.5).alias("w_med"))
+    c = stats.join(top, KEYS).join(outside, KEYS).join(medians, "drawing_id").withColumns({"connectivity": F.lit(0.2), "wall_share": F.lit(0.0)})
+    verdicts = S.classify(c.withColumn("reason", S.rejection(F.col("len_med"))), ["-FE-"], F.col("w_med"))
+    return verdicts.select(*KEYS, "verdict", "step", F.round(S.structural_score(F.col("w_med"), 2616.0), 4).alias("score"))
+
+
+@query(f"{A.WITH_SQL}, v AS (SELECT path_id, path_id % 50 AS drawing_id, CASE WHEN layer LIKE '%-FE-%' THEN 'pipe' ELSE 'not_in_layer_rule' END AS verdict FROM paths)\nSELECT drawing_id, count(*) AS total, count(*) FILTER (WHERE verdict = 'pipe') AS accepted, count(*) FILTER (WHERE verdict <> 'pipe') AS blocked, 1.0::DOUBLE AS coverage FROM v GROUP BY drawing_id")
+def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted and blocked paths make up all paths."""
+    paths = A.paths(spark, sf_dir).withColumn("drawing_id", F.col("path_id") % A.DRAWINGS)
+    pipe = T.layer_matches(F.col("layer"), ["-FE-"])
+    return D.coverage(paths, paths.filter(pipe), paths.filter(~pipe), ["drawing_id"])
+
+
+_STRANDS = f"sl AS (SELECT drawing_id, layer, path_id, sum({_LEN}) * 0.0176::DOUBLE AS length_m, path_id % 9 = 0 AS masked, (path_id % 3)::BIGINT AS bends FROM drawn GROUP BY ALL)"
+_QUANT = f"{_STRANDS}, q AS (SELECT drawing_id, layer, sum(CASE WHEN masked THEN 0 ELSE length_m END) AS length_m, sum(CASE WHEN masked THEN length_m ELSE 0 END) AS masked_m, count(*) AS n_strands, sum(bends)::BIGINT AS bends FROM sl GROUP BY ALL)"
+
+
+def _strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = A.drawn_segments(spark, sf_dir)
+    return drawn.groupBy(*KEYS, "path_id").agg((F.sum(G.distance("ax", "ay", "bx", "by_")) * 0.0176).alias("length_m")).withColumns({"masked": F.col("path_id") % 9 == 0, "bends": F.col("path_id") % 3})
+
+
+@query(f"{A.DRAWN_SQL}, {_QUANT}\nSELECT drawing_id, layer, round(length_m, 4) AS length_m, round(masked_m, 4) AS masked_m, n_strands, bends, greatest(0, n_strands - 1) AS joints, concat_ws(',', CASE WHEN masked_m > 0 THEN 'masked_length' END, CASE WHEN length_m = 0 THEN 'nothing_counted' END) AS flags FROM q")
+def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths, strands and bends of every drawing's layers."""
+    return D.quantities(_strands(spark, sf_dir), KEYS).withColumns({"length_m": F.round("length_m", 4), "masked_m": F.round("masked_m", 4)})
+
+
+@query(
+    f"""{A.DRAWN_SQL}, {_QUANT}
+SELECT drawing_id, layer AS item, 'pipe' AS kind, round(length_m, 4) AS length_m, concat_ws(',', CASE WHEN masked_m > 0 THEN 'masked_length' END, CASE WHEN length_m = 0 THEN 'nothing_counted' END) AS flags FROM q
+UNION ALL SELECT drawing_id, 'masked zone', 'excluded', round(sum(masked_m), 4), 'masked_length' FROM q GROUP BY drawing_id HAVING sum(masked_m) > 0"""
+)
+def delivery_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is delivered: a row for each layer, and one for what was left out."""
+    return D.delivery_rows(D.quantities(_strands(spark, sf_dir), KEYS), ["layer"])
+
+
+@query(f"{A.DRAWN_SQL}, {_QUANT}\nSELECT drawing_id, count(*) AS n_items, round(sum(length_m), 4) AS length_m, round(sum(masked_m), 4) AS masked_m, round(sum(masked_m) / (sum(length_m) + sum(masked_m)), 6) AS masked_share, sum(n_strands)::BIGINT AS n_strands FROM q GROUP BY drawing_id")
+def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators of how far the result of a drawing can be trusted."""
+    q = D.quantities(_strands(spark, sf_dir), KEYS)
+    return q.groupBy("drawing_id").agg(F.count("*").alias("n_items"), F.round(F.sum("length_m"), 4).alias("length_m"), F.round(F.sum("masked_m"), 4).alias("masked_m"), F.round(F.sum("masked_m") / (F.sum("length_m") + F.sum("masked_m")), 6).alias("masked_share"), F.sum("n_strands").alias("n_strands"))
+
+
+@query(f"{A.DRAWN_SQL}\nSELECT 'layer' AS field, layer AS value, round(sum({_LEN}), 4) AS length FROM drawn GROUP BY layer UNION ALL SELECT 'linetype', dash_signature, round(sum({_LEN}), 4) FROM drawn GROUP BY dash_signature UNION ALL SELECT 'width', CAST(width * 100 AS BIGINT)::VARCHAR, round(sum({_LEN}), 4) FROM drawn GROUP BY width")
+def status_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length by layer, by line type and by width, as candidates for a status split."""
+    lengths = A.drawn_segments(spark, sf_dir).withColumn("len", G.distance("ax", "ay", "bx", "by_"))
+    fields = {"layer": F.col("layer"), "linetype": F.col("dash_signature"), "width": (F.col("width") * 100).cast("bigint")}
+    return D.status_split(lengths, fields).withColumn("length", F.round("length", 4))
+
+
+TRUTH = ["concat('D', CAST(o_custkey % 12 AS string)) AS drawing", "concat('S', CAST(o_orderkey % 9 AS string), '-R', CAST(o_orderkey % 7 AS string)) AS label", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE round(o_totalprice / 1000, 2) END AS length_m", "CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 4 AS double) END AS vertical_count"]
+
+
+@query(f"WITH t AS ({A.rows_sql('orders', TRUTH)})\nSELECT drawing, label, round(sum(coalesce(length_m, 0)), 2) AS length_m, sum(coalesce(vertical_count, 0)) AS verticals FROM t GROUP BY ALL")
+def gt_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground truth by drawing and label."""
+    return D.ground_truth_totals(A.rows(spark, sf_dir, "orders", TRUTH)).withColumn("length_m", F.round("length_m", 2))
+
+
+@query(
+    f"""{A.DRAWN_SQL}, {_QUANT}, t AS (SELECT layer, sum(length_m) * CASE WHEN hash_no % 2 = 0 THEN 1.05::DOUBLE ELSE 0.97::DOUBLE END AS truth_m FROM (SELECT *, length(layer) AS hash_no FROM q) WHERE layer LIKE '%-FE-%' GROUP BY layer, hash_no),
+s AS (SELECT layer, sum(length_m) AS length_m FROM q GROUP BY layer), e AS (SELECT s.*, (length_m - truth_m) / truth_m * 100 AS error_pct, truth_m FROM s LEFT JOIN t USING (layer))
+SELECT count(*) AS n_layers, count(truth_m) AS n_truth, round(avg(abs(error_pct)), 4) AS mape, round(sum(length_m), 2) AS length_m, round((sum(CASE WHEN truth_m IS NOT NULL THEN length_m END) - sum(truth_m)) / sum(truth_m) * 100, 4) AS length_error_pct, avg(abs(error_pct)) <= 10 AS mape_ok, abs((sum(CASE WHEN truth_m IS NOT NULL THEN length_m END) - sum(truth_m)) / sum(truth_m) * 100) <= 10 AS length_ok FROM e"""
+)
+def eval_mape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error against the ground truth by layer, its mean, and the gates."""
+    found = D.quantities(_strands(spark, sf_dir), KEYS).groupBy("layer").agg(F.sum("length_m").alias("length_m"))
+    factor = F.when(F.length("layer") % 2 == 0, 1.05).otherwise(0.97)
+    truth = found.filter(F.col("layer").contains("-FE-")).select("layer", (F.col("length_m") * factor).alias("truth_m"))
+    errors = D.system_errors(found, truth, "layer")
+    known = F.when(F.col("truth_m").isNotNull(), F.col("length_m"))
+    m = errors.agg(F.count("*").alias("n_layers"), F.count("truth_m").alias("n_truth"), F.avg(F.abs("error_pct")).alias("mape"), F.sum("length_m").alias("length_m"), ((F.sum(known) - F.sum("truth_m")) / F.sum("truth_m") * 100).alias("length_error_pct"))
+    gated = D.gates(m.withColumns({"vertical_error": F.lit(0), "n_nodes": F.lit(0), "n_labels": F.lit(1)}))
+    return gated.select("n_layers", "n_truth", F.round("mape", 4).alias("mape"), F.round("length_m", 2).alias("length_m"), F.round("length_error_pct", 4).alias("length_error_pct"), "mape_ok", "length_ok")
+
+
+@query(f"{A.WITH_SQL}, w AS (SELECT path_id % 50 AS drawing_id, count(*) AS n_paths, count(DISTINCT layer) AS n_layers FROM paths WHERE path_id % 50 <> 7 GROUP BY 1)\nSELECT drawing_id, CASE WHEN n_paths = 0 THEN 'C' WHEN n_layers > 0 THEN 'A' ELSE 'B' END AS track, n_paths, n_layers, n_paths < 50 AS vectorised FROM w")
+def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can be measured on every drawing: A with layers, B without, C without paths."""
+    paths = A.paths(spark, sf_dir).withColumn("drawing_id", F.col("path_id") % A.DRAWINGS).filter("drawing_id <> 7")
+    g = paths.groupBy("drawing_id").agg(F.count("*").alias("n_paths"), F.count_distinct("layer").alias("n_layers"))
+    track = F.when(F.col("n_paths") == 0, "C").when(F.col("n_layers") > 0, "A").otherwise("B")
+    return g.select("drawing_id", track.alias("track"), "n_paths", "n_layers", (F.col("n_paths") < 50).alias("vectorised"))
