@@ -261,7 +261,10 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), shi
     by_main = rows.groupBy("main", "id").agg(F.max("outside").alias("outside")).groupBy("main").agg(F.count("*").alias("n_all"), F.count_if("outside").alias("n_out"))
     by_bucket = mixed.groupBy("main").agg(F.sum(F.col("total") * F.col("out")).alias("one_by_one"))
     joint = by_main.join(by_bucket, "main").filter("n_all * n_out <= 4 * one_by_one").select("main", F.lit(True).alias("joint"))
-    keyed = rows.join(joint, "main", "left").select(F.when(F.col("joint"), F.col("main")).otherwise(F.xxhash64("band", "key")).alias("g"), F.coalesce("joint", F.lit(False)).alias("joint"), "id", "component", "outside")
+    # decided for each bucket, so that a large component's rows stay dealt by bucket
+    group = F.when(F.col("joint"), F.col("main")).otherwise(F.xxhash64("band", "key"))
+    dealt = mixed.join(joint, "main", "left").select("band", "key", "main", group.alias("g"), F.coalesce("joint", F.lit(False)).alias("joint"))
+    keyed = placed.join(dealt, ["band", "key"]).select("g", "joint", "id", "component", (F.col("component") != F.col("main")).alias("outside"))
     single = cut(keyed.groupBy("g", "joint", "id").agg(F.first("component").alias("component"), F.max("outside").alias("outside")))
     blocks = single.groupBy("g", "joint").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_all"), F.ceil(F.count_if("outside") / BLOCK).cast("int").alias("n_out"))
     whole = single.join(blocks, ["g", "joint"]).join(active, "id")
