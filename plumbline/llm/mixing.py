@@ -22,7 +22,7 @@ from .session import cut
 
 LEVELS = ("domain", "lang", "source")
 #: Documents in one bucket of a leaf's order, at most about so many.
-BUCKET = 4096
+BUCKET = 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
