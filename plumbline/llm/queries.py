@@ -63,7 +63,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The mix: a domain is the first digit of a source's number.
 MIX = {"weights": {"domain": {"d1": 4, "d2": 2}, "lang": {"en": 3, "de": 2, "fr": 2}, "source": {"src10": 3, "src11": 2}}, "share": 0.6, "epochs": 3, "seed": "mix-1"}
-MIX_DOMAIN_SQL = "concat('d', substr(source, 4, 1))"
+MIX_DOMAIN_SQL = "'d' || substr(source, 4, 1)"
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
