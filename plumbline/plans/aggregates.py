@@ -176,18 +176,18 @@ def status_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.status_split(lengths, fields).withColumn("length", F.round("length", 4))
 
 
-TRUTH = ["concat('D', CAST(o_custkey % 12 AS string)) AS drawing", "concat('S', CAST(o_orderkey % 9 AS string), '-R', CAST(o_orderkey % 7 AS string)) AS label", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE round(o_totalprice / 1000, 2) END AS length_m", "CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 4 AS double) END AS vertical_count"]
+TRUTH = ["concat('D', CAST(o_custkey % 12 AS string)) AS drawing", "concat('S', CAST(o_orderkey % 9 AS string), '-R', CAST(o_orderkey % 7 AS string)) AS label", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice / 1000 END AS length_m", "CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 4 AS double) END AS vertical_count"]
 
 
-@query(f"WITH t AS ({A.rows_sql('orders', TRUTH)})\nSELECT drawing, label, round(sum(coalesce(length_m, 0)), 2) AS length_m, sum(coalesce(vertical_count, 0)) AS verticals FROM t GROUP BY ALL")
+@query(f"WITH t AS ({A.rows_sql('orders', TRUTH)})\nSELECT drawing, label, round(sum(coalesce(length_m, 0)), 6) AS length_m, sum(coalesce(vertical_count, 0)) AS verticals FROM t GROUP BY ALL")
 def gt_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ground truth by drawing and label."""
-    return D.ground_truth_totals(A.rows(spark, sf_dir, "orders", TRUTH)).withColumn("length_m", F.round("length_m", 2))
+    return D.ground_truth_totals(A.rows(spark, sf_dir, "orders", TRUTH)).withColumn("length_m", F.round("length_m", 6))
 
 
 @query(
     f"""{A.DRAWN_SQL}, {_QUANT}, t AS (SELECT layer, sum(length_m) * CASE WHEN hash_no % 2 = 0 THEN 1.05::DOUBLE ELSE 0.97::DOUBLE END AS truth_m FROM (SELECT *, length(layer) AS hash_no FROM q) WHERE layer LIKE '%-FE-%' GROUP BY layer, hash_no),
-s AS (SELECT layer, sum(length_m) AS length_m FROM q GROUP BY layer), e AS (SELECT s.*, (length_m - truth_m) / truth_m * 100 AS error_pct, truth_m FROM s LEFT JOIN t USING (layer))
+s AS (SELECT layer, sum(length_m) AS length_m FROM q GROUP BY layer), e AS (SELECT s.*, (length_m - truth_m) / nullif(truth_m, 0) * 100 AS error_pct, truth_m FROM s LEFT JOIN t USING (layer))
 SELECT count(*) AS n_layers, count(truth_m) AS n_truth, round(avg(abs(error_pct)), 4) AS mape, round(sum(length_m), 2) AS length_m, round((sum(CASE WHEN truth_m IS NOT NULL THEN length_m END) - sum(truth_m)) / sum(truth_m) * 100, 4) AS length_error_pct, avg(abs(error_pct)) <= 10 AS mape_ok, abs((sum(CASE WHEN truth_m IS NOT NULL THEN length_m END) - sum(truth_m)) / sum(truth_m) * 100) <= 10 AS length_ok FROM e"""
 )
 def eval_mape(spark: SparkSession, sf_dir: str) -> DataFrame:
