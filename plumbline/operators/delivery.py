@@ -90,3 +90,26 @@ def status_split(lengths: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """Length by each of several alternative splits: (field, value, length)."""
     expanded = lengths.select("len", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), v.cast("string").alias("value")) for k, v in fields.items()))).alias("s"))
     return expanded.groupBy("s.field", "s.value").agg(F.sum("len").alias("length"))
+
+
+#: Parts of a layer's name that suggest a status (fixed values).
+STATUS_HINTS = {"existing": ("bef", "exist", "befint", "e-", "_e"), "demolition": ("riv", "demol", "demo", "rivs"), "new": ("ny", "new", "n-")}
+
+
+def status_hint(layer: Column) -> Column:
+    """The status that a layer's name suggests, null without a hint; to be confirmed, never to exclude by."""
+    low = F.lower(F.coalesce(layer, F.lit("")))
+    out = F.lit(None).cast("string")
+    for status, parts in reversed(STATUS_HINTS.items()):
+        hit = F.lit(False)
+        for p in parts:
+            hit = hit | low.contains(p)
+        out = F.when(hit, status).otherwise(out)
+    return out
+
+
+def top_share(clusters: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
+    """Share of the ``k`` longest clusters (cluster, total) in a drawing's length: (keys, n_clusters, share)."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("total"), "cluster"))
+    ranked = clusters.withColumn("place", place)
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n_clusters"), (F.sum(F.when(F.col("place") <= k, F.col("total"))) / F.sum("total")).alias("share"))

@@ -54,3 +54,19 @@ def induce(layers: DataFrame, rounds: int = 20) -> list[str]:
         chosen.append(best["token"])
         left = left.filter(~(F.col("wanted") & F.concat(F.lit("|"), "layer", F.lit("|")).contains(best["token"])))
     return chosen
+
+
+def calibrate(layers: DataFrame, excluded: DataFrame) -> dict:
+    """A layer rule from ``layers(layer, wanted)``: tokens, and whether they may be used.
+
+    ``excluded(layer)`` are layers known to be no pipes (text, hatch, frame). A rule whose tokens touch one of
+    them is returned as not valid, with the reason; so is one without tokens.
+    """
+    tokens = induce(layers)
+    if not tokens:
+        return {"tokens": [], "valid": False, "reason": "no token tells the wanted layers from the others"}
+    hit = F.lit(False)
+    for t in tokens:
+        hit = hit | F.concat(F.lit("|"), "layer", F.lit("|")).contains(t)
+    leaks = [r["layer"] for r in excluded.filter(hit).select("layer").distinct().orderBy("layer").limit(3).collect()]
+    return {"tokens": tokens, "valid": not leaks, "reason": f"also matches {', '.join(leaks)}" if leaks else ""}

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import delivery as D
+from ..operators import glyphs as GL
+from ..operators import hatch as H
 from ..operators import layers as L
 from ..operators import network as N
 from ..operators import scale as SC
@@ -153,3 +156,47 @@ def glyph_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters from glyph bitmaps."""
     glyphs = A.rows(spark, sf_dir, "part", ["p_size % 3 AS drawing_id", "CAST(p_partkey % 61 AS bigint) AS cells", "CAST(p_size % 7 AS bigint) AS cells_hi", "CAST(p_partkey % 4 AS double) / CAST(2 AS double) AS ratio", "p_partkey AS ordinal"])
     return N.glyph_alphabet(glyphs, ["drawing_id"])
+
+
+STROKES = ["p_partkey AS box_id", "p_partkey % 10 AS drawing_id", "CAST(p_partkey * 7 % 600 AS double) AS x0", "CAST(p_partkey * 11 % 40 * 12 AS double) AS y0", "CAST(p_partkey * 7 % 600 + 2 AS double) AS x1", "CAST(p_partkey * 11 % 40 * 12 + 6 + p_size % 2 AS double) AS y1"]
+
+
+@query(
+    f"""WITH b AS ({A.rows_sql("part", STROKES)}), h AS (SELECT drawing_id, round(y1 - y0, 1) AS height, count(*) AS n, min(box_id) AS first FROM b GROUP BY ALL)
+SELECT drawing_id, height FROM h QUALIFY row_number() OVER (PARTITION BY drawing_id ORDER BY n DESC, first) = 1"""
+)
+def cap_height(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usual height of the letters of every drawing."""
+    return GL.cap_height(A.rows(spark, sf_dir, "part", STROKES), ["drawing_id"])
+
+
+@query(
+    f"""WITH RECURSIVE b AS ({A.rows_sql("part", STROKES)}),
+e AS (SELECT p.box_id AS a, q.box_id AS b FROM b p JOIN b q ON p.drawing_id = q.drawing_id AND p.box_id < q.box_id AND p.x1 + 2.4 >= q.x0 AND q.x1 + 2.4 >= p.x0 AND p.y1 + 0.9 >= q.y0 AND q.y1 + 0.9 >= p.y0),
+u AS (SELECT a AS n, b AS o FROM e UNION SELECT b, a FROM e), c AS (SELECT n AS node, n AS seen FROM u UNION SELECT c.node, u.o FROM c JOIN u ON u.n = c.seen), k AS (SELECT node, min(seen) AS component FROM c GROUP BY node)
+SELECT drawing_id, coalesce(component, box_id) AS box_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_parts FROM b LEFT JOIN k ON k.node = b.box_id GROUP BY ALL"""
+)
+def stroke_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strokes joined to words (letter height 6)."""
+    return GL.grouped(A.rows(spark, sf_dir, "part", STROKES), ["drawing_id"], 2.4, 0.9)
+
+
+@query(f"{A.WITH_SQL}\nSELECT DISTINCT layer, CASE WHEN regexp_matches(lower(layer), 'bef|exist|befint|e-|_e') THEN 'existing' WHEN regexp_matches(lower(layer), 'riv|demol|demo|rivs') THEN 'demolition' WHEN regexp_matches(lower(layer), 'ny|new|n-') THEN 'new' END AS status FROM paths")
+def status_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status each layer's name suggests."""
+    return A.paths(spark, sf_dir).select("layer").distinct().withColumn("status", D.status_hint(F.col("layer")))
+
+
+@query(f"{A.DRAWN_SQL}, c AS (SELECT drawing_id, layer, sum({_LEN}) AS total FROM drawn GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY total DESC, layer) AS place FROM c)\nSELECT drawing_id, count(*) AS n_clusters, round(sum(total) FILTER (WHERE place <= 3) / sum(total), 6) AS share FROM r GROUP BY drawing_id")
+def top_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the three longest layers in every drawing."""
+    c = A.drawn_segments(spark, sf_dir).groupBy("drawing_id", F.col("layer").alias("cluster")).agg(F.sum(G.distance("ax", "ay", "bx", "by_")).alias("total"))
+    return D.top_share(c, ["drawing_id"]).withColumn("share", F.round("share", 6))
+
+
+@query()
+def hatch_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line types of drawings taken as hatching (20 paths, 1 % of the gaps alike), and the cells they cover."""
+    drawn = A.drawn_segments(spark, sf_dir)
+    found = H.hatch_clusters(drawn, ["drawing_id", "dash_signature"], 2000.0 * 1684.0, 400.0, least_paths=20, least_regular=0.01)
+    return H.hatch_mask(drawn, found, ["drawing_id", "dash_signature"], 50.0)

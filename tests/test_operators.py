@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from plumbline.functions import geometry as G
 from plumbline.functions import text as T
 from plumbline.operators import delivery as D
+from plumbline.operators import glyphs as GL
+from plumbline.operators import hatch as H
 from plumbline.operators import layers as L
 from plumbline.operators import network as N
 from plumbline.operators import ordered as O
@@ -215,3 +217,22 @@ def test_input_order_does_not_matter(spark):
     a = runs(spark, *segments)
     results = [sorted(tuple(r) for r in N.bridge_runs(df, ["g"], 3.0).collect()) for df in (a, a.orderBy(F.desc("run_id")), a.repartition(4))]
     assert results[0] == results[1] == results[2]
+
+
+def test_hatch_mask_closes_gaps(spark):
+    rows = [(1, "hatch", i, 1, 0.0, 2.0 * i, 100.0, 2.0 * i) for i in range(60)] + [(1, "pipe", 100 + i, 1, 0.0, 300.0 + 7 * i * i, 50.0, 300.0 + 7 * i * i) for i in range(60)]
+    seg = spark.createDataFrame(rows, "drawing_id int, layer string, path_id int, seg_no int, ax double, ay double, bx double, by_ double")
+    found = H.hatch_clusters(seg, ["drawing_id", "layer"], 1e6, 10.0)
+    assert [(r.layer, r.pitch) for r in found.collect()] == [("hatch", 2.0)]
+    mask = H.hatch_mask(seg, found, ["drawing_id", "layer"], 1.0)
+    inside = spark.createDataFrame([(1, 10.0, 31.0, 20.0, 31.0), (1, 10.0, 290.0, 20.0, 290.0)], "drawing_id int, ax double, ay double, bx double, by_ double")
+    assert sorted((r.ay, r.masked) for r in S.masked(inside, mask, ["drawing_id"], 1.0).collect()) == [(31.0, True), (290.0, False)]
+
+
+def test_text_lines_and_calibration(spark):
+    boxes = [(1, i, 3.0 * i + 6 * (i // 4), 0.0, 3.0 * i + 6 * (i // 4) + 2, 7.0) for i in range(8)]
+    out = GL.text_lines(spark.createDataFrame(boxes, "g int, box_id int, x0 double, y0 double, x1 double, y1 double"), ["g"], 7.0)
+    assert (out["glyphs"].count(), out["words"].count(), out["lines"].count()) == (8, 2, 1)
+    layers = spark.createDataFrame([("W|V-52-FE--KV-", True), ("W|V-1-T--", False)], "layer string, wanted boolean")
+    assert L.calibrate(layers, layers.filter("NOT wanted"))["valid"]
+    assert not L.calibrate(layers, layers)["valid"]
