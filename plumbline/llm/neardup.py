@@ -35,7 +35,11 @@ from .session import cut, ready
 
 BANDS, ROWS, HASHES, STEP = 24, 4, 128, 16
 #: Members of a block in the second round: at most BLOCK * BLOCK signature comparisons in memory at once.
-BLOCK = 256
+BLOCK = 128
+#: Pairs of full sets handed to Python at once; the sets of a long text take some 100 KB each.
+PAIRS_PER_BATCH = 32
+#: Set elements that are counted at once in the second round.
+ELEMENTS = 1 << 20
 
 
 def _hash_family(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +138,8 @@ def _pruned(batches: Iterator[pa.RecordBatch], least: list[int]) -> Iterator[pa.
 def _confirmed(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets have den * |intersection| >= num * |union|."""
     for batch in batches:
-        left, lo = K.buffer_of(batch.column(2).cast(pa.large_binary()))
-        right, ro = K.buffer_of(batch.column(3).cast(pa.large_binary()))
+        left, lo = K.buffer_of(batch.column(2))
+        right, ro = K.buffer_of(batch.column(3))
         left, right, lo, ro = np.ascontiguousarray(left).view(np.uint64), np.ascontiguousarray(right).view(np.uint64), lo // 8, ro // 8
         keep = []
         for r in range(batch.num_rows):
@@ -151,18 +155,27 @@ def _confirmed(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterato
         yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
 
-def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
-    """Sizes of the intersections of each left set with each right set, as products of 0/1 matrices."""
-    values, column = np.unique(np.concatenate(left + right), return_inverse=True)
-    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right set, as products of 0/1 matrices.
+
+    The sets are sorted; equal ranges of the hash space, at most about ELEMENTS elements each, are counted one after the other.
+    """
+    both = left + right
+    ranges = max(1, -(-sum(map(len, both)) // ELEMENTS))
+    edges = [int(k * 2**64 // ranges) for k in range(1, ranges)]
+    cuts = [[0, *np.searchsorted(x, np.array(edges, np.uint64)).tolist(), len(x)] for x in both]
     out = np.zeros((len(left), len(right)), np.float64)
-    for c in range(0, len(values), columns):
-        i, j = np.searchsorted(column, (c, c + columns))
-        dense = np.zeros((len(left) + len(right), columns), np.float32)
-        dense[row[i:j], column[i:j] - c] = 1
-        out += dense[: len(left)] @ dense[len(left) :].T
+    for r in range(ranges):
+        parts = [x[c[r] : c[r + 1]] for x, c in zip(both, cuts, strict=True)]
+        values, column = np.unique(np.concatenate(parts), return_inverse=True)
+        row = np.repeat(np.arange(len(both)), [len(x) for x in parts])
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        for c in range(0, len(values), columns):
+            i, j = np.searchsorted(column, (c, c + columns))
+            dense = np.zeros((len(both), columns), np.float32)
+            dense[row[i:j], column[i:j] - c] = 1
+            out += dense[: len(left)] @ dense[len(left) :].T
     return np.rint(out).astype(np.int64)
 
 
@@ -244,7 +257,9 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), shi
 
     stars = inside.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     likely = beside(stars, "sig").mapInArrow(lambda it: _pruned(it, least), "a long, b long")
+    ready(spark, PAIRS_PER_BATCH)
     links = cut(beside(likely, "set").mapInArrow(lambda it: _confirmed(it, num, den), "a long, b long"))
+    ready(spark)
     labels = connected_components(links)
 
     # second round: buckets that hold several components, gathered around their largest

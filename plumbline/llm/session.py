@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 
 #: Rows handed to Python at once. Documents reach 100 KB and more, so the
 #: default of 10,000 rows would let one batch outgrow an executor.
-ROWS_PER_BATCH = 512
+ROWS_PER_BATCH = 256
 
 
 _shipped: set[str] = set()
 
 
-def ready(spark: SparkSession) -> None:
-    """Bound the memory of an Arrow batch and send this package to the executors, once per application."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+def ready(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
+    """Bound the rows of an Arrow batch and send this package to the executors, once per application."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
