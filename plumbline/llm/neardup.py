@@ -303,3 +303,17 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), shi
         F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("group", "doc_id"), F.lit(False)).alias("kept"),
     )
+
+
+#: The same over ``documents`` as DuckDB SQL, by counting common shingles of all pairs of distinct sets.
+ORACLE_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END)) AS sh FROM w),
+d AS (SELECT doc_id, len(sh) AS n, md5(array_to_string(sh, chr(10))) AS digest, sh FROM s),
+c AS (SELECT n, digest, min(doc_id) AS rep, any_value(sh) AS sh FROM d WHERE n > 0 GROUP BY n, digest),
+x AS (SELECT rep, n, unnest(sh) AS g FROM c),
+e AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+u AS (SELECT a AS p, b AS q FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT p AS node, p AS seen FROM u UNION SELECT r.node, u.q FROM r JOIN u ON u.p = r.seen),
+k AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
+SELECT d.doc_id, d.n::BIGINT AS n_shingles, coalesce(k.component, c.rep, d.doc_id) AS component_id, d.doc_id = coalesce(k.component, c.rep, d.doc_id) AS kept
+FROM d LEFT JOIN c ON c.n = d.n AND c.digest = d.digest LEFT JOIN k ON k.node = c.rep"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, neardup
 from .chat import format_chats
 from .decontam import leaks
 from .fingerprints import fingerprint_documents
@@ -92,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_duplicates": neardup.ORACLE_SQL,
     "op7_source_mixing": mixing.oracle_sql("documents", MIX_DOMAIN_SQL, **MIX),
 }
