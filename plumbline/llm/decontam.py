@@ -10,6 +10,13 @@ every document is looked up, so a leak is found unless each of its stretches of
 about STEPS / 2 words is edited. Every place a lookup can only fail is left at once:
 the sampled outputs so far must start some item's key.
 
+Edits spread over all words are found by a second search over characters: a seed is
+two stretches of ``half`` characters with at most one edit between them (class Seeds).
+With n characters and e edits an item keeps at least n - 2 * half + 1 - 2 * half * e
+seeds, so every item of 12 characters or more is found up to 10 % edits wherever they
+stand. Above that the number of seeds asked of an item follows from the tolerance and
+TARGET, for edits at random places.
+
 A hit lines the item up with a document window of the item's size; the window,
 widened by the permitted edits, is then checked with the exact edit distance of
 characters (best place of the whole item inside it).
@@ -18,7 +25,8 @@ characters (best place of the whole item inside it).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, sqrt
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +41,12 @@ STEPS, COORDS, REPEATS = 16, 9, 4
 SHORT = 12
 #: Benchmark text that one pass over the documents may carry to every task; larger benchmarks take several passes.
 BLOCK_BYTES = 4 << 20
+#: Share of items to find that have as many edits as are permitted, at random places.
+TARGET = 0.99
+#: Characters in each half of a seed, for items of up to so many characters.
+HALVES = ((2, 11), (3, 39), (4, 1 << 40))
+#: Document windows that are compared with items at once, and numbers that characters are told apart by.
+WINDOWS, SYMBOLS = 4096, 64
 _BITS = 20
 _DROP = np.zeros(256, bool)
 _DROP[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -97,6 +111,8 @@ class Index:
         hashes = K.span_hash(low, starts, ends)
         text, at = low.tobytes(), np.concatenate(([0], np.cumsum(counts)))
         self.words = [[text[starts[w] : ends[w]].decode("utf-8", "replace") for w in range(at[i], at[i + 1])] for i in range(len(items))]
+        self.patterns = [" ".join(w) for w in self.words]
+        self.seeds: dict[float, Seeds] = {}
         seq, place = padded(hashes, counts, 3 * STEPS)
         row = np.repeat(np.arange(len(items)), counts)
         self.tables = []
@@ -133,6 +149,168 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def characters(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all words with one space after each, and the place of every word's first."""
+    change = np.zeros(len(low) + 1, np.int8)
+    change[starts] = 1
+    change[ends] -= 1
+    solid = np.cumsum(change[:-1], dtype=np.int8).view(bool)
+    kept = solid.copy()
+    kept[1:] |= solid[:-1]
+    points = np.frombuffer(low[kept].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    before = np.concatenate(([0], np.cumsum(kept & (low & 0xC0 != 0x80))))
+    return points, before[starts]
+
+
+def grams(points: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` (up to 4) characters."""
+    n = max(0, len(points) - size + 1)
+    short = (points & 0xFFFF).astype(np.uint64)
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out |= short[i : i + n] << K.U64(16 * i)
+    out *= K.U64(0x9E3779B97F4A7C15)
+    return out ^ out >> K.U64(32)
+
+
+def _pairs(runs: np.ndarray, gap: int) -> np.ndarray:
+    n = max(0, len(runs) - gap)
+    return (runs[:n] ^ runs[gap:] * K.U64(0xD6E8FEB86659FD93)) * K.U64(0x9E3779B97F4A7C15)
+
+
+def seeds_asked(length: int, half: int, tolerance: float) -> int:
+    """Seeds that an item of ``length`` characters keeps with chance TARGET at the most edits (a quarter of the mean at most)."""
+    mean = (1 - tolerance) ** (2 * half) * (1 + tolerance) * length
+    return max(1, int(min(mean - NormalDist().inv_cdf(TARGET) * sqrt(max(mean, 0) * half), mean / 4)))
+
+
+class Seeds:
+    """Places of items in documents by seeds of characters, whatever the words.
+
+    A seed is a run of ``half`` characters and another that starts ``half`` or
+    ``half`` + 1 later, on both sides: equal, substituted, inserted and deleted
+    characters between the halves all meet. Hits of an item whose diagonals differ by
+    the permitted edits at most are counted together. A window is then left if the
+    edits of the item's pieces, each at its best place nearby, add up to more than is
+    permitted: no text has fewer edits to the whole item, so this loses nothing.
+    """
+
+    def __init__(self, patterns: list[str], tolerance: float) -> None:
+        self.length = np.array([len(p) for p in patterns], np.int64)
+        self.most = (self.length * tolerance).astype(np.int64)
+        points = [np.frombuffer(p.encode("utf-32-le"), np.uint32) for p in patterns]
+        self.pieces = -(-self.length // 64)
+        self.base = np.cumsum(self.pieces) - self.pieces
+        self.equal = np.zeros((int(self.pieces.sum()), SYMBOLS), np.uint64)
+        for x, n, base in zip(points, self.pieces.tolist(), self.base.tolist(), strict=True):
+            piece = np.arange(len(x)) * n // max(1, len(x))
+            place = np.arange(len(x)) - np.searchsorted(piece, piece)
+            np.bitwise_or.at(self.equal, (base + piece, x % SYMBOLS), K.U64(1) << place.astype(np.uint64))
+        self.classes = []
+        shortest = 0
+        for half, longest in HALVES:
+            keys, item, offset = [], [], []
+            for i in np.flatnonzero((self.length > shortest) & (self.length <= longest)).tolist():
+                runs = grams(points[i], half)
+                for gap in (half, half + 1):
+                    pairs = _pairs(runs, gap)
+                    keys.append(pairs)
+                    item.append(np.full(len(pairs), i, np.int32))
+                    offset.append(np.arange(len(pairs), dtype=np.int32))
+            shortest = longest
+            if not keys or not sum(map(len, keys)):
+                continue
+            key, item, offset = np.concatenate(keys), np.concatenate(item), np.concatenate(offset)
+            order = np.argsort(key, kind="stable")
+            shift = 64 - min(26, max(16, int(len(key) * 16).bit_length()))
+            bits = np.zeros(1 << 64 - shift, bool)
+            bits[(key >> K.U64(shift)).astype(np.int64)] = True
+            asked = np.array([seeds_asked(int(n), half, tolerance) for n in self.length], np.int64)
+            key, runs = np.unique(key, return_counts=True)
+            self.classes.append((half, shift, bits, key, np.cumsum(runs) - runs, runs, item[order], offset[order], asked))
+
+    def windows(self, points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place of a hit, lowest and highest first place of the item by the hits) of all windows that may hold an item; ``rows`` are the places where texts start."""
+        found = [(np.zeros(0, np.int64),) * 4]
+        for half, shift, bits, keys, begins, sizes, items, offsets, asked in self.classes:
+            mine, hits = grams(points, half), []
+            for gap in (half, half + 1):
+                key = _pairs(mine, gap)
+                place = np.flatnonzero(bits[(key >> K.U64(shift)).astype(np.int64)])
+                key = key[place]
+                slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                same = np.flatnonzero(keys[slot] == key)
+                slot, place = slot[same], place[same]
+                lo, n = begins[slot], sizes[slot]
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                place = np.repeat(place, n)
+                hits.append((items[at].astype(np.int64), place, place - offsets[at]))
+            item, place, first = (np.concatenate(x) for x in zip(*hits, strict=True))
+            line = (item << 40) + first + (1 << 39)
+            order = np.argsort(line)
+            item, place, first, line = item[order], place[order], first[order], line[order]
+            enough = np.searchsorted(line, line + self.most[item], "right") - np.arange(len(line)) >= asked[item]
+            # every diagonal within reach of a group that is large enough
+            ahead = np.maximum.accumulate(np.where(enough, line + self.most[item], -1)) if len(line) else line
+            ok = np.flatnonzero(line <= ahead)
+            item, place, first = item[ok], place[ok], first[ok]
+            bucket = first // (self.most[item] + 1)
+            new = np.ones(len(item), bool)
+            row = np.searchsorted(rows, place, "right")
+            new[1:] = (item[1:] != item[:-1]) | (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])
+            at = np.flatnonzero(new)
+            found.append(self._alike(points, item[at], place[at], first[at], first[np.append(at[1:], len(item))[: len(at)] - 1]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _alike(self, points: np.ndarray, item: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        reach = int((self.length + 3 * self.most).max(initial=0)) + 64
+        symbols = np.pad((points % SYMBOLS).astype(np.int64), reach)  # more text never adds edits
+        edits = np.zeros(len(item), np.int64)
+        order = np.argsort(self.length[item], kind="stable")
+        for i in range(0, len(order), WINDOWS):
+            part, n = order[i : i + WINDOWS], 0
+            while True:
+                part = part[(self.pieces[item[part]] > n) & (edits[part] <= self.most[item[part]])]
+                if not len(part):
+                    break
+                k = item[part]
+                begin, end = -(-n * self.length[k] // self.pieces[k]), -(-(n + 1) * self.length[k] // self.pieces[k])
+                lo = low[part] + begin - self.most[k] + reach
+                wide = int((high[part] + end + self.most[k] + reach - lo).max())
+                edits[part] += self._least_edits(symbols, self.base[k] + n, end - begin, lo, wide)
+                n += 1
+        ok = np.flatnonzero(edits <= self.most[item])
+        return item[ok], place[ok], low[ok], high[ok]
+
+    def _least_edits(self, symbols: np.ndarray, piece: np.ndarray, size: np.ndarray, lo: np.ndarray, wide: int) -> np.ndarray:
+        """Smallest edit distance of each piece to any part of its window, as ``best_place`` (symbols that share a number count as equal)."""
+        table, row, top = self.equal.reshape(-1), piece * SYMBOLS, (size - 1).astype(np.uint64)
+        up, down, one = np.full(len(piece), ~K.U64(0)), np.zeros(len(piece), np.uint64), K.U64(1)
+        score = size.copy()
+        best = size.copy()
+        for j in range(wide):
+            eq = table[row + symbols[j:][lo]]
+            diagonal = eq & up
+            diagonal += up
+            diagonal ^= up
+            diagonal |= eq
+            eq |= down
+            plus = diagonal | up
+            np.invert(plus, out=plus)
+            plus |= down
+            diagonal &= up
+            score += (plus >> top & one).view(np.int64)
+            score -= (diagonal >> top & one).view(np.int64)
+            np.minimum(best, score, out=best)
+            plus <<= one
+            diagonal <<= one
+            np.bitwise_or(eq, plus, out=up)
+            np.invert(up, out=up)
+            up |= diagonal
+            down = plus & eq
+        return best
+
+
 def best_place(pattern: str, text: str) -> int:
     """Smallest edit distance of the whole pattern to any part of the text (bit-parallel)."""
     m = len(pattern)
@@ -158,6 +336,9 @@ def find_items(texts: pa.Array, index: Index, tolerance: float) -> dict[str, lis
     """Row number, item, fewest edits, similarity and first word of every item found in a batch of texts."""
     out: dict[str, list] = {"row": [], "item_id": [], "edits": [], "similarity": [], "first_word": []}
     raw, offs = K.buffer_of(texts)
+    seeds = index.seeds.get(tolerance)
+    if seeds is None:
+        seeds = index.seeds[tolerance] = Seeds(index.patterns, tolerance)
     for i, j in K.slices(offs):
         low, starts, ends, counts = normal_words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
         seq, place = padded(K.span_hash(low, starts, ends), counts, 3 * STEPS)
@@ -165,17 +346,25 @@ def find_items(texts: pa.Array, index: Index, tolerance: float) -> dict[str, lis
         begin, item, offset = index.candidates(seq, place)
         word = np.searchsorted(place, begin)
         doc = np.searchsorted(at, word, "right") - 1
-        seen: dict[tuple[int, int], set[int]] = {}
+        seen: dict[tuple[int, int], set[tuple[int, int]]] = {}
         for d, k, first in zip(doc.tolist(), item.tolist(), (word - offset).tolist(), strict=True):
-            seen.setdefault((d, k), set()).add(first)
-        for (d, k), lined in seen.items():
-            pattern = " ".join(index.words[k])
-            most, n = int(tolerance * len(pattern)), len(index.words[k])
+            n = len(index.words[k])
             slack = ceil(tolerance * n)
+            seen.setdefault((d, k), set()).add((first - slack, first + n + slack))
+        points, heads = characters(low, starts, ends)
+        item, hit, low_first, high_first = seeds.windows(points, heads[at[:-1][counts > 0]])
+        doc = np.searchsorted(at, np.searchsorted(heads, hit, "right") - 1, "right") - 1
+        lows = np.searchsorted(heads, low_first - seeds.most[item], "right") - 1
+        highs = np.searchsorted(heads, high_first + seeds.length[item] + seeds.most[item], "left")
+        for d, k, lo, hi in zip(doc.tolist(), item.tolist(), lows.tolist(), highs.tolist(), strict=True):
+            seen.setdefault((d, k), set()).add((lo, hi))
+        for (d, k), lined in seen.items():
+            pattern = index.patterns[k]
+            most = int(tolerance * len(pattern))
             best, where = len(pattern) + 1, 0
             regions: list[list[int]] = []  # overlapping windows are searched once
-            for first in sorted(lined):
-                lo, hi = max(at[d], first - slack), min(at[d + 1], first + n + slack)
+            for lo, hi in sorted(lined):
+                lo, hi = max(at[d], lo), min(at[d + 1], hi)
                 if regions and lo <= regions[-1][1]:
                     regions[-1][1] = max(regions[-1][1], hi)
                 elif hi > lo:

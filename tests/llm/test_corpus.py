@@ -352,6 +352,31 @@ def test_leak_recall_and_edit_distance():
         assert decontam.best_place(p, t) == slow(p, t), (p, t)
 
 
+def test_leak_recall_of_spread_edits():
+    import pyarrow as pa
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    some = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    def edited(text: str, rate: float, kind: str, even: bool) -> str:
+        k = int(rate * len(text))
+        places = {int((i + 0.5) * len(text) / k) for i in range(k)} if even else set(rng.sample(range(len(text)), k))
+        change = {"substitute": lambda c: rng.choice(letters.replace(c, "")), "insert": lambda c: c + rng.choice(letters), "delete": lambda c: ""}[kind]
+        return "".join(change(c) if i in places else c for i, c in enumerate(text))
+
+    for n, rate, even in itertools.product((4, 8, 15, 40), (0.02, 0.05, 0.1, 0.2), (True, False)):
+        items = [(i, some(n)) for i in range(30)]
+        kinds = ["substitute", "insert", "delete"]
+        texts = [f"{some(20)} {edited(t, rate, kinds[i % 3], even)} {some(20)}" for i, t in items]
+        found = decontam.find_items(pa.array([None, *texts, "é \u3042"]), decontam.Index(items), 0.2)
+        hits = set(zip(found["row"], found["item_id"], strict=True))
+        recall = sum((i + 1, i) in hits for i in range(30)) / 30
+        assert recall == 1 or (rate == 0.2 and recall >= 0.9), (n, rate, even, recall)
+        assert n < 8 or len(hits) <= 30
+
+
 # ---------------------------------------------------------------- kernel
 
 
