@@ -178,29 +178,50 @@ def topological_places(messages: DataFrame, needs: DataFrame) -> DataFrame:
     Unmoved, a message's place is its turn and its depth 0. A message that comes no
     later than one it needs takes that one's place with a greater depth, again and
     again until nothing moves (each round is a join of the few pairs out of order).
-    Messages on a cycle keep moving; once a depth exceeds the number of needs, what
-    still moves goes back to its own turn.
+    Without a cycle a conversation rests after as many rounds as it has needs. One that
+    still moves then has a cycle: messages on a cycle (or between two) stay at their
+    turns with depth 0, and the conversation is settled again without their needs.
+    Conversations don't wait for each other.
     """
     start = messages.select("msg", F.coalesce("turn", F.lit(0)).alias("place"), F.lit(0).alias("depth"))
-    involved = start.join(needs.select("msg").union(needs.select("before")).distinct(), "msg")
-    now = cut(involved)
-    limit = needs.count()
-    for _ in range(limit + 1):
+    now = cut(start.join(needs.select("msg").union(needs.select("before")).distinct(), "msg"))
+    of = needs.join(messages.select("msg", "conv_id"), "msg")
+    links = cut(of.join(of.groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id"))
+    done = 0
+    while True:
         late = (
-            needs.join(now.select("msg", "place", "depth"), "msg")
+            links.join(now.select("msg", "place", "depth"), "msg")
             .join(now.select(F.col("msg").alias("before"), F.col("place").alias("p"), F.col("depth").alias("d")), "before")
             .filter("(p, d) > (place, depth) OR (p = place AND d = depth AND before <> msg AND (d > 0 OR before > msg))")
-            .groupBy("msg")
+            .groupBy("msg", "conv_id", "n")
             .agg(F.max(F.struct(F.col("p"), (F.col("d") + 1).alias("d"))).alias("to"))
         )
         late = cut(late)
-        if late.isEmpty():
+        moving = late.filter(F.col("n") > done)
+        if moving.isEmpty():
             break
-        now = cut(now.join(late, "msg", "left").select("msg", F.coalesce("to.p", "place").alias("place"), F.coalesce("to.d", "depth").alias("depth")))
-    else:
-        stuck = late.select("msg")
-        now = now.join(stuck, "msg", "left_anti").union(involved.join(stuck, "msg"))
-    return now
+        now = cut(now.join(moving.select("msg", "to"), "msg", "left").select("msg", F.coalesce("to.p", "place").alias("place"), F.coalesce("to.d", "depth").alias("depth")))
+        done += 1
+    if late.isEmpty():
+        return now
+    again = late.select("conv_id").distinct()
+    knotted = links.join(again, "conv_id", "left_semi").select("msg", "before")
+    on_cycle = cycles(knotted)
+    rest = cut(knotted.join(on_cycle, "msg", "left_anti"))
+    settled = topological_places(messages, rest)
+    own = start.join(on_cycle.join(settled, "msg", "left_anti"), "msg")
+    others = now.join(messages.join(again, "conv_id", "left_semi").select("msg"), "msg", "left_anti")
+    return others.union(settled.select(*others.columns)).union(own.select(*others.columns))
+
+
+def cycles(needs: DataFrame) -> DataFrame:
+    """(msg) of the messages on a cycle or between two: links whose ends don't go on both ways are left until none is."""
+    count, left = -1, needs
+    while (size := left.count()) != count:
+        count = size
+        goes_on = left.join(left.select(F.col("msg").alias("before")).distinct(), "before", "left_semi")
+        left = cut(goes_on.join(left.select(F.col("before").alias("msg")).distinct(), "msg", "left_semi").select("msg", "before"))
+    return left.select("msg").distinct()
 
 
 def format_chats(messages: DataFrame) -> DataFrame:

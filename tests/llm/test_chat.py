@@ -55,6 +55,15 @@ def test_chain_and_cycle(spark):
     assert sorted(r.turn for r in got) == [0, 1] and all(r.n_linked == 2 for r in got)
 
 
+def test_cycle_beside_other_links(spark):
+    cycle = [(1, 0, "tool", result("b") + call("a")), (1, 1, "tool", result("a") + call("b")), (1, 2, "tool", result("c")), (1, 3, "assistant", call("c") + result("d")), (1, 4, "tool", call("d") + result("a"))]
+    others = [x for k in range(2, 12) for x in ((k, 0, "tool", result("x")), (k, 1, "assistant", call("x")))]
+    for data in (cycle, cycle + others[:2], cycle + others):
+        got = rows(spark, data)
+        assert [(r.turn, r.place, r.depth) for r in got if r.conv_id == 1] == [(0, 0, 0), (1, 1, 0), (4, 4, 0), (3, 4, 1), (2, 4, 2)]
+        assert all((r.place, r.depth) == (1, 1 - r.turn) for r in got if r.conv_id != 1)
+
+
 def test_repeats_nulls_empty(spark):
     got = rows(spark, [(1, 0, "assistant", call("a")), (1, 0, "assistant", call("a")), (1, 1, "tool", result("a")), (1, 1, "tool", result("a")), (None, None, None, None), (3, 0, "user", "")])
     assert len(got) == 6
