@@ -113,3 +113,11 @@ def top_share(clusters: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
     place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("total"), "cluster"))
     ranked = clusters.withColumn("place", place)
     return ranked.groupBy(*keys).agg(F.count("*").alias("n_clusters"), (F.sum(F.when(F.col("place") <= k, F.col("total"))) / F.sum("total")).alias("share"))
+
+
+def triage(drawings: DataFrame, paths: DataFrame, keys: list[str]) -> DataFrame:
+    """Track of every drawing: A with layers, B without, C without paths: (keys, track, n_paths, n_layers, vectorised)."""
+    counted = paths.groupBy(*keys).agg(F.count("*").alias("n_paths"), F.count_distinct("layer").alias("n_layers"))
+    g = drawings.select(*keys).distinct().join(counted, keys, "left").fillna(0, ["n_paths", "n_layers"])
+    track = F.when(F.col("n_paths") == 0, "C").when(F.col("n_layers") > 0, "A").otherwise("B")
+    return g.select(*keys, track.alias("track"), "n_paths", "n_layers", (F.col("n_paths") < 50).alias("vectorised"))

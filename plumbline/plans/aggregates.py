@@ -205,7 +205,5 @@ def eval_mape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{A.WITH_SQL}, w AS (SELECT path_id % 50 AS drawing_id, count(*) AS n_paths, count(DISTINCT layer) AS n_layers FROM paths WHERE path_id % 50 <> 7 GROUP BY 1)\nSELECT drawing_id, CASE WHEN n_paths = 0 THEN 'C' WHEN n_layers > 0 THEN 'A' ELSE 'B' END AS track, n_paths, n_layers, n_paths < 50 AS vectorised FROM w")
 def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What can be measured on every drawing: A with layers, B without, C without paths."""
-    paths = A.paths(spark, sf_dir).withColumn("drawing_id", F.col("path_id") % A.DRAWINGS).filter("drawing_id <> 7")
-    g = paths.groupBy("drawing_id").agg(F.count("*").alias("n_paths"), F.count_distinct("layer").alias("n_layers"))
-    track = F.when(F.col("n_paths") == 0, "C").when(F.col("n_layers") > 0, "A").otherwise("B")
-    return g.select("drawing_id", track.alias("track"), "n_paths", "n_layers", (F.col("n_paths") < 50).alias("vectorised"))
+    paths = A.paths(spark, sf_dir).withColumn("drawing_id", F.col("path_id") % A.DRAWINGS)
+    return D.triage(spark.range(A.DRAWINGS).select(F.col("id").alias("drawing_id")), paths, ["drawing_id"])

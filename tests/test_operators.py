@@ -236,3 +236,12 @@ def test_text_lines_and_calibration(spark):
     layers = spark.createDataFrame([("W|V-52-FE--KV-", True), ("W|V-1-T--", False)], "layer string, wanted boolean")
     assert L.calibrate(layers, layers.filter("NOT wanted"))["valid"]
     assert not L.calibrate(layers, layers)["valid"]
+
+
+def test_triage_reports_every_drawing(spark):
+    from plumbline.operators import delivery
+
+    drawings = spark.createDataFrame([(7,), (8,), (9,)], "drawing_id long")
+    paths = spark.createDataFrame([(7, "a"), (7, "b"), (8, None)], "drawing_id long, layer string")
+    got = sorted(map(tuple, delivery.triage(drawings, paths, ["drawing_id"]).collect()))
+    assert got == [(7, "A", 2, 2, True), (8, "B", 1, 0, True), (9, "C", 0, 0, True)]
