@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 
-from plumbline.llm.chat import canonical, conforms, format_chats, parse_message
+import pytest
+
+from plumbline.llm.chat import Check, canonical, conforms, format_chats, parse_message
 
 TOOLS = '<tools>[{"name":"f","parameters":{"type":"object","required":["x"],"properties":{"x":{"type":"integer","minimum":1}},"additionalProperties":false}}]</tools>'
 
@@ -83,3 +87,125 @@ def test_schema_and_json():
     assert not conforms(True, {"type": "integer"}) and conforms(None, {"type": ["null", "string"]})
     assert not conforms("abc", {"maxLength": 2}) and not conforms({"y": 1}, {"additionalProperties": False})
     assert parse_message("tool", "{nonsense") == {"content": "{nonsense", "calls": [], "results": [], "tools": [], "broken": 0}
+
+
+DEEP = "[" * 300 + "]" * 300
+
+
+@pytest.mark.parametrize(
+    ("schema", "arguments", "good", "skipped"),
+    [
+        ('{"properties":{"x":{"type":"integer"}}}', '{"x":' + "9" * 400 + "}", True, set()),
+        ('{"properties":{"x":{"minLength":"3"}}}', '{"x":"a"}', True, {"minLength"}),
+        ('{"properties":{"x":{"minItems":null}}}', '{"x":[]}', True, {"minItems"}),
+        ('{"properties":{"x":{"minimum":"0"}}}', '{"x":-1}', True, {"minimum"}),
+        ('{"required":[{"a":1},"b"]}', '{"a":1}', False, set()),
+        ('{"type":{"a":1}}', "{}", True, {"type"}),
+        ('{"properties":{"x":{"pattern":"^a(?=b)"}}}', '{"x":"ab"}', True, {"pattern"}),
+        ('{"properties":{"x":{"pattern":"^(a+)+$"}}}', '{"x":"' + "a" * 5000 + 'b"}', False, set()),
+        ('{"properties":{"x":{"$ref":"#/$defs/n"}},"$defs":{"n":{"type":"number","exclusiveMinimum":0}}}', '{"x":0}', False, set()),
+        ('{"$ref":"#"}', "{}", True, {"$ref"}),
+        ('{"properties":{"x":{"anyOf":[{"type":"string"},{"const":1}]}}}', '{"x":1.0}', True, set()),
+        ('{"properties":{"x":{"oneOf":[{"type":"integer"},{"minimum":0}]}}}', '{"x":1}', False, set()),
+        ('{"allOf":[{"required":["x"]},{"not":{"required":["y"]}}]}', '{"x":1,"y":1}', False, set()),
+        ('{"properties":{"x":{"uniqueItems":true,"multipleOf":1}}}', '{"x":[1,1.0]}', False, set()),
+        ('{"properties":{"x":{"dependentRequired":{}}}}', '{"x":1}', True, {"dependentRequired"}),
+        ("5", "{}", True, {"schema"}),
+        ('{"properties":{"x":{"items":{"items":{"items":{"type":"string"}}}}}}', '{"x":[[[1]]]}', False, set()),
+    ],
+)
+def test_schemas(schema, arguments, good, skipped):
+    check = Check(json.loads(schema))
+    assert (check.conforms(json.loads(arguments)), check.skipped) == (good, skipped)
+
+
+def test_deep_schema_is_checked_or_said_to_be_skipped():
+    schema, value = {"type": "string"}, 1
+    for _ in range(100):
+        schema, value = {"items": schema}, [value]
+    assert not conforms(value, schema)
+    for _ in range(5000):
+        schema, value = {"items": schema}, [value]
+    check = Check(schema)
+    assert check.conforms(value) and check.skipped == {"nested too deeply"}
+
+
+def test_hostile_messages_stay_rows(spark):
+    tools = '<tools>[{"name":"f","parameters":{"properties":{"x":{"minimum":"0","pattern":"("}},"required":[{}]}},{"name":"\\ud800"},7]</tools>'
+    hostile = [
+        (1, 0, "system", tools),
+        (1, 1, "assistant", '<tool_call>{"id": 7, "name": "f", "arguments": {"x": %s}}</tool_call>' % ("9" * 400)),
+        (1, 2, "tool", '{"tool_call_id": 7, "content": "\\ud800"}'),
+        (1, 3, "tool", result("7")),
+        (1, 4, "assistant", '<tool_call>{"id": "\\udc00", "name": "f", "arguments": {"\\ud83d": "\\ude00"}}</tool_call>'),
+        (1, 5, "assistant", '<tool_call>{"id": {"a": 1}, "name": "f", "arguments": {}}</tool_call><tool_call>{"id": "n", "arguments": 1e999}</tool_call>'),
+        (1, 6, "assistant", '<tool_call>{"id": "d", "name": "f", "arguments": {"x": %s}}</tool_call>' % DEEP),
+        (1, 7, "assistant", "<tool_call>" + "[" * 200_000 + "</tool_call>"),
+        (1, 8, "tool", '{"tool_call_id": "\\udc00", "content": [1, "\\ud800"]}'),
+        (1, 9, "user", "x" * 300_000),
+    ]
+    got = rows(spark, hostile)
+    assert [r.turn for r in got] == list(range(10))
+    read = [json.loads(r.message) for r in got]
+    assert read[1]["tool_calls"][0]["id"] == 7 and read[1]["tool_calls"][0]["answered"] and read[1]["tool_calls"][0]["unchecked"] == "minimum"
+    assert read[2]["tool_results"] == [{"id": 7, "content": "\\ud800", "linked": True}] and read[3]["tool_results"][0]["linked"]
+    assert read[4]["tool_calls"][0]["id"] == "\udc00" and read[4]["tool_calls"][0]["answered"] and read[8]["tool_results"][0]["linked"]
+    assert read[5]["tool_calls"][0]["id"] == {"a": 1} and read[5]["tool_calls"][0]["problem"] == "no id or name" and got[5].n_invalid == 2
+    assert read[6]["tool_calls"][0]["arguments"]["x"] == json.loads(DEEP) and got[7].n_invalid == 1
+    assert len(read[9]["content"]) == 300_000
+
+
+def brute(messages):
+    """(row, place, depth, linked parts) by following every need of one conversation after the other."""
+    out = {}
+    for conv in {m[0] for m in messages}:
+        mine = [(i, m) for i, m in enumerate(messages) if m[0] == conv]
+        calls, need, linked = {}, {}, {i: 0 for i, _ in mine}
+        for i, m in sorted(mine, key=lambda x: (x[1][1], x[0])):
+            for c in re.findall(r'<tool_call>\{"id": "(\w+)"', m[3]):
+                calls.setdefault(c, i)
+        answered = set()
+        for i, m in mine:
+            for c in re.findall(r'<tool_result id="(\w+)"', m[3]):
+                if c in calls:
+                    linked[i] += 1
+                    answered.add(c)
+                    if calls[c] != i:
+                        need.setdefault(i, set()).add(calls[c])
+        for c in answered:
+            linked[calls[c]] += 1
+
+        def reach(a, need=need):
+            seen, todo = set(), list(need.get(a, ()))
+            while todo:
+                if (x := todo.pop()) not in seen:
+                    seen.add(x)
+                    todo += need.get(x, ())
+            return seen
+
+        ahead = {i: reach(i) for i, _ in mine}
+        on = {i for i, _ in mine if i in ahead[i]}
+        knot = {i for i, _ in mine if i in on or ahead[i] & on and any(i in ahead[j] for j in on)}
+        turn = {i: m[1] for i, m in mine}
+        place = {i: (turn[i], 0) for i, _ in mine}
+        moved = True
+        while moved:
+            moved = False
+            for i, _ in mine:
+                for b in need.get(i, ()) if i not in knot else ():
+                    p, d = place[b]
+                    if (p, d) > place[i] or (p, d) == place[i] and (d > 0 or b > i):
+                        place[i], moved = (p, d + 1), True
+        out |= {i: (*place[i], linked[i]) for i, _ in mine}
+    return out
+
+
+def test_against_brute_force(spark):
+    rng, messages = random.Random(3), []
+    for conv in range(40):
+        ids = [f"i{k}" for k in range(rng.randint(1, 6))]
+        for turn in range(rng.randint(1, 9)):
+            messages.append((conv, turn, "tool", "".join((call if rng.random() < 0.5 else result)(rng.choice(ids)) for _ in range(rng.randint(0, 3)))))
+    want = brute(messages)
+    got = rows(spark, messages)
+    assert sorted((r.conv_id, r.turn, r.place, r.depth, r.n_linked) for r in got) == sorted((*messages[i][:2], *x) for i, x in want.items())
