@@ -23,15 +23,22 @@ from pyspark.sql import functions as F
 from . import crf
 from .session import ready
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>""", re.S)
+#: A tag; a quote counts only after an equals sign, and only where it is closed.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_OPENING = re.compile("<(?:[!?]|/?[a-zA-Z])")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
+#: Tags whose end is sought up to the page's end in vain before quotes stop counting, so that time grows with the page.
+_MISSES = 16
 #: Elements whose text is never page text; it ends at the closing tag only.
-_RAW = frozenset("script style template noscript iframe object svg math textarea title select canvas audio video".split())
+_RAW = frozenset("script style template iframe textarea title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
-    "html head body article main section nav header footer aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th form fieldset legend figure figcaption blockquote pre address details summary hr dialog menu center button label option ins".split()
+    "html head body article main section nav header footer aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th form fieldset legend figure figcaption blockquote pre address details summary hr dialog menu center button label option select ins noscript".split()
 )
-#: A start tag closes these open elements (up to the nearest of the second set).
-_CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: A start tag closes the nearest open element of its group, unless one of the second set stands between.
+_GROUPS = (({"p"}, {"table", "td", "th", "button"}), ({"li"}, {"ul", "ol", "menu"}), ({"dt", "dd"}, {"dl"}), ({"tr", "td", "th"}, {"table"}), ({"td", "th"}, {"tr", "table"}), ({"option"}, {"select"}))
+_GROUP_OF = {"li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Words of class, id and role that tell what an element is for (fixed values).
 CUES = {
@@ -50,7 +57,7 @@ _CUE_OF: dict[str, list[str]] = {}
 for _kind, _words in CUES.items():
     for _word in _words.split():
         _CUE_OF.setdefault(_word, []).append(_kind)
-_STRUCTURE = frozenset("nav header footer aside article main section form ul ol table figure button label details blockquote pre dialog menu address".split())
+_STRUCTURE = frozenset("nav header footer aside article main section form ul ol table figure button label details blockquote pre dialog menu address select".split())
 
 
 def _cues(attributes: str) -> list[str]:
@@ -62,55 +69,107 @@ def _cues(attributes: str) -> list[str]:
     return found
 
 
+class Node:
+    """An open element. It knows its parent only, what its block ancestors are for, and which open element a start tag would close."""
+
+    __slots__ = ("tag", "parent", "place", "block", "tags", "kinds", "own", "closable", "inside")
+
+    def __init__(self, tag: str, attributes: str, parent: Node | None, place: int) -> None:
+        self.tag, self.parent, self.place = tag, parent, place
+        up = parent.block if parent else None
+        if tag in _BLOCK:
+            self.block, own = self, frozenset(_cues(attributes)) if attributes else frozenset()
+            tags, kinds = (up.tags, up.kinds) if up else (frozenset(), frozenset())
+            # few different sets: shared along the tree, whatever its depth
+            self.tags = tags if tag in tags or tag not in _STRUCTURE else tags | {tag}
+            self.kinds = kinds if own <= kinds else kinds | own
+            self.own = (tag, own)
+            self.inside: dict[str, int] = {}  # open inline elements whose nearest block this is
+        else:
+            self.block = up
+        last = parent.closable if parent else (None,) * len(_GROUPS)
+        if any(tag in shut or tag in until for shut, until in _GROUPS):
+            last = tuple(self if tag in shut else None if tag in until else x for (shut, until), x in zip(_GROUPS, last, strict=True))
+        self.closable = last
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, str], ...]
+    node: Node | None
     links: int
 
 
+def decoded(text: str) -> str:
+    """Character references as characters, one space for white space; a reference beyond all code points is U+FFFD."""
+    if "&" in text:
+        text = html.unescape(_LONG_REFERENCE.sub("\ufffd", text))
+    return " ".join(text.split())
+
+
 def leaf_blocks(page: str) -> list[Block]:
-    """The page's text blocks in page order: character references decoded, white space made one space, none empty."""
+    """The page's text blocks in page order: character references decoded, white space made one space, none empty.
+
+    Time and memory grow with the page's length only, whatever its markup is.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    root = Node("", "", None, 0)
+    root.block, root.tags, root.kinds, root.own, root.inside = root, frozenset(), frozenset(), ("", frozenset()), {}
+    stack = [root]
+    open_blocks: dict[str, int] = {}
     parts: list[str] = []
-    links, in_link = 0, 0
+    links, in_link, misses = 0, 0, 0
 
     def flush() -> None:
         nonlocal links
         if parts:
-            text = "".join(parts)
-            text = " ".join((html.unescape(text) if "&" in text else text).split())
-            if text:
-                blocks.append(Block(text, tuple(x for x in stack if x[0] in _BLOCK), links))
+            if text := decoded("".join(parts)):
+                blocks.append(Block(text, stack[-1].block, links))
             parts.clear()
         links = 0
 
     def close(upto: int) -> None:
         nonlocal in_link
-        for tag, _ in stack[upto:]:
-            in_link -= tag == "a"
+        for node in stack[upto:]:
+            in_link -= node.tag == "a"
+            counts = open_blocks if node.block is node else node.block.inside
+            counts[node.tag] -= 1
         del stack[upto:]
 
-    at, size = 0, len(page)
-    while at < size:
-        match = _MARKUP.search(page, at)
-        end = match.start() if match else size
-        if end > at:
-            piece = page[at:end]
+    def add(piece: str) -> None:
+        nonlocal links
+        if piece:
             parts.append(piece)
             if in_link:
                 links += len(piece)
-        if not match:
+
+    at, last, last_cdata = 0, page.rfind(">"), page.rfind("]]>")
+    while True:
+        found = _OPENING.search(page, at)
+        if not found or found.start() > last:
+            add(page[at:])
             break
-        at = match.end()
-        tag = (match[2] or match[5] or "").lower()
-        if not tag:
+        start = found.start()
+        if page[start + 1] in "!?":
+            add(page[at:start])
+            if page.startswith("<!--", start):
+                stop = page.find("-->", start + 2)
+                at = stop + 3 if stop >= 0 else len(page)
+            elif page.startswith("<![CDATA[", start) and start < last_cdata:
+                at = page.find("]]>", start) + 3
+            else:
+                at = page.find(">", start) + 1
             continue
-        closing, attributes = match[1] or match[4], match[3] if match[2] else match[6]
+        match = _TAG.match(page, start) if misses < _MISSES else None
+        if match is None:
+            misses += 1
+            match = _PLAIN_TAG.match(page, start)
+        add(page[at:start])
+        at = match.end()
+        closing, tag, attributes = match[1], match[2].lower(), match[3]
         if not closing and tag in _RAW:
-            stop = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else size
+            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(page, at) if at <= last else None
+            at = stop.end() if stop else len(page)
             continue
         if tag == "br":
             parts.append(" ")
@@ -118,23 +177,25 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag in _BLOCK:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
+            if tag in _BLOCK:
+                if open_blocks.get(tag):
+                    k = len(stack) - 1
+                    while stack[k].tag != tag:
+                        k -= 1
                     close(k)
-                    break
-                if tag not in _BLOCK and stack[k][0] in _BLOCK:
-                    break  # an inline end tag never closes a block
+            elif stack[-1].block.inside.get(tag):  # an inline end tag never closes a block
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
-        if tag in _BLOCK:
-            shut, until = _CLOSES.get(tag, ({"p"}, {"table", "td", "th", "button"}))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in until:
-                    break
-                if stack[k][0] in shut:
-                    close(k)
-                    break
+        if tag in _BLOCK and (shut := stack[-1].closable[_GROUP_OF.get(tag, 0)]) is not None:
+            close(shut.place)
         if tag not in _VOID and not attributes.endswith("/"):
-            stack.append((tag, attributes))
+            node = Node(tag, attributes, stack[-1], len(stack))
+            stack.append(node)
+            counts = open_blocks if node.block is node else node.block.inside
+            counts[tag] = counts.get(tag, 0) + 1
             in_link += tag == "a"
     flush()
     return blocks
@@ -143,19 +204,17 @@ def leaf_blocks(page: str) -> list[Block]:
 _paths: dict[tuple, list[str]] = {}
 
 
-def _path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
-    known = _paths.get(path)
+def _path_features(node: Node) -> list[str]:
+    tags, kinds, own = node.tags, node.kinds, node.own
+    known = _paths.get((tags, kinds, own))
     if known is None:
         if len(_paths) > 20_000:
             _paths.clear()
-        tags, kinds = {t for t, _ in path}, {c for _, a in path for c in (_cues(a) if a else ())}
-        known = [f"in:{t}" for t in tags & _STRUCTURE] + [f"cue:{c}" for c in kinds]
-        own = path[-1] if path else ("", "")
-        known += [f"own:{own[0]}", *(f"owncue:{c}" for c in _cues(own[1]))]
+        known = [f"in:{t}" for t in sorted(tags)] + [f"cue:{c}" for c in sorted(kinds)] + [f"own:{own[0]}", *(f"owncue:{c}" for c in sorted(own[1]))]
         main = bool(tags & {"article", "main"}) or "main" in kinds
-        bad = (tags & {"nav", "footer", "aside", "form", "button", "label", "dialog", "menu"}) | (kinds - {"main", "head"})
+        bad = (tags & {"nav", "footer", "aside", "form", "button", "label", "dialog", "menu", "select"}) | (kinds - {"main", "head"})
         known += [f"main:{main}", f"bad:{bool(bad)}", f"main:{main}&bad:{bool(bad)}", f"main:{main}&own:{own[0]}"]
-        _paths[path] = known
+        _paths[(tags, kinds, own)] = known
     return known
 
 
@@ -165,7 +224,7 @@ def features(block: Block) -> list[str]:
     share = block.links / max(1, len(text))
     stops = text.count(".") + text.count(",") + text.count("!") + text.count("?")
     size = "1" if words < 2 else "2" if words < 5 else "3" if words < 12 else "4" if words < 30 else "5"
-    return [*_path_features(block.path), "bias", f"words:{size}", f"links:{'all' if share > 0.8 else 'some' if share > 0.2 else 'few'}", f"stops:{min(3, stops)}", f"ends:{text[-1] in '.!?:'}", f"mark:{text[0] in '©' or '©' in text}"]
+    return [*_path_features(block.node), "bias", f"words:{size}", f"links:{'all' if share > 0.8 else 'some' if share > 0.2 else 'few'}", f"stops:{min(3, stops)}", f"ends:{text[-1] in '.!?:'}", f"mark:{text[0] in '©' or '©' in text}"]
 
 
 def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, dict[str, int]]]:
@@ -201,7 +260,7 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, dict[str, int
             return wrap([("nav", ""), ("nav", ' class="navbar"'), ("div", ' class="menu"'), ("div", ' id="navigation"'), ("ul", ' class="breadcrumbs"'), ("div", ' role="navigation"')], link_list())
 
         def header() -> str:
-            return wrap([("header", ""), ("div", ' class="masthead"'), ("div", ' id="header"'), ("header", ' class="site-header"')], f"<p>{mark(run(1, 6), 0)}</p>" + (nav() if rng.random() < 0.5 else ""))
+            return wrap([("header", ""), ("div", ' class="masthead"'), ("div", ' id="header"'), ("header", ' class="site-header"'), ("div", ' class="topbar"'), ("div", ' class="branding"')], rng.choice(["<p>{}</p>", "{}"]).format(mark(run(1, 6), 0)) + (nav() if rng.random() < 0.5 else ""))
 
         def footer() -> str:
             return wrap([("footer", ""), ("div", ' class="footer"'), ("div", ' id="site-footer"'), ("footer", ' class="colophon"')], rng.choice(["&copy; ", ""]) + mark(prose(0, 1, 2), 0) + (link_list() if rng.random() < 0.3 else ""))
@@ -251,6 +310,8 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, dict[str, int
         low = [f() for f in (comments, share, side, advert, form) if rng.random() < 0.35]
         rng.shuffle(top)
         body = "".join(top) + content() + "".join(low) + (footer() if rng.random() < 0.85 else "")
+        if rng.random() < 0.3:  # a wrapper of the whole page says nothing
+            body = wrap([("div", ' id="page"'), ("div", ' class="main-wrapper"'), ("div", ' id="main"'), ("div", ' class="page-body"')], body)
         labels = {html.unescape("© " + k) if f"&copy; {k}" in body else k: y for k, y in labels.items()}
         pages.append((f"<!DOCTYPE html><html><head><title>{run(1, 5)}</title><style>p{{}}</style></head><body>{body}</body></html>", labels))
     return pages
@@ -305,7 +366,8 @@ def _extracted(batches: Iterator[pa.RecordBatch], model: Extractor) -> Iterator[
 def extract_main_text(pages: DataFrame, model: Extractor, keep: list[str], source: str = "html") -> DataFrame:
     """The columns ``keep`` of ``pages`` with text (main text blocks joined by a line feed) and n_blocks.
 
-    A null or empty page, and one without main text, gives an empty text. Other columns are ignored.
+    A null or empty page, and one without main text, gives an empty text; a page of broken markup gives what text it
+    has, in time that grows with its length. Repeated rows are pages of their own. Other columns are ignored.
     """
     ready(pages.sparkSession)
     rows = pages.select(*keep, F.col(source).cast("string").alias("__html"))

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -228,6 +229,54 @@ PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>v
  line &lt;ok&gt;.</article><section id=comments><div class=comment><p>Nice post, thanks a lot.</p></div></section><footer>&copy; us</footer>"""
 
 
+#: (page, main text), written by hand in layouts that the built-in labelled pages don't have.
+HAND_WRITTEN = [
+    ("<html><body><div id=page><div class=topbar>Log in | Register</div><div class=story><h1>River level rises</h1><p>The river rose by two metres on Monday, officials said.<p>Roads near the bridge are closed.</div><div class=footer>Imprint</div></div>", "River level rises\nThe river rose by two metres on Monday, officials said.\nRoads near the bridge are closed."),
+    ("<main><section><h2>Method</h2><p>We weighed each sample twice.</p><figure><img src=a><figcaption>The scale that was used.</figcaption></figure></section><aside>Related: scales</aside></main><footer>c</footer>", "Method\nWe weighed each sample twice.\nThe scale that was used."),
+    ("<body><nav><a href=1>Home</a> <a href=2>Shop</a></nav><article><p>Set <math><mi>x</mi><mo>=</mo><mn>2</mn></math> in the first line, then go on.</p><svg width='1'/><p>It holds for all of them, as the last section shows.</p><noscript><p>A picture of the curve, in words: it rises, then falls.</p></noscript></article>", "Set x=2 in the first line, then go on.\nIt holds for all of them, as the last section shows.\nA picture of the curve, in words: it rises, then falls."),
+    ("<table><tr><td><ul class=menu><li><a href=x>One</a><li><a href=y>Two</a></ul></td><td><div class='entry-content'><p>An old page keeps its text in a table cell, and that is fine.</p><p>Second paragraph, with a <a href=q>link</a> in it.</p></div></td></tr></table>", "An old page keeps its text in a table cell, and that is fine.\nSecond paragraph, with a link in it."),
+    ("<article><h1>Cake</h1><ul><li>two eggs, beaten</li><li>flour &amp; salt</li></ul><p>Mix, then bake for an hour.</p><div class='ads'>Buy pans now!</div><p>Let it cool.</p></article><div id=comments><p>Tasty, I made it twice.</p></div><form><select><option>5 stars</option></select><button>Rate</button></form>", "Cake\ntwo eggs, beaten\nflour & salt\nMix, then bake for an hour.\nLet it cool."),
+]
+
+
+def test_html_hand_written_pages():
+    model = html_extract.fit_extractor()
+    got = ["\n".join(x) for x in model.main_text([p for p, _ in HAND_WRITTEN])]
+    assert sum(g == want for g, (_, want) in zip(got, HAND_WRITTEN, strict=True)) == len(HAND_WRITTEN), got
+
+
+HOSTILE = {
+    "open divs": "<div class=a>" * 80_000 + "x",
+    "open divs with text": "<div>x" * 160_000,
+    "inline in table in paragraph": "<p><table>" + "<div><b>y</i>" * 70_000,
+    "cdata": "<![CDATA[" * 110_000,
+    "comments": "<!--" * 250_000,
+    "no end": "<a " * 330_000,
+    "quotes": """<p a=">" """ * 110_000,
+    "unclosed quotes": """<p a="'>""" * 110_000,
+    "scripts": "<title></titl" * 80_000,
+    "script ends": "<script>" + "</script" * 120_000,
+    "end tags": "<i>" * 100_000 + "</b>" * 170_000,
+    "references": "&#" + "9" * 1_000_000 + ";" + "&#1" * 10,
+    "list items": "<ul><li>" * 120_000,
+    "hearts": "I </3 you " * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_html_hostile_pages_take_linear_time(name):
+    began = time.perf_counter()
+    html_extract.Extractor.scores(html_extract.fit_extractor([(PAGE, {"Home": 0, "One.": 1})]), html_extract.leaf_blocks(HOSTILE[name]))
+    assert time.perf_counter() - began < 8  # about 1 s each on an idle machine; what grows with the square takes minutes
+
+
+def test_html_repeats_and_empty_table(spark):
+    df = spark.createDataFrame([(1, "u", PAGE, "clash")] * 3 + [(None, None, PAGE, None)], "page_id long, url string, html string, text string")
+    got = html_extract.extract_main_text(df, html_extract.fit_extractor(), ["page_id", "url"])
+    assert len({r.text for r in got.collect()}) == 1 and got.count() == 4
+    assert html_extract.extract_main_text(df.limit(0), html_extract.fit_extractor(), ["page_id", "url"]).count() == 0
+
+
 def test_html_contract(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "clash"), (2, "v", None, ""), (3, "w", "", ""), (4, "x", "<p>", ""), (5, "y", "a < b <c", "")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_extract.extract_main_text(df, html_extract.fit_extractor(), ["page_id", "url"]).collect()}
