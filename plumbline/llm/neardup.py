@@ -10,8 +10,9 @@ yields all its pairs:
 
 1. every member of a bucket is compared with the bucket's smallest member;
 2. buckets that still hold several components are gathered around their largest
-   component; the members outside it are compared with all members of other
-   components, block by block inside a task, which emits only confirmed links
+   component; the signatures of the members outside it are compared with those of
+   all members of other components, block by block inside a task. The full sets of
+   surviving pairs are then fetched for each block, which emits only confirmed links
    that join two components.
 
 Every pair that shares a band is thus compared or already connected. With 24
@@ -179,16 +180,10 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
     return np.rint(out).astype(np.int64)
 
 
-def _blocks(table: pa.Table, least: list[int], num: int, den: int) -> pa.Table:
-    """Confirmed links between outside members of a group and members of other components, for one pair of blocks.
-
-    A link is left out where earlier links of this block join its components already.
-    """
-    nothing = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+def _compared(table: pa.Table, least: list[int]) -> pa.Table:
+    """Pairs of an outside member and a member of another component whose signatures survive, for one pair of blocks."""
     side = table["outside"].to_numpy()
     out, rest = np.flatnonzero(side), np.flatnonzero(~side)
-    if not len(out) or not len(rest):
-        return nothing
     ids, comp = table["id"].to_numpy(), table["component"].to_numpy()
     sigs = _matrix(table["sig"].combine_chunks(), np.uint32)
     a, b = (x.ravel() for x in np.meshgrid(out, rest, indexing="ij"))
@@ -200,16 +195,23 @@ def _blocks(table: pa.Table, least: list[int], num: int, den: int) -> pa.Table:
         score += np.concatenate([(sigs[a[i : i + 8192], part] == sigs[b[i : i + 8192], part]).sum(1) for i in range(0, len(a), 8192)] or [np.zeros(0, int)]).astype(np.int32)
         alive = score >= need
         a, b, score = a[alive], b[alive], score[alive]
-    if not len(a):
+    columns = {c: pa.repeat(table[c][0], len(a)) for c in ("g", "joint", "i", "j")}
+    return pa.table(columns | {"a": ids[a], "b": ids[b], "ca": comp[a], "cb": comp[b]})
+
+
+def _verified(pairs: pa.Table, texts: pa.Table, num: int, den: int) -> pa.Table:
+    """Of the pairs of one pair of blocks, the links by full sets that join two components, earlier links counted."""
+    nothing = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not pairs.num_rows or not texts.num_rows:
         return nothing
-    raw, offs = K.buffer_of(table["set"].combine_chunks().cast(pa.large_binary()))
+    names = texts["id"].to_numpy()
+    raw, offs = K.buffer_of(texts["set"].combine_chunks().cast(pa.large_binary()))
     sets, offs = np.ascontiguousarray(raw).view(np.uint64), offs // 8
-    rows, ra = np.unique(a, return_inverse=True)
-    cols, cb = np.unique(b, return_inverse=True)
-    own = lambda r: sets[offs[r] : offs[r + 1]]
-    common = common_counts([own(r) for r in rows], [own(c) for c in cols])[ra, cb]
+    rows, cols = (np.flatnonzero(np.isin(names, pairs[c].to_numpy())) for c in "ab")
+    common = common_counts([sets[offs[r] : offs[r + 1]] for r in rows], [sets[offs[c] : offs[c + 1]] for c in cols])
     size = np.diff(offs)
-    good = np.flatnonzero(den * common >= num * (size[a] + size[b] - common))
+    good = den * common >= num * (size[rows][:, None] + size[cols][None, :] - common)
+    linked = {(int(names[rows[x]]), int(names[cols[y]])) for x, y in zip(*np.nonzero(good), strict=True)}
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -218,12 +220,12 @@ def _blocks(table: pa.Table, least: list[int], num: int, den: int) -> pa.Table:
         return x
 
     links = []
-    for k in good.tolist():
-        x, y = root(int(comp[a[k]])), root(int(comp[b[k]]))
-        if x != y:
+    for a, b, ca, cb in sorted(set(zip(*(pairs[c].to_pylist() for c in ("a", "b", "ca", "cb")), strict=True))):
+        x, y = root(ca), root(cb)
+        if x != y and (a, b) in linked:
             parent[max(x, y)] = min(x, y)
-            links.append(k)
-    return pa.table({"a": ids[a[links]], "b": ids[b[links]]}) if links else nothing
+            links.append((a, b))
+    return pa.table({"a": [a for a, _ in links], "b": [b for _, b in links]}) if links else nothing
 
 
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), shingle: int = 5, miss: float = 1e-5) -> DataFrame:
@@ -249,7 +251,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), shi
     buckets = member.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
     inside = cut(member.join(buckets.hint("merge"), ["band", "key"]).select("band", "key", "id", "pivot"))
     # text moves once; a merge join at every size, as the ids grow with the documents
-    active = cut(texts.join(inside.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(lambda it: _full(it, shingle), "id long, sig binary, set binary"))
+    active = cut(texts.join(inside.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(lambda it: _full(it, shingle), "id long, sig binary, set binary").filter("octet_length(set) > 0"))
 
     def beside(pairs: DataFrame, column: str) -> DataFrame:
         one = lambda side: active.select(F.col("id").alias(side), F.col(column).alias(f"x{side}"))
@@ -258,7 +260,12 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), shi
     stars = inside.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     likely = beside(stars, "sig").mapInArrow(lambda it: _pruned(it, least), "a long, b long")
     ready(spark, PAIRS_PER_BATCH)
-    links = cut(beside(likely, "set").mapInArrow(lambda it: _confirmed(it, num, den), "a long, b long"))
+    confirmed = beside(likely, "set").mapInArrow(lambda it: _confirmed(it, num, den), "a long, b long")
+    # rows that repeat a doc_id with other sets are one document: their classes are linked
+    several = full.groupBy("doc_id").agg(F.min(F.struct("n", "h1", "h2")).alias("lo"), F.max(F.struct("n", "h1", "h2")).alias("hi")).filter("lo <> hi").select("doc_id")
+    mine = full.select("doc_id", "n", "h1", "h2").join(several, "doc_id", "left_semi").join(classes, ["n", "h1", "h2"]).groupBy("doc_id", "rep").agg(F.count("*").alias("rows"))
+    same = mine.join(mine.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b"))
+    links = cut(confirmed.union(same))
     ready(spark)
     labels = connected_components(links)
 
@@ -282,11 +289,17 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), shi
     keyed = placed.join(dealt, ["band", "key"]).select("g", "joint", "id", "component", (F.col("component") != F.col("main")).alias("outside"))
     single = cut(keyed.groupBy("g", "joint", "id").agg(F.first("component").alias("component"), F.max("outside").alias("outside")))
     blocks = single.groupBy("g", "joint").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_all"), F.ceil(F.count_if("outside") / BLOCK).cast("int").alias("n_out"))
-    whole = single.join(blocks, ["g", "joint"]).join(active, "id")
-    fields = ["g", "joint", "id", "component", "sig", "set"]
+    whole = single.join(blocks, ["g", "joint"]).join(active.select("id", "sig"), "id")
+    fields = ["g", "joint", "id", "component", "sig"]
     as_out = whole.filter("outside").select(*fields, F.lit(True).alias("outside"), F.pmod(F.hash("id"), "n_out").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"))
     as_any = whole.select(*fields, F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"), F.pmod(F.hash("id"), "n_all").alias("j"))
-    found = cut(as_out.union(as_any).groupBy("g", "joint", "i", "j").applyInArrow(lambda t: _blocks(t, least, num, den), "a long, b long"))
+    block = ["g", "joint", "i", "j"]
+    kind = {f.name: f.dataType.simpleString() for f in as_out.schema.fields}
+    likely = cut(as_out.union(as_any).groupBy(*block).applyInArrow(lambda t: _compared(t, least), ", ".join(f"{c} {kind[c]}" for c in block) + ", a long, b long, ca long, cb long"))
+    # full sets move only for members of surviving pairs, once for each block
+    other = [F.col(c).alias(f"for_{c}") for c in block]
+    wanted = likely.select(*other, F.col("a").alias("id")).union(likely.select(*other, F.col("b").alias("id"))).distinct().join(active.select("id", "set"), "id")
+    found = cut(likely.groupBy(*block).cogroup(wanted.groupBy(*(f"for_{c}" for c in block))).applyInArrow(lambda pairs, texts: _verified(pairs, texts, num, den), "a long, b long"))
     if not found.isEmpty():
         old = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
         joins = cut(found.join(old("a"), "a", "left").join(old("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct())

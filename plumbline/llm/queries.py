@@ -28,7 +28,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = crc32_mod(F.col("doc_id"), 4)
     prototypes = fit_prototypes(docs.filter(fold != 2))
-    return identify(docs, prototypes, ["doc_id"]).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs, prototypes, ["doc_id"]).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,13 +48,13 @@ def marks(labels: DataFrame, label: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc32_mod(F.col("doc_id"), 5)
     model = fit_quality(docs, marks(table(spark, sf_dir, "labels"), "quality").filter(fold != 0))
-    return score_quality(docs, model, ["doc_id"]).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return score_quality(docs, model, ["doc_id"]).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc32_mod(F.col("doc_id"), 3)
     model = fit_toxicity(docs.filter(fold != 1), marks(table(spark, sf_dir, "labels"), "toxic").filter(fold != 1))
-    return score_toxicity(docs, model, ["doc_id"]).select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return score_toxicity(docs, model, ["doc_id"]).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

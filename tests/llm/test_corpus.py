@@ -80,6 +80,30 @@ def test_near_duplicates_edges(spark):
     assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in got) == [(-1, None, False), (7, 7, True), (7, 7, True), (9, 9, True)]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    one, two = " ".join(words(40, 1)), " ".join(words(40, 2))
+    rows = [(5, one, "", "", 0, 0.0, ""), (5, two, "", "", 0, 0.0, ""), (3, two, "", "", 0, 0.0, "")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (5, 3, False), (5, 3, False)]
+    texts = [*near_copies(5, 30, 12), *near_copies(6, 12, 14), None, "", *(" ".join(words(50, s)) for s in range(10))]
+    ids = [(i * 7) % 31 for i in range(len(texts))]
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [shingles(t) for t in texts]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            a, b = root(ids[i]), root(ids[j])
+            parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    got = neardup.near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted((i, len(s), root(i), root(i) == i) for i, s in zip(ids, sets, strict=True))
+
+
 def test_bayesian_bounds_keep_true_pairs():
     least = neardup.least_matches(0.75, 1e-5)
     assert len(least) == neardup.HASHES // neardup.STEP and all(b > a for a, b in itertools.pairwise(least))
