@@ -30,11 +30,12 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .session import ready
+from .session import cut, ready
 
 STEPS, COORDS, REPEATS = 16, 9, 4
 #: Items of fewer words are hashed as whole windows of their exact size, twice as many steps.
@@ -45,9 +46,10 @@ BLOCK_BYTES = 4 << 20
 TARGET = 0.99
 #: Characters in each half of a seed, for items of up to so many characters.
 HALVES = ((2, 11), (3, 39), (4, 1 << 40))
+#: An item that is asked for so many seeds is not sought by a single run of fewer than twice as many.
+LONE = 4
 #: Document windows that are compared with items at once, and numbers that characters are told apart by.
 WINDOWS, SYMBOLS = 4096, 64
-_BITS = 20
 _DROP = np.zeros(256, bool)
 _DROP[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
@@ -95,7 +97,7 @@ def walk(words: np.ndarray, starts: np.ndarray, repeat: int, coords: list[int],
         key = (key ^ here) * K.U64(0x9E3779B97F4A7C15)
         key ^= key >> K.U64(32)
         if admit is not None:
-            ok = np.flatnonzero(admit[level][(key & K.U64((1 << _BITS) - 1)).astype(np.int64)])
+            ok = np.flatnonzero(admit[level][(key & K.U64(len(admit[level]) - 1)).astype(np.int64)])
             begin, pos, key = begin[ok], pos[ok], key[ok]
         trail.append(key)
     return begin, pos, key, trail
@@ -127,9 +129,10 @@ class Index:
                 begin, last, key, trail = walk(seq, place[own], repeat, coords, None, size)
                 inside = np.ones(len(begin), bool) if size is not None else last < place[at[row[own]]] + counts[row[own]]
                 admit = []
+                room = 1 << max(10, min(24, (32 * int(inside.sum())).bit_length()))
                 for level in trail:
-                    bits = np.zeros(1 << _BITS, bool)
-                    bits[(level[inside] & K.U64((1 << _BITS) - 1)).astype(np.int64)] = True
+                    bits = np.zeros(room, bool)
+                    bits[(level[inside] & K.U64(room - 1)).astype(np.int64)] = True
                     admit.append(bits)
                 order = np.argsort(key[inside], kind="stable")
                 offset = begin[inside] - place[at[row[own][inside]]]
@@ -232,6 +235,9 @@ class Seeds:
     def windows(self, points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(item, place of a hit, lowest and highest first place of the item by the hits) of all windows that may hold an item; ``rows`` are the places where texts start."""
         found = [(np.zeros(0, np.int64),) * 4]
+        longest = int(self.length.max(initial=0))
+        room = (len(points) + 2 * longest + 1).bit_length()
+        mask, together = (1 << room) - 1, 1 << max(1, 62 - 2 * room)
         for half, shift, bits, keys, begins, sizes, items, offsets, asked in self.classes:
             mine, hits = grams(points, half), []
             for gap in (half, half + 1):
@@ -244,29 +250,44 @@ class Seeds:
                 lo, n = begins[slot], sizes[slot]
                 at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
                 place = np.repeat(place, n)
-                hits.append((items[at].astype(np.int64), place, place - offsets[at]))
-            item, place, first = (np.concatenate(x) for x in zip(*hits, strict=True))
-            line = (item << 40) + first + (1 << 39)
-            order = np.argsort(line)
-            item, place, first, line = item[order], place[order], first[order], line[order]
-            enough = np.searchsorted(line, line + self.most[item], "right") - np.arange(len(line)) >= asked[item]
-            # every diagonal within reach of a group that is large enough
-            ahead = np.maximum.accumulate(np.where(enough, line + self.most[item], -1)) if len(line) else line
-            ok = np.flatnonzero(line <= ahead)
-            item, place, first = item[ok], place[ok], first[ok]
-            bucket = first // (self.most[item] + 1)
-            new = np.ones(len(item), bool)
-            row = np.searchsorted(rows, place, "right")
-            new[1:] = (item[1:] != item[:-1]) | (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])
-            at = np.flatnonzero(new)
-            found.append(self._alike(points, item[at], place[at], first[at], first[np.append(at[1:], len(item))[: len(at)] - 1]))
+                hits.append((items[at].astype(np.int64), place - offsets[at] + longest, place))
+            all_items, diagonals, places = (np.concatenate(x) for x in zip(*hits, strict=True))
+            for base in range(0, len(self.length), together):  # one pass, unless a text is huge
+                mine_only = slice(None) if together >= len(self.length) else (all_items >= base) & (all_items < base + together)
+                # hits in the order of item, diagonal and place, all three in one number
+                key = np.sort(((all_items[mine_only] - base << room) + diagonals[mine_only] << room) | places[mine_only])
+                found.append(self._grouped(key, base, room, mask, longest, asked, points, rows))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def _grouped(self, key: np.ndarray, base: int, room: int, mask: int, longest: int, asked: np.ndarray, points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of enough hits, of those that may hold their item."""
+        line, place = key >> room, key & mask
+        item, first = (line >> room) + base, (line & mask) - longest
+        end = np.searchsorted(line, line + self.most[item], "right")
+        number = end - np.arange(len(line))
+        # runs of neighbouring seeds: a word or two that many texts share is one
+        new = np.ones(len(line) + 1, np.int64)
+        new[1:-1] = (line[1:] != line[:-1]) | (place[1:] > place[:-1] + 1)
+        before = np.cumsum(new) - new
+        runs, need = before[end] - before[:-1], asked[item]
+        enough = (number >= need) & ((need < LONE) | (runs > 1) | (number >= 2 * need))
+        # every diagonal within reach of a group that is large enough
+        ahead = np.maximum.accumulate(np.where(enough, line + self.most[item], -1)) if len(line) else line
+        ok = np.flatnonzero(line <= ahead)
+        item, place, first = item[ok], place[ok], first[ok]
+        bucket = first // (self.most[item] + 1)
+        new = np.ones(len(item), bool)
+        row = np.searchsorted(rows, place, "right")
+        new[1:] = (item[1:] != item[:-1]) | (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])
+        at = np.flatnonzero(new)
+        return self._alike(points, item[at], place[at], first[at], first[np.append(at[1:], len(item))[: len(at)] - 1])
+
     def _alike(self, points: np.ndarray, item: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         reach = int((self.length + 3 * self.most).max(initial=0)) + 64
         symbols = np.pad((points % SYMBOLS).astype(np.int64), reach)  # more text never adds edits
         edits = np.zeros(len(item), np.int64)
-        order = np.argsort(self.length[item], kind="stable")
+        span = -(-self.length[item] // np.maximum(1, self.pieces[item])) + 2 * self.most[item] + high - low
+        order = np.argsort(span, kind="stable")  # windows that are searched together are about as wide
         for i in range(0, len(order), WINDOWS):
             part, n = order[i : i + WINDOWS], 0
             while True:
@@ -397,22 +418,30 @@ def _clean(batches: Iterator[pa.RecordBatch], index: Index, tolerance: float) ->
         yield batch.filter(pa.array(ok)).select(range(batch.num_columns - 1))
 
 
-def _indexes(items: DataFrame) -> list:
-    """Broadcast indexes of the benchmark, in blocks of about BLOCK_BYTES of text by its measured size."""
+def _indexes(items: DataFrame) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcast indexes of the benchmark, one after the other, in blocks of about BLOCK_BYTES of text by its measured size; whether there are more than one."""
     context = items.sparkSession.sparkContext
     pool = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND length(text) > 0")
     passes = max(1, ceil((pool.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK_BYTES))
-    block = lambda k: sorted((r[0], r[1]) for r in pool.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect())
-    return [context.broadcast(Index(block(k))) for k in range(passes)]
+    for k in range(passes):
+        block = sorted((r[0], r[1]) for r in pool.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect())
+        yield context.broadcast(Index(block)), passes > 1
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", tolerance: float = 0.2) -> DataFrame:
-    """The columns ``keep`` of the documents that hold no benchmark item, judged as by ``leaks``; nothing is shuffled."""
+    """The columns ``keep`` of the documents that hold no benchmark item, judged as by ``leaks``; nothing is shuffled.
+
+    ``keep`` names the text column too. A benchmark of several blocks takes a pass for each, written as a table, so that one index is held at a time.
+    """
     ready(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    for index in _indexes(items):
-        rows = rows.mapInArrow(lambda it, index=index: _clean(it, index.value, tolerance), fields).withColumn("__text", F.col(text))
+    for index, more in _indexes(items):
+        rows = rows.mapInArrow(lambda it, index=index: _clean(it, index.value, tolerance), fields)
+        if more:
+            rows = cut(rows)
+            index.destroy()
+        rows = rows.withColumn("__text", F.col(text))
     return rows.drop("__text")
 
 
@@ -424,12 +453,16 @@ def leaks(docs: DataFrame, items: DataFrame, tolerance: float = 0.2) -> DataFram
     between words). One row for each pair of ids, with the fewest edits; rows that
     repeat a doc_id or item_id are one document or item. Null and empty texts, and
     texts of punctuation only, are never found and hold nothing. The benchmark goes
-    to every task, in as many passes as its measured size needs (BLOCK_BYTES each).
+    to every task, in as many passes as its measured size needs (BLOCK_BYTES each), one
+    after the other. Other columns of either table are ignored.
     """
     ready(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
     found = None
-    for index in _indexes(items):
+    for index, more in _indexes(items):
         part = texts.mapInArrow(lambda it, index=index: _leaks(it, index.value, tolerance), "doc_id long, item_id long, edits int, similarity double, first_word long")
+        if more:  # one index is held at a time
+            part = cut(part)
+            index.destroy()
         found = part if found is None else found.union(part)
     return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "first_word", "similarity")).alias("b")).select("doc_id", "item_id", "b.edits", "b.similarity", "b.first_word")

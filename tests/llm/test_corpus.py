@@ -439,8 +439,9 @@ def test_leak_recall_of_spread_edits():
         change = {"substitute": lambda c: rng.choice(letters.replace(c, "")), "insert": lambda c: c + rng.choice(letters), "delete": lambda c: ""}[kind]
         return "".join(change(c) if i in places else c for i, c in enumerate(text))
 
-    for n, rate, even in itertools.product((4, 8, 15, 40), (0.02, 0.05, 0.1, 0.2), (True, False)):
+    for n, rate, even in itertools.product((3, 5, 8, 11, 15, 60), (0.0, 0.05, 0.1, 0.2), (True, False)):
         items = [(i, some(n)) for i in range(30)]
+        rate = rate or 1.01 / min(len(t) for _, t in items)  # one edit
         kinds = ["substitute", "insert", "delete"]
         texts = [f"{some(20)} {edited(t, rate, kinds[i % 3], even)} {some(20)}" for i, t in items]
         found = decontam.find_items(pa.array([None, *texts, "é \u3042"]), decontam.Index(items), 0.2)
@@ -448,6 +449,21 @@ def test_leak_recall_of_spread_edits():
         recall = sum((i + 1, i) in hits for i in range(30)) / 30
         assert recall == 1 or (rate == 0.2 and recall >= 0.9), (n, rate, even, recall)
         assert n < 8 or len(hits) <= 30
+        if n < 9:  # what an exhaustive search finds
+            every = {(r + 1, i) for r, text in enumerate(texts) for i, item in items if decontam.best_place(item, text) <= int(0.2 * len(item))}
+            assert len(hits & every) >= 0.9 * len(every) and hits <= every
+
+
+def test_leaks_in_blocks_and_clashing_columns(spark, monkeypatch):
+    items = [(i, " ".join(words(2 + i, i, 10**6))) for i in range(14)]
+    assert sum(level.nbytes for t in decontam.Index(items).tables for level in t[3]) < 5e6  # all sizes from 2 words on
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {t} after", 99, 1.0) for i, t in items] + [(50, "clean", 1, 1.0), (50, "clean", 1, 1.0)], "doc_id long, text string, item_id long, edits double")
+    want = sorted(map(tuple, decontam.leaks(docs, bench).collect()))
+    assert [(d, i) for d, i, *_ in want] == [(i, i) for i, _ in items]
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
+    assert sorted(map(tuple, decontam.leaks(docs, bench).collect())) == want
+    assert [r.doc_id for r in decontam.without_leaks(docs, bench, ["doc_id", "text", "item_id"]).collect()] == [50, 50]
 
 
 # ---------------------------------------------------------------- kernel
