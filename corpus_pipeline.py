@@ -38,11 +38,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of every group of near-duplicates; of rows that repeat its doc_id, one."""
+    """Keep the first document of every group of near-duplicates; of rows that repeat its doc_id, the smallest by all columns."""
     gone = near_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     kept = docs.select(COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti").select(COLUMNS)
     repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.filter("doc_id IS NULL"))
+    if repeated.isEmpty():
+        return kept
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    several = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("one")).select("doc_id", "one.*").select(COLUMNS)
+    return kept.join(repeated.select("doc_id"), "doc_id", "left_anti").select(COLUMNS).union(several)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
