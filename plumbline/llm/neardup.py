@@ -11,8 +11,8 @@ yields all its pairs:
 1. every member of a bucket is compared with the bucket's smallest member;
 2. buckets that still hold several components are gathered around their largest
    component; the signatures of the members outside it are compared with those of
-   all members of other components, block by block inside a task. The full sets of
-   surviving pairs are then fetched for each block, which emits only confirmed links
+   all members of other components, block by block inside a task. Members of surviving
+   pairs come again with their full sets, and each block emits only confirmed links
    that join two components.
 
 Every pair that shares a band is thus compared or already connected. With 24
@@ -180,13 +180,11 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
     return np.rint(out).astype(np.int64)
 
 
-def _compared(table: pa.Table, least: list[int]) -> pa.Table:
-    """Pairs of an outside member and a member of another component whose signatures survive, for one pair of blocks."""
-    side = table["outside"].to_numpy()
-    out, rest = np.flatnonzero(side), np.flatnonzero(~side)
-    ids, comp = table["id"].to_numpy(), table["component"].to_numpy()
+def _alive(table: pa.Table, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of outside members and of members of other components whose signatures survive as pairs."""
+    side, comp = table["outside"].to_numpy(), table["component"].to_numpy()
     sigs = _matrix(table["sig"].combine_chunks(), np.uint32)
-    a, b = (x.ravel() for x in np.meshgrid(out, rest, indexing="ij"))
+    a, b = (x.ravel() for x in np.meshgrid(np.flatnonzero(side), np.flatnonzero(~side), indexing="ij"))
     apart = comp[a] != comp[b]
     a, b = a[apart], b[apart]
     score = np.zeros(len(a), np.int32)
@@ -195,23 +193,33 @@ def _compared(table: pa.Table, least: list[int]) -> pa.Table:
         score += np.concatenate([(sigs[a[i : i + 8192], part] == sigs[b[i : i + 8192], part]).sum(1) for i in range(0, len(a), 8192)] or [np.zeros(0, int)]).astype(np.int32)
         alive = score >= need
         a, b, score = a[alive], b[alive], score[alive]
-    columns = {c: pa.repeat(table[c][0], len(a)) for c in ("g", "joint", "i", "j")}
-    return pa.table(columns | {"a": ids[a], "b": ids[b], "ca": comp[a], "cb": comp[b]})
+    return a, b
+
+
+def _likely(table: pa.Table, least: list[int]) -> pa.Table:
+    """The rows of one pair of blocks that are in any surviving pair, without their signatures."""
+    a, b = _alive(table, least)
+    return table.drop_columns(["sig"]).take(pa.array(np.union1d(a, b)))
 
 
-def _verified(pairs: pa.Table, texts: pa.Table, num: int, den: int) -> pa.Table:
-    """Of the pairs of one pair of blocks, the links by full sets that join two components, earlier links counted."""
+def _blocks(table: pa.Table, least: list[int], num: int, den: int) -> pa.Table:
+    """Confirmed links between outside members of a group and members of other components, for one pair of blocks.
+
+    A link is left out where earlier links of this block join its components already.
+    """
     nothing = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    if not pairs.num_rows or not texts.num_rows:
+    ids, comp = table["id"].to_numpy(), table["component"].to_numpy()
+    a, b = _alive(table, least)
+    if not len(a):
         return nothing
-    names = texts["id"].to_numpy()
-    raw, offs = K.buffer_of(texts["set"].combine_chunks().cast(pa.large_binary()))
+    raw, offs = K.buffer_of(table["set"].combine_chunks().cast(pa.large_binary()))
     sets, offs = np.ascontiguousarray(raw).view(np.uint64), offs // 8
-    rows, cols = (np.flatnonzero(np.isin(names, pairs[c].to_numpy())) for c in "ab")
-    common = common_counts([sets[offs[r] : offs[r + 1]] for r in rows], [sets[offs[c] : offs[c + 1]] for c in cols])
+    rows, ra = np.unique(a, return_inverse=True)
+    cols, cb = np.unique(b, return_inverse=True)
+    own = lambda r: sets[offs[r] : offs[r + 1]]
+    common = common_counts([own(r) for r in rows], [own(c) for c in cols])[ra, cb]
     size = np.diff(offs)
-    good = den * common >= num * (size[rows][:, None] + size[cols][None, :] - common)
-    linked = {(int(names[rows[x]]), int(names[cols[y]])) for x, y in zip(*np.nonzero(good), strict=True)}
+    good = np.flatnonzero(den * common >= num * (size[a] + size[b] - common))
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -220,12 +228,12 @@ def _verified(pairs: pa.Table, texts: pa.Table, num: int, den: int) -> pa.Table:
         return x
 
     links = []
-    for a, b, ca, cb in sorted(set(zip(*(pairs[c].to_pylist() for c in ("a", "b", "ca", "cb")), strict=True))):
-        x, y = root(ca), root(cb)
-        if x != y and (a, b) in linked:
+    for k in good.tolist():
+        x, y = root(int(comp[a[k]])), root(int(comp[b[k]]))
+        if x != y:
             parent[max(x, y)] = min(x, y)
-            links.append((a, b))
-    return pa.table({"a": [a for a, _ in links], "b": [b for _, b in links]}) if links else nothing
+            links.append(k)
+    return pa.table({"a": ids[a[links]], "b": ids[b[links]]}) if links else nothing
 
 
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), shingle: int = 5, miss: float = 1e-5) -> DataFrame:
@@ -294,12 +302,11 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), shi
     as_out = whole.filter("outside").select(*fields, F.lit(True).alias("outside"), F.pmod(F.hash("id"), "n_out").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"))
     as_any = whole.select(*fields, F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"), F.pmod(F.hash("id"), "n_all").alias("j"))
     block = ["g", "joint", "i", "j"]
-    kind = {f.name: f.dataType.simpleString() for f in as_out.schema.fields}
-    likely = cut(as_out.union(as_any).groupBy(*block).applyInArrow(lambda t: _compared(t, least), ", ".join(f"{c} {kind[c]}" for c in block) + ", a long, b long, ca long, cb long"))
-    # full sets move only for members of surviving pairs, once for each block
-    other = [F.col(c).alias(f"for_{c}") for c in block]
-    wanted = likely.select(*other, F.col("a").alias("id")).union(likely.select(*other, F.col("b").alias("id"))).distinct().join(active.select("id", "set"), "id")
-    found = cut(likely.groupBy(*block).cogroup(wanted.groupBy(*(f"for_{c}" for c in block))).applyInArrow(lambda pairs, texts: _verified(pairs, texts, num, den), "a long, b long"))
+    plain = [f for f in as_out.schema.fields if f.name != "sig"]
+    likely = cut(as_out.union(as_any).groupBy(*block).applyInArrow(lambda t: _likely(t, least), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain)))
+    # full sets move only for members of surviving pairs
+    full_rows = likely.join(active, "id").select(*block, "id", "component", "outside", "sig", "set")
+    found = cut(full_rows.groupBy(*block).applyInArrow(lambda t: _blocks(t, least, num, den), "a long, b long"))
     if not found.isEmpty():
         old = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
         joins = cut(found.join(old("a"), "a", "left").join(old("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct())
