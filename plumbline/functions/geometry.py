@@ -69,6 +69,13 @@ def invert_matrix(m: str, x, y) -> tuple[Column, Column]:
     return (g("d") * px - g("c") * py) / det, (g("a") * py - g("b") * px) / det
 
 
+def apply_matrix_box(m: str, x0, y0, x1, y1) -> tuple[Column, Column, Column, Column]:
+    """The upright box around a transformed box: x0, y0, x1, y1."""
+    corners = [apply_matrix(m, x, y) for x in (x0, x1) for y in (y0, y1)]
+    xs, ys = [p[0] for p in corners], [p[1] for p in corners]
+    return F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)
+
+
 def scale_factor(m: str) -> Column:
     g = lambda k: F.col(f"{m}.{k}")
     return F.sqrt(F.abs(g("a") * g("d") - g("b") * g("c")))
@@ -103,6 +110,24 @@ def box_area(x0, y0, x1, y1) -> Column:
     return F.greatest(F.lit(0.0), c(x1) - c(x0)) * F.greatest(F.lit(0.0), c(y1) - c(y0))
 
 
+def box_middle(x0, y0, x1, y1) -> tuple[Column, Column]:
+    return (c(x0) + c(x1)) / 2, (c(y0) + c(y1)) / 2
+
+
+def box_inside(inner: tuple, outer: tuple) -> Column:
+    """Whether a box lies in another with all four sides."""
+    ix0, iy0, ix1, iy1 = map(c, inner)
+    ox0, oy0, ox1, oy1 = map(c, outer)
+    return (ix0 >= ox0) & (iy0 >= oy0) & (ix1 <= ox1) & (iy1 <= oy1)
+
+
+def middle_inside(inner: tuple, outer: tuple) -> Column:
+    """Whether a box's middle lies in another box."""
+    mx, my = box_middle(*inner)
+    ox0, oy0, ox1, oy1 = map(c, outer)
+    return mx.between(ox0, ox1) & my.between(oy0, oy1)
+
+
 def overlap_fraction(inner: tuple, outer: tuple) -> Column:
     """Share of the inner box inside the outer; a box without area counts by its middle."""
     ix0, iy0, ix1, iy1 = map(c, inner)
@@ -150,6 +175,12 @@ def metres(points, scale) -> Column:
     return c(points) * (MM_PER_PT / 1000) * known
 
 
+def points_of_mm(mm, scale) -> Column:
+    """Length in points of a length in millimetres of the real thing at a scale; an error without a scale."""
+    known = F.when(c(scale).isNull(), F.raise_error(F.lit("the scale is not known")).cast("double")).otherwise(c(scale))
+    return c(mm) / (known * MM_PER_PT)
+
+
 def bezier_points(p: list[tuple], parts) -> Column:
     """Points at k / parts, k = 0..parts, of a cubic with four control points."""
     xs, ys = [c(q[0]) for q in p], [c(q[1]) for q in p]

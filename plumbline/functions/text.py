@@ -84,6 +84,17 @@ def layer_matches(layer: Column, tokens: list[str]) -> Column:
     return F.coalesce((layer != "") & hit, F.lit(False))
 
 
+def layer_matches_any(layer: Column, tokens: Column) -> Column:
+    """The same with the tokens in an array column; no token, or none at all, matches nothing."""
+    marked = F.concat(F.lit("|"), layer, F.lit("|"))
+    return F.coalesce((layer != "") & F.exists(tokens, lambda t: F.contains(marked, t)), F.lit(False))
+
+
+def rule_applies(valid: Column, tokens: Column, rule_project: Column, project: Column) -> Column:
+    """Whether a project's layer rule may be used for a drawing: valid, with tokens, and of the same project."""
+    return F.coalesce(valid & (F.size(tokens) > 0) & (rule_project == project), F.lit(False))
+
+
 def slug(key: Column) -> Column:
     return F.regexp_replace(key, "[^A-Za-z0-9_.-]", "_")
 

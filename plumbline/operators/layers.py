@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import spatial as S
+
+
+def project_keys(layers: DataFrame, keys: list[str]) -> DataFrame:
+    """The project of every drawing (keys, project_key, n): the leading field of the most frequent prefix of its distinct layers (two at least, else null); ties by the first layer."""
+    named = layers.select(*keys, "layer").distinct().filter(F.col("layer").contains("|"))
+    mode = S.first_mode(named.withColumn("prefix", F.split_part("layer", F.lit("|"), F.lit(1))), keys, "prefix", "layer")
+    lead = F.nullif(F.trim(F.split_part("prefix", F.lit("-"), F.lit(1))), F.lit(""))
+    return mode.select(*keys, F.when(F.col("n") >= 2, F.coalesce(lead, "prefix")).alias("project_key"), "n")
+
 
 def token_candidates(layers: DataFrame, most_fields: int = 3, most_chars: int = 16) -> DataFrame:
     """Delimited fields of layer names (layer, wanted): (token, n_fields, covered, negatives).

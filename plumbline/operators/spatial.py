@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.shared import cut
 
 
 def around(column: Column, size: Column | float) -> Column:
@@ -32,13 +33,20 @@ def endpoints(segments: DataFrame, keys: list[str]) -> DataFrame:
     return one("ax", "ay").union(one("bx", "by_")).distinct()
 
 
-def connectivity(segments: DataFrame, keys: list[str], eps: float) -> DataFrame:
-    """Share of a group's paths with a point within eps of another path of the group: (keys, n_paths, n_touching, connectivity)."""
-    points = endpoints(segments, keys)
-    near = points.withColumn("cx", F.explode(around(F.col("x"), eps))).withColumn("cy", F.explode(around(F.col("y"), eps)))
-    here = points.select(*keys, F.col("path_id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), G.grid_cell("x", eps).alias("cx"), G.grid_cell("y", eps).alias("cy"))
-    # a cell is compared through one row for each path and point; touching paths only are kept
-    touching = near.join(here, [*keys, "cx", "cy"]).filter((F.col("path_id") != F.col("other")) & (G.distance("x", "y", "ox", "oy") <= eps)).select(*keys, "path_id").distinct()
+def connectivity(segments: DataFrame, keys: list[str], eps: float | str) -> DataFrame:
+    """Share of a group's paths with a point within eps of another path of the group: (keys, n_paths, n_touching, connectivity).
+
+    ``eps`` is a length, or the name of a column that is constant in a group. Of equal points in a group
+    one row with the first and the last path stands for all, so a crowded place costs one row.
+    """
+    near_by = segments.withColumn("eps", F.greatest(F.col(eps) if isinstance(eps, str) else F.lit(float(eps)), F.lit(1e-9)))
+    points = endpoints(near_by, [*keys, "eps"])
+    spots = points.groupBy(*keys, "eps", "x", "y").agg(F.min("path_id").alias("low"), F.max("path_id").alias("high"))
+    near = spots.withColumn("cx", F.explode(around(F.col("x"), F.col("eps")))).withColumn("cy", F.explode(around(F.col("y"), F.col("eps"))))
+    here = spots.select(*keys, F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("x").alias("ox"), F.col("y").alias("oy"), G.grid_cell("x", "eps").alias("cx"), G.grid_cell("y", "eps").alias("cy"))
+    close = near.join(here, [*keys, "cx", "cy"]).filter(G.distance("x", "y", "ox", "oy") <= F.col("eps")).groupBy(*keys, "x", "y").agg(F.min("low2").alias("first"), F.max("high2").alias("last"))
+    # a path touches another where the paths around its point are not all itself
+    touching = points.join(close, [*keys, "x", "y"]).filter((F.col("first") != F.col("path_id")) | (F.col("last") != F.col("path_id"))).select(*keys, "path_id").distinct()
     sizes = segments.groupBy(*keys).agg(F.count_distinct("path_id").alias("n_paths"))
     found = touching.groupBy(*keys).agg(F.count("*").alias("n_touching"))
     return sizes.join(found, keys, "left").select(*keys, "n_paths", F.coalesce("n_touching", F.lit(0)).alias("n_touching"), (F.coalesce("n_touching", F.lit(0)) / F.col("n_paths")).alias("connectivity"))
@@ -53,11 +61,11 @@ def axis_lines(segments: DataFrame, keys: list[str], tolerance: float = 0.02) ->
     return lines.select(*keys, "path_id", "seg_no", "axis", "len", across("ay", "ax").alias("at"), F.least(across("ax", "ay"), across("bx", "by_")).alias("lo"), F.greatest(across("ax", "ay"), across("bx", "by_")).alias("hi"))
 
 
-def parallel_pairs(lines: DataFrame, keys: list[str], reach: float, overlap: float) -> DataFrame:
+def parallel_pairs(lines: DataFrame, keys: list[str], reach: float | Column, overlap: float) -> DataFrame:
     """Pairs of lines of one axis within ``reach`` of each other whose common stretch exceeds ``overlap`` of the shorter.
 
-    One row for each pair, the first by (at, path, segment): (keys, axis, path_id,
-    seg_no, len, other_len, gap). Bins of size ``reach``; the second line is looked up in its own and the
+    One row for each pair, the first by (at, path, segment): (keys, axis, at, path_id,
+    seg_no, len, other_len, gap). ``reach`` may be a column that is constant in a group. Bins of size ``reach``; the second line is looked up in its own and the
     next bin only, as it lies no lower.
     """
     one = lines.withColumn("bin", F.explode(F.array(G.grid_cell("at", reach), G.grid_cell("at", reach) + 1)))
@@ -65,7 +73,7 @@ def parallel_pairs(lines: DataFrame, keys: list[str], reach: float, overlap: flo
     gap = F.col("at2") - F.col("at")
     later = (gap > 0) | ((gap == 0) & (F.struct("path2", "seg2") > F.struct("path_id", "seg_no")))
     common = F.least("hi", "hi2") - F.greatest("lo", "lo2")
-    return one.join(two, [*keys, "axis", "bin"]).filter(later & (gap <= reach) & (common > F.least("len", "other_len") * overlap)).select(*keys, "axis", "path_id", "seg_no", "len", "other_len", gap.alias("gap"))
+    return one.join(two, [*keys, "axis", "bin"]).filter(later & (gap <= reach) & (common > F.least("len", "other_len") * overlap)).select(*keys, "axis", "at", "path_id", "seg_no", "len", "other_len", gap.alias("gap"))
 
 
 def pair_spacings(segments: DataFrame, keys: list[str], most: float) -> DataFrame:
@@ -74,13 +82,16 @@ def pair_spacings(segments: DataFrame, keys: list[str], most: float) -> DataFram
     return pairs.groupBy(*keys, F.round("gap", 1).alias("spacing")).agg(F.count("*").alias("n"))
 
 
-def paired_share(segments: DataFrame, keys: list[str], lo: float, hi: float, overlap: float = 0.7, least: int = 8) -> DataFrame:
+def paired_share(segments: DataFrame, keys: list[str], lo: float | Column, hi: float | Column, overlap: float = 0.7, least: int = 8) -> DataFrame:
     """Share of a group's length in segments with a later parallel partner at lo..hi (walls, double lines).
 
-    Only segments longer than ``hi`` count; a group with fewer than ``least`` of them has share 0.
+    Only segments longer than ``hi`` count; a group with fewer than ``least`` of them has share 0. ``lo`` and ``hi`` may be
+    columns of the segments that are constant in a group.
     """
-    long = segments.filter(G.distance("ax", "ay", "bx", "by_") > hi)
-    pairs = parallel_pairs(axis_lines(long, keys), keys, hi, overlap).filter(F.col("gap") >= lo)
+    low, high = (x if isinstance(x, Column) else F.lit(float(x)) for x in (lo, hi))
+    long = segments.withColumns({"_lo": low, "_hi": high}).filter(G.distance("ax", "ay", "bx", "by_") > F.col("_hi"))
+    own = [*keys, "_lo", "_hi"]
+    pairs = parallel_pairs(axis_lines(long, own), own, F.col("_hi"), overlap).filter(F.col("gap") >= F.col("_lo"))
     paired = pairs.select(*keys, "path_id", "seg_no", "len").distinct().groupBy(*keys).agg(F.sum("len").alias("paired"))
     total = long.groupBy(*keys).agg(F.sum(G.distance("ax", "ay", "bx", "by_")).alias("total"), F.count("*").alias("n_long"))
     share = F.when((F.col("n_long") >= least) & (F.col("total") > 0), F.coalesce("paired", F.lit(0.0)) / F.col("total")).otherwise(0.0)
@@ -93,34 +104,59 @@ def representation(segments: DataFrame, keys: list[str], width: float) -> DataFr
     return shares.select(*keys, F.when(F.col("share") > 0.5, "double_line").otherwise("single_line").alias("representation"))
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, keys: list[str], reach: float) -> DataFrame:
-    """The nearest segment within ``reach`` of every point: (keys, point_id, path_id, seg_no, distance).
+def _cells_on(size: float, *corners: str) -> Column:
+    """Cells of ``size`` that hold a point of a segment, sampled every third of a cell; each once."""
+    ax, ay, bx, by = (F.col(c) for c in corners)
+    n = F.ceil(G.distance(ax, ay, bx, by) * 3 / size).cast("int")
+    at = lambda a, b, k: a + (b - a) * F.when(n > 0, k / n).otherwise(0.0)
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), n), lambda k: F.struct(G.grid_cell(at(ax, bx, k), size).alias("cx"), G.grid_cell(at(ay, by, k), size).alias("cy"))))
+
 
-    A segment is written to every cell of size ``reach`` around its box, a point to its
-    own; ties go to the smallest path and segment. Points without a segment in reach are left out.
+def nearest_segment(points: DataFrame, segments: DataFrame, keys: list[str], reach: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The nearest segment within ``reach`` of every point: (keys, point_id, path_id, seg_no, distance, carried columns of the segment).
+
+    Cells are three reaches wide. A segment is written to the cells along its line, however long it is, a point to the at
+    most four cells that its surroundings touch: the next sample of a segment in reach is at most 1.5 reaches away.
+    Ties go to the smallest path and segment (then by the carried columns). Points without a segment in reach are left out.
     """
-    span = lambda a, b: cells_along(F.least(a, b) - reach, F.greatest(a, b) + reach, reach)
-    spread = segments.withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by_")))
-    own = points.withColumn("cx", G.grid_cell("x", reach)).withColumn("cy", G.grid_cell("y", reach))
+    size = 3.0 * reach
+    lined = segments.withColumn("cell", F.explode(_cells_on(size, "ax", "ay", "bx", "by_"))).withColumns({"cx": F.col("cell.cx"), "cy": F.col("cell.cy")})
+    beside = lambda c: F.explode(F.array_distinct(F.array(G.grid_cell(F.col(c) - 1.5 * reach, size), G.grid_cell(F.col(c) + 1.5 * reach, size))))
+    own = points.select(*keys, "point_id", "x", "y").withColumn("cx", beside("x")).withColumn("cy", beside("y"))
     d = G.point_segment_distance("x", "y", "ax", "ay", "bx", "by_")
-    best = own.join(spread, [*keys, "cx", "cy"]).withColumn("d", d).filter(F.col("d") <= reach).groupBy(*keys, "point_id").agg(F.min(F.struct("d", "path_id", "seg_no")).alias("m"))
-    return best.select(*keys, "point_id", "m.path_id", "m.seg_no", F.col("m.d").alias("distance"))
+    joined = own.join(lined.select(*keys, "cx", "cy", "path_id", "seg_no", "ax", "ay", "bx", "by_", *carry), [*keys, "cx", "cy"])
+    best = joined.withColumn("d", d).filter(F.col("d") <= reach).groupBy(*keys, "point_id").agg(F.min(F.struct("d", "path_id", "seg_no", *carry)).alias("m"))
+    return best.select(*keys, "point_id", "m.path_id", "m.seg_no", F.col("m.d").alias("distance"), *(f"m.{c}" for c in carry))
 
 
-def touching_boxes(boxes: DataFrame, keys: list[str], gap_x: float, gap_y: float) -> DataFrame:
+def touching_boxes(boxes: DataFrame, keys: list[str], gap_x: float | Column, gap_y: float | Column) -> DataFrame:
     """Pairs of boxes (box_id, x0, y0, x1, y1) at most gap_x and gap_y apart: (keys, a, b), a < b.
 
-    A box is written to every cell it meets, widened by the gaps, so large boxes are found too.
+    Boxes are compared within cells as large as the gaps ask for, or as their own sides where those are longer: a box
+    belongs to the level of its longer side (powers of two of the least cell) and is written to the at most nine cells of
+    that level it meets; it is looked up on every level that its drawing has. So neither a gap of 0 nor a huge box among
+    small ones makes many cells. The gaps may be columns that are constant in a drawing.
     """
-    sx, sy = max(8 * gap_x, 1e-6), max(8 * gap_y, 1e-6)
-    wide = boxes.withColumn("cx", F.explode(cells_along(F.col("x0"), F.col("x1") + gap_x, sx))).withColumn("cy", F.explode(cells_along(F.col("y0"), F.col("y1") + gap_y, sy)))
-    left = wide.select(*keys, "cx", "cy", F.col("box_id").alias("a"), *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
-    right = wide.select(*keys, "cx", "cy", F.col("box_id").alias("b"), *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
+    gaps = {"gx": gap_x if isinstance(gap_x, Column) else F.lit(float(gap_x)), "gy": gap_y if isinstance(gap_y, Column) else F.lit(float(gap_y))}
+    gap_x, gap_y = F.col("gx"), F.col("gy")
+    least = F.greatest(gap_x * 8, gap_y * 8, F.lit(1.0))
+    level = lambda w, h: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(w, h) / least))).cast("int")
+    sized = boxes.withColumns(gaps).select(*keys, "gx", "gy", "box_id", "x0", "y0", "x1", "y1").withColumn("level", level(F.greatest(F.col("x1") - F.col("x0") + gap_x, F.lit(1e-9)), F.greatest(F.col("y1") - F.col("y0") + gap_y, F.lit(1e-9))))
+    size = F.pow(F.lit(2.0), F.col("level")) * least
+    cell = lambda v: F.floor(v / size)
+    spread = lambda df: df.withColumn("cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1") + gap_x)))).withColumn("cy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1") + gap_y))))
+    levels = sized.groupBy(*keys).agg(F.collect_set("level").alias("levels"))
+    # a box meets few cells of its own level and of the coarser ones; finer boxes find it there
+    up = sized.withColumnRenamed("level", "own").join(levels, keys).withColumn("level", F.explode(F.filter("levels", lambda v: v >= F.col("own"))))
+    right = spread(sized).select(*keys, "level", "cx", "cy", F.col("box_id").alias("b"), *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
+    left = spread(up).select(*keys, "gx", "gy", "level", "own", "cx", "cy", F.col("box_id").alias("a"), *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
     near = (F.col("ax1") + gap_x >= F.col("bx0")) & (F.col("bx1") + gap_x >= F.col("ax0")) & (F.col("ay1") + gap_y >= F.col("by0")) & (F.col("by1") + gap_y >= F.col("ay0"))
-    return left.join(right, [*keys, "cx", "cy"]).filter((F.col("a") < F.col("b")) & near).select(*keys, "a", "b").distinct()
+    # on its own level a pair is met from both sides
+    pairs = left.join(right, [*keys, "level", "cx", "cy"]).filter((F.col("a") != F.col("b")) & ((F.col("own") < F.col("level")) | (F.col("a") < F.col("b"))) & near)
+    return pairs.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def covered_cells(segments: DataFrame, keys: list[str], cell: float) -> DataFrame:
+def covered_cells(segments: DataFrame, keys: list[str], cell: float | Column) -> DataFrame:
     """Cells that the segments pass, sampled once for each cell length: (keys, cx, cy)."""
     n = F.greatest(F.lit(1), (G.distance("ax", "ay", "bx", "by_") / cell).cast("int"))
     sampled = segments.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
@@ -135,7 +171,7 @@ def dilate(cells: DataFrame, keys: list[str], radius: int) -> DataFrame:
     return cells.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).select(*keys, (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy")).distinct()
 
 
-def masked(segments: DataFrame, mask: DataFrame, keys: list[str], cell: float) -> DataFrame:
+def masked(segments: DataFrame, mask: DataFrame, keys: list[str], cell: float | Column) -> DataFrame:
     """Segments with ``masked``: whether their middle lies in a cell of the mask (an equi join; nothing is dropped)."""
     middle = segments.withColumn("cx", G.grid_cell((F.col("ax") + F.col("bx")) / 2, cell)).withColumn("cy", G.grid_cell((F.col("ay") + F.col("by_")) / 2, cell))
     return middle.join(mask.select(*keys, "cx", "cy").distinct().withColumn("masked", F.lit(True)), [*keys, "cx", "cy"], "left").withColumn("masked", F.coalesce("masked", F.lit(False))).drop("cx", "cy")
@@ -157,61 +193,53 @@ def parallel_pitch(segments: DataFrame, keys: list[str], least_lines: int = 20,
 
     Lines of the modal direction (to 0.01, ties: the first seen) are ordered across it; the
     neighbour of a line is the nearest later one, more than 0.05 away, that overlaps it by over 30 %.
-    Groups with too few lines or neighbours have pitch and regularity 0. The neighbour has no
-    greatest distance, so a group is searched as one; groups spread over the cluster.
+    Groups with too few lines or neighbours have pitch and regularity 0. The neighbour has no greatest distance: lines are
+    looked for in bins of about four lines, then lines without one in bins twice as wide, and so on; every round is a join
+    on bins, and a line that nothing can follow drops out.
+    """
+    angle = G.undirected_angle(F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay"))
+    solid = segments.select(*keys, "path_id", "seg_no", "ax", "ay", "bx", "by_").filter("ax <> bx OR ay <> by_").withColumn("angle", angle).withColumn("direction", F.bround("angle", 2)).withColumn("ordinal", F.struct("path_id", "seg_no"))
+    enough = solid.groupBy(*keys).agg(F.count("*").alias("lines")).filter(F.col("lines") >= least_lines).select(*keys)
+    main = first_mode(solid, keys, "direction", "ordinal").join(enough, keys, "left_semi").select(*keys, F.col("direction").alias("main"))
+    along = lambda x, y: F.col(x) * F.cos("main") + F.col(y) * F.sin("main")
+    turned = solid.join(main, keys).filter(G.angle_between(F.col("angle"), F.col("main")) < 0.05)
+    lined = turned.select(*keys, (F.col("ax") * -F.sin("main") + F.col("ay") * F.cos("main")).alias("across"), F.least(along("ax", "ay"), along("bx", "by_")).alias("lo"), F.greatest(along("ax", "ay"), along("bx", "by_")).alias("hi"))
+    lines = cut(lined.withColumn("line", F.monotonically_increasing_id()))
+    extent = lines.groupBy(*keys).agg(F.count("*").alias("n"), F.min("across").alias("first"), F.max("across").alias("last")).filter(F.col("n") >= least_lines)
+    open_ = cut(lines.join(extent, keys).select(*lines.columns, "last", F.greatest((F.col("last") - F.col("first")) / F.col("n") * 4, F.lit(0.1)).alias("reach")))
+    settled: list[DataFrame] = []
+    while not open_.isEmpty():
+        reaches = open_.select(*keys, "reach").distinct()
+        near = lines.join(reaches, keys).select(*keys, F.col("across").alias("across2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.floor(F.col("across") / F.col("reach")).alias("bin"))
+        here = open_.withColumn("bin", F.explode(F.array(*(F.floor(F.col("across") / F.col("reach")) + k for k in (0, 1)))))
+        gap = F.col("across2") - F.col("across")
+        common = F.least("hi", "hi2") - F.greatest("lo", "lo2")
+        shorter = F.least(F.col("hi") - F.col("lo"), F.col("hi2") - F.col("lo2"))
+        nearest = here.join(near, [*keys, "bin"]).filter((gap > 0.05) & (gap <= F.col("reach")) & (common > shorter * 0.3)).groupBy(*keys, "line").agg(F.min(gap).alias("gap"))
+        tried = cut(open_.join(nearest, [*keys, "line"], "left"))
+        settled.append(tried.filter("gap IS NOT NULL").select(*keys, "across", "lo", "hi", "gap"))
+        open_ = tried.filter("gap IS NULL AND reach < last - across").withColumn("reach", F.col("reach") * 2).drop("gap")
+    groups = segments.select(*keys).distinct()
+    if not settled:
+        return groups.select(*keys, F.lit(0.0).alias("pitch"), F.lit(0.0).alias("regularity"))
+    gaps = settled[0]
+    for more in settled[1:]:
+        gaps = gaps.union(more)
+    gaps = gaps.withColumns({"rounded": F.round("gap", 1), "ordinal": F.struct("across", "lo", "hi")})
+    pitch = first_mode(gaps, keys, "rounded", "ordinal").select(*keys, F.col("rounded").alias("pitch"))
+    rated = gaps.join(pitch, keys).groupBy(*keys, "pitch").agg(F.count("*").alias("n"), F.avg((F.abs(F.col("gap") - F.col("pitch")) <= F.col("pitch") * 0.15).cast("double")).alias("regularity")).filter(F.col("n") >= least_neighbours)
+    return groups.join(rated, keys, "left").select(*keys, F.coalesce("pitch", F.lit(0.0)).alias("pitch"), F.coalesce("regularity", F.lit(0.0)).alias("regularity"))
+
+
+def symbol_instances(boxes: DataFrame, links: DataFrame, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Joined boxes of every component: (keys, symbol_id, x, y, w, h, n_boxes, carried columns of the first box).
+
+    ``links(keys, node, component)`` of linked boxes; a box without one is a symbol of its own.
     """
-    import numpy as np
-    import pandas as pd
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf[keys].iloc[:1].reset_index(drop=True)
-
-        def answer(pitch: float, share: float) -> pd.DataFrame:
-            return head.assign(pitch=pitch, regularity=share)
-
-        pdf = pdf.sort_values(["path_id", "seg_no"])
-        dx, dy = pdf.bx.to_numpy() - pdf.ax.to_numpy(), pdf.by_.to_numpy() - pdf.ay.to_numpy()
-        pdf, dx, dy = pdf[(dx != 0) | (dy != 0)], dx[(dx != 0) | (dy != 0)], dy[(dx != 0) | (dy != 0)]
-        if len(pdf) < least_lines:
-            return answer(0.0, 0.0)
-        angle = np.arctan2(dy, dx) % np.pi
-        values, first, counts = np.unique(np.round(angle, 2), return_index=True, return_counts=True)
-        main = values[np.lexsort((first, -counts))[0]]
-        off = np.abs(angle - main)
-        sel = np.minimum(off, np.pi - off) < 0.05
-        if sel.sum() < least_lines:
-            return answer(0.0, 0.0)
-        pts = pdf[sel]
-        across = pts.ax.to_numpy() * -np.sin(main) + pts.ay.to_numpy() * np.cos(main)
-        s = pts.ax.to_numpy() * np.cos(main) + pts.ay.to_numpy() * np.sin(main)
-        e = pts.bx.to_numpy() * np.cos(main) + pts.by_.to_numpy() * np.sin(main)
-        lo, hi = np.minimum(s, e), np.maximum(s, e)
-        order = np.lexsort((hi, lo, across))
-        across, lo, hi = across[order], lo[order], hi[order]
-        gaps = []
-        for i in range(len(across) - 1):
-            j = np.searchsorted(across, across[i] + 0.05, "right")
-            common = np.minimum(hi[i], hi[j:]) - np.maximum(lo[i], lo[j:])
-            hit = np.flatnonzero((across[j:] - across[i] > 0.05) & (common > 0.3 * np.minimum(hi[i] - lo[i], hi[j:] - lo[j:])))
-            if len(hit):
-                gaps.append(across[j + hit[0]] - across[i])
-        if len(gaps) < least_neighbours:
-            return answer(0.0, 0.0)
-        gaps_ = np.array(gaps)
-        values, first, counts = np.unique(np.round(gaps_, 1), return_index=True, return_counts=True)
-        pitch = float(values[np.lexsort((first, -counts))[0]])
-        return answer(pitch, float((np.abs(gaps_ - pitch) <= pitch * 0.15).mean()))
-
-    kinds = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pitch double, regularity double"
-    return segments.select(*keys, "path_id", "seg_no", "ax", "ay", "bx", "by_").groupBy(*keys).applyInPandas(group, schema)
-
-
-def symbol_instances(boxes: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
-    """Joined boxes of every component: (keys, symbol_id, x, y, w, h, n_boxes). ``links`` holds (node, component) of linked boxes."""
-    named = boxes.join(links.withColumnRenamed("node", "box_id"), "box_id", "left").withColumn("symbol_id", F.coalesce("component", "box_id"))
-    g = named.groupBy(*keys, "symbol_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_boxes"))
-    return g.select(*keys, "symbol_id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"), "n_boxes")
+    named = boxes.join(links.withColumnRenamed("node", "box_id"), [*keys, "box_id"], "left").withColumn("symbol_id", F.coalesce("component", "box_id"))
+    first = [F.min_by(c, "box_id").alias(c) for c in carry]
+    g = named.groupBy(*keys, "symbol_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_boxes"), *first)
+    return g.select(*keys, "symbol_id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"), "n_boxes", *carry)
 
 
 def square_symbols(symbols: DataFrame, tolerance: float = 0.25) -> DataFrame:

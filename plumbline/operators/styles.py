@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.shared import cut
 
 
 def positional(values: Column, p: float) -> Column:
@@ -71,11 +72,82 @@ def colour_representatives(colours: DataFrame, keys: list[str], tolerance: float
     return first.groupBy(*keys).applyInPandas(fold, ", ".join(f"{k} {kinds[k]}" for k in [*keys, "r", "g", "b"]) + ", colour_no int")
 
 
-def cluster_stats(segments: DataFrame, keys: list[str], page_area: float) -> DataFrame:
+def sheet_summary(paths: DataFrame, keys: list[str], diagonal: float) -> DataFrame:
+    """(keys, n_paths, has_layers, layers, median_width, epsilon): distinct layer names joined by ``;`` (a drawing's vocabulary), the median of the positive widths (0 without), and the length that counts as nothing."""
+    median = F.percentile(F.when(F.col("width") > 0, F.col("width")), 0.5)
+    layers = F.array_join(F.array_sort(F.collect_set("layer")), ";")
+    g = paths.groupBy(*keys).agg(F.count("*").alias("n_paths"), F.coalesce(F.bool_or(F.col("layer") != ""), F.lit(False)).alias("has_layers"), layers.alias("layers"), median.alias("m"))
+    return g.select(*keys, "n_paths", "has_layers", "layers", F.coalesce("m", F.lit(0.0)).alias("median_width"), F.coalesce("m", F.lit(diagonal * 1e-4)).alias("epsilon"))
+
+
+def orthogonal_share(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, concentration, orthogonal): the largest share of the angle histogram, and that of the bins 000 and 090."""
+    h = angle_histogram(segments, keys)
+    return h.groupBy(*keys).agg(F.max("share").alias("concentration"), F.sum(F.when(F.col("bin").isin("000", "090"), F.col("share")).otherwise(0.0)).alias("orthogonal"))
+
+
+def positional_values(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """For each group the values at index int(n * p) in ascending order, the last at most: (keys, one column for each share).
+
+    Equal values are counted first and summed up in order, so no group is gathered in an array. Nulls don't count.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    sizes = counted.groupBy(*keys).agg(F.sum("n").alias("all"))
+    ranked = counted.withColumn("upto", upto).join(sizes, keys)
+    place = lambda p: F.least(F.col("all") - 1, F.floor(F.col("all") * p))
+    return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("upto") > place(p), F.col(value))).alias(name) for name, p in shares.items()))
+
+
+def path_lengths(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path_id, len, x0, y0, x1, y1, width) of every path."""
+    return segments.groupBy(*keys, "path_id").agg(F.sum(G.distance("ax", "ay", "bx", "by_")).alias("len"), F.min(F.least("ax", "bx")).alias("x0"), F.min(F.least("ay", "by_")).alias("y0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.max(F.greatest("ay", "by_")).alias("y1"), F.first("width").alias("width"))
+
+
+def cluster_stats(segments: DataFrame, keys: list[str], page_area: float | Column) -> DataFrame:
     """Size, lengths, spread and box of every cluster; path lengths' positional p50 and p90."""
-    per_path = segments.groupBy(*keys, "path_id").agg(F.sum(G.distance("ax", "ay", "bx", "by_")).alias("len"), F.min(F.least("ax", "bx")).alias("x0"), F.min(F.least("ay", "by_")).alias("y0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.max(F.greatest("ay", "by_")).alias("y1"), F.first("width").alias("width"))
-    g = per_path.groupBy(*keys).agg(F.count("*").alias("n_paths"), F.sum("len").alias("total"), F.collect_list(F.when(F.col("len") > 0, F.col("len"))).alias("lens"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("width").alias("width"))
-    return g.select(*keys, "n_paths", "total", positional(F.col("lens"), 0.5).alias("p50"), positional(F.col("lens"), 0.9).alias("p90"), G.box_area("x0", "y0", "x1", "y1").alias("box"), (G.box_area("x0", "y0", "x1", "y1") / page_area).alias("spread"), "width")
+    per_path = path_lengths(segments, keys)
+    g = per_path.groupBy(*keys).agg(F.count("*").alias("n_paths"), F.sum("len").alias("total"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("width").alias("width"))
+    p = positional_values(per_path.filter("len > 0"), keys, "len", {"p50": 0.5, "p90": 0.9})
+    return g.join(p, keys, "left").select(*keys, "n_paths", "total", "p50", "p90", G.box_area("x0", "y0", "x1", "y1").alias("box"), (G.box_area("x0", "y0", "x1", "y1") / page_area).alias("spread"), "width", "x0", "y0", "x1", "y1")
+
+
+def quantised(paths: DataFrame, keys: list[str], tolerance: float = 5.0) -> DataFrame:
+    """Stroke and fill colour numbers of every path: (keys, path_id, stroke_no, fill_no); null without that colour.
+
+    ``paths(keys, path_id, kind, stroke, fill)``, colours structs (r, g, b). One quantiser serves both: colours count in the
+    order of paths, the stroke before the fill; strokes only for the kinds s and fs, fills only for f and fs.
+    """
+    used = lambda c, kinds: F.when(F.col("kind").isin(*kinds), F.col(c))
+    own = paths.select(*keys, "path_id", used("stroke", ("s", "fs")).alias("stroke"), used("fill", ("f", "fs")).alias("fill"))
+    seen = own.select(*keys, F.explode(F.array(F.struct((F.col("path_id") * 2).alias("ordinal"), F.col("stroke").alias("c")), F.struct((F.col("path_id") * 2 + 1).alias("ordinal"), F.col("fill").alias("c")))).alias("s")).select(*keys, "s.ordinal", "s.c.r", "s.c.g", "s.c.b").filter("r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL")
+    numbers = colour_representatives(seen, keys, tolerance)
+    named = lambda c: numbers.select(*keys, F.struct("r", "g", "b").alias(c), F.col("colour_no").alias(f"{c}_no"))
+    return own.join(named("stroke"), [*keys, "stroke"], "left").join(named("fill"), [*keys, "fill"], "left").select(*keys, "path_id", "stroke_no", "fill_no")
+
+
+STYLE = ["stroke_no", "fill_no", "width_no", "dash_signature", "layer", "closed"]
+
+
+def style_index(paths: DataFrame, lengths: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Style clusters of every drawing: (path -> cluster, clusters).
+
+    ``paths(keys, path_id, kind, stroke, fill, width, dash_signature, layer, closed)``, ``lengths(keys, path_id, len)``. Paths
+    of equal stroke and fill colour number, width bucket, dash, layer and closing make a cluster; clusters are named c000, c001
+    ... by descending total length, ties by their first path. Returns (keys, path_id, cluster_id) and (keys, cluster_id, the
+    six columns of STYLE, width, n_paths, total, share); every path is in one cluster.
+    """
+    widths = width_buckets(paths, keys)
+    styled = paths.join(quantised(paths, keys), [*keys, "path_id"]).join(widths, keys, "left").join(lengths, [*keys, "path_id"], "left")
+    styled = styled.withColumn("width_no", F.coalesce(nearest_bucket(F.col("width"), F.col("representatives")), F.lit(0))).withColumn("rep", F.get("representatives", F.col("width_no")))
+    styled = cut(styled.select(*keys, "path_id", *STYLE, "rep", "len"))
+    g = styled.groupBy(*keys, *STYLE).agg(F.count("*").alias("n_paths"), F.sum(F.coalesce("len", F.lit(0.0))).alias("total"), F.min("path_id").alias("first"), F.coalesce(F.max("rep"), F.lit(0.0)).alias("width"))
+    # clusters of one drawing are few; a drawing is one window
+    by_length = W.partitionBy(*keys).orderBy(F.round("total", 6).desc(), "first")
+    named = g.withColumn("cluster_id", F.format_string("c%03d", F.row_number().over(by_length) - 1)).withColumn("share", F.coalesce(F.col("total") / F.nullif(F.sum("total").over(W.partitionBy(*keys)), F.lit(0.0)), F.lit(0.0)))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*keys, *STYLE]]
+    both = styled.alias("p").join(named.alias("c"), same)
+    return both.select(*(F.col(f"p.{k}") for k in keys), F.col("p.path_id"), F.col("c.cluster_id")), named.drop("first")
 
 
 def rejection(median_length: Column) -> Column:
@@ -90,26 +162,31 @@ def rejection(median_length: Column) -> Column:
     )
 
 
-def structural_score(median_width: Column, diagonal: float) -> Column:
+def structural_score(median_width: Column, diagonal: float | Column) -> Column:
     """0 to 1 from line width, connectivity, reach and spread of a cluster."""
     one = F.lit(1.0)
-    return F.when(F.col("width") > median_width, 0.40).otherwise(0.0) + F.least(one, F.col("connectivity")) * 0.25 + F.least(one, F.col("p90") / max(diagonal * 0.01, 1e-9)) * 0.20 + F.least(one, F.col("spread") / 0.2) * 0.15
+    tenth = F.greatest((diagonal if isinstance(diagonal, Column) else F.lit(diagonal)) * 0.01, F.lit(1e-9))
+    return F.when(F.col("width") > median_width, 0.40).otherwise(0.0) + F.least(one, F.col("connectivity")) * 0.25 + F.least(one, F.col("p90") / tenth) * 0.20 + F.least(one, F.col("spread") / 0.2) * 0.15
 
 
-def classify(clusters: DataFrame, rule_tokens: list[str] | None, median_width: Column, least_connectivity: float = 0.10) -> DataFrame:
+def classify(clusters: DataFrame, rule_tokens: list[str] | Column | None, median_width: Column, least_connectivity: float = 0.10, anchored: Column | None = None) -> DataFrame:
     """``verdict`` and ``step`` of every cluster: ``pipe`` or why not; a cluster is never dropped.
 
-    ``clusters`` has reason (see rejection), layer, width, connectivity. With a layer rule, its matches that are
-    drawn over 2 % wider than the median are pipes; else, wide and connected clusters are.
+    ``clusters`` has reason (see rejection), layer, width, connectivity. With a layer rule (a list of tokens, or an array column
+    that is null where none applies), its matches that are drawn over 2 % wider than the median are pipes. Else, wide and
+    connected clusters pass the gate; of them, those that labels voted for (``anchored``) are pipes, or all where there was no vote (null).
     """
-    from ..functions.text import layer_matches
+    from ..functions.text import layer_matches, layer_matches_any
 
     wide = F.col("width") > median_width * 1.02
-    if rule_tokens is not None:
-        hit = layer_matches(F.col("layer"), rule_tokens)
-        verdict = F.when(hit & wide, "pipe").when(~hit, "not_in_layer_rule").otherwise("thin_for_service_layer")
-        step = "layer_rule"
+    chosen = F.lit(True) if anchored is None else F.coalesce(anchored, F.lit(True))
+    gate = F.when(~wide, "thin_for_service_layer").when(F.col("connectivity") <= least_connectivity, "unconnected").when(~chosen, "not_pipe_style").otherwise("pipe")
+    gated = F.when(~wide | (F.col("connectivity") <= least_connectivity), "structural_gate").otherwise("structural_gate" if anchored is None else F.when(anchored.isNull(), "structural_gate").otherwise("style_vote"))
+    if rule_tokens is None:
+        verdict, step = gate, gated
     else:
-        verdict = F.when(~wide, "thin_for_service_layer").when(F.col("connectivity") <= least_connectivity, "unconnected").otherwise("pipe")
-        step = "structural_gate"
+        given = F.lit(True) if isinstance(rule_tokens, list) else rule_tokens.isNotNull()
+        hit = layer_matches(F.col("layer"), rule_tokens) if isinstance(rule_tokens, list) else layer_matches_any(F.col("layer"), rule_tokens)
+        ruled = F.when(hit & wide, "pipe").when(~hit, "not_in_layer_rule").otherwise("thin_for_service_layer")
+        verdict, step = F.when(given, ruled).otherwise(gate), F.when(given, F.lit("layer_rule")).otherwise(gated)
     return clusters.withColumns({"verdict": F.coalesce("reason", verdict), "step": F.when(F.col("reason").isNotNull(), "negative_filter").otherwise(step)})

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.shared import cut
+from . import network as N
+from . import spatial as S
 
 
 def path_boxes(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,13 +28,13 @@ def zone_of(box: tuple, zones: list[tuple], share: float = 0.6) -> Column:
 def classify_boxes(boxes: DataFrame, zones: DataFrame, keys: list[str], share: float = 0.6) -> DataFrame:
     """The same with zones in a table (keys, ordinal, kind, zx0, zy0, zx1, zy1), a bounded number for each drawing."""
     held = G.overlap_fraction(("x0", "y0", "x1", "y1"), ("zx0", "zy0", "zx1", "zy1")) >= share
-    found = boxes.join(zones, keys).filter(held).groupBy(*keys, "path_id").agg(F.min_by("kind", "ordinal").alias("zone"))
+    found = boxes.select(*keys, "path_id", "x0", "y0", "x1", "y1").join(zones, keys).filter(held).groupBy(*keys, "path_id").agg(F.min_by("kind", "ordinal").alias("zone"))
     return boxes.join(found, [*keys, "path_id"], "left").withColumn("zone", F.coalesce("zone", F.lit("frame")))
 
 
-def rectangular(segments: DataFrame, keys: list[str]) -> DataFrame:
+def rectangular(segments: DataFrame, keys: list[str], boxes: DataFrame | None = None) -> DataFrame:
     """(keys, path_id, rectangular): 3 to 8 segments with length, all axis-parallel within 2 % of the box's shorter side."""
-    box = path_boxes(segments, keys)
+    box = path_boxes(segments, keys) if boxes is None else boxes
     g = segments.join(box, [*keys, "path_id"]).groupBy(*keys, "path_id", "x0", "y0", "x1", "y1")
     tol = F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) * 0.02
     slanted = (F.abs(F.col("ax") - F.col("bx")) > tol) & (F.abs(F.col("ay") - F.col("by_")) > tol)
@@ -40,14 +43,62 @@ def rectangular(segments: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def frames(rectangles: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
-    """The largest rectangle of 30 to 99.5 % of the page (keys, width, height), the page itself without one."""
+    """The largest rectangle (path_id, x0, y0, x1, y1) of 30 to 99.5 % of the page (keys, width, height), of equal ones the first path; the page itself without one."""
     area = G.box_area("x0", "y0", "x1", "y1")
     share = area / (F.col("width") * F.col("height"))
-    best = rectangles.join(pages, keys).filter(share.between(0.30, 0.995)).groupBy(*keys).agg(F.max_by(F.struct("x0", "y0", "x1", "y1"), area).alias("f"))
+    box = F.struct("x0", "y0", "x1", "y1")
+    best = rectangles.join(pages, keys).filter(share.between(0.30, 0.995)).groupBy(*keys).agg(F.max(F.struct(area.alias("area"), (-F.col("path_id")).alias("first"), box.alias("f"))).alias("m")).select(*keys, F.col("m.f").alias("f"))
     page = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("width").alias("x1"), F.col("height").alias("y1"))
     return pages.join(best, keys, "left").select(*keys, F.coalesce("f", page).alias("f")).select(*keys, "f.*")
 
 
+def densities(boxes: DataFrame, paths: DataFrame, keys: list[str], cells: float = 50.0) -> DataFrame:
+    """Paths per 10,000 square points inside each box: (keys, box_id, n_inside, density).
+
+    ``boxes(keys, box_id, x0, y0, x1, y1)``; a path (keys, path_id, x0, y0, x1, y1) is inside with more than 90 % of its own box, so
+    its middle is, too: an equi-join of the middle's cell with the cells of a box. Cells are a 50th of the longest side in the
+    drawing, so that a box has a bounded number of them.
+    """
+    side = lambda df: df.groupBy(*keys).agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("side"))
+    size = side(boxes).select(*keys, F.greatest(F.col("side") / cells, F.lit(1e-6)).alias("size"))
+    along = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / F.col("size")), F.floor(F.col(hi) / F.col("size"))))
+    spread = boxes.join(size, keys).withColumn("cx", along("x0", "x1")).withColumn("cy", along("y0", "y1")).select(*keys, "box_id", "cx", "cy", *[F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")])
+    mx, my = G.box_middle("x0", "y0", "x1", "y1")
+    middles = paths.join(size, keys).withColumns({"cx": F.floor(mx / F.col("size")), "cy": F.floor(my / F.col("size"))})
+    inside = middles.join(spread, [*keys, "cx", "cy"]).filter(G.overlap_fraction(("x0", "y0", "x1", "y1"), ("ox0", "oy0", "ox1", "oy1")) > 0.9).groupBy(*keys, "box_id").agg(F.count("*").alias("n_inside"))
+    area = G.box_area("x0", "y0", "x1", "y1")
+    return boxes.join(inside, [*keys, "box_id"], "left").select(*keys, "box_id", F.coalesce("n_inside", F.lit(0)).alias("n_inside"), F.when(area > 0, F.coalesce("n_inside", F.lit(0)) / (area / 10000)).otherwise(0.0).alias("density"))
+
+
+def detect(segments: DataFrame, pages: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Frames and zones of drawings: (keys, x0, y0, x1, y1) and (keys, ordinal, kind, zx0, zy0, zx1, zy1, density).
+
+    ``pages(keys, width, height)``. Panels are boxes of 0.4 to 60 % of the frame, nine tenths inside it, that touch its edge or are
+    more than twice as dense as the page; they are merged, and the plan is the largest rectangle free of them.
+    The plan is zone 0; panels follow by descending area (ties: from the left, then from the top).
+    """
+    paths = cut(path_boxes(segments, keys))
+    rects = cut(rectangular(segments, keys, paths).filter("rectangular").join(paths, [*keys, "path_id"]).drop("rectangular"))
+    frame = cut(frames(rects, pages, keys))
+    of = frame.select(*keys, *[F.col(c).alias(f"f{c}") for c in ("x0", "y0", "x1", "y1")])
+    area, whole = G.box_area("x0", "y0", "x1", "y1"), G.box_area("fx0", "fy0", "fx1", "fy1")
+    likely = rects.join(of, keys).filter((area >= whole * 0.004) & (area <= whole * 0.6) & (G.overlap_fraction(("x0", "y0", "x1", "y1"), ("fx0", "fy0", "fx1", "fy1")) >= 0.9)).withColumnRenamed("path_id", "box_id")
+    likely = cut(likely)
+    dense = densities(likely.select(*keys, "box_id", "x0", "y0", "x1", "y1"), paths, keys)
+    mean = paths.groupBy(*keys).agg(F.count("*").alias("n")).join(of, keys).select(*keys, (F.col("n") / F.greatest(whole / 10000, F.lit(1e-9))).alias("mean"))
+    near = F.greatest(F.col("fx1") - F.col("fx0"), F.col("fy1") - F.col("fy0")) * 0.02
+    touches = F.least(*(F.abs(F.col(c) - F.col(f"f{c}")) for c in ("x0", "y0", "x1", "y1"))) < near
+    chosen = likely.join(dense, [*keys, "box_id"]).join(mean, keys).filter(touches | (F.col("density") > F.col("mean") * 2)).withColumn("ordinal", F.col("box_id"))
+    panels = cut(N.merge_boxes(chosen.select(*keys, "ordinal", "x0", "y0", "x1", "y1"), keys))
+    order = F.row_number().over(S.W.partitionBy(*keys).orderBy(area.desc(), "x0", "y0", "x1", "y1"))
+    numbered = panels.withColumn("box_id", order)
+    rated = numbered.join(densities(numbered, paths, keys), [*keys, "box_id"]).join(of, keys)
+    kind = panel_kind(("x0", "y0", "x1", "y1"), ("fx0", "fy0", "fx1", "fy1"), F.col("density"))
+    zone = lambda df, n, k, d: df.select(*keys, n.cast("int").alias("ordinal"), k.alias("kind"), *[F.col(c).alias(f"z{c}") for c in ("x0", "y0", "x1", "y1")], d.alias("density"))
+    plan = N.largest_free_rectangle(frame, panels, keys)
+    return frame, zone(plan, F.lit(0), F.lit("plan"), F.lit(None).cast("double")).unionByName(zone(rated, F.col("box_id"), kind, F.col("density")))
+
+
 def panel_kind(box: tuple, frame: tuple, density: Column) -> Column:
     """titleblock, legend or detail by place, shape and density."""
     x0, y0, x1, y1 = map(G.c, box)

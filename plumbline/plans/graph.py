@@ -15,7 +15,8 @@ from ..operators import scale as SC
 from ..operators import spatial as S
 from ..operators import zones as Z
 from ..sources import adapter as A
-from .joins import _TOUCH, BOXES
+from .joins import _TOUCH, BOXES, pitch_sql
+from .oracles import LETTER_SQL, MERGE_SQL, SETTLE_SQL
 from .registry import query
 
 _LEN = "sqrt((bx-ax)*(bx-ax) + (by_-ay)*(by_-ay))"
@@ -64,7 +65,8 @@ def token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.token_candidates(_layers(spark, sf_dir))
 
 
-@query()
+@query(_LAYERS_SQL.replace("\n    SELECT token, count(*)", "\n    SELECT token, count(*)").replace("SELECT token, count(*) FILTER (WHERE wanted) AS covered", ", best AS (SELECT token, count(*) FILTER (WHERE wanted) AS covered") + """)
+SELECT 0 AS ordinal, token FROM best WHERE covered = (SELECT count(*) FROM n WHERE wanted) ORDER BY negatives, n_fields, length(token), token LIMIT 1""")
 def layer_rule_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of the induced layer rule."""
     tokens = L.induce(_layers(spark, sf_dir))
@@ -117,7 +119,7 @@ SELECT drawing_id, symbol_id, (x0+x1)/2 AS x, (y0+y1)/2 AS y, x1-x0 AS w, y1-y0
 def square_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols (joined boxes) that are about square: the vertical pipes."""
     boxes = A.rows(spark, sf_dir, "part", BOXES)
-    links = N.connected_components(S.touching_boxes(boxes, ["drawing_id"], 5.0, 5.0), ["drawing_id"]).select("node", "component")
+    links = N.connected_components(S.touching_boxes(boxes, ["drawing_id"], 5.0, 5.0), ["drawing_id"])
     return S.square_symbols(S.symbol_instances(boxes, links, ["drawing_id"]))
 
 
@@ -125,7 +127,18 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.drawn_segments(spark, sf_dir).filter(G.distance("ax", "ay", "bx", "by_") > 0).withColumn("run_id", F.col("path_id") * 10 + F.col("seg_no"))
 
 
-@query()
+_ANGLE = "CASE WHEN atan2(by_-ay, bx-ax) < 0 THEN atan2(by_-ay, bx-ax) + pi() WHEN atan2(by_-ay, bx-ax) >= pi() THEN 0 ELSE atan2(by_-ay, bx-ax) END"
+
+
+@query(
+    f"""{A.DRAWN_SQL.replace("WITH segments", "WITH RECURSIVE segments", 1)}, r AS (SELECT drawing_id, path_id * 10 + seg_no AS run_id, ax, ay, bx, by_, {_ANGLE} AS dir, {_LEN} AS len FROM drawn WHERE {_LEN} > 0),
+e AS (SELECT drawing_id, run_id, 0 AS side, ax AS x, ay AS y, dir, ax, ay, bx, by_ FROM r UNION ALL SELECT drawing_id, run_id, 1, bx, by_, dir, ax, ay, bx, by_ FROM r),
+c0 AS (SELECT p.drawing_id, p.run_id AS a, p.side AS a_end, q.run_id AS b, q.side AS b_end, sqrt((p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y)) AS gap FROM e p JOIN e q ON p.drawing_id = q.drawing_id AND p.run_id < q.run_id AND q.x BETWEEN p.x - 40 AND p.x + 40 AND q.y BETWEEN p.y - 40 AND p.y + 40
+  WHERE sqrt((p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y)) <= 40 AND least(abs(p.dir - q.dir), pi() - abs(p.dir - q.dir)) <= 0.03490658503988659::DOUBLE AND abs((q.x-p.ax)*(p.by_-p.ay) - (q.y-p.ay)*(p.bx-p.ax)) / sqrt((p.bx-p.ax)*(p.bx-p.ax)+(p.by_-p.ay)*(p.by_-p.ay)) <= 4),
+cand AS (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY gap, a, a_end, b, b_end) AS i FROM c0), {SETTLE_SQL},
+u AS (SELECT drawing_id, a AS n, b AS o FROM kept UNION SELECT drawing_id, b, a FROM kept), cc AS (SELECT drawing_id, n AS node, n AS seen FROM u UNION SELECT cc.drawing_id, cc.node, u.o FROM cc JOIN u ON u.drawing_id = cc.drawing_id AND u.n = cc.seen), ch AS (SELECT drawing_id, node, min(seen) AS chain_id FROM cc GROUP BY ALL)
+SELECT ch.drawing_id, ch.chain_id, count(*) AS n_runs, round(sum(len) + (SELECT sum(gap) FROM kept JOIN ch c2 ON c2.drawing_id = kept.drawing_id AND c2.node = kept.a WHERE c2.drawing_id = ch.drawing_id AND c2.chain_id = ch.chain_id), 4) AS length FROM ch JOIN r ON r.drawing_id = ch.drawing_id AND r.run_id = ch.node GROUP BY ch.drawing_id, ch.chain_id"""
+)
 def chain_bridging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every drawing joined over gaps of up to 40 points."""
     runs = _runs(spark, sf_dir)
@@ -137,13 +150,23 @@ def _panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.rows(spark, sf_dir, "supplier", ["s_suppkey % 20 AS drawing_id", "s_suppkey AS ordinal", "CAST(s_suppkey * 173 % 1900 AS double) AS x0", "CAST(s_suppkey * 97 % 1400 AS double) AS y0"]).withColumns({"x1": F.col("x0") + 60 + F.col("ordinal") % 90, "y1": F.col("y0") + 50 + F.col("ordinal") % 70})
 
 
-@query()
+_PANELS_SQL = "pn AS (SELECT s_suppkey % 20 AS drawing_id, s_suppkey AS ordinal, (s_suppkey * 173 % 1900)::DOUBLE AS x0, (s_suppkey * 97 % 1400)::DOUBLE AS y0, (s_suppkey * 173 % 1900 + 60 + s_suppkey % 90)::DOUBLE AS x1, (s_suppkey * 97 % 1400 + 50 + s_suppkey % 70)::DOUBLE AS y1 FROM supplier)"
+
+
+@query(f"WITH RECURSIVE {_PANELS_SQL}, {MERGE_SQL}, m AS (SELECT drawing_id, unnest(out) AS b FROM merged)\nSELECT drawing_id, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1 FROM m")
 def merge_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panels of every drawing after overlapping ones are merged."""
     return N.merge_boxes(_panels(spark, sf_dir), ["drawing_id"])
 
 
-@query()
+@query(
+    f"""WITH {_PANELS_SQL}, c AS (SELECT DISTINCT drawing_id, greatest(0, trunc(x0 / (2000.0::DOUBLE/240)))::INT AS i0, least(240, trunc(x1 / (2000.0::DOUBLE/240)) + 1)::INT AS i1, greatest(0, trunc(y0 / (1500.0::DOUBLE/170)))::INT AS j0, least(170, trunc(y1 / (1500.0::DOUBLE/170)) + 1)::INT AS j1 FROM pn),
+t AS (SELECT drawing_id, j1 AS top FROM c UNION SELECT DISTINCT drawing_id, 0 FROM c), b AS (SELECT drawing_id, j0 AS low FROM c UNION SELECT DISTINCT drawing_id, 170 FROM c), band AS (SELECT drawing_id, top, low FROM t JOIN b USING (drawing_id) WHERE low > top),
+free AS (SELECT drawing_id, top, low, col FROM band, unnest(range(0, 240)) AS u(col) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.drawing_id = band.drawing_id AND c.j0 < low AND c.j1 > top AND col >= c.i0 AND col < c.i1)),
+isl AS (SELECT *, col - row_number() OVER (PARTITION BY drawing_id, top, low ORDER BY col) AS island FROM free), r AS (SELECT drawing_id, top, low, min(col) AS lft, max(col) + 1 AS rgt FROM isl GROUP BY drawing_id, top, low, island),
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY drawing_id ORDER BY (rgt - lft) * (low - top) DESC, low, rgt, top) = 1)
+SELECT drawing_id, lft * (2000.0::DOUBLE/240) AS x0, top * (1500.0::DOUBLE/170) AS y0, rgt * (2000.0::DOUBLE/240) AS x1, low * (1500.0::DOUBLE/170) AS y1 FROM best"""
+)
 def largest_free_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan area of every drawing: the largest rectangle without a panel."""
     panels = _panels(spark, sf_dir)
@@ -151,7 +174,11 @@ def largest_free_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.largest_free_rectangle(frames, panels, ["drawing_id"])
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE g AS (SELECT p_size % 3 AS drawing_id, (p_partkey % 61)::BIGINT AS lo, (p_size % 7)::BIGINT AS hi, (p_partkey % 4)::DOUBLE / 2 AS ratio, p_partkey AS ordinal FROM part), d AS (SELECT drawing_id, lo, hi, ratio, count(*) AS n, min(ordinal) AS first FROM g GROUP BY ALL),
+shapes AS (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY n DESC, first) AS i FROM d), {LETTER_SQL}
+SELECT drawing_id, lo AS cells, hi AS cells_hi, ratio, letter::INT AS letter, n FROM lf"""
+)
 def glyph_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters from glyph bitmaps."""
     glyphs = A.rows(spark, sf_dir, "part", ["p_size % 3 AS drawing_id", "CAST(p_partkey % 61 AS bigint) AS cells", "CAST(p_size % 7 AS bigint) AS cells_hi", "CAST(p_partkey % 4 AS double) / CAST(2 AS double) AS ratio", "p_partkey AS ordinal"])
@@ -194,9 +221,21 @@ def top_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.top_share(c, ["drawing_id"]).withColumn("share", F.round("share", 6))
 
 
-@query()
+HATCHING = ["o_orderkey % 10 AS drawing_id", "concat('H', CAST(o_orderkey % 10 % 3 AS string)) AS layer", "o_orderkey AS path_id", "1 AS seg_no", "CAST(100 + o_orderkey % 3 AS double) AS ax", "CAST(CASE WHEN o_orderkey % 10 % 2 = 0 THEN floor(o_orderkey / 10) * (2 + o_orderkey % 10 % 3) ELSE floor(o_orderkey / 10) * floor(o_orderkey / 10) % 997 END AS double) AS ay"]
+_CELL = "round_even(({v} - fmod({v}, {s})) / {s}, 0)::BIGINT"
+
+
+@query(
+    f"""WITH h0 AS ({A.rows_sql("orders", HATCHING)}), h AS (SELECT *, ax + 300 AS bx, ay AS by_ FROM h0), {pitch_sql("h", "drawing_id, layer")}, big AS (SELECT drawing_id, layer FROM h GROUP BY ALL HAVING count(DISTINCT path_id) >= 60),
+rated AS (SELECT pp.* FROM pp SEMI JOIN big USING (drawing_id, layer) WHERE pitch > 0 AND pitch <= 10 AND regularity >= 0.8::DOUBLE), k AS (SELECT h.drawing_id, h.layer, ax, ay, bx, by_, pitch, greatest(1, trunc({_LEN} / pitch))::INT AS n FROM h JOIN rated USING (drawing_id, layer)),
+x AS (SELECT drawing_id, layer, pitch, ax + (bx-ax) * (j::DOUBLE/n) AS px, ay + (by_-ay) * (j::DOUBLE/n) AS py FROM k, unnest(range(0, 400)) AS u(j) WHERE j <= n),
+cells AS (SELECT DISTINCT drawing_id, layer, pitch, {_CELL.format(v="px", s="pitch")} AS cx, {_CELL.format(v="py", s="pitch")} AS cy FROM x), cov AS (SELECT drawing_id, layer, pitch, count(*) * pitch * pitch / 1000000 AS coverage FROM cells GROUP BY drawing_id, layer, pitch),
+chosen AS (SELECT drawing_id, layer, pitch FROM cov QUALIFY coverage >= max(coverage) OVER (PARTITION BY drawing_id) * 0.5::DOUBLE), m AS (SELECT h.drawing_id, ax, ay, bx, by_, pitch, greatest(1, trunc({_LEN} / 50))::INT AS n FROM h JOIN chosen USING (drawing_id, layer)),
+seed AS (SELECT DISTINCT drawing_id, pitch, floor((ax + (bx-ax) * (j::DOUBLE/n)) / 50)::BIGINT AS cx, floor((ay + (by_-ay) * (j::DOUBLE/n)) / 50)::BIGINT AS cy FROM m, unnest(range(0, 400)) AS u(j) WHERE j <= n)
+SELECT DISTINCT drawing_id, cx + dx AS cx, cy + dy AS cy FROM seed, unnest([-1,0,1]) AS a(dx), unnest([-1,0,1]) AS b(dy) WHERE abs(dx) <= greatest(1, ceil(pitch / 50 / 2)) AND abs(dy) <= greatest(1, ceil(pitch / 50 / 2))"""
+)
 def hatch_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line types of drawings taken as hatching (20 paths, 1 % of the gaps alike), and the cells they cover."""
-    drawn = A.drawn_segments(spark, sf_dir)
-    found = H.hatch_clusters(drawn, ["drawing_id", "dash_signature"], 2000.0 * 1684.0, 400.0, least_paths=20, least_regular=0.01)
-    return H.hatch_mask(drawn, found, ["drawing_id", "dash_signature"], 50.0)
+    """The cells that the regular hatching of drawings covers; five of ten drawings have irregular lines instead."""
+    lines = A.rows(spark, sf_dir, "orders", HATCHING).withColumns({"bx": F.col("ax") + 300, "by_": F.col("ay")})
+    found = H.hatch_clusters(lines, ["drawing_id", "layer"], 1e6, 10.0)
+    return H.hatch_mask(lines, found, ["drawing_id", "layer"], 50.0)

@@ -18,6 +18,15 @@ _PAIRS = """pairs AS (SELECT a.drawing_id, a.layer, a.axis, a.path_id, a.seg_no,
   WHERE (b.at > a.at OR (b.path_id, b.seg_no) > (a.path_id, a.seg_no)) AND least(a.hi,b.hi) - greatest(a.lo,b.lo) > least(a.len,b.len) * {overlap})"""
 
 
+#: CTEs ``conn(drawing_id, layer, n_paths, n_touching, connectivity)`` at 6 points, and ``wall(drawing_id, layer, n_long, share)`` at 2 to 15 points.
+CONNECTIVITY_SQL = """pts AS (SELECT drawing_id, layer, path_id, ax AS x, ay AS y FROM drawn UNION SELECT drawing_id, layer, path_id, bx, by_ FROM drawn),
+tc AS (SELECT DISTINCT p.drawing_id, p.layer, p.path_id FROM pts p JOIN pts q ON p.drawing_id = q.drawing_id AND p.layer = q.layer AND p.path_id <> q.path_id AND abs(p.x - q.x) <= 6 AND abs(p.y - q.y) <= 6 AND sqrt((p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y)) <= 6),
+cn AS (SELECT drawing_id, layer, count(DISTINCT path_id) AS n_paths FROM drawn GROUP BY ALL), ct AS (SELECT drawing_id, layer, count(*) AS n_touching FROM tc GROUP BY ALL), conn AS (SELECT drawing_id, layer, cn.n_paths, coalesce(n_touching, 0) AS n_touching, coalesce(n_touching, 0) / cn.n_paths AS connectivity FROM cn LEFT JOIN ct USING (drawing_id, layer))"""
+WALL_SQL = f"""{_LINES.replace("FROM drawn WHERE", f"FROM drawn WHERE {_LEN} > 15 AND")}, {_PAIRS.format(reach=15, overlap=0.7)},
+wp AS (SELECT drawing_id, layer, sum(len) AS paired FROM (SELECT DISTINCT drawing_id, layer, path_id, seg_no, len FROM pairs WHERE gap >= 2) GROUP BY ALL), wt AS (SELECT drawing_id, layer, count(*) AS n_long, sum({_LEN}) AS total FROM drawn WHERE {_LEN} > 15 GROUP BY ALL),
+wall AS (SELECT drawing_id, layer, n_long, CASE WHEN n_long >= 8 AND total > 0 THEN coalesce(paired, 0) / total ELSE 0 END AS share FROM wt LEFT JOIN wp USING (drawing_id, layer))"""
+
+
 @query(
     f"""{A.DRAWN_SQL}, pts AS (SELECT drawing_id, layer, path_id, ax AS x, ay AS y FROM drawn UNION SELECT drawing_id, layer, path_id, bx, by_ FROM drawn),
 t AS (SELECT DISTINCT p.drawing_id, p.layer, p.path_id FROM pts p JOIN pts q ON p.drawing_id = q.drawing_id AND p.layer = q.layer AND p.path_id <> q.path_id AND abs(p.x - q.x) <= 6 AND abs(p.y - q.y) <= 6 AND sqrt((p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y)) <= 6),
@@ -115,10 +124,25 @@ def wall_zone_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.join(inside, "drawing_id", "left").select("drawing_id", F.round(F.coalesce("inside", F.lit(0.0)) / F.col("total"), 6).alias("share"))
 
 
-@query()
+def pitch_sql(source: str, keys: str) -> str:
+    """CTEs up to ``pp(keys, pitch, regularity)`` over a relation (keys, path_id, seg_no, ax, ay, bx, by_), by comparing all lines of a group."""
+    first = keys.split(", ")
+    same, mine = " AND ".join(f"a.{k} = b.{k}" for k in first), ", ".join(f"a.{k}" for k in first)
+    return f"""pa AS (SELECT *, CASE WHEN atan2(by_-ay, bx-ax) < 0 THEN atan2(by_-ay, bx-ax) + pi() WHEN atan2(by_-ay, bx-ax) >= pi() THEN 0 ELSE atan2(by_-ay, bx-ax) END AS angle FROM {source} WHERE ax <> bx OR ay <> by_),
+pd AS (SELECT {keys}, round_even(angle, 2) AS main, count(*) AS n, min((path_id, seg_no)) AS first FROM pa GROUP BY ALL), pt AS (SELECT {keys} FROM pa GROUP BY ALL HAVING count(*) >= 20),
+pm AS (SELECT {keys}, main FROM pd SEMI JOIN pt USING ({keys}) QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, first) = 1),
+pl AS (SELECT {keys}, ax * -sin(main) + ay * cos(main) AS across, least(ax*cos(main) + ay*sin(main), bx*cos(main) + by_*sin(main)) AS lo, greatest(ax*cos(main) + ay*sin(main), bx*cos(main) + by_*sin(main)) AS hi FROM pa JOIN pm USING ({keys}) WHERE least(abs(angle - main), pi() - abs(angle - main)) < 0.05::DOUBLE),
+pq AS (SELECT *, row_number() OVER () AS line FROM pl QUALIFY count(*) OVER (PARTITION BY {keys}) >= 20),
+pg AS (SELECT {mine}, a.line, any_value(a.across) AS across, any_value(a.lo) AS lo, any_value(a.hi) AS hi, min(b.across - a.across) AS gap FROM pq a JOIN pq b ON {same} AND b.across - a.across > 0.05::DOUBLE AND least(a.hi, b.hi) - greatest(a.lo, b.lo) > least(a.hi - a.lo, b.hi - b.lo) * 0.3::DOUBLE GROUP BY {mine}, a.line),
+pr AS (SELECT {keys}, round(gap, 1) AS pitch, count(*) AS n, min((across, lo, hi)) AS first FROM pg GROUP BY ALL), pb AS (SELECT {keys}, pitch FROM pr QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, first) = 1),
+pf AS (SELECT {keys}, pitch, avg(CASE WHEN abs(gap - pitch) <= pitch * 0.15::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) AS regularity FROM pg JOIN pb USING ({keys}) GROUP BY ALL HAVING count(*) >= 10),
+pp AS (SELECT {keys}, coalesce(pitch, 0)::DOUBLE AS pitch, coalesce(regularity, 0)::DOUBLE AS regularity FROM (SELECT DISTINCT {keys} FROM {source}) LEFT JOIN pf USING ({keys}))"""
+
+
+@query(f"{A.DRAWN_SQL}, {pitch_sql('drawn', 'drawing_id')}\nSELECT drawing_id, round(pitch, 4) AS pitch, round(regularity, 4) AS regularity FROM pp")
 def parallel_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pitch and regularity of the lines of every layer and drawing."""
-    return S.parallel_pitch(A.drawn_segments(spark, sf_dir), KEYS).withColumns({"pitch": F.round("pitch", 4), "regularity": F.round("regularity", 4)})
+    """Pitch and regularity of the lines of every drawing."""
+    return S.parallel_pitch(A.drawn_segments(spark, sf_dir), ["drawing_id"]).withColumns({"pitch": F.round("pitch", 4), "regularity": F.round("regularity", 4)})
 
 
 RUNS = ["o_custkey % 400 AS label_no", "concat('L', CAST(o_custkey % 400 AS string)) AS label", "CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS run", "o_orderkey AS row_no", "round(o_totalprice / 1000, 3) AS length_m"]

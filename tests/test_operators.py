@@ -243,5 +243,5 @@ def test_triage_reports_every_drawing(spark):
 
     drawings = spark.createDataFrame([(7,), (8,), (9,)], "drawing_id long")
     paths = spark.createDataFrame([(7, "a"), (7, "b"), (8, None)], "drawing_id long, layer string")
-    got = sorted(map(tuple, delivery.triage(drawings, paths, ["drawing_id"]).collect()))
+    got = sorted(map(tuple, delivery.triage(drawings, paths, ["drawing_id"]).select("drawing_id", "track", "n_paths", "n_layers", "vectorised").collect()))
     assert got == [(7, "A", 2, 2, True), (8, "B", 1, 0, True), (9, "C", 0, 0, True)]

@@ -5,8 +5,6 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.plans.measure import measure
-from plumbline.sources import adapter as A
 from plumbline.sources import tables as S
 from plumbline.streaming.drawings import measure_stream, stream_paths
 
@@ -47,17 +45,6 @@ def test_runs_profiles_and_exports(spark, tmp_path):
     assert [tuple(r) for r in out["deviations"].collect()] == [("blocked", "frame", 2), ("blocked", "hatch", 1), ("flag", "masked_length", 1)]
 
 
-def test_measurement_keeps_everything(spark):
-    drawn = A.drawn_segments(spark, "/root/testdata/sf0.001").filter("drawing_id < 8")
-    scales = drawn.select("drawing_id").distinct().withColumn("scale", F.when(F.col("drawing_id") != 3, 50.0))
-    m = measure(drawn, scales, (0.0, 0.0, 25000.0, 1700.0), (25000.0, 1800.0), ["-FE-"], 20.0)
-    paths = drawn.select("drawing_id", "path_id").distinct().count()
-    assert m.accepted.count() + m.blocked.count() == paths and m.accepted.count() > 0
-    assert {r.reason for r in m.blocked.filter("drawing_id = 3").collect()} == {"no_scale"}
-    total = lambda df, c: df.agg(F.sum(c)).first()[0]
-    assert abs(total(m.strands, "length_m") - total(m.delivery, "length_m")) < 0.01
-
-
 def test_stream_of_drawings(spark, tmp_path):
     root = f"file://{tmp_path}"
     one = spark.sql("SELECT 'D1' AS drawing_id, 1L AS path_id, 'x' AS layer, 0.5D AS width, '[3 1] 0' AS dashes, array(named_struct('ax', 0D, 'ay', 0D, 'bx', 3D, 'by_', 4D)) AS segments")
