@@ -48,6 +48,8 @@ TARGET = 0.99
 HALVES = ((2, 11), (3, 39), (4, 1 << 40))
 #: An item that is asked for so many seeds is not sought by a single run of fewer than twice as many.
 LONE = 4
+#: Bytes of text that are searched at once (or one longer text): what a task holds besides follows from it.
+SLICE = 1 << 18
 #: Document windows that are compared with items at once, and numbers that characters are told apart by.
 WINDOWS, SYMBOLS = 4096, 64
 _DROP = np.zeros(256, bool)
@@ -360,7 +362,7 @@ def find_items(texts: pa.Array, index: Index, tolerance: float) -> dict[str, lis
     seeds = index.seeds.get(tolerance)
     if seeds is None:
         seeds = index.seeds[tolerance] = Seeds(index.patterns, tolerance)
-    for i, j in K.slices(offs):
+    for i, j in K.slices(offs, SLICE):
         low, starts, ends, counts = normal_words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
         seq, place = padded(K.span_hash(low, starts, ends), counts, 3 * STEPS)
         at = np.concatenate(([0], np.cumsum(counts)))

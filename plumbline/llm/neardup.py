@@ -92,7 +92,7 @@ def _signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _described(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offs = K.buffer_of(batch.column(1))
-        for i, j in K.slices(offs):
+        for i, j in K.slices(offs, 1 << 19):
             sets, at = K.shingle_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
             n = np.diff(at)
             sums = np.concatenate(([0], np.cumsum(sets, dtype=np.uint64)))
@@ -112,7 +112,7 @@ def _described(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
 def _full(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offs = K.buffer_of(batch.column(1))
-        for i, j in K.slices(offs):
+        for i, j in K.slices(offs, 1 << 19):
             sets, at = K.shingle_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], K.fixed_rows(_signatures(sets, at)), K.binary_column(sets, at)], ["id", "sig", "set"])
 
