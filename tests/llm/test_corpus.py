@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -130,6 +131,42 @@ def test_fingerprints_follow_the_contract(spark):
     assert max(got[i].near_next for i in range(len(HARD), len(texts) - 1)) < 0.2
 
 
+def plain_fingerprint(text: str) -> str:
+    """The same by one chunk after the other, in whole numbers."""
+    raw, mask, base = text.encode(), 2**64 - 1, 0x9E3779B97F4A7C15
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+
+    def mixed(piece: bytes) -> int:
+        x = sum((b + 1) * pow(base, k, 2**64) for k, b in enumerate(piece)) & mask
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * factor & mask
+        return x ^ x >> 33
+
+    zeros = {}
+    for end in range(7, len(raw)):
+        h = mixed(raw[end - 7 : end])
+        zeros[end] = 63 if not h else (h & -h).bit_length() - 1
+    level = max(0, math.floor(math.log2(max(1, len(raw)) / 63)) - 2)
+    while sum(z >= level for z in zeros.values()) > 63:
+        level += 1
+    out = [str(level)]
+    for step in range(4):
+        ends = [e for e, z in zeros.items() if z >= level + step] + ([len(raw)] if raw else [])
+        values = [mixed(raw[a:b]) >> 52 for a, b in itertools.pairwise([0, *ends])]
+        out.append("".join(letters[v >> 6] + letters[v & 63] for v in values))
+    return ":".join(out)
+
+
+def test_fingerprints_match_the_plain_computation(spark):
+    texts = [*(t for t in HARD if len(t or "") < 1000), *(" ".join(words(n, n)) for n in (1, 3, 30, 100, 500)), "ab" * 400]
+    assert fingerprints.fingerprint([t or "" for t in texts]) == [plain_fingerprint(t or "") for t in texts]
+    rows = [(4, "one two three four"), (4, "a b c d e f g"), (None, "x y z w v u t"), (9, None)]
+    got = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    order = ["x y z w v u t", "a b c d e f g", "one two three four", ""]  # null ids first, equal ids by text
+    want = [(plain_fingerprint(t), hashlib.sha256((t[: len(t) - len(t) // 2] + order[(i + 1) % 4][: len(t) // 2]).encode()).hexdigest()) for i, t in enumerate(order)]
+    assert sorted((r.fingerprint, r.edited_sha256) for r in got) == sorted(want)
+
+
 def test_fingerprint_edges(spark):
     assert fingerprints.fingerprint_documents(spark.createDataFrame([], SCHEMA)).collect() == []
     one = fingerprints.fingerprint_documents(table(spark, ["abcdef"])).collect()[0]
