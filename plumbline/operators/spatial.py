@@ -115,11 +115,11 @@ def _cells_on(size: float, *corners: str) -> Column:
 def nearest_segment(points: DataFrame, segments: DataFrame, keys: list[str], reach: float, carry: tuple[str, ...] = ()) -> DataFrame:
     """The nearest segment within ``reach`` of every point: (keys, point_id, path_id, seg_no, distance, carried columns of the segment).
 
-    Cells are three reaches wide. A segment is written to the cells along its line, however long it is, a point to the at
-    most four cells that its surroundings touch: the next sample of a segment in reach is at most 1.5 reaches away.
+    Cells are six reaches wide. A segment is written to the cells along its line (samples two reaches apart), however long it
+    is, a point to the one to four cells that its surroundings touch: a sample of a segment in reach is at most 1.5 reaches away.
     Ties go to the smallest path and segment (then by the carried columns). Points without a segment in reach are left out.
     """
-    size = 3.0 * reach
+    size = 6.0 * reach
     lined = segments.withColumn("cell", F.explode(_cells_on(size, "ax", "ay", "bx", "by_"))).withColumns({"cx": F.col("cell.cx"), "cy": F.col("cell.cy")})
     beside = lambda c: F.explode(F.array_distinct(F.array(G.grid_cell(F.col(c) - 1.5 * reach, size), G.grid_cell(F.col(c) + 1.5 * reach, size))))
     own = points.select(*keys, "point_id", "x", "y").withColumn("cx", beside("x")).withColumn("cy", beside("y"))
