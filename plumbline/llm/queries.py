@@ -1,4 +1,4 @@
-"""One query for each of the ten corpus operators, with production parameters, over whole tables."""
+"""One query for each of the thirteen corpus operators, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -14,10 +14,14 @@ from .fingerprints import fingerprint_documents
 from .html_extract import extract_main_text, fit_extractor
 from .langid import fit_prototypes, identify
 from .neardup import near_duplicates
+from .pii import KINDS, find_personal_data, written
 from .quality import fit_quality, score_quality
+from .resampling import oracle_sql as resampling_sql
+from .resampling import resample
 from .session import crc32_mod, table
 from .tokens import count_tokens, load_vocabulary
 from .toxicity import fit_toxicity, score_toxicity
+from .whitening import whiten
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +82,20 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(written("base").cast("binary"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language_id": op2_language_id,
@@ -89,9 +107,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_whitening": op11_whitening,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_near_duplicates": neardup.ORACLE_SQL,
     "op7_source_mixing": mixing.oracle_sql("documents", MIX_DOMAIN_SQL, **MIX),
+    "op12_importance_resampling": resampling_sql(),
 }
