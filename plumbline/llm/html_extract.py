@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,9 +27,8 @@ from .session import ready
 #: A tag; a quote counts only after an equals sign, and only where it is closed.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
 _OPENING = re.compile("<(?:[!?]|/?[a-zA-Z])")
-_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
-#: Tags whose end is sought up to the page's end in vain before quotes stop counting, so that time grows with the page.
-_MISSES = 16
+_NAME = re.compile("<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_TAG_EVENT = re.compile(r"""=\s*+(["'])|>""")
 #: Elements whose text is never page text; it ends at the closing tag only.
 _RAW = frozenset("script style template iframe textarea title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,6 +57,16 @@ _CUE_OF: dict[str, list[str]] = {}
 for _kind, _words in CUES.items():
     for _word in _words.split():
         _CUE_OF.setdefault(_word, []).append(_kind)
+#: Words of a block's own text that tell what it is for (fixed values).
+SAYS = {
+    "rights": "copyright rights reserved ©",
+    "comments": "comments comment reply replies responses",
+    "notice": "cookie cookies consent subscribe newsletter",
+    "links": "home about contact privacy terms sitemap login search menu imprint",
+    "related": "related share tags popular recommended",
+    "advert": "advertisement sponsored promoted",
+}
+_SAID = {word: kind for kind, words in SAYS.items() for word in words.split()}
 _STRUCTURE = frozenset("nav header footer aside article main section form ul ol table figure button label details blockquote pre dialog menu address select".split())
 
 
@@ -107,6 +117,32 @@ def decoded(text: str) -> str:
     return " ".join(text.split())
 
 
+class _TagEnds:
+    """Where tags end, for pages on which a quote is never closed: one walk backwards over the marks that matter.
+
+    From a mark outside quotes the tag goes on to its ``>``, or over a quoted value to the next mark; a quote that is never
+    closed does not count. Every mark's end is known once, so all tags of a page take time that grows with the page.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.at: list[int] = []
+        quote: list[str] = []
+        for m in _TAG_EVENT.finditer(page):
+            self.at.append(m.end() - 1)
+            quote.append(m[1] or "")
+        self.end = [-1] * (len(self.at) + 1)
+        for i in range(len(self.at) - 1, -1, -1):
+            if not quote[i]:
+                self.end[i] = self.at[i]
+            else:
+                shut = page.find(quote[i], self.at[i] + 1)
+                self.end[i] = self.end[i + 1 if shut < 0 else bisect_right(self.at, shut)]
+
+    def after(self, place: int) -> int:
+        """The ``>`` that ends a tag whose name ends at ``place``; -1 where none does."""
+        return self.end[bisect_left(self.at, place)]
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The page's text blocks in page order: character references decoded, white space made one space, none empty.
 
@@ -118,7 +154,9 @@ def leaf_blocks(page: str) -> list[Block]:
     stack = [root]
     open_blocks: dict[str, int] = {}
     parts: list[str] = []
-    links, in_link, misses = 0, 0, 0
+    links, in_link = 0, 0
+    ends: _TagEnds | None = None
+    endless: set[str] = set()  # raw elements without an end tag from here on
 
     def flush() -> None:
         nonlocal links
@@ -160,16 +198,24 @@ def leaf_blocks(page: str) -> list[Block]:
             else:
                 at = page.find(">", start) + 1
             continue
-        match = _TAG.match(page, start) if misses < _MISSES else None
-        if match is None:
-            misses += 1
-            match = _PLAIN_TAG.match(page, start)
         add(page[at:start])
-        at = match.end()
-        closing, tag, attributes = match[1], match[2].lower(), match[3]
+        match = _TAG.match(page, start) if ends is None else None
+        if match is None:
+            ends = ends or _TagEnds(page)
+            name = _NAME.match(page, start)
+            stop = ends.after(name.end())
+            stop = page.find(">", start) if stop < 0 else stop
+            at, closing, tag, attributes = stop + 1, name[1], name[2].lower(), page[name.end() : stop]
+        else:
+            at, closing, tag, attributes = match.end(), match[1], match[2].lower(), match[3]
         if not closing and tag in _RAW:
-            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(page, at) if at <= last else None
-            at = stop.end() if stop else len(page)
+            # without an end, or ended at once, it holds nothing
+            if not attributes.endswith("/") and tag not in endless:
+                stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(page, at)
+                if stop:
+                    at = stop.end()
+                else:
+                    endless.add(tag)
             continue
         if tag == "br":
             parts.append(" ")
@@ -213,22 +259,48 @@ def _path_features(node: Node) -> list[str]:
         known = [f"in:{t}" for t in sorted(tags)] + [f"cue:{c}" for c in sorted(kinds)] + [f"own:{own[0]}", *(f"owncue:{c}" for c in sorted(own[1]))]
         main = bool(tags & {"article", "main"}) or "main" in kinds
         bad = (tags & {"nav", "footer", "aside", "form", "button", "label", "dialog", "menu", "select"}) | (kinds - {"main", "head"})
-        known += [f"main:{main}", f"bad:{bool(bad)}", f"main:{main}&bad:{bool(bad)}", f"main:{main}&own:{own[0]}"]
+        top = "header" in tags or "head" in kinds
+        known += [f"main:{main}", f"bad:{bool(bad)}", f"top:{top}&main:{main}"]
         _paths[(tags, kinds, own)] = known
     return known
 
 
-def features(block: Block) -> list[str]:
-    text = block.text
-    words = text.count(" ") + 1
-    share = block.links / max(1, len(text))
-    stops = text.count(".") + text.count(",") + text.count("!") + text.count("?")
-    size = "1" if words < 2 else "2" if words < 5 else "3" if words < 12 else "4" if words < 30 else "5"
-    return [*_path_features(block.node), "bias", f"words:{size}", f"links:{'all' if share > 0.8 else 'some' if share > 0.2 else 'few'}", f"stops:{min(3, stops)}", f"ends:{text[-1] in '.!?:'}", f"mark:{text[0] in '©' or '©' in text}"]
+_HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
+
+
+def features(blocks: list[Block]) -> list[list[str]]:
+    """Features of a page's blocks: path, text, and place before or after the title and a heading that announces comments."""
+    titles = [i for i, b in enumerate(blocks) if b.node.own[0] == "h1"]
+    first, out, announced = (titles[0] if titles else -1), [], False
+    for i, block in enumerate(blocks):
+        text = block.text
+        words = text.count(" ") + 1
+        share = block.links / max(1, len(text))
+        stops = text.count(".") + text.count(",") + text.count("!") + text.count("?")
+        size = "1" if words < 2 else "2" if words < 5 else "3" if words < 12 else "4" if words < 30 else "5"
+        said = {_SAID[w] for w in _LETTERS.findall(text.lower()) if w in _SAID} if words < 30 else set()
+        heading = block.node.own[0] in _HEADINGS
+        if heading:
+            announced = "comments" in said and words < 6 and i > first
+        place = "none" if first < 0 else "before" if i < first else "at" if i == first else "after"
+        end = len(blocks) - 1 - i
+        row = [*_path_features(block.node), "bias", f"words:{size}", f"links:{'all' if share > 0.8 else 'some' if share > 0.2 else 'few'}", f"stops:{min(3, stops)}", f"ends:{text[-1] in '.!?:'}", f"mark:{text[0] in '©' or '©' in text}", f"mail:{'@' in text}"]
+        row += [f"title:{place}", f"end:{min(end, 2)}", *(f"says:{w}" for w in sorted(said)), *(f"says:{w}&short" for w in sorted(said) if words < 6)]
+        if announced:
+            row.append("announced")
+        out.append(row)
+    return out
+
+
+_LETTERS = re.compile(r"[^\W\d_]+|©")
 
 
-def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, dict[str, int]]]:
-    """Pages in many layouts, each with the label (1: main text) of every block's text."""
+def labelled_pages(n: int = 600, seed: int = 5) -> list[tuple[str, dict[str, int]]]:
+    """Pages in many layouts, each with the label (1: main text) of every block's text.
+
+    Content stands in a landmark, in an element with a telling class, in one with a meaningless class, in a table cell, or
+    in no element of its own beside menus, headers and footers that are themselves marked or not.
+    """
     rng = random.Random(seed)
     syllables = "ta re mi lo su ka ne vo di pa che un er or is ent ion al ba fe".split()
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
@@ -256,13 +328,32 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, dict[str, int
             tag, attribute = rng.choice(names)
             return f"<{tag}{attribute}>{inner}</{tag}>"
 
+        bare = rng.random() < 0.3  # chrome without landmarks or telling names
+        hashed = lambda: f' class="{rng.choice(["css-", "x", "sc-", "_", ""])}{rng.randrange(16**6):x}{rng.choice(["", " b" + str(rng.randint(1, 99))])}"'
+
+        def plain(inner: str) -> str:
+            return wrap([("div", ""), ("div", hashed()), ("div", hashed()), ("p", "")] if not inner.startswith("<") else [("div", ""), ("div", hashed()), ("center", "")], inner)
+
+        def rights() -> str:
+            return rng.choice([f"Copyright {rng.randint(1999, 2030)} {run(1, 3)}", f"{run(1, 3)}. All rights reserved.", f"{rng.randint(1999, 2030)} {run(1, 2)} | Privacy | Terms"])
+
         def nav() -> str:
+            if bare:
+                return rng.choice([link_list(), plain(link_list()), plain(" | ".join(f'<a href="/{word()}">{word()}</a>' for _ in range(4)))])
             return wrap([("nav", ""), ("nav", ' class="navbar"'), ("div", ' class="menu"'), ("div", ' id="navigation"'), ("ul", ' class="breadcrumbs"'), ("div", ' role="navigation"')], link_list())
 
         def header() -> str:
+            if bare:
+                return plain(rng.choice([f'<a href="/">{mark(run(1, 3), 0)}</a>', mark(run(1, 4), 0)]))
             return wrap([("header", ""), ("div", ' class="masthead"'), ("div", ' id="header"'), ("header", ' class="site-header"'), ("div", ' class="topbar"'), ("div", ' class="branding"')], rng.choice(["<p>{}</p>", "{}"]).format(mark(run(1, 6), 0)) + (nav() if rng.random() < 0.5 else ""))
 
         def footer() -> str:
+            if rng.random() < 0.15:
+                return wrap([("address", ""), ("div", ' class="footer"'), ("footer", "")], rng.choice(["<address>{}</address>", "{}"]).format(mark(f"{run(1, 4)} {word()}@{word()}.org", 0)))
+            if bare:
+                return rng.choice(["<hr>", ""]) + plain(rng.choice(["&copy; ", ""]) + mark(rights(), 0))
+            if rng.random() < 0.4:
+                return wrap([("footer", ""), ("div", ' id="footer"'), ("footer", hashed())], rng.choice(["<p>{}</p>", "{}"]).format(mark(rights(), 0)))
             return wrap([("footer", ""), ("div", ' class="footer"'), ("div", ' id="site-footer"'), ("footer", ' class="colophon"')], rng.choice(["&copy; ", ""]) + mark(prose(0, 1, 2), 0) + (link_list() if rng.random() < 0.3 else ""))
 
         def side() -> str:
@@ -272,14 +363,18 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, dict[str, int
             return wrap([("div", ' class="ad"'), ("div", ' class="ads banner"'), ("ins", ' class="adsbygoogle"'), ("div", ' id="advert-1"'), ("section", ' class="sponsored"'), ("aside", ' class="promo"')], mark(prose(0, 1, 3), 0))
 
         def notice() -> str:
-            return wrap([("div", ' class="cookie-notice"'), ("div", ' id="gdpr-consent"'), ("div", ' class="newsletter popup"'), ("div", ' role="alert"'), ("dialog", "")], f"<p>{mark(prose(0, 1, 2), 0)}</p><button>{mark(run(1, 2), 0)}</button>")
+            return wrap([("div", ' class="cookie-notice"'), ("div", ' id="gdpr-consent"'), ("div", ' class="newsletter popup"'), ("div", ' role="alert"'), ("dialog", "")], f"<p>{mark(rng.choice(['We use cookies. ', '']) + prose(0, 1, 2), 0)}</p><button>{mark(run(1, 2), 0)}</button>")
 
         def form() -> str:
             return f'<form action="/x"><label>{mark(run(1, 3), 0)}</label><input name="q"><button>{mark(run(1, 1), 0)}</button></form>'
 
         def comments() -> str:
             one = lambda: wrap([("div", ' class="comment"'), ("li", ' class="comment"'), ("article", ' class="comment"')], f"<p>{mark(prose(0, 1, 4), 0)}</p>")
-            return wrap([("section", ' id="comments"'), ("div", ' class="comments"'), ("div", ' class="reader-comments"'), ("ol", ' class="comment-list"')], f"<h2>{mark(run(1, 3), 0)}</h2>" + "".join(one() for _ in range(rng.randint(1, 4))))
+            title = rng.choice([run(1, 3), "Comments", f"{rng.randint(2, 30)} comments", "Leave a reply", "Reader comments"])
+            if bare:
+                inner = "".join(rng.choice(["<p>{}</p>", "<div>{}</div>", "<p" + hashed() + ">{}</p>"]).format(mark(prose(0, 1, 4), 0)) for _ in range(rng.randint(1, 4)))
+                return f"<h3>{mark(rng.choice(['Comments', 'Reader comments', f'{rng.randint(2, 30)} comments', 'Replies']), 0)}</h3>{inner}"
+            return wrap([("section", ' id="comments"'), ("div", ' class="comments"'), ("div", ' class="reader-comments"'), ("ol", ' class="comment-list"')], f"<h2>{mark(title, 0)}</h2>" + "".join(one() for _ in range(rng.randint(1, 4))))
 
         def share() -> str:
             return wrap([("div", ' class="share"'), ("div", ' class="related-posts"'), ("ul", ' class="tags"'), ("section", ' class="recommended"')], link_list())
@@ -304,12 +399,22 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, dict[str, int
             inner = "".join(out)
             if rng.random() < 0.2:
                 inner += rng.choice([comments, share, form])()
+            where = rng.random()
+            if where < 0.3:
+                return inner  # in no element of its own
+            if where < 0.5:
+                return wrap([("div", hashed()), ("section", hashed()), ("div", ""), ("center", ""), ("td", "")], inner)
             return wrap([("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="main-content"'), ("div", ' class="post-body entry"'), ("section", ' class="story"')], inner)
 
-        top = [f() for f in (header, nav, notice, advert, form) if rng.random() < 0.5]
-        low = [f() for f in (comments, share, side, advert, form) if rng.random() < 0.35]
+        top = [f() for f in ((header, nav) if bare else (header, nav, notice, advert, form)) if rng.random() < 0.5]
+        low = [f() for f in ((comments,) if bare else (comments, share, side, advert, form)) if rng.random() < 0.35]
         rng.shuffle(top)
-        body = "".join(top) + content() + "".join(low) + (footer() if rng.random() < 0.85 else "")
+        middle = content() + "".join(low)
+        if rng.random() < 0.08:  # a page laid out by a table
+            middle = f"<table{rng.choice(['', ' width=100%'])}><tr><td{rng.choice(['', hashed()])}>{nav()}</td><td>{middle}</td></tr></table>"
+        elif middle.startswith("<td"):
+            middle = f"<table><tr>{middle}</tr></table>"
+        body = "".join(top) + middle + (footer() if rng.random() < 0.85 else "")
         if rng.random() < 0.3:  # a wrapper of the whole page says nothing
             body = wrap([("div", ' id="page"'), ("div", ' class="main-wrapper"'), ("div", ' id="main"'), ("div", ' class="page-body"')], body)
         labels = {html.unescape("© " + k) if f"&copy; {k}" in body else k: y for k, y in labels.items()}
@@ -323,9 +428,10 @@ class Extractor:
     names: dict[str, int]
 
     def scores(self, blocks: list[Block]) -> np.ndarray:
+        """Scores of one page's blocks."""
         out = np.zeros((len(blocks), 2))
-        for i, block in enumerate(blocks):
-            known = [k for f in features(block) if (k := self.names.get(f)) is not None]
+        for i, row in enumerate(features(blocks)):
+            known = [k for f in row if (k := self.names.get(f)) is not None]
             out[i] = self.chain.weights[known].sum(0)
         return out
 
@@ -334,7 +440,7 @@ class Extractor:
         cut = [leaf_blocks(p) if p else [] for p in pages]
         flat = [b for blocks in cut for b in blocks]
         lengths = np.array([len(b) for b in cut], dtype=np.int64)
-        states = self.chain.viterbi(self.scores(flat), lengths) if flat else np.zeros(0, int)
+        states = self.chain.viterbi(np.concatenate([self.scores(blocks) for blocks in cut]), lengths) if flat else np.zeros(0, int)
         at = np.concatenate(([0], np.cumsum(lengths)))
         return [[b.text for b, y in zip(blocks, states[at[i] : at[i + 1]], strict=True) if y] for i, blocks in enumerate(cut)]
 
@@ -344,10 +450,11 @@ def fit_extractor(pages: list[tuple[str, dict[str, int]]] | None = None) -> Extr
     names: dict[str, int] = {}
     rows, states, lengths = [], [], []
     for page, labels in pages if pages is not None else labelled_pages():
-        blocks = [b for b in leaf_blocks(page) if b.text in labels]
+        every = leaf_blocks(page)
+        blocks = [(b, row) for b, row in zip(every, features(every), strict=True) if b.text in labels]
         lengths.append(len(blocks))
-        for b in blocks:
-            rows.append([names.setdefault(f, len(names)) for f in features(b)])
+        for b, row in blocks:
+            rows.append([names.setdefault(f, len(names)) for f in row])
             states.append(labels[b.text])
     x = np.zeros((len(rows), len(names)))
     for i, known in enumerate(rows):
