@@ -10,12 +10,16 @@ every document is looked up, so a leak is found unless each of its stretches of
 about STEPS / 2 words is edited. Every place a lookup can only fail is left at once:
 the sampled outputs so far must start some item's key.
 
-Edits spread over all words are found by a second search over characters: a seed is
-two stretches of ``half`` characters with at most one edit between them (class Seeds).
-With n characters and e edits an item keeps at least n - 2 * half + 1 - 2 * half * e
-seeds, so every item of 12 characters or more is found up to 10 % edits wherever they
-stand. Above that the number of seeds asked of an item follows from the tolerance and
-TARGET, for edits at random places.
+Edits spread over all words are found by a second search over characters (class
+Seeds): a seed is two stretches of ``half`` characters with at most one edit between
+them. The number of seeds asked of an item follows from the tolerance and TARGET, for
+edits at random places. An item too short for seeds is cut into one piece more than it
+may have edits; one of them is whole in any leak, so its pieces lose nothing.
+
+Repetitive texts: a key that an item holds many times is kept once, with the range of
+its places, so what is expanded grows with the text and not with the product of
+repeats; hits are counted in cells before they are sorted; long texts are searched
+in stretches that overlap by the longest item.
 
 A hit lines the item up with a document window of the item's size; the window,
 widened by the permitted edits, is then checked with the exact edit distance of
@@ -25,6 +29,7 @@ characters (best place of the whole item inside it).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 from math import ceil, sqrt
 from statistics import NormalDist
 
@@ -38,16 +43,21 @@ from . import textkernel as K
 from .session import cut, ready
 
 STEPS, COORDS, REPEATS = 16, 9, 4
-#: Items of fewer words are hashed as whole windows of their exact size, twice as many steps.
+#: A walk of STEPS outputs may leave an item of fewer words; such items are hashed as whole windows of exactly their size
+#: (twice as many steps as words). All items are sought by seeds too, whatever their size.
 SHORT = 12
 #: Benchmark text that one pass over the documents may carry to every task; larger benchmarks take several passes.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 19
 #: Share of items to find that have as many edits as are permitted, at random places.
 TARGET = 0.99
+#: Items of up to so many characters are sought by whole pieces.
+PIECES = 11
 #: Characters in each half of a seed, for items of up to so many characters.
-HALVES = ((2, 11), (3, 39), (4, 1 << 40))
-#: An item that is asked for so many seeds is not sought by a single run of fewer than twice as many.
-LONE = 4
+HALVES = ((3, 39), (4, 1 << 40))
+#: A key that an item holds more often than this, and more often than once in so many characters, stands for a range of places.
+OFTEN, DENSE = 8, 100
+#: Characters that are searched at once, and hits that are expanded at once (a stretch is halved until it has fewer, as long as it is longer than its overlaps).
+STRETCH, HITS = 1 << 18, 1 << 21
 #: Bytes of text that are searched at once (or one longer text): what a task holds besides follows from it.
 SLICE = 1 << 18
 #: Document windows that are compared with items at once, and numbers that characters are told apart by.
@@ -114,6 +124,7 @@ class Index:
         low, starts, ends, counts = normal_words(raw, offs)
         hashes = K.span_hash(low, starts, ends)
         text, at = low.tobytes(), np.concatenate(([0], np.cumsum(counts)))
+        self.at = at
         self.words = [[text[starts[w] : ends[w]].decode("utf-8", "replace") for w in range(at[i], at[i + 1])] for i in range(len(items))]
         self.patterns = [" ".join(w) for w in self.words]
         self.seeds: dict[float, Seeds] = {}
@@ -136,22 +147,42 @@ class Index:
                     bits = np.zeros(room, bool)
                     bits[(level[inside] & K.U64(room - 1)).astype(np.int64)] = True
                     admit.append(bits)
-                order = np.argsort(key[inside], kind="stable")
-                offset = begin[inside] - place[at[row[own][inside]]]
-                self.tables.append((size, repeat, coords, admit, key[inside][order], row[own][inside][order], offset[order]))
-
-    def candidates(self, seq: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start in seq, item, offset in the item) of every key that meets an item's."""
-        found = []
-        for size, repeat, coords, admit, keys, rows, offsets in self.tables:
+                self.tables.append((size, repeat, coords, admit, *_ranges(key[inside], row[own][inside], begin[inside] - place[at[row[own][inside]]])))
+
+    def candidates(self, seq: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(start in seq, item, first and last offset in the item) of every key that meets an item's, in bounded parts."""
+        for size, repeat, coords, admit, keys, rows, first, last in self.tables:
             begin, _, key, _ = walk(seq, place, repeat, coords, admit, size)
             lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            n = hi - lo
-            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            found.append((np.repeat(begin, n), rows[at], offsets[at]))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            met = np.flatnonzero(hi > lo)
+            for part in _bounded(met, (hi - lo)[met]):
+                at, own = _expanded(lo[part], (hi - lo)[part])
+                yield begin[part][own], rows[at], first[at], last[at]
+
+
+def _ranges(key: np.ndarray, row: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, one row for each key and item: (key, item, first offset, last offset)."""
+    order = np.lexsort((offset, row, key))
+    key, row, offset = key[order], row[order], offset[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(new)
+    return key[at], row[at], offset[at], offset[np.append(at[1:], len(key)) - 1] if len(at) else offset
+
+
+def _bounded(rows: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in parts whose sizes add up to about HITS at most (or one row)."""
+    total, i = np.concatenate(([0], np.cumsum(sizes))), 0
+    while i < len(rows):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + HITS, "right")) - 1)
+        yield rows[i:j]
+        i = j
+
+
+def _expanded(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """lo, lo + 1 ... of n each, and which row each is from."""
+    own = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(own)) - (np.cumsum(n) - n - lo)[own], own
 
 
 def characters(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,67 +243,149 @@ class Seeds:
             place = np.arange(len(x)) - np.searchsorted(piece, piece)
             np.bitwise_or.at(self.equal, (base + piece, x % SYMBOLS), K.U64(1) << place.astype(np.uint64))
         self.classes = []
-        shortest = 0
+        shortest = PIECES
         for half, longest in HALVES:
-            keys, item, offset = [], [], []
-            for i in np.flatnonzero((self.length > shortest) & (self.length <= longest)).tolist():
+            own = np.flatnonzero((self.length > shortest) & (self.length <= longest)).tolist()
+            asked = np.array([seeds_asked(int(n), half, tolerance) for n in self.length], np.int64)
+            rows = []
+            for i in own:
                 runs = grams(points[i], half)
-                for gap in (half, half + 1):
-                    pairs = _pairs(runs, gap)
-                    keys.append(pairs)
-                    item.append(np.full(len(pairs), i, np.int32))
-                    offset.append(np.arange(len(pairs), dtype=np.int32))
+                rows += [(i, pairs, np.arange(len(pairs))) for pairs in (_pairs(runs, gap) for gap in (half, half + 1))]
+            self._add([(half, half), (half, half + 1)], rows, asked, 2 * half + 1)
             shortest = longest
-            if not keys or not sum(map(len, keys)):
-                continue
-            key, item, offset = np.concatenate(keys), np.concatenate(item), np.concatenate(offset)
-            order = np.argsort(key, kind="stable")
-            shift = 64 - min(26, max(16, int(len(key) * 16).bit_length()))
-            bits = np.zeros(1 << 64 - shift, bool)
-            bits[(key >> K.U64(shift)).astype(np.int64)] = True
-            asked = np.array([seeds_asked(int(n), half, tolerance) for n in self.length], np.int64)
-            key, runs = np.unique(key, return_counts=True)
-            self.classes.append((half, shift, bits, key, np.cumsum(runs) - runs, runs, item[order], offset[order], asked))
+        once = np.ones(len(patterns), np.int64)
+        for size in (1, 2, 3, 4):  # pieces: of the longer ones, their beginnings
+            rows = []
+            for i in np.flatnonzero((self.length > 0) & (self.length <= PIECES)).tolist():
+                cuts = np.arange(self.most[i] + 2) * self.length[i] // (self.most[i] + 1)
+                at = np.array([a for a, b in pairwise(cuts.tolist()) if min(4, b - a) == size], np.int64)
+                rows.append((i, grams(points[i], size)[at], at))
+            self._add([(size, 0)], rows, once, size)
+
+    def _add(self, kinds: list[tuple[int, int]], rows: list[tuple[int, np.ndarray, np.ndarray]], asked: np.ndarray, span: int) -> None:
+        """A table of keys: (item, keys, offsets) of its items. Keys that an item repeats often go into a second one."""
+        if not sum(len(k) for _, k, _ in rows):
+            return
+        key = np.concatenate([k for _, k, _ in rows])
+        offset = np.concatenate([o for _, _, o in rows]).astype(np.int64)
+        item = np.repeat(np.array([i for i, _, _ in rows], np.int64), [len(k) for _, k, _ in rows])
+        order = np.lexsort((item, key))
+        key, item, offset = key[order], item[order], offset[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (item[1:] != item[:-1])
+        group = np.cumsum(new) - 1
+        times = np.bincount(group)[group]
+        often = times > np.maximum(OFTEN, self.length[item] // DENSE)
+        shift = 64 - min(26, max(16, int(len(key) * 16).bit_length()))
+        bits = np.zeros(1 << 64 - shift, bool)
+        bits[(key >> K.U64(shift)).astype(np.int64)] = True
+        tables = []
+        for mine in (~often, often):
+            k, i, o = key[mine], item[mine], offset[mine]
+            if mine is often:  # one row for each cell of offsets
+                cell = o // self._cell(i)
+                k, i, cell = (np.array(x) for x in zip(*sorted(set(zip(k.tolist(), i.tolist(), cell.tolist(), strict=True))), strict=True)) if len(k) else (k, i, cell)
+                k, o = k.astype(np.uint64), cell
+            own, runs = np.unique(k, return_counts=True)
+            tables.append((own, np.cumsum(runs) - runs, runs, i, o))
+        self.classes.append((kinds, shift, bits, tables, asked, span))
+
+    def _cell(self, item: np.ndarray) -> np.ndarray:
+        """Width of the cells of offsets of items that repeat themselves."""
+        return np.maximum(8, self.most[item] + 1)
 
     def windows(self, points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place of a hit, lowest and highest first place of the item by the hits) of all windows that may hold an item; ``rows`` are the places where texts start."""
+        """(item, place of a hit, lowest and highest first place of the item by the hits) of all windows that may hold an item; ``rows`` are the places where texts start.
+
+        The hits of a window lie within the item's length and edits, so stretches that overlap by that lose none.
+        """
         found = [(np.zeros(0, np.int64),) * 4]
-        longest = int(self.length.max(initial=0))
-        room = (len(points) + 2 * longest + 1).bit_length()
-        mask, together = (1 << room) - 1, 1 << max(1, 62 - 2 * room)
-        for half, shift, bits, keys, begins, sizes, items, offsets, asked in self.classes:
-            mine, hits = grams(points, half), []
-            for gap in (half, half + 1):
-                key = _pairs(mine, gap)
-                place = np.flatnonzero(bits[(key >> K.U64(shift)).astype(np.int64)])
-                key = key[place]
-                slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                same = np.flatnonzero(keys[slot] == key)
-                slot, place = slot[same], place[same]
-                lo, n = begins[slot], sizes[slot]
-                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                place = np.repeat(place, n)
-                hits.append((items[at].astype(np.int64), place - offsets[at] + longest, place))
-            all_items, diagonals, places = (np.concatenate(x) for x in zip(*hits, strict=True))
-            for base in range(0, len(self.length), together):  # one pass, unless a text is huge
-                mine_only = slice(None) if together >= len(self.length) else (all_items >= base) & (all_items < base + together)
-                # hits in the order of item, diagonal and place, all three in one number
-                key = np.sort(((all_items[mine_only] - base << room) + diagonals[mine_only] << room) | places[mine_only])
-                found.append(self._grouped(key, base, room, mask, longest, asked, points, rows))
+        for kind in self.classes:
+            lap = int((self.length + 2 * self.most).max(initial=0)) + kind[5]
+            todo = [(a, min(a + STRETCH + lap, len(points))) for a in range(0, len(points), STRETCH)]
+            while todo:
+                a, b = todo.pop()
+                part = self._stretch(kind, points, a, b, rows, b - a > 4 * lap)
+                if part is None:
+                    middle = (a + b) // 2
+                    todo += [(a, middle + lap), (middle, b)]
+                else:
+                    found += part
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def _grouped(self, key: np.ndarray, base: int, room: int, mask: int, longest: int, asked: np.ndarray, points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _stretch(self, kind: tuple, points: np.ndarray, a: int, b: int, rows: np.ndarray, may_halve: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] | None:
+        """Windows of the hits in points[a:b]; None where they are too many at once."""
+        kinds, shift, bits, (usual, often), asked, _ = kind
+        met, many = [], []
+        mine = grams(points[a:b], kinds[0][0])
+        for _, gap in kinds:
+            key = _pairs(mine, gap) if gap else mine
+            place = np.flatnonzero(bits[(key >> K.U64(shift)).astype(np.int64)])
+            key, place = key[place], place + a
+            for (keys, begins, sizes, _, _), out in ((usual, met), (often, many)):
+                if len(keys):
+                    slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    same = np.flatnonzero(keys[slot] == key)
+                    out.append((slot[same], place[same], begins[slot[same]], sizes[slot[same]]))
+        if may_halve and sum(int(n.sum()) for *_, n in met) > HITS:
+            return None
+        out = []
+        if met:
+            slot, place, lo, n = (np.concatenate(x) for x in zip(*met, strict=True))
+            at, own = _expanded(lo, n)
+            item, place = usual[3][at], place[own]
+            first = place - usual[4][at]
+            ok = self._crowded(item, first, asked)
+            out.append(self._grouped(item[ok], first[ok], place[ok], asked, points, rows))
+        for slot, place, _, _ in many:
+            out += self._repeated(often, slot, place, points, rows)
+        return out
+
+    def _crowded(self, item: np.ndarray, first: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Hits whose cell of diagonals holds, with the next or the last cell, as many as their item is asked for; cells may share a counter."""
+        if not len(item):
+            return item
+        width = self.most[item] + 1
+        room = 1 << max(10, min(20, int(len(item)).bit_length()))
+        cell = (first + (1 << 30)) // width + item * 0x9E3779B1 & room - 1
+        count = np.bincount(cell, minlength=room).astype(np.int32)
+        most = count.copy()  # with the fuller of the two cells beside it
+        most[:-1], most[-1] = np.maximum(count[1:], np.concatenate((count[-1:], count[:-2]))), max(count[0], count[-2])
+        return np.flatnonzero((count + most)[cell] >= asked[item])
+
+    def _repeated(self, table: tuple, slot: np.ndarray, place: np.ndarray, points: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows of items that repeat themselves: every cell of 16 places against every cell of offsets, without a count."""
+        _, begins, sizes, items, cells = table
+        row = np.searchsorted(rows, place, "right")
+        order = np.lexsort((place, slot))
+        slot, place, row = slot[order], place[order], row[order]
+        new = np.ones(len(slot), bool)
+        new[1:] = (slot[1:] != slot[:-1]) | (place[1:] >> 4 != place[:-1] >> 4) | (row[1:] != row[:-1])
+        slot, place, row = slot[new], place[new], row[new]
+        out = []
+        for part in _bounded(np.arange(len(slot)), sizes[slot]):
+            at, own = _expanded(begins[slot[part]], sizes[slot[part]])
+            item, here = items[at], place[part][own]
+            wide = self._cell(item)
+            low, high = (here & ~15) - (cells[at] + 1) * wide + 1, (here | 15) - cells[at] * wide
+            near = low // np.maximum(64, wide)
+            order = np.lexsort((near, row[part][own], item))
+            same = np.ones(len(order) + 1, bool)
+            i, r, b = item[order], row[part][own][order], near[order]
+            same[1:-1] = (i[1:] != i[:-1]) | (r[1:] != r[:-1]) | (b[1:] != b[:-1])
+            start = np.flatnonzero(same)[:-1]
+            if len(start):
+                out.append(self._alike(points, i[start], here[order][start], np.minimum.reduceat(low[order], start), np.maximum.reduceat(high[order], start)))
+        return out
+
+    def _grouped(self, item: np.ndarray, first: np.ndarray, place: np.ndarray, asked: np.ndarray, points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The windows of enough hits, of those that may hold their item."""
-        line, place = key >> room, key & mask
-        item, first = (line >> room) + base, (line & mask) - longest
+        order = np.lexsort((place, first, item))
+        item, first, place = item[order], first[order], place[order]
+        room = int(first.max(initial=0) - first.min(initial=0)) + int(self.most.max(initial=0)) + 2
+        line = item * room + (first - first.min(initial=0))
         end = np.searchsorted(line, line + self.most[item], "right")
-        number = end - np.arange(len(line))
-        # runs of neighbouring seeds: a word or two that many texts share is one
-        new = np.ones(len(line) + 1, np.int64)
-        new[1:-1] = (line[1:] != line[:-1]) | (place[1:] > place[:-1] + 1)
-        before = np.cumsum(new) - new
-        runs, need = before[end] - before[:-1], asked[item]
-        enough = (number >= need) & ((need < LONE) | (runs > 1) | (number >= 2 * need))
+        enough = end - np.arange(len(line)) >= asked[item]
         # every diagonal within reach of a group that is large enough
         ahead = np.maximum.accumulate(np.where(enough, line + self.most[item], -1)) if len(line) else line
         ok = np.flatnonzero(line <= ahead)
@@ -349,12 +462,37 @@ def best_place(pattern: str, text: str) -> int:
         diagonal = (((eq & up) + up) ^ up) | eq | down
         plus, minus = down | ~(diagonal | up) & full, up & diagonal
         score += bool(plus & top) - bool(minus & top)
-        best = min(best, score)
+        if score < best:
+            best = score
+            if not best:
+                break
         plus, minus = plus << 1 & full, minus << 1 & full
         up, down = minus | ~(diagonal | plus) & full, plus & diagonal
     return best
 
 
+def _regions(doc: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(document, item, its stretches of words without overlaps) of windows that may overlap."""
+    some = np.flatnonzero(hi > lo)
+    order = some[np.lexsort((lo[some], item[some], doc[some]))]
+    doc, item, lo, hi = doc[order], item[order], lo[order], hi[order]
+    if not len(doc):
+        return
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+    pair = np.cumsum(new) - 1
+    room = int(hi.max()) + 1
+    reach = np.maximum.accumulate(hi + pair * room)  # a later pair lies beyond all earlier ones
+    start = new.copy()
+    start[1:] |= lo[1:] + pair[1:] * room > reach[:-1]
+    at = np.flatnonzero(start)
+    ends = np.maximum.reduceat(hi, at)
+    pair_of = pair[at]
+    first = np.flatnonzero(np.diff(pair_of, prepend=-1))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+        yield int(doc[at[a]]), int(item[at[a]]), list(zip(lo[at[a:b]].tolist(), ends[a:b].tolist(), strict=True))
+
+
 def find_items(texts: pa.Array, index: Index, tolerance: float) -> dict[str, list]:
     """Row number, item, fewest edits, similarity and first word of every item found in a batch of texts."""
     out: dict[str, list] = {"row": [], "item_id": [], "edits": [], "similarity": [], "first_word": []}
@@ -366,32 +504,21 @@ def find_items(texts: pa.Array, index: Index, tolerance: float) -> dict[str, lis
         low, starts, ends, counts = normal_words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
         seq, place = padded(K.span_hash(low, starts, ends), counts, 3 * STEPS)
         at = np.concatenate(([0], np.cumsum(counts)))
-        begin, item, offset = index.candidates(seq, place)
-        word = np.searchsorted(place, begin)
-        doc = np.searchsorted(at, word, "right") - 1
-        seen: dict[tuple[int, int], set[tuple[int, int]]] = {}
-        for d, k, first in zip(doc.tolist(), item.tolist(), (word - offset).tolist(), strict=True):
-            n = len(index.words[k])
-            slack = ceil(tolerance * n)
-            seen.setdefault((d, k), set()).add((first - slack, first + n + slack))
+        lined = [(np.zeros(0, np.int64),) * 4]
+        sizes = np.diff(index.at)
+        for begin, item, first, last in index.candidates(seq, place):
+            word = np.searchsorted(place, begin)
+            slack = np.ceil(tolerance * sizes[item]).astype(np.int64)
+            lined.append((np.searchsorted(at, word, "right") - 1, item, word - last - slack, word - first + sizes[item] + slack))
         points, heads = characters(low, starts, ends)
         item, hit, low_first, high_first = seeds.windows(points, heads[at[:-1][counts > 0]])
         doc = np.searchsorted(at, np.searchsorted(heads, hit, "right") - 1, "right") - 1
-        lows = np.searchsorted(heads, low_first - seeds.most[item], "right") - 1
-        highs = np.searchsorted(heads, high_first + seeds.length[item] + seeds.most[item], "left")
-        for d, k, lo, hi in zip(doc.tolist(), item.tolist(), lows.tolist(), highs.tolist(), strict=True):
-            seen.setdefault((d, k), set()).add((lo, hi))
-        for (d, k), lined in seen.items():
+        lined.append((doc, item, np.searchsorted(heads, low_first - seeds.most[item], "right") - 1, np.searchsorted(heads, high_first + seeds.length[item] + seeds.most[item], "left")))
+        doc, item, lo, hi = (np.concatenate(x) for x in zip(*lined, strict=True))
+        for d, k, regions in _regions(doc, item, np.maximum(at[doc], lo), np.minimum(at[doc + 1], hi)):
             pattern = index.patterns[k]
             most = int(tolerance * len(pattern))
             best, where = len(pattern) + 1, 0
-            regions: list[list[int]] = []  # overlapping windows are searched once
-            for lo, hi in sorted(lined):
-                lo, hi = max(at[d], lo), min(at[d + 1], hi)
-                if regions and lo <= regions[-1][1]:
-                    regions[-1][1] = max(regions[-1][1], hi)
-                elif hi > lo:
-                    regions.append([lo, hi])
             for lo, hi in regions:
                 text = low[starts[lo] : ends[hi - 1]].tobytes().decode("utf-8", "replace")
                 edits = best_place(pattern, " ".join(text.split()))
@@ -420,30 +547,28 @@ def _clean(batches: Iterator[pa.RecordBatch], index: Index, tolerance: float) ->
         yield batch.filter(pa.array(ok)).select(range(batch.num_columns - 1))
 
 
-def _indexes(items: DataFrame) -> Iterator[tuple[Broadcast, bool]]:
-    """Broadcast indexes of the benchmark, one after the other, in blocks of about BLOCK_BYTES of text by its measured size; whether there are more than one."""
+def _indexes(items: DataFrame) -> Iterator[Broadcast]:
+    """Broadcast indexes of the benchmark, one after the other, in blocks of about BLOCK_BYTES of text by its measured size."""
     context = items.sparkSession.sparkContext
     pool = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND length(text) > 0")
     passes = max(1, ceil((pool.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK_BYTES))
     for k in range(passes):
         block = sorted((r[0], r[1]) for r in pool.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect())
-        yield context.broadcast(Index(block)), passes > 1
+        yield context.broadcast(Index(block))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", tolerance: float = 0.2) -> DataFrame:
     """The columns ``keep`` of the documents that hold no benchmark item, judged as by ``leaks``; nothing is shuffled.
 
-    ``keep`` names the text column too. A benchmark of several blocks takes a pass for each, written as a table, so that one index is held at a time.
+    ``keep`` names the text column too. Each block of the benchmark takes a pass, written as a table, so that one index is held at a time and none once this returns.
     """
     ready(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    for index, more in _indexes(items):
-        rows = rows.mapInArrow(lambda it, index=index: _clean(it, index.value, tolerance), fields)
-        if more:
-            rows = cut(rows)
-            index.destroy()
-        rows = rows.withColumn("__text", F.col(text))
+    for index in _indexes(items):
+        # written, so that the index can leave the workers' memory before anything else runs
+        rows = cut(rows.mapInArrow(lambda it, index=index: _clean(it, index.value, tolerance), fields)).withColumn("__text", F.col(text))
+        index.destroy()
     return rows.drop("__text")
 
 
@@ -461,10 +586,9 @@ def leaks(docs: DataFrame, items: DataFrame, tolerance: float = 0.2) -> DataFram
     ready(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
     found = None
-    for index, more in _indexes(items):
+    for index in _indexes(items):
         part = texts.mapInArrow(lambda it, index=index: _leaks(it, index.value, tolerance), "doc_id long, item_id long, edits int, similarity double, first_word long")
-        if more:  # one index is held at a time
-            part = cut(part)
-            index.destroy()
+        part = cut(part)
+        index.destroy()  # one index is held at a time
         found = part if found is None else found.union(part)
     return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "first_word", "similarity")).alias("b")).select("doc_id", "item_id", "b.edits", "b.similarity", "b.first_word")
