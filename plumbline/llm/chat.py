@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 from math import isfinite
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -268,8 +269,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [parse_message(r, t) for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         get = lambda k, rows=rows: [r[k] for r in rows]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], pa.array(get("content"), pa.string()), pa.array(get("calls"), _CALL_T), pa.array(get("results"), _RESULT_T), pa.array(get("tools"), _TOOL_T), pa.array(get("broken"), pa.int32())],
-            ["conv_id", "turn", "role", "content", "calls", "results", "tools", "broken"],
+            [*batch.columns[:3], pa.array(get("content"), pa.string()), pa.array(get("calls"), _CALL_T), pa.array(get("results"), _RESULT_T), pa.array(get("tools"), _TOOL_T), pa.array(get("broken"), pa.int32()), batch.column(4)],
+            ["conv_id", "turn", "role", "content", "calls", "results", "tools", "broken", "hash"],
         )
 
 
@@ -324,38 +325,94 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.int32()) for x in (n_calls, n_results, linked, invalid)), pa.array(lines, pa.string())], [*("conv_id", "turn", "place", "depth", "role"), "n_calls", "n_results", "n_linked", "n_invalid", "message"])
 
 
+#: Links of an out-of-order conversation that one call settles; a conversation with more is settled in rounds.
+SETTLE = 200_000
+
+
+def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Places and depths of one conversation's messages by Kahn's order, of its links (msg, place, tie, before, p, before_tie)."""
+    turn: dict[int, int] = {}
+    tie: dict[int, tuple] = {}
+    needs: dict[int, list[int]] = {}
+    wanted: dict[int, list[int]] = {}
+    for m, place, t, b, p, bt in zip(pdf.msg.tolist(), pdf.place.tolist(), pdf.tie, pdf.before.tolist(), pdf.p.tolist(), pdf.before_tie, strict=True):
+        turn[m], turn[b], tie[m], tie[b] = place, p, _order(t), _order(bt)
+        needs.setdefault(m, []).append(b)
+        wanted.setdefault(b, []).append(m)
+    knots = set(turn)  # on a cycle or between two: what is left once ends are taken off both ways
+    for links, back in ((needs, wanted), (wanted, needs)):
+        left = {m: sum(b in knots for b in links.get(m, ())) for m in knots}
+        free = [m for m in knots if not left[m]]
+        while free:
+            m = free.pop()
+            knots.discard(m)
+            for n in back.get(m, ()):
+                if n in knots:
+                    left[n] -= 1
+                    if not left[n]:
+                        free.append(n)
+    out: dict[int, tuple[int, int]] = {}
+    waits = {m: 0 if m in knots else len(needs.get(m, ())) for m in turn}
+    ready_ = [m for m, n in waits.items() if not n]
+    while ready_:
+        m = ready_.pop()
+        late = [(out[b][0], out[b][1] + 1) for b in needs.get(m, ()) if m not in knots and (*out[b], tie[b]) > (turn[m], 0, tie[m])]
+        out[m] = max(late, default=(turn[m], 0))
+        for n in wanted.get(m, ()):
+            if n not in knots:
+                waits[n] -= 1
+                if not waits[n]:
+                    ready_.append(n)
+    return pd.DataFrame({"msg": list(out), "place": [p for p, _ in out.values()], "depth": [d for _, d in out.values()]})
+
+
+def _order(tie: dict) -> tuple:
+    return (tie["role"] is not None, tie["role"] or "", tie["hash"], tie["msg"])
+
+
 def topological_places(messages: DataFrame, needs: DataFrame) -> DataFrame:
-    """(msg, place, depth) of the messages that ``needs(msg, before)`` moves.
+    """(msg, place, depth) of the messages that ``needs(msg, before)`` moves, of ``messages(msg, conv_id, turn, tie)``.
 
     Unmoved, a message's place is its turn and its depth 0. A message that comes no
-    later than one it needs takes that one's place with a greater depth, again and
-    again until nothing moves. Messages on a cycle (or between two) stay at their
-    turns with depth 0, and their needs are left out first (``cycles``); only
-    conversations in which some link is out of order can hold one, so only their
-    links are looked at. Each round is a join of few pairs; there are no more rounds
-    than the longest chain of needs of a message that moves, whatever the table's size.
+    later than one it needs (of one turn, the ``tie`` decides) takes that one's place with
+    a greater depth. Messages on a cycle (or between two) stay at their
+    turns with depth 0, and their needs are left out; only conversations in which some link is
+    out of order are looked at. The links of such a conversation, a few numbers each, are
+    settled in one call where they are at most SETTLE by count; a larger one is settled in rounds of joins,
+    as many as its longest chain of needs that moves.
     """
     order = F.coalesce("turn", F.lit(0))
-    start = messages.select("msg", "conv_id", order.alias("place"), F.lit(0).alias("depth"))
-    behind = start.select(F.col("msg").alias("before"), F.col("place").alias("p"))
-    of = cut(needs.join(start, "msg").join(behind, "before").select("conv_id", "msg", "before", (F.struct("p", "before") > F.struct("place", "msg")).alias("late")))
-    upset = of.filter("late").select("conv_id").distinct()
-    links = cut(of.join(upset, "conv_id", "left_semi").select("msg", "before"))
-    knots = cycles(links)
-    links = cut(links.join(knots, "msg", "left_anti"))
-    now = cut(start.join(links.select("msg").union(links.select("before")).distinct(), "msg").select("msg", "place", "depth"))
+    start = messages.select("msg", "conv_id", "tie", order.alias("place"), F.lit(0).alias("depth"))
+    behind = start.select(F.col("msg").alias("before"), F.col("place").alias("p"), F.col("tie").alias("before_tie"))
+    of = needs.join(start, "msg").join(behind, "before").select("conv_id", "msg", "place", "tie", "before", "p", "before_tie")
+    of = cut(of)
+    late = F.struct("p", "before_tie") > F.struct("place", "tie")
+    upset = cut(of.groupBy("conv_id").agg(F.count("*").alias("n"), F.bool_or(late).alias("late")).filter("late").select("conv_id", "n"))
+    links = of.join(upset, "conv_id")
+    one_call = links.filter(F.col("n") <= SETTLE).groupBy("conv_id").applyInPandas(_settled, "msg long, place long, depth int")
+    if upset.filter(F.col("n") > SETTLE).isEmpty():
+        return one_call
+    return one_call.union(_settled_in_rounds(cut(links.filter(F.col("n") > SETTLE).drop("n"))))
+
+
+def _settled_in_rounds(links: DataFrame) -> DataFrame:
+    """As ``_settled``, for conversations too large for one call."""
+    side = lambda c, p, t: links.select(F.col(c).alias("msg"), F.col(p).alias("place"), F.col(t).alias("tie"))
+    now = cut(side("msg", "place", "tie").union(side("before", "p", "before_tie")).distinct().withColumn("depth", F.lit(0)))
+    pairs = links.select("msg", "before")
+    pairs = cut(pairs.join(cycles(pairs), "msg", "left_anti"))
     while True:
         late = (
-            links.join(now.select("msg", "place", "depth"), "msg")
-            .join(now.select(F.col("msg").alias("before"), F.col("place").alias("p"), F.col("depth").alias("d")), "before")
-            .filter("(p, d) > (place, depth) OR (p = place AND d = depth AND before <> msg AND (d > 0 OR before > msg))")
+            pairs.join(now, "msg")
+            .join(now.select(F.col("msg").alias("before"), F.col("place").alias("p"), F.col("depth").alias("d"), F.col("tie").alias("t")), "before")
+            .filter("(p, d) > (place, depth) OR (p = place AND d = depth AND (d > 0 OR t > tie))")
             .groupBy("msg")
             .agg(F.max(F.struct(F.col("p"), (F.col("d") + 1).alias("d"))).alias("to"))
         )
         late = cut(late)
         if late.isEmpty():
-            return now
-        now = cut(now.join(late, "msg", "left").select("msg", F.coalesce("to.p", "place").alias("place"), F.coalesce("to.d", "depth").alias("depth")))
+            return now.select("msg", "place", "depth")
+        now = cut(now.join(late, "msg", "left").select("msg", F.coalesce("to.p", "place").alias("place"), "tie", F.coalesce("to.d", "depth").alias("depth")))
 
 
 def cycles(needs: DataFrame) -> DataFrame:
@@ -374,7 +431,8 @@ def format_chats(messages: DataFrame) -> DataFrame:
     Returns (conv_id, turn, place, depth, role, n_calls, n_results, n_linked,
     n_invalid, message). A conversation's order is (place, depth, turn): place is the
     turn, or the later turn of the call that a result had to wait for. A repeated
-    call id belongs to the first call (by turn, then by place in the text); every
+    call id belongs to the first call (by turn, of one turn by role and a hash of the text, then by place in
+    the text, whatever the order of the rows); every
     result with that id is linked to it. A result without a call, a call without an
     answer, and a call that isn't valid are kept and marked; a valid call whose schema
     holds keywords that aren't checked (unknown, malformed, or nested too deeply) names
@@ -385,18 +443,20 @@ def format_chats(messages: DataFrame) -> DataFrame:
     """
     ready(messages.sparkSession)
     base = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    parsed = base.mapInArrow(_parsed, f"conv_id long, turn long, role string, content string, calls array<{_CALL}>, results array<{_RESULT}>, tools array<{_TOOL}>, broken int")
-    parsed = cut(parsed.withColumn("msg", F.monotonically_increasing_id()))
+    base = base.withColumn("hash", F.xxhash64("role", "text"))
+    parsed = base.mapInArrow(_parsed, f"conv_id long, turn long, role string, content string, calls array<{_CALL}>, results array<{_RESULT}>, tools array<{_TOOL}>, broken int, hash long")
+    parsed = parsed.withColumn("msg", F.monotonically_increasing_id())
+    parsed = cut(parsed.withColumn("tie", F.struct("role", "hash", "msg")))
     plain = parsed.filter("size(calls) = 0 AND size(results) = 0")
     wired = parsed.filter("size(calls) > 0 OR size(results) > 0")
 
-    calls = wired.select("conv_id", "msg", "turn", F.explode("calls").alias("call"))
+    calls = wired.select("conv_id", "msg", "turn", "tie", F.explode("calls").alias("call"))
     results = wired.select("conv_id", "msg", F.explode("results").alias("result"))
-    tools = parsed.select("conv_id", "turn", "msg", F.explode("tools").alias("tool"))
-    schemas = tools.groupBy("conv_id", F.col("tool.name").alias("name")).agg(F.min(F.struct("turn", "msg", "tool.slot", "tool.schema")).alias("s")).select("conv_id", "name", F.col("s.schema").alias("schema"))
+    tools = parsed.select("conv_id", "turn", "tie", F.explode("tools").alias("tool"))
+    schemas = tools.groupBy("conv_id", F.col("tool.name").alias("name")).agg(F.min(F.struct("turn", "tie", "tool.slot", "tool.schema")).alias("s")).select("conv_id", "name", F.col("s.schema").alias("schema"))
     with_tools = tools.select("conv_id").distinct().withColumn("any_tool", F.lit(True))
 
-    owner = calls.filter("call.id IS NOT NULL").groupBy("conv_id", F.col("call.id").alias("id")).agg(F.min(F.struct("turn", "msg", "call.slot")).alias("first")).select("conv_id", "id", F.col("first.msg").alias("before"), F.col("first.slot").alias("slot"))
+    owner = calls.filter("call.id IS NOT NULL").groupBy("conv_id", F.col("call.id").alias("id")).agg(F.min(F.struct("turn", "tie", "call.slot")).alias("first")).select("conv_id", "id", F.col("first.tie.msg").alias("before"), F.col("first.slot").alias("slot"))
     linked = results.select("conv_id", "msg", F.col("result.id").alias("id"), "result").join(owner.withColumnRenamed("slot", "call_slot"), ["conv_id", "id"], "left")
     answered = linked.filter("before IS NOT NULL").select(F.col("before").alias("msg"), F.col("call_slot").alias("slot")).distinct().withColumn("answered", F.lit(True))
 
@@ -413,7 +473,7 @@ def format_chats(messages: DataFrame) -> DataFrame:
     own_results = linked.groupBy("msg").agg(F.collect_list(F.struct("result.slot", "result.raw_id", "result.content", F.col("before").isNotNull().alias("linked"))).alias("results"))
     needs = cut(linked.filter("before IS NOT NULL AND before <> msg").select("msg", "before").distinct())
     columns = ["conv_id", "turn", F.coalesce("place", "turn").alias("place"), F.coalesce("depth", F.lit(0)).alias("depth"), "role", "content", "broken", "calls", "results"]
-    joined = wired.drop("calls", "results")
+    joined = wired.drop("calls", "results", "tie", "hash")
     moved = topological_places(wired, needs) if not needs.isEmpty() else None
     joined = joined.join(moved, "msg", "left") if moved is not None else joined.withColumns({"place": F.col("turn"), "depth": F.lit(0)})
     joined = joined.join(own_calls, "msg", "left").join(own_results, "msg", "left").select(*columns)

@@ -209,3 +209,44 @@ def test_against_brute_force(spark):
     want = brute(messages)
     got = rows(spark, messages)
     assert sorted((r.conv_id, r.turn, r.place, r.depth, r.n_linked) for r in got) == sorted((*messages[i][:2], *x) for i, x in want.items())
+
+
+def test_long_reversed_chain_takes_few_tables(spark, monkeypatch):
+    from plumbline.llm import chat
+
+    n, tables = 5000, []
+    monkeypatch.setattr(chat, "cut", lambda df, real=chat.cut: tables.append(1) or real(df))
+    # every message answers the call of the next one
+    data = [(1, k, "tool", result(f"c{k + 1}") + call(f"c{k}")) for k in range(n)] + [(2, 0, "user", "hello")]
+    got = [r for r in rows(spark, data) if r.conv_id == 1]
+    assert len(tables) < 20
+    assert [r.turn for r in got] == list(range(n - 1, -1, -1))
+    assert {(r.place, r.depth) for r in got} == {(n - 1, d) for d in range(n)}
+
+
+def test_large_conversations_are_settled_alike(spark, monkeypatch):
+    from plumbline.llm import chat
+
+    rng = random.Random(4)
+    data = []
+    for conv in range(12):
+        ids = [f"i{k}" for k in range(8)]
+        for _ in range(14):
+            parts = [rng.choice([call, result])(rng.choice(ids)) for _ in range(rng.randint(0, 3))]
+            data.append((conv, rng.randint(0, 5), rng.choice(["tool", "assistant", None]), "".join(parts)))
+    one_call = [tuple(r) for r in rows(spark, data)]
+    monkeypatch.setattr(chat, "SETTLE", 0)
+    in_rounds = [tuple(r) for r in rows(spark, data)]
+    assert sorted(map(str, one_call)) == sorted(map(str, in_rounds))
+
+
+def test_order_of_rows_changes_nothing(spark):
+    rng = random.Random(9)
+    data = []
+    for conv in range(6):
+        for turn in range(4):  # several messages of a turn share ids
+            data += [(conv, turn, rng.choice(["tool", "assistant"]), f"t{k} " + rng.choice([call, result])(rng.choice("ab"))) for k in range(4)]
+    first = sorted(map(str, rows(spark, data)))
+    for _ in range(2):
+        rng.shuffle(data)
+        assert sorted(map(str, rows(spark, data))) == first
