@@ -169,7 +169,11 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(_compared(col["doc_id"], col["text"], col["fingerprint"], col["next_text"], col["next_print"]), schema=_OUT)
 
 
-def fingerprint_documents(docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
+#: Bytes of text that a range holds, about.
+RANGE_BYTES = 16 << 20
+
+
+def fingerprint_documents(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprint every text and its edit with the next document's beginning.
 
     Returns (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
@@ -177,13 +181,14 @@ def fingerprint_documents(docs: DataFrame, rows_per_range: int = 4000) -> DataFr
     equal ids by text; after the last comes the first, and a lone document follows
     itself. A null text counts as empty. Other columns are ignored.
 
-    One range shuffle brings neighbours together; a task streams through its range.
+    One range shuffle brings neighbours together, in as many ranges as the texts' bytes ask for; a task streams through its range.
     Only the first and last rows of the ranges, two for each, are paired afterwards.
     """
     spark = docs.sparkSession
     ready(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, docs.count() // rows_per_range + 1))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // range_bytes + 1)
     ordered = texts.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
     all_rows = cut(ordered.mapInArrow(_in_order, f"{_FIELDS}, part int, is_last boolean, text string"))
     ends = all_rows.filter("is_last IS NOT NULL").select("part", "is_last", "doc_id", "text", "fingerprint")

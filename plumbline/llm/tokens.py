@@ -30,8 +30,8 @@ from .session import ready
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Word counts that a worker keeps before it starts afresh.
-CACHED = 1_000_000
+#: Word counts that a worker keeps before it starts afresh, and the longest words (in characters) that it keeps: some 50 MB for each of its two tables at most.
+CACHED, LONGEST = 250_000, 32
 
 
 def load_vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
@@ -96,9 +96,11 @@ class Counter:
         return count[n]
 
     def _word(self, word: str, table: dict[str, int], before: str) -> int:
-        if len(table) >= CACHED:
-            table.clear()
-        n = table[word] = self.run(before + word)
+        n = self.run(before + word)
+        if len(word) <= LONGEST:
+            if len(table) >= CACHED:
+                table.clear()
+            table[word] = n
         return n
 
     def count(self, text: str | None) -> int:
