@@ -116,7 +116,7 @@ def test_bayesian_bounds_keep_true_pairs():
 
 def test_fingerprints_follow_the_contract(spark):
     texts = [*HARD, *(" ".join(words(300, s)) for s in range(8))]
-    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(table(spark, texts), rows_per_range=4).collect()}
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(table(spark, texts), range_bytes=64).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         t, following = t or "", texts[(i + 1) % len(texts)] or ""
