@@ -30,9 +30,15 @@ def cut(df: DataFrame, *used: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._step_path = path
+    drop_steps(*used)
+    return out
+
+
+def drop_steps(*used: DataFrame) -> None:
+    """Delete the tables of earlier results of ``cut`` that nothing needs any more."""
     for old in used:
         at = vars(old).get("_step_path")
         if at:
+            spark = old.sparkSession
             target = spark._jvm.org.apache.hadoop.fs.Path(at)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    return out
