@@ -61,19 +61,41 @@ def axis_lines(segments: DataFrame, keys: list[str], tolerance: float = 0.02) ->
     return lines.select(*keys, "path_id", "seg_no", "axis", "len", across("ay", "ax").alias("at"), F.least(across("ax", "ay"), across("bx", "by_")).alias("lo"), F.greatest(across("ax", "ay"), across("bx", "by_")).alias("hi"))
 
 
+#: A line belongs to the level of its length: cells of a level are so many times as long as those of the level below.
+_STEP = 8.0
+
+
 def parallel_pairs(lines: DataFrame, keys: list[str], reach: float | Column, overlap: float) -> DataFrame:
     """Pairs of lines of one axis within ``reach`` of each other whose common stretch exceeds ``overlap`` of the shorter.
 
     One row for each pair, the first by (at, path, segment): (keys, axis, at, path_id,
-    seg_no, len, other_len, gap). ``reach`` may be a column that is constant in a group. Bins of size ``reach``; the second line is looked up in its own and the
-    next bin only, as it lies no lower.
+    seg_no, len, other_len, gap). ``reach`` may be a column that is constant in a group.
+
+    Lines meet in bins across and cells along. Across, bins are ``reach`` wide; the second line is looked up in its own and the
+    next bin only, as it lies no lower. Along, a line is written to the at most two cells of its own level (the power of
+    _STEP that is no shorter than it) and, to be found by longer ones, to those of the longer levels that its group has; a pair
+    is compared on the level of its longer line, in the cell where their common stretch begins. So lines of one
+    height whose stretches are apart never meet, however many they are.
     """
-    one = lines.withColumn("bin", F.explode(F.array(G.grid_cell("at", reach), G.grid_cell("at", reach) + 1)))
-    two = lines.select(*keys, "axis", F.col("at").alias("at2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("len").alias("other_len"), F.col("path_id").alias("path2"), F.col("seg_no").alias("seg2"), G.grid_cell("at", reach).alias("bin"))
+    wide = lines.withColumn("across", reach if isinstance(reach, Column) else F.lit(float(reach)))
+    level = F.greatest(F.lit(-40), F.ceil(F.log(F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-30))) / F.log(F.lit(_STEP)) - 1e-9)).cast("int")
+    sized = wide.withColumn("level", level)
+    group = [*keys, "axis"]
+    levels = sized.groupBy(*group).agg(F.collect_set("level").alias("levels"))  # at most some ten values
+    every = sized.join(levels, group).withColumn("up", F.explode(F.filter("levels", lambda v: v >= F.col("level"))))
+    size = F.pow(F.lit(_STEP), F.col("up"))
+    every = every.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size)))).withColumn("own", F.col("up") == F.col("level"))
+    place = [*group, "up", "cell", "bin"]
+    one = every.withColumn("bin", F.explode(F.array(G.grid_cell("at", "across"), G.grid_cell("at", "across") + 1))).drop("levels", "level")
+    two = every.select(*group, "up", "cell", F.col("own").alias("own2"), F.col("at").alias("at2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("len").alias("other_len"), F.col("path_id").alias("path2"), F.col("seg_no").alias("seg2"), G.grid_cell("at", "across").alias("bin"))
     gap = F.col("at2") - F.col("at")
     later = (gap > 0) | ((gap == 0) & (F.struct("path2", "seg2") > F.struct("path_id", "seg_no")))
-    common = F.least("hi", "hi2") - F.greatest("lo", "lo2")
-    return one.join(two, [*keys, "axis", "bin"]).filter(later & (gap <= reach) & (common > F.least("len", "other_len") * overlap)).select(*keys, "axis", "at", "path_id", "seg_no", "len", "other_len", gap.alias("gap"))
+    start = F.greatest("lo", "lo2")
+    common = F.least("hi", "hi2") - start
+    fits = later & (gap <= F.col("across")) & (common > F.least("len", "other_len") * overlap) & (F.floor(start / size) == F.col("cell"))
+    # on a level, at least one of the two is there by its own length
+    found = one.join(two.filter("own2"), place).filter(fits).union(one.filter("own").join(two.filter("NOT own2"), place).filter(fits))
+    return found.select(*group, "at", "path_id", "seg_no", "len", "other_len", gap.alias("gap"))
 
 
 def pair_spacings(segments: DataFrame, keys: list[str], most: float) -> DataFrame:
