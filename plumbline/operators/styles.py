@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..sources.shared import cut
+from .leaders import leaders, numbered
 
 
 def positional(values: Column, p: float) -> Column:
@@ -49,27 +50,19 @@ def colour_representatives(colours: DataFrame, keys: list[str], tolerance: float
     """Greedy colour clusters in the order of first use: (keys, r, g, b, colour_no).
 
     ``colours(keys, r, g, b, ordinal)``. A colour joins the first representative nearer than ``tolerance`` in
-    Lab, else it becomes one. Only distinct colours reach the fold; it depends on their order, so a group is one call.
+    Lab, else it becomes one. Distinct colours meet in cells of Lab as wide as the tolerance; who represents is settled in
+    rounds (``leaders``), so no group is folded in one call.
     """
-    import pandas as pd
-
-    l, a, b = G.srgb_to_lab("r", "g", "b")
-    first = colours.groupBy(*keys, "r", "g", "b").agg(F.min("ordinal").alias("ordinal")).withColumns({"l": l, "aa": a, "bb": b})
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal")
-        reps: list[tuple[float, float, float]] = []
-        numbers = []
-        for lab in zip(pdf.l, pdf.aa, pdf.bb, strict=True):
-            near = next((i for i, rep in enumerate(reps) if sum((p - q) ** 2 for p, q in zip(lab, rep, strict=True)) ** 0.5 < tolerance), None)
-            if near is None:
-                near = len(reps)
-                reps.append(lab)
-            numbers.append(near)
-        return pdf[[*keys, "r", "g", "b"]].assign(colour_no=numbers)
-
-    kinds = {f.name: f.dataType.simpleString() for f in colours.schema.fields}
-    return first.groupBy(*keys).applyInPandas(fold, ", ".join(f"{k} {kinds[k]}" for k in [*keys, "r", "g", "b"]) + ", colour_no int")
+    lab = ("l", "aa", "bb")
+    first = colours.groupBy(*keys, "r", "g", "b").agg(F.min("ordinal").alias("item")).withColumns(dict(zip(lab, G.srgb_to_lab("r", "g", "b"), strict=True)))
+    first = cut(first.filter("item IS NOT NULL"))
+    wide = first
+    for x in lab:
+        wide = wide.withColumn(f"c{x}", F.explode(F.array(*(F.floor(F.col(x) / tolerance) + k for k in (-1, 0, 1)))))
+    other = first.select(*keys, F.col("item").alias("earlier"), *(F.col(x).alias(f"{x}2") for x in lab), *(F.floor(F.col(x) / tolerance).alias(f"c{x}") for x in lab))
+    near = wide.join(other, [*keys, *(f"c{x}" for x in lab)]).filter("earlier < item").filter(G.delta_e(lab, tuple(f"{x}2" for x in lab)) < tolerance)
+    number = numbered(leaders(first, near, keys), keys)
+    return first.join(number, [*keys, "item"]).select(*keys, "r", "g", "b", F.col("number").cast("int").alias("colour_no"))
 
 
 def sheet_summary(paths: DataFrame, keys: list[str], diagonal: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from ..operators import flatten as FL
 from ..sources import adapter as A
 from .registry import query
 
@@ -220,3 +221,35 @@ def point_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = A.segments(spark, sf_dir)
     at = (1000, 800, "ax", "ay", "bx", "by_")
     return seg.select("path_id", "seg_no", F.round(G.point_segment_distance(*at), 4).alias("distance"), F.round(G.lateral_offset(*at), 4).alias("lateral"))
+
+
+OPS = [
+    "l_orderkey AS path_id", "l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS op_no", "CASE l_linenumber % 4 WHEN 0 THEN 'l' WHEN 1 THEN 'c' WHEN 2 THEN 're' ELSE 'qu' END AS kind", "l_linenumber % 4 = 0 AND l_orderkey % 3 = 0 AS closes",
+    "l_orderkey % 4 * 90 AS rotate", "CAST(900 AS double) AS w", "CAST(600 AS double) AS h", "CASE WHEN l_orderkey % 5 = 0 THEN CAST(2 AS double) END AS user_unit",
+    "CAST(l_partkey % 900 AS double) AS x0", "CAST(l_suppkey % 600 AS double) AS y0", "CAST(l_partkey % 890 + l_quantity AS double) AS x1", "CAST(l_suppkey % 97 AS double) AS y1", "CAST(l_partkey % 61 AS double) AS x2", "CAST(l_suppkey % 590 + l_quantity AS double) AS y2", "CAST(l_partkey % 333 AS double) AS x3", "CAST(l_suppkey % 211 AS double) AS y3",
+]
+_AT = lambda k: f"struct_pack(x := a*x{k} + c*y{k} + e, y := b*x{k} + d*y{k} + f)"
+_STEP = lambda i, j: f"sqrt((p{j}.x-p{i}.x)*(p{j}.x-p{i}.x) + (p{j}.y-p{i}.y)*(p{j}.y-p{i}.y))"
+_T, _S = "(k::DOUBLE/parts)", "(1.0::DOUBLE - k::DOUBLE/parts)"
+_CURVE = lambda v: f"({_S}*{_S}*{_S}*p0.{v} + {_S}*{_S}*{_T}*3*p1.{v} + {_S}*{_T}*{_T}*3*p2.{v} + {_T}*{_T}*{_T}*p3.{v})"
+
+
+@query(
+    f"""WITH o AS ({A.rows_sql("lineitem", OPS)}), u AS (SELECT *, coalesce(user_unit, 1)::DOUBLE AS u FROM o),
+m AS (SELECT *, CASE rotate WHEN 0 THEN u WHEN 180 THEN -u ELSE 0 END AS a, CASE rotate WHEN 90 THEN u WHEN 270 THEN -u ELSE 0 END AS b, CASE rotate WHEN 90 THEN -u WHEN 270 THEN u ELSE 0 END AS c, CASE rotate WHEN 0 THEN u WHEN 180 THEN -u ELSE 0 END AS d,
+  CASE rotate WHEN 90 THEN h*u WHEN 180 THEN w*u ELSE 0 END AS e, CASE rotate WHEN 180 THEN h*u WHEN 270 THEN w*u ELSE 0 END AS f FROM u),
+p AS (SELECT *, {_AT(0)} AS p0, {_AT(1)} AS p1, {_AT(2)} AS p2, {_AT(3)} AS p3 FROM m),
+n AS (SELECT *, greatest(2, least(24, trunc(({_STEP(0, 1)} + {_STEP(1, 2)} + {_STEP(2, 3)}) / greatest(sqrt(w*u*w*u + h*u*h*u) * 5e-4::DOUBLE, 1e-6::DOUBLE))))::INT AS parts, least(p0.x, p1.x) AS l, greatest(p0.x, p1.x) AS r, least(p0.y, p1.y) AS t, greatest(p0.y, p1.y) AS q FROM p),
+v AS (SELECT path_id, op_no, kind, closes, CASE kind WHEN 'l' THEN [p0, p1] WHEN 're' THEN [{{'x': l, 'y': t}}, {{'x': r, 'y': t}}, {{'x': r, 'y': q}}, {{'x': l, 'y': q}}, {{'x': l, 'y': t}}] WHEN 'qu' THEN [p0, p1, p2, p3, p0]
+  ELSE list_transform(range(0, parts + 1), lambda k: {{'x': {_CURVE('x')}, 'y': {_CURVE('y')}}}) END AS p FROM n),
+cl AS (SELECT *, bool_or(closes OR kind IN ('re', 'qu')) OVER (PARTITION BY path_id) AS closed FROM v), s AS (SELECT path_id, op_no, unnest(range(1, len(p))) AS k, p, closed FROM cl),
+z AS (SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY op_no, k) AS seg_no, p[k].x AS ax, p[k].y AS ay, p[k+1].x AS bx, p[k+1].y AS by_, closed FROM s)
+SELECT path_id, seg_no::INT AS seg_no, round(ax, 5) AS ax, round(ay, 5) AS ay, round(bx, 5) AS bx, round(by_, 5) AS by_, closed FROM z"""
+)
+def flattened_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of drawn lines, curves, rectangles and quads in the upright view of their page: every line item is an operation, every order a path."""
+    rows = A.rows(spark, sf_dir, "lineitem", OPS)
+    own = F.array(*(F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in range(4)))
+    count = F.when(F.col("kind").isin("l", "re"), 2).otherwise(4)
+    ops = rows.select("path_id", "op_no", "kind", "closes", F.slice(own, F.lit(1), count).alias("points"), G.page_matrix("rotate", "w", "h", "user_unit").alias("m"))
+    return FL.flatten_ops(ops, []).select("path_id", "seg_no", *(F.round(v, 5).alias(v) for v in ("ax", "ay", "bx", "by_")), "closed")
