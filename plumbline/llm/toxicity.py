@@ -1,13 +1,14 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a label model, a linear classifier.
 
 1. Lexicons are mined from labelled documents: words and word beginnings that
-   occur far more often in toxic ones.
+   occur far more often in toxic ones. A labelled document is voted on by a lexicon of
+   the other folds' documents only (cross-fitting).
 2. Voters look at a document's lexicon hits and at patterns, and vote toxic, not
-   toxic, or abstain. The label of a labelled document is evidence beside them.
-3. A generative label model (expectation maximisation, a label taken as right with
-   chance GOLD) estimates each voter's chances to vote either way for either class, and from the residuals the
-   correlations between voters; a voter's weight is divided by one plus its
-   correlations with the others, so that voters that repeat each other count once.
+   toxic, or abstain.
+3. A generative label model (``LabelModel``) estimates, by expectation maximisation over
+   labelled and other documents, how each voter votes for either class and which
+   voters depend on each other: given the class, every voter's vote depends on one other's, along
+   the tree of greatest conditional mutual information. Given labels start it and are then no evidence.
 4. A linear classifier learns the posterior labels from lexicon hits and patterns.
 """
 
@@ -26,12 +27,10 @@ from .session import bounded_sample, ready
 
 #: Documents of each label, and without one, that a fit uses at most (on average; see bounded_sample).
 FIT_DOCS = 3000
-#: Terms of all lexicons together.
-TERMS = 3000
+#: Parts of the labelled sample; each is voted on by a lexicon of the others.
+FOLDS = 8
 #: Lengths of word beginnings in bytes; 0 is the whole word.
 LENGTHS = (0, 5, 6, 7, 8)
-#: A general English list of insults (fixed values).
-INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown fool dumb jerk garbage filth vermin imbecile cretin lowlife".split()
 PATTERNS = 6
 _PLAIN = K.LOWER.copy()
 _PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 32
@@ -110,22 +109,19 @@ class Lexicon:
 
 
 def mine_lexicon(labelled: DataFrame, prior: float) -> Lexicon:
-    """Terms of ``labelled(label, text)`` whose documents are mostly toxic at the given share of toxic documents."""
+    """Terms of ``labelled(label, text)`` in two toxic documents or more whose documents are mostly toxic at the given share of toxic documents.
+
+    The sample is bounded by its documents (FIT_DOCS), and so are its terms; none is cut off.
+    """
     sizes = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
     n1, n0 = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     counts = labelled.select("label", "text").mapInArrow(_mined, "term long, kind int, toxic long, clean long").groupBy("term", "kind").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    up, down = F.col("t") / n1 * prior, (F.col("c") + 1.5) / n0 * (1 - prior)
-    least = max(2, n1 // 150)
-    best = counts.filter(F.col("t") >= least).withColumn("p", up / (up + down)).filter("p >= 0.8").orderBy(F.desc(F.col("t") * (F.col("p") - 0.5)), "term").limit(TERMS).collect()
+    up, down = F.col("t") / n1 * prior, (F.col("c") + 0.7) / n0 * (1 - prior)
+    best = counts.filter("t >= 2").withColumn("p", up / (up + down)).filter("p >= 0.8").orderBy(F.desc(F.col("t") * (F.col("p") - 0.5)), "term").collect()
     terms = np.array([r["term"] for r in best], np.int64).view(np.uint64)
-    # the built-in list joins the mined one
-    raw, offs = K.buffer_of(pa.array(INSULTS))
-    built_in = K.mix(K.span_hash(raw, offs[:-1], offs[1:]))
-    more = built_in[~np.isin(built_in, terms)]
-    allt = np.concatenate((terms, more))
-    kinds = np.concatenate((np.array([r["kind"] for r in best], np.int64), np.zeros(len(more), np.int64)))
-    order = np.argsort(allt)
-    return Lexicon(allt[order], kinds[order], np.arange(len(allt))[order])
+    kinds = np.array([r["kind"] for r in best], np.int64)
+    order = np.argsort(terms)
+    return Lexicon(terms[order], kinds[order], np.arange(len(terms))[order])
 
 
 def _summary(lexicon: Lexicon, rows: np.ndarray, terms: np.ndarray, words: np.ndarray, stats: np.ndarray) -> np.ndarray:
@@ -149,6 +145,10 @@ def _summary(lexicon: Lexicon, rows: np.ndarray, terms: np.ndarray, words: np.nd
     return out
 
 
+#: Votes of a document (see ``voters``).
+N_VOTERS = 8 + (len(LENGTHS) - 1) + 4 + 2 + 3
+
+
 def voters(lexicon: Lexicon, rows: np.ndarray, terms: np.ndarray, words: np.ndarray, stats: np.ndarray) -> np.ndarray:
     """Votes of each document: 1 toxic, -1 not, 0 abstains."""
     n, groups = len(stats), 8
@@ -165,30 +165,67 @@ def voters(lexicon: Lexicon, rows: np.ndarray, terms: np.ndarray, words: np.ndar
     return np.column_stack(votes)
 
 
-#: How often a given label is right.
-GOLD = 0.97
-
-
-def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, rounds: int = 40) -> np.ndarray:
-    """Posterior chances to be toxic, from class-conditional vote chances and correlation-discounted evidence."""
+@dataclass
+class LabelModel:
+    """P(class) and, along a tree of voters, P(vote | parent's vote, class); votes are numbered 0, 1, 2 for -1, 0, 1."""
+
+    prior: float
+    parent: np.ndarray  # of each voter; -1 at the root
+    chance: np.ndarray  # class x voter x parent's vote x vote
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Chance to be toxic of each row of votes."""
+        v = votes + 1
+        above = np.where(self.parent >= 0, v[:, self.parent], 0)
+        logs = np.log(self.chance[:, np.arange(v.shape[1]), above, v]).sum(2)
+        odds = np.log(self.prior / (1 - self.prior)) + logs[1] - logs[0]
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+def _tree(joint: np.ndarray) -> np.ndarray:
+    """Parents of the voters in the spanning tree of greatest mutual information given the class; joint[class, i, a, j, b] sums to 1."""
+    m = joint.shape[1]
+    one = np.stack([[np.diag(joint[c, i, :, i, :]) for i in range(m)] for c in range(2)])
+    share = one.sum((1, 2))[:, None, None, None, None] / m
+    ratio = joint * share / (one[:, :, :, None, None] * one[:, None, None, :, :])
+    info = (joint * np.log(np.where(joint > 0, ratio, 1.0))).sum((0, 2, 4))
+    np.fill_diagonal(info, -np.inf)
+    parent, best, link, left = np.full(m, -1), info[0].copy(), np.zeros(m, int), set(range(1, m))
+    while left:
+        k = max(sorted(left), key=lambda x: best[x])
+        parent[k] = link[k]
+        left.discard(k)
+        closer = info[k] > best
+        best, link = np.where(closer, info[k], best), np.where(closer, k, link)
+    return parent
+
+
+def fit_label_model(votes: np.ndarray, start: np.ndarray, weight: np.ndarray, prior: float, rounds: int = 30, smooth: float = 1.0) -> LabelModel:
+    """Expectation maximisation from the chances ``start``; the tree is chosen anew in every round until it stands."""
     n, m = votes.shape
-    onehot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(np.float64)
-    given = np.where(gold == 1, 1.0, np.where(gold == 0, -1.0, 0.0)) * np.log(GOLD / (1 - GOLD))
-    y = np.where(gold >= 0, np.where(gold == 1, GOLD, 1 - GOLD), np.where(votes.sum(1) > 0, 0.5, 0.05))
-    weight = np.ones(m)
-    for step in range(rounds):
-        post = np.stack((1 - y, y), 1)
-        chance = (np.einsum("nc,nmv->cmv", post, onehot) + 0.5) / (post.sum(0)[:, None, None] + 1.5)
-        if step in (5, 15, 25):
-            mean = np.einsum("nc,cm->nm", post, chance[:, :, 2] - chance[:, :, 0])
-            left = votes - mean
-            scale = left.std(0) + 1e-9
-            corr = (left.T @ left) / n / np.outer(scale, scale)
-            np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + np.maximum(0, corr).sum(1))
-        odds = np.log(prior / (1 - prior)) + given + np.einsum("nmv,mv->nm", onehot, np.log(chance[1] / chance[0])) @ weight
-        y = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return y
+    onehot = np.stack([votes == v for v in (-1, 0, 1)], 2).reshape(n, 3 * m).astype(np.float64)
+    y, model = start, None
+    for _ in range(rounds):
+        counts = np.stack([(onehot * (weight * p)[:, None]).T @ onehot for p in (1 - y, y)]).reshape(2, m, 3, m, 3)
+        total = np.array([(weight * (1 - y)).sum(), (weight * y).sum()])
+        even = np.full((3, 3), 1 / 9)
+        joint = (counts + smooth * even[None, None, :, None, :]) / (total.sum() + 2 * smooth)
+        for i in range(m):
+            own = np.stack([np.diag(counts[c, i, :, i, :]) + smooth / 3 for c in range(2)]) / (total.sum() + 2 * smooth)
+            joint[:, i, :, i, :] = own[:, :, None] * np.eye(3)
+        parent = _tree(joint) if m > 1 else np.array([-1])
+        alone = np.stack([[np.diag(counts[c, i, :, i, :]) + smooth / 3 for i in range(m)] for c in range(2)])
+        alone /= alone.sum(2, keepdims=True)
+        chance = np.repeat(alone[:, :, None, :], 3, 2)  # a vote that its parent never cast tells as little as no parent
+        for i in np.flatnonzero(parent >= 0):
+            table = counts[:, parent[i], :, i, :] + 3 * smooth * alone[:, i, None, :]
+            chance[:, i] = table / table.sum(2, keepdims=True)
+        model = LabelModel(prior, parent, chance)
+        new = model.posterior(votes)
+        if np.abs(new - y).max() < 1e-4:
+            break
+        y = new
+    return model
 
 
 @dataclass
@@ -227,19 +264,27 @@ def _linear(lexicon: Lexicon, rows: np.ndarray, terms: np.ndarray, dense: np.nda
     return theta[:size], theta[size:]
 
 
-def _collected(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+def _collected(batches: Iterator[pa.RecordBatch], lexicons: list[Lexicon]) -> Iterator[pa.RecordBatch]:
+    """(fold, label, text) to label, votes by the fold's lexicon, and hits of the last lexicon."""
     for batch in batches:
-        rows, terms, words, stats = lexicon.hits(batch.column(1))
+        fold = batch.column(0).to_numpy(zero_copy_only=False)
+        votes = np.zeros((batch.num_rows, N_VOTERS), np.int8)
+        for k, lexicon in enumerate(lexicons):
+            own = np.flatnonzero(fold == k)
+            if len(own):
+                votes[own] = voters(lexicon, *lexicon.hits(batch.column(2).take(pa.array(own))))
+        rows, terms, words, stats = lexicons[-1].hits(batch.column(2))
         order = np.argsort(rows, kind="stable")
         at = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=batch.num_rows))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), K.binary_column(terms[order].astype(np.int64), at), K.binary_column(words[order].astype(np.int64), at), K.fixed_rows(stats)], ["label", "terms", "words", "stats"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), K.fixed_rows(votes), K.binary_column(terms[order].astype(np.int64), at), K.binary_column(words[order].astype(np.int64), at), K.fixed_rows(stats)], ["label", "votes", "terms", "words", "stats"])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS) -> Model:
     """Fit on ``docs(doc_id, text)`` with ``labels(doc_id, label 0 or 1)``, labelled or not.
 
     At most about ``per_label`` documents of each label and as many others are used;
-    their lexicon hits (no texts) reach the driver.
+    their votes and lexicon hits (no texts) reach the driver. A labelled document's fold is a hash of its text, so copies
+    share one; it is voted on by the lexicon of the other folds, a document without label by that of all.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -248,21 +293,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS)
     prior = min(0.5, max(0.01, sizes.get(1, 0) / max(1, sum(sizes.values()))))
     sample = F.broadcast(bounded_sample(marks, "label", per_label).select("doc_id", "label"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("length(text) > 0")
-    labelled = texts.join(sample, "doc_id").select("label", "text")
-    lexicon = mine_lexicon(labelled, prior)
-    others = bounded_sample(texts.withColumn("all", F.lit(1)), "all", per_label).join(sample, "doc_id", "left_anti").select(F.lit(-1).alias("label"), "text")
-    got = sorted(tuple(r) for r in labelled.union(others).mapInArrow(lambda it: _collected(it, lexicon), "label int, terms binary, words binary, stats binary").collect())
+    labelled = texts.join(sample, "doc_id").select(F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "label", "text")
+    lexicons = [mine_lexicon(labelled.filter(F.col("fold") != k), prior) for k in range(FOLDS + 1)]  # the last: of all
+    others = bounded_sample(texts.withColumn("all", F.lit(1)), "all", per_label).join(sample, "doc_id", "left_anti").select(F.lit(FOLDS).alias("fold"), F.lit(-1).alias("label"), "text")
+    got = sorted(tuple(r) for r in labelled.union(others).mapInArrow(lambda it: _collected(it, lexicons), "label int, votes binary, terms binary, words binary, stats binary").collect())
+    lexicon = lexicons[-1]
     if not got:
         return Model(lexicon, np.zeros(len(lexicon.terms)), np.zeros(PATTERNS + 6 + 2 * len(LENGTHS)))
     label = np.array([g[0] for g in got])
-    each = [np.frombuffer(g[1], np.int64) for g in got]
+    votes = np.stack([np.frombuffer(g[1], np.int8) for g in got]).astype(np.int64)
+    each = [np.frombuffer(g[2], np.int64) for g in got]
     rows = np.repeat(np.arange(len(got)), [len(x) for x in each])
-    terms, words = np.concatenate(each), np.concatenate([np.frombuffer(g[2], np.int64) for g in got])
-    stats = np.stack([np.frombuffer(g[3], np.float64) for g in got])
-    posterior = label_model(voters(lexicon, rows, terms, words, stats), label, prior)
+    terms, words = np.concatenate(each), np.concatenate([np.frombuffer(g[3], np.int64) for g in got])
+    stats = np.stack([np.frombuffer(g[4], np.float64) for g in got])
     # classes are sampled apart: weigh documents back to their shares
     share = np.where(label == 1, prior / max(1, (label == 1).sum()), np.where(label == 0, (1 - prior) / max(1, (label == 0).sum()), 1 / max(1, (label == -1).sum())))
     weight = share / share.mean()
+    start = np.where(label == 1, 0.95, np.where(label == 0, 0.02, np.where(votes.sum(1) > 0, 0.5, 0.05)))
+    posterior = fit_label_model(votes, start, weight, prior).posterior(votes)
     w_terms, w_dense = _linear(lexicon, rows, terms, np.hstack((stats, _summary(lexicon, rows, terms, words, stats))), posterior, weight)
     return Model(lexicon, w_terms, w_dense)
 
