@@ -78,7 +78,7 @@ def parallel_pairs(lines: DataFrame, keys: list[str], reach: float | Column, ove
     height whose stretches are apart never meet, however many they are.
     """
     wide = lines.withColumn("across", reach if isinstance(reach, Column) else F.lit(float(reach)))
-    level = F.greatest(F.lit(-40), F.ceil(F.log(F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-30))) / F.log(F.lit(_STEP)) - 1e-9)).cast("int")
+    level = F.greatest(F.lit(-40), F.ceil(F.log(F.greatest(F.col("len"), F.lit(1e-30))) / F.log(F.lit(_STEP)) - 1e-9)).cast("int")
     sized = wide.withColumn("level", level)
     group = [*keys, "axis"]
     levels = sized.groupBy(*group).agg(F.collect_set("level").alias("levels"))  # at most some ten values

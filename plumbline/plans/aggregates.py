@@ -14,6 +14,7 @@ from ..operators import ordered as O
 from ..operators import spatial
 from ..operators import styles as S
 from ..sources import adapter as A
+from ..sources.shared import cut
 from .oracles import COLOUR_SQL
 from .joins import CONNECTIVITY_SQL, WALL_SQL
 from .ordered import _TURNS as TURNS_SQL
@@ -119,10 +120,10 @@ SELECT drawing_id, layer, coalesce(reason, CASE WHEN contains(concat('|', layer,
 )
 def negative_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every drawing's layers: the negative filters, the layer rule, and the structural score."""
-    drawn = A.drawn_segments(spark, sf_dir)
-    stats = S.cluster_stats(drawn, KEYS, 4_000_000.0)
+    drawn = cut(A.drawn_segments(spark, sf_dir))  # five branches read it
+    stats = cut(S.cluster_stats(drawn, KEYS, 4_000_000.0))
     top = S.angle_histogram(drawn, KEYS).groupBy(*KEYS).agg(F.max("share").alias("concentration"))
-    per_path = drawn.groupBy(*KEYS, "path_id").agg(F.sum(G.distance("ax", "ay", "bx", "by_")).alias("len"), F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"))
+    per_path = S.path_lengths(drawn, KEYS)
     weight = F.greatest("len", F.lit(1e-9))
     outside = per_path.groupBy(*KEYS).agg((F.sum(F.when((F.col("x0") >= 200) & (F.col("x1") <= 1800), 0.0).otherwise(weight)) / F.sum(weight)).alias("outside"))
     known = stats.filter("p50 > 0")

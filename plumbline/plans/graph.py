@@ -42,7 +42,7 @@ SELECT drawing_id, CASE WHEN support >= 2 AND surviving = 1 AND coalesce(err, 0)
 @query(_SCALE_SQL)
 def scale_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scale of every drawing that two sources agree on; a refusal with its reasons for the others."""
-    s = A.rows(spark, sf_dir, "customer", SOURCES).distinct().filter("NOT (source = 'scalebar' AND drawing_id % 3 = 0)")
+    s = A.rows(spark, sf_dir, "customer", SOURCES).distinct().withColumn("pitch", F.expr("CASE WHEN source <> 'scalebar' OR drawing_id % 3 <> 0 THEN pitch END"))
     array = lambda values: F.array(*(F.lit(v) for v in values))
     meanings = F.when(F.col("source") == "grid", array(SC.GRID_UNITS_MM)).when(F.col("source") == "scalebar", array(SC.BAR_SPANS_MM)).otherwise(array((5000.0,)))
     walls = A.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("drawing_id"), F.when(F.col("s_suppkey") % 4 == 0, None).otherwise((F.col("s_suppkey") % 9 + 1).cast("double")).alias("mode"))

@@ -46,11 +46,10 @@ class Measurement:
     facts: DataFrame
 
 
-def _selected(shape: DataFrame, boxes: DataFrame, clusters: DataFrame, paths: DataFrame, zones: DataFrame, scales: DataFrame, pages: DataFrame, tokens: DataFrame) -> DataFrame:
+def _selected(shape: DataFrame, stats: DataFrame, angles: DataFrame, boxes: DataFrame, clusters: DataFrame, paths: DataFrame, zones: DataFrame, scales: DataFrame, pages: DataFrame, tokens: DataFrame) -> DataFrame:
     """Clusters with their statistics, verdict and step."""
-    stats = cut(ST.cluster_stats(shape, CLUSTER, 1.0)).drop("total", "n_paths", "width", "spread")
+    stats = stats.drop("total", "n_paths", "width", "spread")
     spread = (F.col("box") / (F.col("page_width") * F.col("page_height"))).alias("spread")
-    angles = ST.orthogonal_share(shape, CLUSTER)
     width = F.when(F.col("width") > 0, F.col("width"))
     eps = paths.groupBy(*DRAWING).agg(F.percentile(width, 0.5).alias("median_width")).join(pages, DRAWING, "right").select(*DRAWING, F.coalesce("median_width", F.col("diagonal") * 1e-4).alias("eps"))
     touching = S.connectivity(shape.join(eps, DRAWING), CLUSTER, "eps").select(*CLUSTER, "connectivity")
@@ -109,15 +108,16 @@ def measure(paths: DataFrame, segments: DataFrame, pages: DataFrame, words: Data
     bars = cut(SC.scalebars(boxes.join(pages, DRAWING), plans, DRAWING, F.col("diagonal")))
     known = projects.join(references, "project_key").select(*DRAWING, "known_pitch", "known_divisions", "known_span_mm")
     rated = cut(SC.candidates(SC.sources_of(O.grid_pitch(labels, DRAWING), bars, known, DRAWING), DRAWING))
-    angles = ST.orthogonal_share(shape, CLUSTER).join(ST.cluster_stats(shape, CLUSTER, 1.0).select(*CLUSTER, "n_paths", "total", "box"), CLUSTER).join(pages, DRAWING)
-    ranked = angles.withColumn("spread", F.col("box") / (F.col("page_width") * F.col("page_height")))
+    stats, angles = cut(ST.cluster_stats(shape, CLUSTER, 1.0)), cut(ST.orthogonal_share(shape, CLUSTER))
+    sized = angles.join(stats.select(*CLUSTER, "n_paths", "total", "box"), CLUSTER).join(pages, DRAWING)
+    ranked = sized.withColumn("spread", F.col("box") / (F.col("page_width") * F.col("page_height")))
     walls = cut(SC.wall_modes(shape.join(pages, DRAWING), ranked, DRAWING, "cluster_id", F.col("diagonal")).select(*DRAWING, "mode"))
     named = rated.groupBy(*DRAWING).agg(F.concat_ws(",", F.array_sort(F.collect_set("source"))).alias("sources"))
     voted = SC.vote(rated, walls, DRAWING).join(named, DRAWING, "left")
     scales = cut(pages.select(*DRAWING).join(voted, DRAWING, "left").fillna({"verified": False, "flags": "no_source", "sources": ""}))
 
     tokens = projects.join(rules.withColumnRenamed("project_key", "of"), T.rule_applies(F.col("valid"), F.col("tokens"), F.col("of"), F.col("project_key"))).select(*DRAWING, "tokens")
-    judged = cut(_selected(shape, boxes, clusters.withColumn("width", F.col("cluster_width")), paths, zones, scales, pages, tokens))
+    judged = cut(_selected(shape, stats, angles, boxes, clusters.withColumn("width", F.col("cluster_width")), paths, zones, scales, pages, tokens))
     pipes = cut(judged.filter("verdict = 'pipe'").select(*CLUSTER, "layer", "width"))
     placed = by_path.join(judged.select(*CLUSTER, "layer", "verdict", "step"), CLUSTER)
     accepted = placed.filter("verdict = 'pipe'").select(*DRAWING, "path_id", "cluster_id", "layer")
@@ -210,7 +210,7 @@ def _facts(triage: DataFrame, scales: DataFrame, judged: DataFrame, by_path: Dat
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Inputs of ``measure`` from the test tables: every line item is a path; each drawing has a scale bar, and six of seven have grid words.
+    """Inputs of ``measure`` from the test tables: every line item is a path; each drawing has a scale bar, and grid words, which are null in one of seven.
 
     At 1 : 50 a grid step of ten units (a metre) is 56.69 points and fifty metres of bar are 2834.6, with a tick every five metres.
     """
@@ -228,7 +228,7 @@ def sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     colour = lambda v: F.struct(v.alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b"))
     paths = drawn.select("drawing_id", "path_id", "layer", F.lit("s").alias("kind"), colour(F.col("width")).alias("stroke"), F.lit(None).cast("struct<r:double,g:double,b:double>").alias("fill"), "width", "dash_signature", F.lit(False).alias("closed"))
     outline = marks.select("drawing_id", "path_id", F.lit("268-O|FRAME-").alias("layer"), "kind", colour(F.lit(0.0)).alias("stroke"), colour(F.lit(0.0)).alias("fill"), F.lit(0.25).alias("width"), F.lit("solid").alias("dash_signature"), F.lit(True).alias("closed"))
-    words = ids.filter("drawing_id % 7 <> 0").withColumn("k", number(6)).select("drawing_id", F.concat(F.lit("A"), (F.col("k") * 10).cast("string")).alias("text"), (F.lit(50.0) + F.col("k") * metre).alias("x0"), F.lit(20.0).alias("y0"), (F.lit(70.0) + F.col("k") * metre).alias("x1"), F.lit(30.0).alias("y1"))
+    words = ids.withColumn("k", number(6)).select("drawing_id", F.when(F.col("drawing_id") % 7 != 0, F.concat(F.lit("A"), (F.col("k") * 10).cast("string"))).alias("text"), (F.lit(50.0) + F.col("k") * metre).alias("x0"), F.lit(20.0).alias("y0"), (F.lit(70.0) + F.col("k") * metre).alias("x1"), F.lit(30.0).alias("y1"))
     columns = ["drawing_id", "path_id", "seg_no", *_ENDS]
     return {
         "paths": paths.unionByName(outline),
