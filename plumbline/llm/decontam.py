@@ -215,9 +215,9 @@ def _pairs(runs: np.ndarray, gap: int) -> np.ndarray:
 
 
 def seeds_asked(length: int, half: int, tolerance: float) -> int:
-    """Seeds that an item of ``length`` characters keeps with chance TARGET at the most edits (a quarter of the mean at most)."""
+    """Seeds that an item of ``length`` characters keeps with chance TARGET at the most edits (a third of the mean at most)."""
     mean = (1 - tolerance) ** (2 * half) * (1 + tolerance) * length
-    return max(1, int(min(mean - NormalDist().inv_cdf(TARGET) * sqrt(max(mean, 0) * half), mean / 4)))
+    return max(1, int(min(mean - NormalDist().inv_cdf(TARGET) * sqrt(max(mean, 0) * half), mean / 3)))
 
 
 class Seeds:
