@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .session import bounded_sample, ready
+from .session import bounded_sample, cut, ready
 
 #: Documents of each label, and without one, that a fit uses at most (on average; see bounded_sample).
 FIT_DOCS = 3000
@@ -293,7 +293,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS)
     prior = min(0.5, max(0.01, sizes.get(1, 0) / max(1, sum(sizes.values()))))
     sample = F.broadcast(bounded_sample(marks, "label", per_label).select("doc_id", "label"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("length(text) > 0")
-    labelled = texts.join(sample, "doc_id").select(F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "label", "text")
+    labelled = cut(texts.join(sample, "doc_id").select(F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "label", "text"))  # bounded, and read for every fold
     lexicons = [mine_lexicon(labelled.filter(F.col("fold") != k), prior) for k in range(FOLDS + 1)]  # the last: of all
     others = bounded_sample(texts.withColumn("all", F.lit(1)), "all", per_label).join(sample, "doc_id", "left_anti").select(F.lit(FOLDS).alias("fold"), F.lit(-1).alias("label"), "text")
     got = sorted(tuple(r) for r in labelled.union(others).mapInArrow(lambda it: _collected(it, lexicons), "label int, votes binary, terms binary, words binary, stats binary").collect())
