@@ -16,12 +16,6 @@ from ..functions import geometry as G
 from ..sources.shared import cut
 
 
-def around(column: Column, size: Column | float) -> Column:
-    """The cell of a coordinate and its two neighbours."""
-    cell = G.grid_cell(column, size)
-    return F.array(cell - 1, cell, cell + 1)
-
-
 def cells_along(lo: Column, hi: Column, size: Column | float) -> Column:
     """All cells that an interval meets."""
     return F.sequence(G.grid_cell(lo, size), G.grid_cell(hi, size))
@@ -42,8 +36,11 @@ def connectivity(segments: DataFrame, keys: list[str], eps: float | str) -> Data
     near_by = segments.withColumn("eps", F.greatest(F.col(eps) if isinstance(eps, str) else F.lit(float(eps)), F.lit(1e-9)))
     points = endpoints(near_by, [*keys, "eps"])
     spots = points.groupBy(*keys, "eps", "x", "y").agg(F.min("path_id").alias("low"), F.max("path_id").alias("high"))
-    near = spots.withColumn("cx", F.explode(around(F.col("x"), F.col("eps")))).withColumn("cy", F.explode(around(F.col("y"), F.col("eps"))))
-    here = spots.select(*keys, F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("x").alias("ox"), F.col("y").alias("oy"), G.grid_cell("x", "eps").alias("cx"), G.grid_cell("y", "eps").alias("cy"))
+    # cells are four reaches wide, so most points lie in one cell with all that is near them
+    wide, reach = F.col("eps") * 4, F.col("eps") * (1 + 1e-9)
+    beside = lambda c: F.explode(F.array_distinct(F.array(G.grid_cell(F.col(c) - reach, wide), G.grid_cell(F.col(c) + reach, wide))))
+    near = spots.withColumn("cx", beside("x")).withColumn("cy", beside("y"))
+    here = spots.select(*keys, F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("x").alias("ox"), F.col("y").alias("oy"), G.grid_cell("x", wide).alias("cx"), G.grid_cell("y", wide).alias("cy"))
     close = near.join(here, [*keys, "cx", "cy"]).filter(G.distance("x", "y", "ox", "oy") <= F.col("eps")).groupBy(*keys, "x", "y").agg(F.min("low2").alias("first"), F.max("high2").alias("last"))
     # a path touches another where the paths around its point are not all itself
     touching = points.join(close, [*keys, "x", "y"]).filter((F.col("first") != F.col("path_id")) | (F.col("last") != F.col("path_id"))).select(*keys, "path_id").distinct()
@@ -79,22 +76,23 @@ def parallel_pairs(lines: DataFrame, keys: list[str], reach: float | Column, ove
     """
     wide = lines.withColumn("across", reach if isinstance(reach, Column) else F.lit(float(reach)))
     level = F.greatest(F.lit(-40), F.ceil(F.log(F.greatest(F.col("len"), F.lit(1e-30))) / F.log(F.lit(_STEP)) - 1e-9)).cast("int")
-    sized = wide.withColumn("level", level)
+    sized = cut(wide.withColumn("level", level))  # read three times below
     group = [*keys, "axis"]
     levels = sized.groupBy(*group).agg(F.collect_set("level").alias("levels"))  # at most some ten values
     every = sized.join(levels, group).withColumn("up", F.explode(F.filter("levels", lambda v: v >= F.col("level"))))
     size = F.pow(F.lit(_STEP), F.col("up"))
     every = every.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size)))).withColumn("own", F.col("up") == F.col("level"))
-    place = [*group, "up", "cell", "bin"]
-    one = every.withColumn("bin", F.explode(F.array(G.grid_cell("at", "across"), G.grid_cell("at", "across") + 1))).drop("levels", "level")
+    # on a level, at least one of the two is there by its own length: shorter lines never meet each other on a longer one's level
+    shorter = F.exists("levels", lambda v: v < F.col("up"))
+    partners = F.when(F.col("own") & shorter, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    one = every.withColumn("own2", F.explode(partners)).withColumn("bin", F.explode(F.array(G.grid_cell("at", "across"), G.grid_cell("at", "across") + 1))).drop("levels", "level", "own")
     two = every.select(*group, "up", "cell", F.col("own").alias("own2"), F.col("at").alias("at2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("len").alias("other_len"), F.col("path_id").alias("path2"), F.col("seg_no").alias("seg2"), G.grid_cell("at", "across").alias("bin"))
     gap = F.col("at2") - F.col("at")
     later = (gap > 0) | ((gap == 0) & (F.struct("path2", "seg2") > F.struct("path_id", "seg_no")))
     start = F.greatest("lo", "lo2")
     common = F.least("hi", "hi2") - start
     fits = later & (gap <= F.col("across")) & (common > F.least("len", "other_len") * overlap) & (F.floor(start / size) == F.col("cell"))
-    # on a level, at least one of the two is there by its own length
-    found = one.join(two.filter("own2"), place).filter(fits).union(one.filter("own").join(two.filter("NOT own2"), place).filter(fits))
+    found = one.join(two, [*group, "up", "cell", "bin", "own2"]).filter(fits)
     return found.select(*group, "at", "path_id", "seg_no", "len", "other_len", gap.alias("gap"))
 
 

@@ -97,9 +97,9 @@ def path_lengths(segments: DataFrame, keys: list[str]) -> DataFrame:
     return segments.groupBy(*keys, "path_id").agg(F.sum(G.distance("ax", "ay", "bx", "by_")).alias("len"), F.min(F.least("ax", "bx")).alias("x0"), F.min(F.least("ay", "by_")).alias("y0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.max(F.greatest("ay", "by_")).alias("y1"), F.first("width").alias("width"))
 
 
-def cluster_stats(segments: DataFrame, keys: list[str], page_area: float | Column) -> DataFrame:
-    """Size, lengths, spread and box of every cluster; path lengths' positional p50 and p90."""
-    per_path = path_lengths(segments, keys)
+def cluster_stats(segments: DataFrame, keys: list[str], page_area: float | Column, per_path: DataFrame | None = None) -> DataFrame:
+    """Size, lengths, spread and box of every cluster; path lengths' positional p50 and p90. ``per_path``: its ``path_lengths`` where they are known."""
+    per_path = path_lengths(segments, keys) if per_path is None else per_path
     g = per_path.groupBy(*keys).agg(F.count("*").alias("n_paths"), F.sum("len").alias("total"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("width").alias("width"))
     p = positional_values(per_path.filter("len > 0"), keys, "len", {"p50": 0.5, "p90": 0.9})
     return g.join(p, keys, "left").select(*keys, "n_paths", "total", "p50", "p90", G.box_area("x0", "y0", "x1", "y1").alias("box"), (G.box_area("x0", "y0", "x1", "y1") / page_area).alias("spread"), "width", "x0", "y0", "x1", "y1")

@@ -120,10 +120,10 @@ SELECT drawing_id, layer, coalesce(reason, CASE WHEN contains(concat('|', layer,
 )
 def negative_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every drawing's layers: the negative filters, the layer rule, and the structural score."""
-    drawn = cut(A.drawn_segments(spark, sf_dir))  # five branches read it
-    stats = cut(S.cluster_stats(drawn, KEYS, 4_000_000.0))
+    drawn = cut(A.drawn_segments(spark, sf_dir).drop("dash_signature"))  # four branches read it
+    per_path = cut(S.path_lengths(drawn, KEYS))
+    stats = cut(S.cluster_stats(drawn, KEYS, 4_000_000.0, per_path))
     top = S.angle_histogram(drawn, KEYS).groupBy(*KEYS).agg(F.max("share").alias("concentration"))
-    per_path = S.path_lengths(drawn, KEYS)
     weight = F.greatest("len", F.lit(1e-9))
     outside = per_path.groupBy(*KEYS).agg((F.sum(F.when((F.col("x0") >= 200) & (F.col("x1") <= 1800), 0.0).otherwise(weight)) / F.sum(weight)).alias("outside"))
     known = stats.filter("p50 > 0")
