@@ -195,6 +195,12 @@ def evaluate(facts: DataFrame, found: DataFrame, truth: DataFrame, scope: DataFr
     return gates(m).withColumns({"coverage_ok": F.abs(F.col("coverage") - 1) < 1e-9, "in_scope_ok": F.coalesce(F.abs("in_scope_error_pct") <= 10, F.lit(False))})
 
 
+def indicators(facts: DataFrame, key: str = "drawing_id") -> DataFrame:
+    """How far each drawing's result can be trusted, one row for each row of facts: least plateau, shares bridged and in wall zones, what is masked, and how scale and pipes were found."""
+    to = {"plateau_width": 3, "bridged_share": 4, "wall_zone_share": 4, "masked_m": 1}
+    return facts.select(key, *(F.round(c, n).alias(c) for c, n in to.items()), "masked_verticals", F.coalesce("verified", F.lit(False)).alias("scale_verified"), "track", "method")
+
+
 def as_json(facts: DataFrame, key: str = "drawing_id", **lists: DataFrame) -> DataFrame:
     """(key, json): one document for each drawing with its facts and, under their names, the rows of further tables (bounded for each drawing)."""
     out = facts.select(key, F.struct(*(c for c in facts.columns if c != key)).alias("facts"))

@@ -92,6 +92,16 @@ def positional_values(rows: DataFrame, keys: list[str], value: str, shares: dict
     return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("upto") > place(p), F.col(value))).alias(name) for name, p in shares.items()))
 
 
+#: Shares at which a profile gives a drawing's line widths.
+WIDTH_SHARES = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
+
+
+def width_percentiles(paths: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, p10, p25, p50, p75, p90): positional percentiles of the positive line widths, to 3 decimals; 0 without one."""
+    found = positional_values(paths.filter("width > 0"), keys, "width", WIDTH_SHARES)
+    return paths.select(*keys).distinct().join(found, keys, "left").select(*keys, *(F.round(F.coalesce(c, F.lit(0.0)), 3).alias(c) for c in WIDTH_SHARES))
+
+
 def path_lengths(segments: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, path_id, len, x0, y0, x1, y1, width) of every path."""
     return segments.groupBy(*keys, "path_id").agg(F.sum(G.distance("ax", "ay", "bx", "by_")).alias("len"), F.min(F.least("ax", "bx")).alias("x0"), F.min(F.least("ay", "by_")).alias("y0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.max(F.greatest("ay", "by_")).alias("y1"), F.first("width").alias("width"))

@@ -77,6 +77,15 @@ def median_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("epsilon", F.when(F.col("median_width") > 0, F.col("median_width")).otherwise(2616 * 1e-4))
 
 
+_AT = "round(max(width) FILTER (WHERE i = least(n - 1, floor(n * {p}::DOUBLE))), 3) AS {name}"
+
+
+@query(f"{A.WITH_SQL}, w AS (SELECT path_id % 50 AS drawing_id, width, row_number() OVER (PARTITION BY path_id % 50 ORDER BY width) - 1 AS i, count(*) OVER (PARTITION BY path_id % 50) AS n FROM paths WHERE width > 0)\nSELECT drawing_id, {', '.join(_AT.format(p=p, name=name) for name, p in S.WIDTH_SHARES.items())} FROM w GROUP BY drawing_id")
+def width_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line widths of every drawing by percentile."""
+    return S.width_percentiles(A.paths(spark, sf_dir).withColumn("drawing_id", F.col("path_id") % A.DRAWINGS), ["drawing_id"])
+
+
 WIDTHS = ["p_size % 20 AS group_id", "CAST(p_partkey * 31 % 400 AS double) / CAST(100 AS double) AS width"]
 
 

@@ -44,6 +44,20 @@ class Measurement:
     quantities: DataFrame
     delivery: DataFrame
     facts: DataFrame
+    widths: DataFrame
+
+
+def profile(m: Measurement) -> DataFrame:
+    """(drawing_id, json): what is kept of a measured drawing.
+
+    Its facts, line widths by percentile and the field that tells its pipes' status; under ``clusters`` every style with its verdict and
+    score, under ``zones`` the plan and the panels. Clusters and zones of one drawing are few.
+    """
+    pipes = m.clusters.filter("verdict = 'pipe'").select(*DRAWING, F.col("cluster_id").alias("cluster"), "layer")
+    status = D.status_rule(pipes, DRAWING).select(*DRAWING, F.col("field").alias("status_field"), F.col("mapping").alias("status_mapping"))
+    facts = m.facts.join(m.widths, DRAWING, "left").join(status, DRAWING, "left")
+    clusters = m.clusters.select(*DRAWING, "cluster_id", "layer", "n_paths", "total", F.col("verdict").alias("class"), "step", F.round("score", 3).alias("confidence"))
+    return D.as_json(facts, clusters=clusters, zones=m.zones)
 
 
 def _selected(shape: DataFrame, stats: DataFrame, angles: DataFrame, boxes: DataFrame, clusters: DataFrame, paths: DataFrame, zones: DataFrame, scales: DataFrame, pages: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -183,7 +197,7 @@ def measure(paths: DataFrame, segments: DataFrame, pages: DataFrame, words: Data
     triage = cut(D.triage(pages, paths, DRAWING, words))
     facts = _facts(triage, scales, judged, by_path, boxes, zones, quantities, strands, walked)
     delivery = D.delivery_rows(quantities, ["layer", "cluster_id"]).join(triage.select(*DRAWING, "delivers"), DRAWING)
-    return Measurement(triage, zones, bars, scales, judged, accepted, blocked, strands, verticals, quantities, delivery, facts)
+    return Measurement(triage, zones, bars, scales, judged, accepted, blocked, strands, verticals, quantities, delivery, facts, ST.width_percentiles(paths, DRAWING))
 
 
 def _facts(triage: DataFrame, scales: DataFrame, judged: DataFrame, by_path: DataFrame, boxes: DataFrame, zones: DataFrame, quantities: DataFrame, strands: DataFrame, walked: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from plumbline.operators import scale as SC
 from plumbline.operators import spatial as S
 from plumbline.operators import styles as ST
 from plumbline.operators import zones as Z
-from plumbline.plans.measure import measure, sheets
+from plumbline.plans.measure import measure, profile, sheets
 
 SEG = "drawing_id long, path_id long, seg_no int, ax double, ay double, bx double, by_ double"
 RUN = "g int, run_id long, ax double, ay double, bx double, by_ double"
@@ -257,3 +257,18 @@ def test_letter_height_and_plateau_of_known_curve(spark):
     curve = spark.createDataFrame([(1, float(i), float(v)) for i, v in enumerate([10, 12, 14, 14, 14, 14, 16, 19, 23])], "g int, x double, y double")
     got = O.plateau(curve, ["g"]).first()
     assert (got.threshold, got.width) == (4.0, 4.0)  # three steps of 0 and the one of 1/7 are at most the median
+
+
+def test_profile_and_indicators(measured):
+    measured = measured[0]
+    rated = {r["drawing_id"]: r for r in D.indicators(measured.facts).collect()}
+    assert sorted(rated) == [1, 2, 3, 4]
+    assert rated[1]["scale_verified"] and rated[1]["masked_m"] == 4.0 and rated[1]["masked_verticals"] == 1
+    assert not rated[2]["scale_verified"] and rated[2]["masked_m"] == 0.0 and not rated[4]["scale_verified"]
+    kept = {r["drawing_id"]: json.loads(r["json"]) for r in profile(measured).collect()}
+    assert sorted(kept) == [1, 2, 3, 4]
+    assert kept[1]["p90"] == 2.0 and kept[1]["p10"] == 0.5 and kept[1]["zones"][0]["kind"] == "plan"
+    pipes = [c for c in kept[1]["clusters"] if c["class"] == "pipe"]
+    assert [c["layer"] for c in pipes] == ["268-W|V-52-FE--KV-"] and 0 <= pipes[0]["confidence"] <= 1
+    assert len(kept[1]["clusters"]) == kept[1]["n_clusters"] and not any(c["class"] == "pipe" for c in kept[2]["clusters"])
+    assert "clusters" not in kept[4]
