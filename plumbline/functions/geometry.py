@@ -85,7 +85,8 @@ def point_segment_distance(px, py, ax, ay, bx, by) -> Column:
     dx, dy = c(bx) - c(ax), c(by) - c(ay)
     square = dx * dx + dy * dy
     t = F.when(square == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((c(px) - c(ax)) * dx + (c(py) - c(ay)) * dy) / square)))
-    return distance(c(ax) + t * dx, c(ay) + t * dy, px, py)
+    x, y = c(px) - c(ax) - t * dx, c(py) - c(ay) - t * dy
+    return F.sqrt(x * x + y * y)
 
 
 def lateral_offset(px, py, ax, ay, bx, by) -> Column:
