@@ -52,20 +52,22 @@ def frames(rectangles: DataFrame, pages: DataFrame, keys: list[str]) -> DataFram
     return pages.join(best, keys, "left").select(*keys, F.coalesce("f", page).alias("f")).select(*keys, "f.*")
 
 
-def densities(boxes: DataFrame, paths: DataFrame, keys: list[str], cells: float = 50.0) -> DataFrame:
+def densities(boxes: DataFrame, paths: DataFrame, keys: list[str]) -> DataFrame:
     """Paths per 10,000 square points inside each box: (keys, box_id, n_inside, density).
 
     ``boxes(keys, box_id, x0, y0, x1, y1)``; a path (keys, path_id, x0, y0, x1, y1) is inside with more than 90 % of its own box, so
-    its middle is, too: an equi-join of the middle's cell with the cells of a box. Cells are a 50th of the longest side in the
-    drawing, so that a box has a bounded number of them.
+    its middle is, too: an equi-join of the middle's cell with the cells of a box. Cells go by levels of the boxes' longer side
+    (powers of two), so a box is written to at most four of them and a middle is looked up once for each level its drawing has.
     """
-    side = lambda df: df.groupBy(*keys).agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("side"))
-    size = side(boxes).select(*keys, F.greatest(F.col("side") / cells, F.lit(1e-6)).alias("size"))
-    along = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / F.col("size")), F.floor(F.col(hi) / F.col("size"))))
-    spread = boxes.join(size, keys).withColumn("cx", along("x0", "x1")).withColumn("cy", along("y0", "y1")).select(*keys, "box_id", "cx", "cy", *[F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")])
+    level = F.greatest(F.lit(-20), F.ceil(F.log2(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-6))))).cast("int")
+    sized = boxes.select(*keys, "box_id", "x0", "y0", "x1", "y1").withColumn("level", level)
+    size = F.pow(F.lit(2.0), F.col("level"))
+    along = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+    spread = sized.withColumn("cx", along("x0", "x1")).withColumn("cy", along("y0", "y1")).select(*keys, "level", "box_id", "cx", "cy", *[F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")])
+    levels = sized.groupBy(*keys).agg(F.collect_set("level").alias("levels"))
     mx, my = G.box_middle("x0", "y0", "x1", "y1")
-    middles = paths.join(size, keys).withColumns({"cx": F.floor(mx / F.col("size")), "cy": F.floor(my / F.col("size"))})
-    inside = middles.join(spread, [*keys, "cx", "cy"]).filter(G.overlap_fraction(("x0", "y0", "x1", "y1"), ("ox0", "oy0", "ox1", "oy1")) > 0.9).groupBy(*keys, "box_id").agg(F.count("*").alias("n_inside"))
+    middles = paths.select(*keys, "x0", "y0", "x1", "y1").join(levels, keys).withColumn("level", F.explode("levels")).drop("levels").withColumns({"cx": F.floor(mx / size), "cy": F.floor(my / size)})
+    inside = middles.join(spread, [*keys, "level", "cx", "cy"]).filter(G.overlap_fraction(("x0", "y0", "x1", "y1"), ("ox0", "oy0", "ox1", "oy1")) > 0.9).groupBy(*keys, "box_id").agg(F.count("*").alias("n_inside"))
     area = G.box_area("x0", "y0", "x1", "y1")
     return boxes.join(inside, [*keys, "box_id"], "left").select(*keys, "box_id", F.coalesce("n_inside", F.lit(0)).alias("n_inside"), F.when(area > 0, F.coalesce("n_inside", F.lit(0)) / (area / 10000)).otherwise(0.0).alias("density"))
 
