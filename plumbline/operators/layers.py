@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from . import spatial as S
 
 
@@ -22,7 +23,8 @@ def token_candidates(layers: DataFrame, most_fields: int = 3, most_chars: int =
     A token begins and ends at a delimiter ('-' or '|', one stands around every name), spans at most ``most_fields``
     fields, and is at most ``most_chars`` long; it comes from wanted layers only.
     """
-    marked = layers.filter("layer <> ''").withColumn("name", F.concat(F.lit("|"), "layer", F.lit("|")))
+    # written first: what is asked of a name's fields would else be moved below the step that makes names distinct, to every path
+    marked = cut(layers.filter("layer <> ''").withColumn("name", F.concat(F.lit("|"), "layer", F.lit("|"))))
     places = F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring("name", i, F.lit(1)).isin("-", "|"))
     spans = marked.filter("wanted").withColumn("places", places).select("name", F.posexplode("places").alias("p", "start"), "places")
     ends = spans.withColumn("end", F.explode(F.slice("places", F.col("p") + 2, F.lit(most_fields))))
@@ -47,11 +49,10 @@ def induce(layers: DataFrame, rounds: int = 20) -> list[str]:
 
     Ties: fewer fields, then shorter, then by name. Layer names are a drawing set's vocabulary; only chosen tokens reach the driver.
     """
-    wanted = layers.filter("wanted AND layer <> ''").select("layer").distinct()
-    n = wanted.count()
+    distinct = cut(layers.groupBy("layer").agg(F.max("wanted").alias("wanted")))
+    n = distinct.filter("wanted AND layer <> ''").count()
     if not n:
         return []
-    distinct = layers.groupBy("layer").agg(F.max("wanted").alias("wanted"))
     best = token_candidates(distinct).filter(F.col("covered") == n).orderBy("negatives", "n_fields", F.length("token"), "token").first()
     if best:
         return [best["token"]]
