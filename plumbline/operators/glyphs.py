@@ -13,7 +13,7 @@ from . import styles as ST
 
 def grouped(boxes: DataFrame, keys: list[str], gap_x: float | Column, gap_y: float | Column) -> DataFrame:
     """Boxes joined where they are at most the gaps apart: (keys, box_id, x0, y0, x1, y1, n_parts); box_id is the smallest of the parts."""
-    links = N.connected_components(S.touching_boxes(boxes, keys, gap_x, gap_y), keys)
+    links = N.box_components(boxes, keys, gap_x, gap_y)
     named = boxes.join(links.withColumnRenamed("node", "box_id"), [*keys, "box_id"], "left").withColumn("box_id", F.coalesce("component", "box_id"))
     return named.groupBy(*keys, "box_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_parts"))
 

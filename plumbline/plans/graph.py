@@ -107,8 +107,7 @@ def junction_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_TOUCH}, u AS (SELECT a AS n, b AS o FROM e UNION SELECT b, a FROM e), c AS (SELECT n AS node, n AS seen FROM u UNION SELECT c.node, u.o FROM c JOIN u ON u.n = c.seen)\nSELECT node, min(seen) AS component FROM c GROUP BY node")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of boxes that touch each other, directly or not."""
-    pairs = S.touching_boxes(A.rows(spark, sf_dir, "part", BOXES), ["drawing_id"], 5.0, 5.0)
-    return N.connected_components(pairs, ["drawing_id"]).select("node", "component")
+    return N.box_components(A.rows(spark, sf_dir, "part", BOXES), ["drawing_id"], 5.0, 5.0).select("node", "component")
 
 
 @query(
@@ -119,7 +118,7 @@ SELECT drawing_id, symbol_id, (x0+x1)/2 AS x, (y0+y1)/2 AS y, x1-x0 AS w, y1-y0
 def square_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols (joined boxes) that are about square: the vertical pipes."""
     boxes = A.rows(spark, sf_dir, "part", BOXES)
-    links = N.connected_components(S.touching_boxes(boxes, ["drawing_id"], 5.0, 5.0), ["drawing_id"])
+    links = N.box_components(boxes, ["drawing_id"], 5.0, 5.0)
     return S.square_symbols(S.symbol_instances(boxes, links, ["drawing_id"]))
 
 

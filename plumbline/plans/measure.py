@@ -170,7 +170,7 @@ def measure(paths: DataFrame, segments: DataFrame, pages: DataFrame, words: Data
     layers = pipes.select(*DRAWING, "layer").distinct()
     loose = boxes.join(pipes.select(*CLUSTER), CLUSTER, "left_anti").filter("len > 0").join(layers, [*DRAWING, "layer"], "left_semi").join(nets, DRAWING)
     candidates = cut(loose.select(*DRAWING, F.col("path_id").alias("box_id"), "layer", "x0", "y0", "x1", "y1", "unit"))
-    links = N.connected_components(S.touching_boxes(candidates, DRAWING, F.col("unit") * 0.7, F.col("unit") * 0.7), DRAWING)
+    links = N.box_components(candidates, DRAWING, F.col("unit") * 0.7, F.col("unit") * 0.7)
     symbols = S.symbol_instances(candidates, links, DRAWING, ("layer",))
     drawn = walked.withColumns({"path_id": F.col("chain_id"), "seg_no": F.col("strand_no") * 1_000_000 + F.col("ordinal")})
     found = N.verticals(symbols, drawn, nets, DRAWING, ("cluster_id",))

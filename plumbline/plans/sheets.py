@@ -167,7 +167,7 @@ sy AS (SELECT b.drawing_id, coalesce(component, box_id) AS symbol_id, min(x0) AS
 
 def _symbols(spark: SparkSession, sf_dir: str, gap: float) -> DataFrame:
     boxes = A.rows(spark, sf_dir, "part", SYMBOLS)
-    links = N.connected_components(S.touching_boxes(boxes, ["drawing_id"], gap, gap), ["drawing_id"])
+    links = N.box_components(boxes, ["drawing_id"], gap, gap)
     return S.symbol_instances(boxes, links, ["drawing_id"], ("layer",))
 
 
