@@ -97,10 +97,10 @@ def wall_modes(segments: DataFrame, clusters: DataFrame, keys: list[str], cluste
     pool = segments.withColumn("reach", wide * 0.012).filter(G.distance("ax", "ay", "bx", "by_") > wide * 0.001).join(good, [*keys, cluster], "left_semi")
     group = [*keys, cluster]
     lines = S.axis_lines(pool, [*group, "reach"])
-    pairs = S.parallel_pairs(lines, [*group, "reach"], F.col("reach"), 0.5).filter(F.col("gap") > F.col("reach") * 0.02).withColumn("spacing", F.round("gap", 1))
-    enough = pairs.groupBy(*group).agg(F.count("*").alias("pairs")).filter(F.col("pairs") >= least_pairs).select(*group)
     # of equally frequent spacings the one of the first pair: flat lines before upright ones, then by place
-    modes = S.first_mode(pairs.join(enough, group, "left_semi").withColumn("ordinal", F.struct("axis", "at", "path_id", "seg_no", "gap")), group, "spacing", "ordinal")
+    counted = S.spacing_counts(lines, [*group, "reach"], F.col("reach"), 0.5, 0.02).withColumn("pairs", F.sum("n").over(W.partitionBy(*group))).filter(F.col("pairs") >= least_pairs)
+    place = F.row_number().over(W.partitionBy(*group).orderBy(F.desc("n"), "first"))
+    modes = counted.withColumn("place", place).filter("place = 1")
     return modes.groupBy(*keys).agg(F.percentile("spacing", 0.5).alias("mode"), F.count("*").alias("n_modes"))
 
 
