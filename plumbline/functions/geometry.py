@@ -182,23 +182,24 @@ def points_of_mm(mm, scale) -> Column:
     return c(mm) / (known * MM_PER_PT)
 
 
-def bezier_points(p: list[tuple], parts) -> Column:
-    """Points at k / parts, k = 0..parts, of a cubic with four control points."""
+def bezier_point(p: list[tuple], parts, k) -> tuple[Column, Column]:
+    """The point (x, y) at k / parts of a cubic with four control points."""
     xs, ys = [c(q[0]) for q in p], [c(q[1]) for q in p]
+    t = c(k) / c(parts)
+    s = F.lit(1.0) - t
+    w = (s * s * s, s * s * t * 3.0, s * t * t * 3.0, t * t * t)
+    return sum((a * b for a, b in zip(w, xs, strict=True)), F.lit(0.0)), sum((a * b for a, b in zip(w, ys, strict=True)), F.lit(0.0))
 
-    def at(k: Column) -> Column:
-        t = k / c(parts)
-        s = F.lit(1.0) - t
-        w = (s * s * s, s * s * t * 3.0, s * t * t * 3.0, t * t * t)
-        return F.struct(sum((a * b for a, b in zip(w, xs, strict=True)), F.lit(0.0)).alias("x"), sum((a * b for a, b in zip(w, ys, strict=True)), F.lit(0.0)).alias("y"))
 
-    return F.transform(F.sequence(F.lit(0), c(parts).cast("int")), at)
+def polyline_length(points: Column) -> Column:
+    """Length of an array of points (x, y); 0 for fewer than two. The points are computed once, whatever expression they are."""
 
+    def walk(p: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("len"), F.get(p, F.lit(0))["x"].alias("x"), F.get(p, F.lit(0))["y"].alias("y"))
+        step = lambda s, e: F.struct((s["len"] + distance(s["x"], s["y"], e["x"], e["y"])).alias("len"), e["x"].alias("x"), e["y"].alias("y"))
+        return F.when(F.size(p) < 2, F.lit(0.0)).otherwise(F.aggregate(p, start, step, lambda s: s["len"]))
 
-def polyline_length(points: Column) -> Column:
-    """Length of an array of points (x, y); 0 for fewer than two."""
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(points) - 1, F.lit(1))), lambda i: F.struct(F.get(points, i - 1).alias("p"), F.get(points, i).alias("q")))
-    return F.when(F.size(points) < 2, F.lit(0.0)).otherwise(F.aggregate(pairs, F.lit(0.0), lambda s, e: s + distance(e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"])))
+    return bound(points, walk)
 
 
 #: Drawing operations that close their path (fixed values).
