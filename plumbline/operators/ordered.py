@@ -27,11 +27,10 @@ def with_turns(segments: DataFrame, keys: list[str]) -> DataFrame:
 
 def corner_split(segments: DataFrame, keys: list[str], factor: float = 3.0) -> DataFrame:
     """Split paths where they turn by more than ``factor`` times their median turn (1e-9 at least): adds ``chain_no``."""
-    turned = with_turns(segments, keys)
-    median = turned.groupBy(*keys, "path_id").agg(F.percentile("turn", 0.5).alias("median_turn"))
-    order = W.partitionBy(*keys, "path_id").orderBy("seg_no").rowsBetween(W.unboundedPreceding, 0)
+    path = W.partitionBy(*keys, "path_id")
+    turned = with_turns(segments, keys).withColumn("median_turn", F.percentile("turn", 0.5).over(path))  # a window: a join would deal and sort all rows again
     cut_ = F.coalesce(F.col("turn") > F.greatest(F.col("median_turn") * factor, F.lit(1e-9)), F.lit(False))
-    return turned.join(median, [*keys, "path_id"]).withColumn("chain_no", F.sum(cut_.cast("int")).over(order)).drop("median_turn")
+    return turned.withColumn("chain_no", F.sum(cut_.cast("int")).over(path.orderBy("seg_no").rowsBetween(W.unboundedPreceding, 0))).drop("median_turn")
 
 
 def bend_counts(segments: DataFrame, keys: list[str], degrees: float = 15.0) -> DataFrame:

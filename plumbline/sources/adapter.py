@@ -18,14 +18,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path_id, seg_no, ax, ay, bx, by_): horizontal, vertical or diagonal by return flag, as long as the quantity."""
-    li = read(spark, sf_dir, "lineitem")
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    """(path_id, seg_no, ax, ay, bx, by_): horizontal, vertical or diagonal by return flag, as long as the quantity.
+
+    The rows are dealt by the name ``path_id``: under another name, every later join or window on it would deal them again.
+    """
+    li = read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "path_id")
+    order = W.partitionBy("path_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     ax = F.col("l_partkey").cast("double")
-    ay = ((F.col("l_suppkey") * 17 + F.col("l_orderkey") * 29) % 1684).cast("double")
+    ay = ((F.col("l_suppkey") * 17 + F.col("path_id") * 29) % 1684).cast("double")
     step = lambda flags: F.when(F.col("l_returnflag").isin(*flags), F.col("l_quantity")).otherwise(F.lit(0.0))
     return li.select(
-        F.col("l_orderkey").alias("path_id"),
+        "path_id",
         F.row_number().over(order).alias("seg_no"),
         ax.alias("ax"),
         ay.alias("ay"),
