@@ -15,6 +15,7 @@ from ..operators import scale as SC
 from ..operators import spatial as S
 from ..operators import zones as Z
 from ..sources import adapter as A
+from ..sources.shared import cut
 from .joins import _TOUCH, BOXES, pitch_sql
 from .oracles import LETTER_SQL, MERGE_SQL, SETTLE_SQL
 from .registry import query
@@ -140,9 +141,9 @@ SELECT ch.drawing_id, ch.chain_id, count(*) AS n_runs, round(sum(len) + (SELECT
 )
 def chain_bridging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every drawing joined over gaps of up to 40 points."""
-    runs = _runs(spark, sf_dir)
+    runs = cut(_runs(spark, sf_dir).select("drawing_id", "run_id", "ax", "ay", "bx", "by_"))
     bridges = N.bridge_runs(runs, ["drawing_id"], 40.0, offset=4.0)
-    return N.merged_runs(runs, bridges, ["drawing_id"]).filter("n_runs > 1").withColumn("length", F.round("length", 4))
+    return N.merged_runs(runs, bridges, ["drawing_id"], alone=False).withColumn("length", F.round("length", 4))
 
 
 def _panels(spark: SparkSession, sf_dir: str) -> DataFrame:
