@@ -45,18 +45,22 @@ strands AS (SELECT drawing_id, layer, chain_id, strand_no, sum(slen) AS length,
   concat(arg_min(nx, ordinal), ':', arg_min(ny, ordinal)) AS node_a, concat(arg_max(nx, ordinal), ':', arg_max(ny, ordinal)) AS node_b FROM s3 GROUP BY ALL HAVING sum(slen) > 0)"""
 
 
+#: A run lies on one path, so its rows stay where the path's segments were dealt to.
+PATH = [*KEYS, "path_id"]
+
+
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of the straight runs of every path."""
+    """Points of the straight runs of every path, with their steps."""
     chained = O.corner_split(A.drawn_segments(spark, sf_dir), KEYS)
-    return N.run_points(chained.withColumn("run_id", F.col("path_id") * 100 + F.col("chain_no")), KEYS)
+    return N.run_steps(N.run_points(chained.withColumn("run_id", F.col("path_id") * 100 + F.col("chain_no")), PATH), PATH)
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polylines: the runs of a path joined in their order, one end of a run to one of the next."""
     points = cut(_points(spark, sf_dir))
-    runs = cut(N.straight_runs(points, KEYS))
-    order = W.partitionBy(*KEYS, "path_id").orderBy("run_id")
-    entered = runs.withColumn("path_id", F.floor(F.col("run_id") / 100)).withColumn("k", F.row_number().over(order)).withColumn("entry", ((F.col("run_id") + F.col("k")) % 2).cast("int"))
+    runs = cut(N.straight_runs(points, PATH))
+    order = W.partitionBy(*PATH).orderBy("run_id")
+    entered = runs.withColumn("k", F.row_number().over(order)).withColumn("entry", ((F.col("run_id") + F.col("k")) % 2).cast("int"))
     pair = entered.withColumns({"b": F.lead("run_id").over(order), "b_end": F.lead("entry").over(order), "bx2": F.lead("ax").over(order), "by2": F.lead("ay").over(order)}).filter("b IS NOT NULL")
     bridges = pair.select(*KEYS, F.col("run_id").alias("a"), (1 - F.col("entry")).alias("a_end"), "b", "b_end", G.distance("bx", "by_", "bx2", "by2").alias("gap"))
     return N.polylines(runs, points, cut(N.rechained(bridges, KEYS)), KEYS)
@@ -65,7 +69,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_RUNS_SQL}\nSELECT drawing_id, layer, run_id, ax, ay, bx, by_, round(len, 4) AS len FROM runs")
 def straight_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Straight runs of every drawing's paths, from the first point to the last."""
-    return N.straight_runs(_points(spark, sf_dir), KEYS).withColumn("len", F.round("len", 4))
+    return N.straight_runs(_points(spark, sf_dir), PATH).drop("path_id").withColumn("len", F.round("len", 4))
 
 
 @query(f"{_LINES_SQL}\nSELECT drawing_id, layer, chain_id, ordinal, run_id, x, y FROM nb")
