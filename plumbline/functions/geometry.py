@@ -46,11 +46,13 @@ def page_matrix(rotate, width, height, user_unit) -> Column:
     rows = {0: (u, 0, 0, u, 0, 0, w * u, h * u), 90: (0, u, -u, 0, h * u, 0, h * u, w * u), 180: (-u, 0, 0, -u, w * u, h * u, w * u, h * u), 270: (0, -u, u, 0, 0, w * u, h * u, w * u)}
     names = ("a", "b", "c", "d", "e", "f", "width", "height")
     turn = F.pmod(c(rotate).cast("int"), F.lit(360))
+    # checked once, not in each field: the generated method stays short enough to be compiled
+    known = F.when(turn % 90 == 0, turn).otherwise(F.raise_error(F.concat(F.lit("no such page rotation: "), turn.cast("string"))).cast("int"))
     fields = []
     for k, name in enumerate(names):
-        value = F.raise_error(F.concat(F.lit("no such page rotation: "), turn.cast("string"))).cast("double")
-        for angle, row in rows.items():
-            value = F.when(turn == angle, c(row[k]).cast("double")).otherwise(value)
+        value = c(rows[270][k]).cast("double")
+        for angle in (0, 90, 180):
+            value = F.when(known == angle, c(rows[angle][k]).cast("double")).otherwise(value)
         fields.append(value.alias(name))
     return F.struct(*fields)
 
@@ -102,6 +104,14 @@ def grid_cell(x, size) -> Column:
     return F.rint((x - F.pmod(x, size)) / size).cast("bigint")
 
 
+def rounded(x, digits: int) -> Column:
+    """``round`` of a double, in plain arithmetic where that can't differ: a scaled value under a thousand million and no millionth from a half."""
+    scaled = c(x) * 10.0**digits
+    whole = F.floor(scaled + 0.5)
+    plain = (F.abs(scaled) < 1e9) & (F.abs(scaled - whole) < 0.5 - 1e-6)
+    return F.when(plain, whole / 10.0**digits).otherwise(F.round(c(x), digits))
+
+
 def node_key(x, eps) -> Column:
     """Nearest grid node, halves to even."""
     return F.rint(c(x) / c(eps)).cast("bigint")
@@ -206,40 +216,6 @@ def polyline_length(points: Column) -> Column:
 CLOSING = ("re", "qu")
 
 
-def op_points(kind, points: Column, m: str) -> Column:
-    """The points, in the upright view, that an operation's segments join, as an array of (x, y).
-
-    ``points`` are its own in page space: two of a line ``l``, four of a curve ``c``, two opposite corners of a rectangle ``re``, the
-    corners of a quad ``qu`` in turn. A curve becomes as many chords as its control polygon holds two-thousandths of the
-    page's diagonal, from 2 to 24. Another kind, or one with too few points, has none.
-    """
-    g = lambda k: F.col(f"{m}.{k}")
-    xy = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    apart = lambda p, q: distance(p["x"], p["y"], q["x"], q["y"])
-    diagonal = F.sqrt(g("width") * g("width") + g("height") * g("height"))
-
-    def curve(p: Column) -> Column:
-        control = apart(F.get(p, 0), F.get(p, 1)) + apart(F.get(p, 1), F.get(p, 2)) + apart(F.get(p, 2), F.get(p, 3))
-        parts = F.greatest(F.lit(2), F.least(F.lit(24), (control / F.greatest(diagonal * 5e-4, F.lit(1e-6))).cast("int")))
-        blend = lambda v, t, s: s * s * s * F.get(p, 0)[v] + s * s * t * 3.0 * F.get(p, 1)[v] + s * t * t * 3.0 * F.get(p, 2)[v] + t * t * t * F.get(p, 3)[v]
-        place = lambda t: bound(F.lit(1.0) - t, lambda s: xy(blend("x", t, s), blend("y", t, s)))
-        return bound(parts, lambda n: F.transform(F.sequence(F.lit(0), n), lambda k: bound(k / n, place)))
-
-    def box(p: Column) -> Column:
-        x, y = (F.get(p, 0)["x"], F.get(p, 1)["x"]), (F.get(p, 0)["y"], F.get(p, 1)["y"])
-        sides = F.struct(F.least(*x).alias("l"), F.greatest(*x).alias("r"), F.least(*y).alias("t"), F.greatest(*y).alias("b"))
-        return bound(sides, lambda s: F.array(xy(s["l"], s["t"]), xy(s["r"], s["t"]), xy(s["r"], s["b"]), xy(s["l"], s["b"]), xy(s["l"], s["t"])))
-
-    def joined(p: Column) -> Column:
-        none = F.array().cast("array<struct<x:double,y:double>>")
-        n, k = F.size(p), c(kind)
-        ring = F.concat(F.slice(p, 1, 4), F.slice(p, 1, 1))
-        return F.when((k == "l") & (n >= 2), F.slice(p, 1, 2)).when((k == "c") & (n >= 4), curve(p)).when((k == "re") & (n >= 2), box(p)).when((k == "qu") & (n >= 4), ring).otherwise(none)
-
-    seen = F.transform(points, lambda p: xy(g("a") * p["x"] + g("c") * p["y"] + g("e"), g("b") * p["x"] + g("d") * p["y"] + g("f")))
-    return bound(seen, joined)
-
-
 def bound(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

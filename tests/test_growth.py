@@ -6,7 +6,9 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from plumbline.functions import geometry as G
 from plumbline.operators import network as N
 from plumbline.plans import catalog
 
@@ -80,6 +82,28 @@ def test_curves_of_a_small_file_are_spread_over_the_tasks(spark):
     assert "Exchange hashpartitioning(p_partkey" in plan and "lambdafunction" not in plan
 
 
+def test_operations_are_flattened_in_compiled_methods(spark):
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        run = catalog.QUERIES["flattened_ops"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+        assert "lambdafunction" not in run.toString()
+        code = run.debug().codegenToSeq()
+        sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert max(sizes) < 8000, sizes  # the JVM leaves longer ones to its interpreter
+
+
+def test_plain_rounding_is_round(spark):
+    rng = random.Random(6)
+    values = [0.0, -0.0, 0.5, 2.5, -2.5, 0.000005, -0.000005, 1.000015, 123.123455, 123.1234549999, 9999.999995, 1e4, -1e4, 12345.678905, 1e12 + 0.3, -1e300, float("inf"), float("nan"), None]
+    values += [rng.uniform(-2000, 2000) for _ in range(3000)] + [rng.randrange(-(10**8), 10**8) / 1e5 + rng.choice([5e-6, 5e-6 - 1e-12, 0.0]) for _ in range(3000)]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    for row in frame.select(G.rounded("v", 5).alias("got"), F.round("v", 5).alias("want")).collect():
+        assert repr(row.got) == repr(row.want)
+
+
 def test_runs_without_a_bridge_take_no_part_in_the_rounds(spark, shuffled):
     n = 1500
     runs = [(1, i) for i in range(n)]
