@@ -78,7 +78,8 @@ SELECT drawing_id, point_id, path_id, seg_no, round(d, 4) AS distance FROM d WHE
 def nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segment nearest to every symbol, at most 40 points away."""
     points = A.rows(spark, sf_dir, "supplier", POINTS)
-    return S.nearest_segment(points, A.drawn_segments(spark, sf_dir).drop("layer"), ["drawing_id"], 40.0).withColumn("distance", F.round("distance", 4))
+    segments = S.around(A.drawn_segments(spark, sf_dir).drop("layer"), points, ["drawing_id"], 40.0)
+    return S.nearest_segment(points, segments, ["drawing_id"], 40.0).withColumn("distance", F.round("distance", 4))
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
 from plumbline.operators import network as N
+from plumbline.operators import spatial as S
 from plumbline.plans import catalog
 
 
@@ -112,3 +113,13 @@ def test_runs_without_a_bridge_take_no_part_in_the_rounds(spark, shuffled):
     got, rows = shuffled(lambda: N.polylines(*frames, ["d"]).collect())
     assert len(got) == 2 * n and sorted(tuple(r)[1:5] for r in got if r.chain_id == 5) == [(5, 0, -1, 5), (5, 0, 0, 5), (5, 1, 0, 9), (5, 1, 1, 9)]
     assert rows < 4.5 * n
+
+
+def test_cells_of_long_segments_take_no_lambda_and_far_ones_none(spark, shuffled):
+    n = 1500
+    rows = [(1, i, 1, 500.0 * i, 0.0, 500.0 * i + 30, 20.0) for i in range(n)] + [(1, n, 1, -900.0, -300.0, 3000.0, 1000.0)]
+    segments = spark.createDataFrame(rows, "g int, path_id int, seg_no int, ax double, ay double, bx double, by_ double")
+    points = spark.createDataFrame([(1, i, 40.0 * i, 8.0 + 40.0 * i / 3) for i in range(20)], "g int, point_id int, x double, y double")
+    assert "lambdafunction" not in S.nearest_segment(points, segments, ["g"], 40.0)._jdf.queryExecution().toString()
+    got, dealt = shuffled(lambda: S.nearest_segment(points, S.around(segments, points, ["g"], 40.0), ["g"], 40.0).collect())
+    assert len(got) == 20 and {r.path_id for r in got} == {0, n} and dealt < 200
