@@ -28,14 +28,26 @@ def markup_votes(lines: DataFrame, segments: DataFrame, tolerance: float, least:
     length. Returns (to, n_lines, n_labels, length), for each drawing if ``by_drawing``.
     """
     whole = ["drawing_id", "line_id", "label"]
-    pieces = lines.withColumn("len", G.distance("x0", "y0", "x1", "y1")).filter("len > 0").withColumn("piece", F.struct("x0", "y0", "x1", "y1"))
+    pieces = lines.withColumn("len", G.distance("x0", "y0", "x1", "y1")).filter("len > 0")
     n = F.greatest(F.lit(2), F.floor(F.col("len") / max(tolerance, 1e-6)).cast("int"))
-    sampled = pieces.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    # pieces go to the cells along them, segments to those around them: all that is near a sample is in its own cell, so the samples themselves are not dealt
+    reach = max(tolerance, 1e-6)
+    size, ends = reach * 8, ("x0", "y0", "x1", "y1")
+    part = lambda p, q, cell, more: F.when(F.col(p) == F.col(q), None).otherwise(((F.col(cell) + more) * size - F.col(p)) / (F.col(q) - F.col(p)))
+    both = [(part("x0", "x1", "cx", 0), part("x0", "x1", "cx", 1)), (part("y0", "y1", "cy", 0), part("y0", "y1", "cy", 1))]
+    # the samples in a cell, one more at each end for rounding (least and greatest pass over nulls)
+    first, last = F.floor(F.greatest(F.lit(0.0), *(F.least(*b) for b in both)) * F.col("n") - 1e-3), F.ceil(F.least(F.lit(1.0), *(F.greatest(*b) for b in both)) * F.col("n") + 1e-3)
+    own = S.in_cells(pieces.select(*whole, *ends, "len", n.alias("n")), ends, size).withColumns({"first": F.greatest(F.lit(0), first).cast("int"), "last": F.least(F.col("n"), last).cast("int")}).filter("first <= last")
+    close = S.around(segments.select("drawing_id", "path_id", "seg_no", "ax", "ay", "bx", "by_", to), pieces, ["drawing_id"], reach, ("x0", "x1"), ("y0", "y1"))
+    met = own.join(S.in_cells(close, ("ax", "ay", "bx", "by_"), size, reach * 1.001), ["drawing_id", "cx", "cy"])
     at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.col("n")
-    points = sampled.select("drawing_id", F.struct(*whole[1:], "len", "n", "piece", "k").alias("point_id"), at("x0", "x1").alias("x"), at("y0", "y1").alias("y"))
-    nearest = S.nearest_segment(points, segments, ["drawing_id"], tolerance, carry=(to,))
-    weight = F.col("point_id.len") / (F.col("point_id.n") + 1) / (F.col("distance") + 1)
-    votes = nearest.groupBy("drawing_id", "point_id.line_id", "point_id.label", to).agg(F.sum(weight).alias("votes"))
+    beside = met.withColumn("k", F.explode(F.sequence("first", "last"))).withColumns({"x": at("x0", "x1"), "y": at("y0", "y1")})
+    own_cell = (F.floor(F.col("x") / size) == F.col("cx")) & (F.floor(F.col("y") / size) == F.col("cy"))
+    near = beside.filter(own_cell).withColumn("d", G.point_segment_distance("x", "y", "ax", "ay", "bx", "by_")).filter(F.col("d") <= float(tolerance))
+    # grouped with the cell, the samples stay where they met
+    nearest = near.groupBy("drawing_id", "cx", "cy", "line_id", "label", *ends, "k").agg(F.min(F.struct("d", "path_id", "seg_no", to)).alias("m"), F.first("len").alias("len"), F.first("n").alias("n"))
+    weight = F.col("len") / (F.col("n") + 1) / (F.col("m.d") + 1)
+    votes = nearest.groupBy("drawing_id", "line_id", "label", F.col(f"m.{to}").alias(to)).agg(F.sum(weight).alias("votes"))
     lengths = pieces.groupBy(*whole).agg(F.sum("len").alias("length"))
     rank = F.row_number().over(W.partitionBy(*whole).orderBy(F.round("votes", 9).desc(), to))
     won = votes.withColumn("rank", rank).filter("rank = 1").join(lengths, whole).filter(F.col("votes") >= F.col("length") * least)

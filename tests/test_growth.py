@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
+from plumbline.operators import delivery as D
 from plumbline.operators import network as N
 from plumbline.operators import spatial as S
 from plumbline.plans import catalog
@@ -115,6 +116,45 @@ def test_runs_without_a_bridge_take_no_part_in_the_rounds(spark, shuffled):
     assert rows < 4.5 * n
 
 
+def test_samples_of_marked_lines_are_not_dealt(spark, shuffled):
+    lines = [(1, i, "a", 0.0, 40.0 * i, 400.0, 40.0 * i) for i in range(200)]
+    segments = [(1, i, 1, 0.0, 40.0 * i + 1, 400.0, 40.0 * i + 1, "Z" if i % 2 else "Y") for i in range(200)]
+    ends = "double, ay double, bx double, by_ double"
+    frames = spark.createDataFrame(lines, "drawing_id long, line_id long, label string, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(segments, f"drawing_id long, path_id long, seg_no int, ax {ends}, layer string")
+    got, rows = shuffled(lambda: D.markup_votes(*frames, 4.0).orderBy("layer").collect())
+    assert [tuple(r) for r in got] == [("Y", 100, 1, 40000.0), ("Z", 100, 1, 40000.0)]
+    assert rows < 50 * len(lines)  # a line has 101 samples
+
+
+def test_marked_lines_against_all_samples(spark):
+    rng = random.Random(7)
+    turn = lambda: rng.choice([(0, 0), (9, 0), (0, 9), (30, 17), (-25, 40), (3, -70)])
+    lines = [(i % 2, i, "ab"[i % 2], x := rng.randrange(-60, 60), y := rng.randrange(-60, 60), x + (t := turn())[0], y + t[1]) for i in range(80)]
+    segments = [(i % 2, i, 1, x := rng.randrange(-60, 60), y := rng.randrange(-60, 60), x + (t := turn())[0], y + t[1], "XYZ"[i % 3]) for i in range(90)]
+    want = {}
+    for d, line, _, x0, y0, x1, y1 in lines:
+        length = ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5
+        n, votes = max(2, int(length // 4.0)), {}
+        for k in range(n + 1) if length else ():
+            x, y, near = x0 + (x1 - x0) * k / n, y0 + (y1 - y0) * k / n, []
+            for g, path, no, ax, ay, bx, by, layer in segments:
+                dx, dy = bx - ax, by - ay
+                t = max(0.0, min(1.0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+                gap = ((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2) ** 0.5
+                if g == d and gap <= 4.0:
+                    near.append((gap, path, no, layer))
+            if near:
+                votes[min(near)[3]] = votes.get(min(near)[3], 0.0) + length / (n + 1) / (1 + min(near)[0])
+        if votes:
+            layer = min(votes, key=lambda v: (-round(votes[v], 9), v))
+            if votes[layer] >= length * 0.05:
+                want.setdefault((d, layer), []).append(length)
+    whole = lambda rows: [tuple(float(v) if isinstance(v, int) and i > 2 else v for i, v in enumerate(r)) for r in rows]
+    frames = spark.createDataFrame(whole(lines), "drawing_id long, line_id long, label string, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(whole(segments), "drawing_id long, path_id long, seg_no int, ax double, ay double, bx double, by_ double, layer string")
+    got = {(r.drawing_id, r.layer): (r.n_lines, round(r.length, 6)) for r in D.markup_votes(*frames, 4.0, 0.05, by_drawing=True).collect()}
+    assert got == {k: (len(v), round(sum(v), 6)) for k, v in want.items()} and len(got) == 6
+
+
 def test_cells_of_long_segments_take_no_lambda_and_far_ones_none(spark, shuffled):
     n = 1500
     rows = [(1, i, 1, 500.0 * i, 0.0, 500.0 * i + 30, 20.0) for i in range(n)] + [(1, n, 1, -900.0, -300.0, 3000.0, 1000.0)]
