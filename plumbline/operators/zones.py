@@ -26,10 +26,11 @@ def zone_of(box: tuple, zones: list[tuple], share: float = 0.6) -> Column:
 
 
 def classify_boxes(boxes: DataFrame, zones: DataFrame, keys: list[str], share: float = 0.6) -> DataFrame:
-    """The same with zones in a table (keys, ordinal, kind, zx0, zy0, zx1, zy1), a bounded number for each drawing."""
-    held = G.overlap_fraction(("x0", "y0", "x1", "y1"), ("zx0", "zy0", "zx1", "zy1")) >= share
-    found = boxes.select(*keys, "path_id", "x0", "y0", "x1", "y1").join(zones, keys).filter(held).groupBy(*keys, "path_id").agg(F.min_by("kind", "ordinal").alias("zone"))
-    return boxes.join(found, [*keys, "path_id"], "left").withColumn("zone", F.coalesce("zone", F.lit("frame")))
+    """The same with zones in a table (keys, ordinal, kind, zx0, zy0, zx1, zy1), a bounded number for each drawing: a drawing's zones go to its boxes in one row, so no box is dealt."""
+    sides = ("zx0", "zy0", "zx1", "zy1")
+    listed = zones.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ordinal", "kind", *sides))).alias("_zones"))
+    held = F.filter("_zones", lambda z: G.overlap_fraction(("x0", "y0", "x1", "y1"), tuple(z[c] for c in sides)) >= share)
+    return boxes.join(F.broadcast(listed), keys, "left").withColumn("zone", F.coalesce(F.get(held, F.lit(0))["kind"], F.lit("frame"))).drop("_zones")
 
 
 def rectangular(segments: DataFrame, keys: list[str], boxes: DataFrame | None = None) -> DataFrame:

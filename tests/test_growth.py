@@ -12,6 +12,7 @@ from plumbline.functions import geometry as G
 from plumbline.operators import delivery as D
 from plumbline.operators import network as N
 from plumbline.operators import spatial as S
+from plumbline.operators import zones as Z
 from plumbline.plans import catalog
 
 
@@ -163,3 +164,12 @@ def test_cells_of_long_segments_take_no_lambda_and_far_ones_none(spark, shuffled
     assert "lambdafunction" not in S.nearest_segment(points, segments, ["g"], 40.0)._jdf.queryExecution().toString()
     got, dealt = shuffled(lambda: S.nearest_segment(points, S.around(segments, points, ["g"], 40.0), ["g"], 40.0).collect())
     assert len(got) == 20 and {r.path_id for r in got} == {0, n} and dealt < 200
+
+
+def test_boxes_stay_where_they_are_when_zones_name_them(spark, shuffled):
+    boxes = spark.createDataFrame([(i % 3, i, float(i), 0.0, i + 2.0, 1.0) for i in range(900)], "d int, path_id int, x0 double, y0 double, x1 double, y1 double")
+    zones = spark.createDataFrame([(0, 1, "legend", 0.0, 0.0, 300.0, 9.0), (0, 0, "plan", 0.0, 0.0, 100.0, 9.0), (1, 0, "plan", 500.0, 0.0, 900.0, 9.0)], "d int, ordinal int, kind string, zx0 double, zy0 double, zx1 double, zy1 double")
+    got, rows = shuffled(lambda: Z.classify_boxes(boxes, zones, ["d"]).collect())
+    inside = lambda i, lo, hi: min(i + 2, hi) - max(i, lo) >= 1.2
+    want = lambda i: "plan" if (i % 3 == 0 and inside(i, 0, 100)) or (i % 3 == 1 and inside(i, 500, 900)) else "legend" if i % 3 == 0 and inside(i, 0, 300) else "frame"
+    assert {r.path_id: r.zone for r in got} == {i: want(i) for i in range(900)} and rows < 50
