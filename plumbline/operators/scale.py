@@ -71,11 +71,11 @@ def scalebars(paths: DataFrame, plans: DataFrame, keys: list[str], diagonal: flo
     long, short = F.greatest(w, h), F.least(w, h)
     filled = paths.filter(F.col("kind").isin("f", "fs") & (short > 0) & (long / short >= 20) & (long >= diagonal * 0.02) & (long <= diagonal * 0.35))
     outside = F.coalesce(~G.box_inside(("x0", "y0", "x1", "y1"), ("px0", "py0", "px1", "py1")), F.lit(True))
-    ranked = filled.join(plans, keys, "left").withColumns({"outside": outside, "long": long, "flat": w >= h}).withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("outside"), F.desc("long"), "path_id"))).filter(F.col("rank") <= most)
+    ranked = filled.join(F.broadcast(plans), keys, "left").withColumns({"outside": outside, "long": long, "flat": w >= h}).withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("outside"), F.desc("long"), "path_id"))).filter(F.col("rank") <= most)
     bars = ranked.select(*keys, "rank", F.col("path_id").alias("bar"), "long", "flat", F.when(F.col("flat"), F.col("x0")).otherwise(F.col("y0")).alias("start"), *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
-    # at most a few bars in a drawing: an equi-join on the drawing, then the band
+    # at most a few bars in a drawing: they go to its paths, then the band
     band = [F.col("bx0") - F.col("long") * 0.05, F.col("by0") - F.col("long") * 0.25, F.col("bx1") + F.col("long") * 0.05, F.col("by1") + F.col("long") * 0.25]
-    in_band = paths.join(bars, keys).filter((F.col("path_id") != F.col("bar")) & G.box_inside(("x0", "y0", "x1", "y1"), tuple(band)))
+    in_band = paths.join(F.broadcast(bars), keys).filter((F.col("path_id") != F.col("bar")) & G.box_inside(("x0", "y0", "x1", "y1"), tuple(band)))
     mx, my = G.box_middle("x0", "y0", "x1", "y1")
     marks = in_band.select(*keys, "rank", F.when(F.col("flat"), mx).otherwise(my).alias("at"))
     counted = marks.groupBy(*keys, "rank").agg(F.count("*").alias("n_marks")).filter(F.col("n_marks") >= least_marks)
@@ -94,7 +94,7 @@ def wall_modes(segments: DataFrame, clusters: DataFrame, keys: list[str], cluste
     """
     good = clusters.filter("n_paths >= 20 AND orthogonal > 0.7 AND spread > 0.05").withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.round("total", 6).desc(), cluster))).filter(F.col("rank") <= most).select(*keys, cluster)
     wide = diagonal if isinstance(diagonal, Column) else F.lit(float(diagonal))
-    pool = segments.withColumn("reach", wide * 0.012).filter(G.distance("ax", "ay", "bx", "by_") > wide * 0.001).join(good, [*keys, cluster], "left_semi")
+    pool = segments.withColumn("reach", wide * 0.012).filter(G.distance("ax", "ay", "bx", "by_") > wide * 0.001).join(F.broadcast(good), [*keys, cluster], "left_semi")
     group = [*keys, cluster]
     lines = S.axis_lines(pool, [*group, "reach"])
     # of equally frequent spacings the one of the first pair: flat lines before upright ones, then by place

@@ -86,8 +86,7 @@ def positional_values(rows: DataFrame, keys: list[str], value: str, shares: dict
     """
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    sizes = counted.groupBy(*keys).agg(F.sum("n").alias("all"))
-    ranked = counted.withColumn("upto", upto).join(sizes, keys)
+    ranked = counted.withColumns({"upto": upto, "all": F.sum("n").over(W.partitionBy(*keys))})
     place = lambda p: F.least(F.col("all") - 1, F.floor(F.col("all") * p))
     return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("upto") > place(p), F.col(value))).alias(name) for name, p in shares.items()))
 
@@ -116,41 +115,50 @@ def cluster_stats(segments: DataFrame, keys: list[str], page_area: float | Colum
 
 
 def quantised(paths: DataFrame, keys: list[str], tolerance: float = 5.0) -> DataFrame:
-    """Stroke and fill colour numbers of every path: (keys, path_id, stroke_no, fill_no); null without that colour.
+    """Stroke and fill colour numbers of every path: (keys, path_id, stroke_no, fill_no); see ``with_colours``."""
+    return with_colours(paths, keys, tolerance).select(*keys, "path_id", "stroke_no", "fill_no")
+
+
+def with_colours(paths: DataFrame, keys: list[str], tolerance: float = 5.0) -> DataFrame:
+    """Paths with the numbers of their stroke and fill colour, ``stroke_no`` and ``fill_no``; null without that colour.
 
     ``paths(keys, path_id, kind, stroke, fill)``, colours structs (r, g, b). One quantiser serves both: colours count in the
     order of paths, the stroke before the fill; strokes only for the kinds s and fs, fills only for f and fs.
     """
     used = lambda c, kinds: F.when(F.col("kind").isin(*kinds), F.col(c))
-    own = paths.select(*keys, "path_id", used("stroke", ("s", "fs")).alias("stroke"), used("fill", ("f", "fs")).alias("fill"))
-    seen = own.select(*keys, F.explode(F.array(F.struct((F.col("path_id") * 2).alias("ordinal"), F.col("stroke").alias("c")), F.struct((F.col("path_id") * 2 + 1).alias("ordinal"), F.col("fill").alias("c")))).alias("s")).select(*keys, "s.ordinal", "s.c.r", "s.c.g", "s.c.b").filter("r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL")
-    numbers = colour_representatives(seen, keys, tolerance)
-    named = lambda c: numbers.select(*keys, F.struct("r", "g", "b").alias(c), F.col("colour_no").alias(f"{c}_no"))
-    return own.join(named("stroke"), [*keys, "stroke"], "left").join(named("fill"), [*keys, "fill"], "left").select(*keys, "path_id", "stroke_no", "fill_no")
+    own = paths.withColumns({"_stroke": used("stroke", ("s", "fs")), "_fill": used("fill", ("f", "fs"))})
+    seen = own.select(*keys, F.explode(F.array(F.struct((F.col("path_id") * 2).alias("ordinal"), F.col("_stroke").alias("c")), F.struct((F.col("path_id") * 2 + 1).alias("ordinal"), F.col("_fill").alias("c")))).alias("s")).select(*keys, "s.ordinal", "s.c.r", "s.c.g", "s.c.b").filter("r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL")
+    numbers = cut(colour_representatives(seen, keys, tolerance))  # written, so that joins know whether they are few
+    named = lambda c: numbers.select(*keys, F.struct("r", "g", "b").alias(f"_{c}"), F.col("colour_no").alias(f"{c}_no"))
+    return own.join(named("stroke"), [*keys, "_stroke"], "left").join(named("fill"), [*keys, "_fill"], "left").drop("_stroke", "_fill")
 
 
 STYLE = ["stroke_no", "fill_no", "width_no", "dash_signature", "layer", "closed"]
 
 
-def style_index(paths: DataFrame, lengths: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def style_index(paths: DataFrame, lengths: DataFrame | None, keys: list[str], carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Style clusters of every drawing: (path -> cluster, clusters).
 
-    ``paths(keys, path_id, kind, stroke, fill, width, dash_signature, layer, closed)``, ``lengths(keys, path_id, len)``. Paths
-    of equal stroke and fill colour number, width bucket, dash, layer and closing make a cluster; clusters are named c000, c001
-    ... by descending total length, ties by their first path. Returns (keys, path_id, cluster_id) and (keys, cluster_id, the
-    six columns of STYLE, width, n_paths, total, share); every path is in one cluster.
+    ``paths(keys, path_id, kind, stroke, fill, width, dash_signature, layer, closed)``, ``lengths(keys, path_id, len)``
+    (None: the paths have ``len``, and no path is dealt). Paths of equal stroke and fill colour number, width bucket, dash, layer and closing make a cluster; clusters are named c000, c001
+    ... by descending total length, ties by their first path. Returns (keys, path_id, cluster_id, the ``carry`` columns of the path) and
+    (keys, cluster_id, the six columns of STYLE, width, n_paths, total, share); every path is in one cluster. Widths and clusters
+    of a drawing are few and go to its paths.
     """
-    widths = width_buckets(paths, keys)
-    styled = paths.join(quantised(paths, keys), [*keys, "path_id"]).join(widths, keys, "left").join(lengths, [*keys, "path_id"], "left")
+    styled = with_colours(paths, keys).join(F.broadcast(cut(width_buckets(paths, keys))), keys, "left")
+    if lengths is not None:
+        styled = styled.join(lengths, [*keys, "path_id"], "left")
     styled = styled.withColumn("width_no", F.coalesce(nearest_bucket(F.col("width"), F.col("representatives")), F.lit(0))).withColumn("rep", F.get("representatives", F.col("width_no")))
-    styled = cut(styled.select(*keys, "path_id", *STYLE, "rep", "len"))
+    styled = styled.select(*keys, "path_id", *(F.col(c).alias(f"_{c}") for c in carry), *STYLE, "rep", "len")
+    styled = styled if lengths is None else cut(styled)
     g = styled.groupBy(*keys, *STYLE).agg(F.count("*").alias("n_paths"), F.sum(F.coalesce("len", F.lit(0.0))).alias("total"), F.min("path_id").alias("first"), F.coalesce(F.max("rep"), F.lit(0.0)).alias("width"))
     # clusters of one drawing are few; a drawing is one window
     by_length = W.partitionBy(*keys).orderBy(F.round("total", 6).desc(), "first")
     named = g.withColumn("cluster_id", F.format_string("c%03d", F.row_number().over(by_length) - 1)).withColumn("share", F.coalesce(F.col("total") / F.nullif(F.sum("total").over(W.partitionBy(*keys)), F.lit(0.0)), F.lit(0.0)))
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*keys, *STYLE]]
-    both = styled.alias("p").join(named.alias("c"), same)
-    return both.select(*(F.col(f"p.{k}") for k in keys), F.col("p.path_id"), F.col("c.cluster_id")), named.drop("first")
+    named = cut(named)
+    both = styled.alias("p").join(F.broadcast(named.select(*keys, *STYLE, "cluster_id")).alias("c"), same)
+    return both.select(*(F.col(f"p.{k}") for k in keys), F.col("p.path_id"), F.col("c.cluster_id"), *(F.col(f"p._{c}").alias(c) for c in carry)), named.drop("first")
 
 
 def rejection(median_length: Column) -> Column:

@@ -17,6 +17,24 @@ def path_boxes(segments: DataFrame, keys: list[str]) -> DataFrame:
     return segments.groupBy(*keys, "path_id").agg(lo("ax", "bx").alias("x0"), lo("ay", "by_").alias("y0"), hi("ax", "bx").alias("x1"), hi("ay", "by_").alias("y1"))
 
 
+def measured_paths(paths: DataFrame) -> DataFrame:
+    """Paths with an array ``segments`` of (seg_no, ax, ay, bx, by_): adds len, x0, y0, x1, y1 and ``rectangular`` (see the function of that name), null without a segment.
+
+    All of it is read from the row itself, so nothing is dealt.
+    """
+    ends = lambda s: G.distance(s["ax"], s["ay"], s["bx"], s["by_"])
+    some = F.size("segments") > 0
+    side = lambda f, g, a, b: f(F.transform("segments", lambda s: g(s[a], s[b])))
+    boxed = paths.withColumns({
+        "len": F.when(some, F.aggregate("segments", F.lit(0.0), lambda sum_, s: sum_ + ends(s))),
+        "x0": side(F.array_min, F.least, "ax", "bx"), "y0": side(F.array_min, F.least, "ay", "by_"), "x1": side(F.array_max, F.greatest, "ax", "bx"), "y1": side(F.array_max, F.greatest, "ay", "by_"),
+    })
+    tol = F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) * 0.02
+    slanted = F.exists("segments", lambda s: (F.abs(s["ax"] - s["bx"]) > tol) & (F.abs(s["ay"] - s["by_"]) > tol))
+    sides = F.size(F.filter("segments", lambda s: ends(s) > 0)).between(3, 8)
+    return boxed.withColumn("rectangular", F.when(F.size("segments") >= 3, sides & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")) & ~slanted).otherwise(F.when(some, False)))
+
+
 def zone_of(box: tuple, zones: list[tuple], share: float = 0.6) -> Column:
     """The kind of the first zone (kind, x0, y0, x1, y1) that holds ``share`` of a box, else ``frame``."""
     out = F.lit("frame")
@@ -73,15 +91,21 @@ def densities(boxes: DataFrame, paths: DataFrame, keys: list[str]) -> DataFrame:
     return boxes.join(inside, [*keys, "box_id"], "left").select(*keys, "box_id", F.coalesce("n_inside", F.lit(0)).alias("n_inside"), F.when(area > 0, F.coalesce("n_inside", F.lit(0)) / (area / 10000)).otherwise(0.0).alias("density"))
 
 
-def detect(segments: DataFrame, pages: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def detect(segments: DataFrame | None, pages: DataFrame, keys: list[str], paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Frames and zones of drawings: (keys, x0, y0, x1, y1) and (keys, ordinal, kind, zx0, zy0, zx1, zy1, density).
 
     ``pages(keys, width, height)``. Panels are boxes of 0.4 to 60 % of the frame, nine tenths inside it, that touch its edge or are
     more than twice as dense as the page; they are merged, and the plan is the largest rectangle free of them.
-    The plan is zone 0; panels follow by descending area (ties: from the left, then from the top).
+    The plan is zone 0; panels follow by descending area (ties: from the left, then from the top). ``paths(keys, path_id, x0, y0,
+    x1, y1, rectangular)``: what the segments say, where it is known.
     """
-    paths = cut(path_boxes(segments, keys))
-    rects = cut(rectangular(segments, keys, paths).filter("rectangular").join(paths, [*keys, "path_id"]).drop("rectangular"))
+    sides = ("x0", "y0", "x1", "y1")
+    if paths is None:
+        paths = cut(path_boxes(segments, keys))
+        rects = rectangular(segments, keys, paths).filter("rectangular").join(paths, [*keys, "path_id"])
+    else:
+        rects, paths = paths.filter("rectangular"), paths.select(*keys, "path_id", *sides)
+    rects = cut(rects.select(*keys, "path_id", *sides))
     frame = cut(frames(rects, pages, keys))
     of = frame.select(*keys, *[F.col(c).alias(f"f{c}") for c in ("x0", "y0", "x1", "y1")])
     area, whole = G.box_area("x0", "y0", "x1", "y1"), G.box_area("fx0", "fy0", "fx1", "fy1")
