@@ -116,7 +116,7 @@ def measure(paths: DataFrame, segments: DataFrame | None = None, pages: DataFram
     sheet = pages.select(*DRAWING, F.col("page_width").alias("width"), F.col("page_height").alias("height"))
 
     by_path, clusters = ST.style_index(paths, None, DRAWING, carry=("kind", "width", "segments"))
-    by_path, clusters = cut(by_path), clusters.withColumnRenamed("width", "cluster_width")
+    by_path, clusters = cut(by_path.sortWithinPartitions(*CLUSTER, "path_id")), clusters.withColumnRenamed("width", "cluster_width")  # in order, rows that are dealt pack better
     shape = by_path.select(*CLUSTER, "path_id", F.explode("segments").alias("s")).select(*CLUSTER, "path_id", "s.*")
     drawn = Z.measured_paths(by_path).filter("len IS NOT NULL").select(*CLUSTER, "path_id", "kind", "len", "x0", "y0", "x1", "y1")
     boxes = drawn.join(F.broadcast(clusters.select(*CLUSTER, "layer")), CLUSTER)
@@ -162,11 +162,12 @@ def measure(paths: DataFrame, segments: DataFrame | None = None, pages: DataFram
     kept = cut(N.rechained(kept, CLUSTER))
     nets = cut(pipes.groupBy(*DRAWING).agg(F.percentile("width", 0.5).alias("unit")).select(*DRAWING, F.greatest("unit", F.lit(1e-6)).alias("unit")))
     lines = N.polylines(runs, points, kept, CLUSTER).join(F.broadcast(nets.withColumnRenamed("unit", "eps")), DRAWING)
-    strand_points, strands = N.strands(lines, CLUSTER, DRAWING, F.col("eps"))
-    strand_points, strands = cut(strand_points), cut(strands)
+    strand_points, strands = N.strands(lines, CLUSTER, DRAWING, F.col("eps"), written=True)
+    strands = cut(strands)
     strand = [*CLUSTER, "chain_id", "strand_no"]
     along = W.partitionBy(*strand).orderBy("ordinal")
     walked = strand_points.select(*strand, "ordinal", F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(along).alias("bx"), F.lead("y").over(along).alias("by_")).filter("bx IS NOT NULL").withColumn("len", G.distance(*_ENDS))
+    walked = cut(walked)
 
     # what the drawing's own hatching takes out
     held = G.overlap_fraction(("x0", "y0", "x1", "y1"), ("px0", "py0", "px1", "py1")) >= 0.6

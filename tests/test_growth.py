@@ -12,6 +12,7 @@ from plumbline.functions import geometry as G
 from plumbline.operators import delivery as D
 from plumbline.operators import network as N
 from plumbline.operators import spatial as S
+from plumbline.operators import styles as ST
 from plumbline.operators import zones as Z
 from plumbline.plans import catalog
 
@@ -173,3 +174,39 @@ def test_boxes_stay_where_they_are_when_zones_name_them(spark, shuffled):
     inside = lambda i, lo, hi: min(i + 2, hi) - max(i, lo) >= 1.2
     want = lambda i: "plan" if (i % 3 == 0 and inside(i, 0, 100)) or (i % 3 == 1 and inside(i, 500, 900)) else "legend" if i % 3 == 0 and inside(i, 0, 300) else "frame"
     assert {r.path_id: r.zone for r in got} == {i: want(i) for i in range(900)} and rows < 50
+
+
+def test_points_of_connectivity_are_dealt_once(spark, shuffled):
+    rng = random.Random(6)
+    rows = []
+    for i in range(1500):
+        x, y = rng.choice([(rng.uniform(0, 900), rng.uniform(0, 900)), (float(rng.randrange(90)), float(rng.randrange(90)))])
+        rows.append((i % 3, i // 2, x, y, x + rng.choice([0.0, 3.0, 40.0]), y + rng.choice([0.0, 2.0])))
+    frame = spark.createDataFrame(rows, "d int, path_id long, ax double, ay double, bx double, by_ double")
+    got, n = shuffled(lambda: S.connectivity(frame, ["d"], 1.5).collect())
+    ends = [(d, p, x, y) for d, p, ax, ay, bx, by in rows for x, y in ((ax, ay), (bx, by))]
+    touching = {(d, p) for d, p, x, y in ends if any(d == e and p != q and ((x - u) ** 2 + (y - v) ** 2) ** 0.5 <= 1.5 for e, q, u, v in ends)}
+    assert {r.d: r.n_touching for r in got} == {d: sum(t[0] == d for t in touching) for d in (0, 1, 2)}
+    assert n < 6 * len(rows)  # two ends a segment, in about 1.4 cells each; it was over 9
+
+
+def test_paths_with_their_segments_are_not_dealt(spark, shuffled):
+    rng = random.Random(7)
+    rows, flat = [], []
+    for i in range(2000):
+        x, y, s = float(rng.randrange(900)), float(rng.randrange(900)), float(rng.randrange(4))
+        lines = [(1, x, y, x + s, y), (2, x + s, y, x + s, y + 5), (3, x + s, y + 5, x, y + 5), (4, x, y + 5, x, y)][: 4 if i % 2 else 1 + i % 3]
+        rows.append((i % 2, i, "L" + str(i % 3), "s", (0.0, 0.0, 0.25 * (i % 4)), (0.5, 0.5, 0.5), 0.25 * (1 + i % 4), "solid", False, lines))
+        flat.extend((i % 2, i, *line) for line in lines)
+    colour, seg = "struct<r:double,g:double,b:double>", "seg_no int, ax double, ay double, bx double, by_ double"
+    nested = f"array<struct<{', '.join(c.replace(' ', ':') for c in seg.split(', '))}>>"
+    paths = Z.measured_paths(spark.createDataFrame(rows, f"drawing_id int, path_id long, layer string, kind string, stroke {colour}, fill {colour}, width double, dash_signature string, closed boolean, segments {nested}"))
+    segments = spark.createDataFrame(flat, f"drawing_id int, path_id long, {seg}")
+    keys, sides = ["drawing_id"], ("x0", "y0", "x1", "y1")
+    assert sorted(map(tuple, paths.select(*keys, "path_id", *sides).collect())) == sorted(map(tuple, Z.path_boxes(segments, keys).select(*keys, "path_id", *sides).collect()))
+    assert sorted(map(tuple, paths.select(*keys, "path_id", "rectangular").collect())) == sorted(map(tuple, Z.rectangular(segments, keys).collect()))
+    lengths = segments.groupBy(*keys, "path_id").agg(F.sum(G.distance("ax", "ay", "bx", "by_")).alias("len"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    got, n = shuffled(lambda: ST.style_index(paths, None, keys)[0].collect())
+    assert sorted(map(tuple, got)) == sorted(map(tuple, ST.style_index(paths.drop("len"), lengths, keys)[0].collect()))
+    assert n < len(rows) / 2  # only styles, colours and widths are dealt; every path was, several times
