@@ -187,7 +187,7 @@ def test_points_of_connectivity_are_dealt_once(spark, shuffled):
     ends = [(d, p, x, y) for d, p, ax, ay, bx, by in rows for x, y in ((ax, ay), (bx, by))]
     touching = {(d, p) for d, p, x, y in ends if any(d == e and p != q and ((x - u) ** 2 + (y - v) ** 2) ** 0.5 <= 1.5 for e, q, u, v in ends)}
     assert {r.d: r.n_touching for r in got} == {d: sum(t[0] == d for t in touching) for d in (0, 1, 2)}
-    assert n < 6 * len(rows)  # two ends a segment, in about 1.4 cells each; it was over 9
+    assert n < 6 * len(rows)  # two ends a segment, in about 1.4 cells each; it was over 10
 
 
 def test_paths_with_their_segments_are_not_dealt(spark, shuffled):
